@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontamination, licenses, media, sharding, token_files
-from tessella.llm.sql import DECONTAMINATION_SQL, sharding_sql
+from tessella.llm import bpe, decontamination, language_model, licenses, media, quality, sharding, simhash, token_files, toxicity
+from tessella.llm.sql import DECONTAMINATION_SQL, LANGUAGE_MODEL_SQL, sharding_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,17 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    flagged = language_model.flag_target(docs, _table(spark, sf_dir, "labels"))
+    scored = language_model.cross_entropy_difference(docs, flagged, "target")
+    return scored.withColumns({c: F.round(c, 6) + 0.0 for c in ("target_loss", "background_loss", "score")})
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     c = F.col("contamination")
@@ -84,6 +95,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(_texts(spark, sf_dir))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     encoded = bpe.encode_texts(_texts(spark, sf_dir), vocabulary).select("doc_id", "ids")
@@ -96,19 +112,31 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    scored = toxicity.add_toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "toxicity.*")
+    names = {c: f"p_{c}" for c in toxicity.CATEGORIES}
+    return scored.withColumnsRenamed(names).withColumn("toxic", F.col("p_toxic") >= toxicity.TOXIC_FROM)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_quality": op2_quality,
+        "op3_cross_entropy": op3_cross_entropy,
         "op4_decontamination": op4_decontamination,
         "op5_sharding": op5_sharding,
         "op6_token_files": op6_token_files,
         "op7_media": op7_media,
+        "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
+        "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_cross_entropy": LANGUAGE_MODEL_SQL,
         "op4_decontamination": DECONTAMINATION_SQL,
         "op5_sharding": sharding_sql(sharding.layout(16), sharding.layout(17)),
     }

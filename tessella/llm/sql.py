@@ -76,3 +76,44 @@ SELECT doc_id, CAST(size AS BIGINT) AS size,
   row_number() OVER (PARTITION BY shard ORDER BY u, doc_id) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
 FROM placed, crc_table
 """
+
+
+LANGUAGE_MODEL_SQL = """
+WITH good AS (
+  SELECT DISTINCT doc_id FROM labels WHERE quality = 1
+), docs AS (
+  SELECT row_number() OVER () AS rid, d.doc_id, lower(hex(encode(coalesce(text, '')))) AS h, good.doc_id IS NOT NULL AS target
+  FROM documents d LEFT JOIN good ON d.doc_id = good.doc_id
+), bytes AS (
+  SELECT rid, target, i, CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER) AS b
+  FROM (SELECT rid, target, h, unnest(range(CAST(length(h) / 2 AS BIGINT))) AS i FROM docs)
+), classes AS (
+  SELECT rid, target, i, CASE
+    WHEN b BETWEEN 65 AND 90 THEN b - 65 WHEN b BETWEEN 97 AND 122 THEN b - 97 WHEN b BETWEEN 48 AND 57 THEN 26
+    WHEN b IN (32, 9, 10, 13) THEN 27 WHEN b IN (33, 46, 63) THEN 28 WHEN b < 128 THEN 29
+    WHEN b < 192 THEN 31 ELSE 30 END AS d
+  FROM bytes
+), grams AS (
+  SELECT rid, target, d, lag(d, 1, 27) OVER w AS c, lag(d, 2, 27) OVER w AS b, lag(d, 3, 27) OVER w AS a
+  FROM classes WINDOW w AS (PARTITION BY rid ORDER BY i)
+), n4 AS (
+  SELECT a, b, c, d, count(*) AS bg, count(*) FILTER (target) AS tg FROM grams GROUP BY ALL
+), n1 AS (
+  SELECT d, (bg + 1.0) / (sum(bg) OVER () + 32) AS pb, (tg + 1.0) / (sum(tg) OVER () + 32) AS pt
+  FROM (SELECT d, sum(bg) AS bg, sum(tg) AS tg FROM n4 GROUP BY d)
+), n2 AS (
+  SELECT c, d, (g.bg + 32 * pb) / (sum(g.bg) OVER w + 32) AS pb, (g.tg + 32 * pt) / (sum(g.tg) OVER w + 32) AS pt
+  FROM (SELECT c, d, sum(bg) AS bg, sum(tg) AS tg FROM n4 GROUP BY ALL) g JOIN n1 USING (d) WINDOW w AS (PARTITION BY c)
+), n3 AS (
+  SELECT b, c, d, (g.bg + 32 * pb) / (sum(g.bg) OVER w + 32) AS pb, (g.tg + 32 * pt) / (sum(g.tg) OVER w + 32) AS pt
+  FROM (SELECT b, c, d, sum(bg) AS bg, sum(tg) AS tg FROM n4 GROUP BY ALL) g JOIN n2 USING (c, d) WINDOW w AS (PARTITION BY b, c)
+), loss AS (
+  SELECT a, b, c, d, -ln((g.bg + 32 * pb) / (sum(g.bg) OVER w + 32)) AS lb, -ln((g.tg + 32 * pt) / (sum(g.tg) OVER w + 32)) AS lt
+  FROM n4 g JOIN n3 USING (b, c, d) WINDOW w AS (PARTITION BY a, b, c)
+), totals AS (
+  SELECT rid, count(*) AS n, sum(lt) AS t, sum(lb) AS b FROM grams JOIN loss USING (a, b, c, d) GROUP BY rid
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, round(coalesce(t / n, 0), 6) AS target_loss,
+  round(coalesce(b / n, 0), 6) AS background_loss, round(coalesce((t - b) / n, 0), 6) AS score
+FROM docs LEFT JOIN totals USING (rid)
+"""
