@@ -1 +1 @@
-
+"""Column expressions: vectors, texts, hashes, dates."""

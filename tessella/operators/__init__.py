@@ -1 +1 @@
-
+"""Operators: DataFrames in, DataFrame out."""
