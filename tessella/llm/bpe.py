@@ -32,7 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space other than single blanks and line ends makes the plain cut unsafe.
 UNUSUAL = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 NEVER = 1 << 60
-COMPATIBLE_LIMIT = 400_000
+COMPATIBLE_LIMIT = 200_000
 
 
 class OffsetDecoder:
@@ -51,30 +51,41 @@ class OffsetDecoder:
         shift = self.starts[ids] - (ends - sizes)
         return self.buffer[np.repeat(shift, sizes) + np.arange(ends[-1])].tobytes()
 
+    def text(self, ids: np.ndarray) -> str:
+        return self.decode(ids).decode("utf-8", "replace")
+
+
+class TokenTable:
+    """The bytes of every token of a byte-level BPE in the tokenizers library's JSON."""
 
-class BacktrackingEncoder:
     def __init__(self, vocabulary: str):
-        """``vocabulary``: a byte-level BPE in the tokenizers library's JSON."""
         spec = json.loads(vocabulary)
         letters, model = byte_letters(), spec["model"]
-
-        def raw(token: str) -> bytes:
-            return bytes(letters[c] for c in token)
-
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ids = {raw(t): i for t, i in model["vocab"].items() if t not in self.special}
+        raw = {t: bytes(letters[c] for c in t) for t in model["vocab"] if t not in self.special}
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.rank = {(raw(a), raw(b)): r for r, (a, b) in enumerate(merges)}
-        self.bytes_of = [b""] * (1 + max([*ids.values(), *self.special.values()]))
-        for token, i in [*ids.items(), *((t.encode(), i) for t, i in self.special.items())]:
+        self.merges = [(raw[a], raw[b]) for a, b in merges]
+        self.ids = {raw[t]: model["vocab"][t] for t in raw}
+        self.bytes_of = [b""] * (1 + max([*self.ids.values(), *self.special.values()]))
+        for token, i in [*self.ids.items(), *((t.encode(), i) for t, i in self.special.items())]:
             self.bytes_of[i] = token
-        self.ids = ids
+
+
+def build_decoder(vocabulary: str) -> OffsetDecoder:
+    return OffsetDecoder(TokenTable(vocabulary).bytes_of)
+
+
+class BacktrackingEncoder:
+    def __init__(self, vocabulary: str):
+        table = TokenTable(vocabulary)
+        self.special, self.bytes_of = table.special, table.bytes_of
+        self.ids = ids = table.ids
+        self.rank = {pair: r for r, pair in enumerate(table.merges)}
         self.size = [len(t) for t in self.bytes_of]
         self.automaton = ahocorasick.Automaton()
         for token, i in ids.items():
             self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.decoder = OffsetDecoder(self.bytes_of)
         self.split = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.kind = np.dtype("<u2" if len(self.bytes_of) <= 1 << 16 else "<u4")
@@ -84,8 +95,8 @@ class BacktrackingEncoder:
         self.left_edge = Memo(lambda t: self._edge(t, 0), 1 << 20)
         self.arises = [-1] * len(self.bytes_of)
         self.compatible: dict[int, bool] = {}
-        self.pieces = Memo(self._piece, longest=48)
-        self.after_blank = Memo(self._after_blank, 350_000, longest=24)
+        self.pieces = Memo(self._piece, 50_000, longest=48)
+        self.after_blank = Memo(self._after_blank, 200_000, longest=24)
 
     def merged(self, piece: bytes) -> list[int]:
         """Apply the merges by rank; only tells which tokens arise at all."""
@@ -191,9 +202,6 @@ class BacktrackingEncoder:
             ids += self._plain(part) if special is None else np.array([special], self.kind).tobytes()
         return np.frombuffer(ids, self.kind)
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.decoder.decode(ids).decode("utf-8", "replace")
-
 
 def _values(column: pa.Array) -> list[str]:
     return [v or "" for v in column.to_pylist()]
@@ -211,7 +219,9 @@ def encode_texts(docs: DataFrame, vocabulary: str, text_col: str = "text", out_c
         encoder = shared.build(BacktrackingEncoder)
         rows = [encoder.encode(t) for t in _values(column)]
         ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-        flat = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32)
+        flat = np.empty(ends[-1], np.int32)
+        for row, at, end in zip(rows, ends, ends[1:]):
+            flat[at:end] = row
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
     return docs.withColumn(out_col, run.asNondeterministic()(F.col(text_col)))
@@ -226,13 +236,13 @@ def decode_ids(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out_col
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        encoder = shared.build(BacktrackingEncoder)
+        decoder = shared.build(build_decoder)
         lists = pa.chunked_array([column]) if isinstance(column, pa.Array) else column
         out = []
         for chunk in lists.chunks:
             flat, ends = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
             valid = chunk.is_valid().to_pylist()
-            out += [encoder.decode(flat[a:b]) if ok else "" for (a, b), ok in zip(pairwise(ends.tolist()), valid)]
+            out += [decoder.text(flat[a:b]) if ok else "" for (a, b), ok in zip(pairwise(ends.tolist()), valid)]
         return pa.array(out, pa.string())
 
     return tokens.withColumn(out_col, run.asNondeterministic()(F.col(ids_col)))
