@@ -1,2 +1,213 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries of hybrid search over ``documents``; policies follow from the id by fixed rules."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessella.functions.texts import (
+    count_matches,
+    hash_sign,
+    hash_slot,
+    has_control,
+    normal_text,
+    tokens,
+    unsafe_path,
+)
+from tessella.operators import search as S
+from tessella.plans.common import r6, table
+
+QUERY = "the license of this work and the version 2.0 the"
+VALUES = ["ceramic", "license"]
+VISUAL = [0.1, 0.9, 0.3, 0.7, 0.5, 0.2, 0.8, 0.4]
+DAY = "2025-03-01"
+LICENSES = ("CC-BY", "CC0", "MIT", "PROPRIETARY")
+# Fixed values of these queries: phrases that a generated statement may not hold.
+FORBIDDEN = ("all rights reserved", r"licensed under (the )?(cc|apache|gnu)", "idiot|moron", r"\b\d{3}-\d{2}-\d{4}\b")
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (i % 700).cast("int"))
+    kinds = F.array(*[F.array(*map(F.lit, k)) for k in (["*"], ["ceramic", "glass"], ["bronze"], ["ceramic"], ["jade", "wood"], ["*"])])
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.col("lang").alias("space"),
+        F.when(i % 5 == 0, F.array(F.lit("staff"))).otherwise(F.array(F.lit("staff"), F.lit("public"))).alias("access_scopes"),
+        F.when(i % 11 == 0, F.array(F.lit("display"))).otherwise(F.array(F.lit("display"), F.lit("research"))).alias("purposes"),
+        F.element_at(F.array(*map(F.lit, LICENSES)), (i % 4 + 1).cast("int")).alias("license"),
+        F.when(i % 13 != 0, start).alias("valid_from"),
+        F.when(i % 17 != 0, F.date_add(start, 400)).alias("valid_until"),
+        F.element_at(kinds, (i % 6 + 1).cast("int")).alias("allowed"),
+        F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: (i * k % 97) / 97.0).alias("features"),
+    )
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = S.policy_reason("en", "public", "research", ["CC-BY", "CC0", "MIT"], DAY, ["ceramic"])
+    return entries(spark, sf_dir).withColumn("reason", reason)
+
+
+def policy_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("reason is not null").select("doc_id", "reason")
+
+
+def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("ELIGIBLE")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eligible = _judged(spark, sf_dir).where("reason is null")
+    return S.inverse_frequencies(eligible).withColumn("idf", r6("idf"))
+
+
+def lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eligible = _judged(spark, sf_dir).where("reason is null")
+    return S.lexical_scores(eligible, QUERY).select("doc_id", r6("lexical").alias("lexical"))
+
+
+def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-zero dimensions of each document's embedding."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.embed(F.col("text"))).alias("dim", "x"))
+    return rows.where("x <> 0").select("doc_id", "dim", r6("x").alias("x"))
+
+
+def token_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and sign of every distinct benchmark token, by SQL expressions alone."""
+    t = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("token")).distinct()
+    return t.select("token", hash_slot(F.col("token")).alias("slot"), hash_sign(F.col("token")).alias("sign"))
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eligible = _judged(spark, sf_dir).where("reason is null")
+    found = S.hybrid_search(eligible, QUERY, VALUES, VISUAL, 0.05, 50)
+    return found.select("rank", "doc_id", r6("score").alias("score"), r6("text_score").alias("text_score"), "structured", "visual")
+
+
+def script_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    han, latin = count_matches(t, "[一-鿿]"), count_matches(t, "[A-Za-z]")
+    share = F.when(han + latin > 0, latin / (han + latin)).otherwise(0.0)
+    return table(spark, sf_dir, "documents").select("doc_id", han.alias("han"), latin.alias("latin"), r6(share).alias("latin_share"))
+
+
+def guardrail_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with forbidden wording, after a literal mark has been redacted."""
+    clean = F.regexp_replace(normal_text(F.col("text")), "(?i)mit license", "[mark]")
+    hits = F.array_compact(F.array(*[F.when(clean.rlike(p), F.lit(i)) for i, p in enumerate(FORBIDDEN)]))
+    rows = table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits")).where("size(hits) > 0")
+    return rows.select("doc_id", F.concat_ws(",", F.col("hits").cast("array<string>")).alias("hits"))
+
+
+def control_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", has_control(F.col("html")).alias("bad"), F.length(F.trim("html")).alias("n"))
+    return rows.groupBy("bad").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("chars"))
+
+
+def path_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL paths against allow and deny rules, with unsafe forms marked."""
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]*(/[^?]*)?", 1)
+    rel = F.regexp_replace(path, "^/", "")
+    verdict = F.when(unsafe_path(rel), "UNSAFE").when(rel.rlike(r"(^|/)(admin|private)(/|$)"), "DENIED")
+    verdict = verdict.when(rel.rlike(r"^(en|fr)/"), "ALLOWED").otherwise("UNLISTED")
+    return table(spark, sf_dir, "pages").select("page_id", rel.alias("path"), verdict.alias("verdict"))
+
+
+def private_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of pages, and whether they are loopback, private, or under .internal or .local."""
+    host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:?#]*)", 1))
+    private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)|\.(internal|local)$")
+    return table(spark, sf_dir, "pages").groupBy(host.alias("host"), private.alias("private")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+def citation_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First five citations of each role, once per (role, source), and whether they are complete."""
+    w = Window.partitionBy("role", "source").orderBy("doc_id")
+    once = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("role"), F.col("n_chars").isNotNull().alias("sized"))
+    once = once.withColumn("k", F.row_number().over(w)).where("k = 1")
+    top = once.withColumn("k", F.row_number().over(Window.partitionBy("role").orderBy("doc_id"))).where("k <= 5")
+    return top.select("role", F.col("k").alias("position"), "doc_id", "source", F.when(F.col("sized"), "COMPLETE").otherwise("INCOMPLETE").alias("state"))
+
+
+_TOKENS = """flatten(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:[-_.][a-z0-9]+)*|[一-鿿]+'), lambda r:
+  CASE WHEN regexp_matches(r, '[一-鿿]') THEN list_concat(list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 1)),
+    list_transform(range(1, length(r)), lambda i: substr(r, i, 2))) ELSE [r] END))"""
+_SLOT = "CAST(CAST('0x' || substr(sha256(token), 1, 8) AS BIGINT) % 96 AS INTEGER)"
+_SIGN = "CASE WHEN CAST('0x' || substr(sha256(token), 9, 2) AS INTEGER) % 2 = 1 THEN 1 ELSE -1 END"
+_LIST = lambda items: "[" + ", ".join(f"'{i}'" for i in items) + "]"
+ENTRIES_SQL = f"""
+WITH entries AS (
+  SELECT doc_id, text, lang AS space, doc_id % 5 <> 0 AS public, doc_id % 11 <> 0 AS research,
+    {_LIST(LICENSES)}[doc_id % 4 + 1] AS license,
+    CASE WHEN doc_id % 13 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER) END AS valid_from,
+    CASE WHEN doc_id % 17 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER) + 400 END AS valid_until,
+    [['*'], ['ceramic', 'glass'], ['bronze'], ['ceramic'], ['jade', 'wood'], ['*']][doc_id % 6 + 1] AS allowed,
+    list_transform(range(1, 9), lambda k: (doc_id * k % 97) / 97.0) AS features
+  FROM documents
+), judged AS (
+  SELECT *, CASE WHEN space <> 'en' THEN 'SPACE_MISMATCH' WHEN NOT public THEN 'ACCESS_SCOPE_MISMATCH' WHEN NOT research THEN 'PURPOSE_NOT_LICENSED'
+    WHEN license NOT IN ('CC-BY', 'CC0', 'MIT') THEN 'LICENSE_NOT_ALLOWLISTED'
+    WHEN valid_from > DATE '{DAY}' OR valid_until < DATE '{DAY}' THEN 'LICENSE_NOT_ACTIVE'
+    WHEN NOT (list_contains(allowed, '*') OR list_contains(allowed, 'ceramic')) THEN 'SCOPE_MISMATCH' END AS reason
+  FROM entries
+), eligible AS (
+  SELECT *, {_TOKENS} AS toks FROM judged WHERE reason IS NULL
+)
+"""
+_Q = S.python_tokens(QUERY)
+_LEX = f"""
+, asked AS (
+  SELECT token, count(*) AS c FROM (SELECT unnest({_LIST(_Q)}) AS token) GROUP BY 1
+), idf AS (
+  SELECT token, c, ln(((SELECT count(*) FROM eligible) + 1) / ((SELECT count(*) FROM eligible WHERE list_contains(toks, token)) + 1)) + 1 AS idf FROM asked
+), lex AS (
+  SELECT doc_id, sum(least(len(list_filter(toks, lambda x: x = token)), c) * idf) / sum(c * idf) AS lexical FROM eligible, idf GROUP BY doc_id
+)
+"""
+_QV = [float(x) for x in S.hashed_vector(QUERY)]
+QUERIES = {
+    f.__name__: f
+    for f in (
+        policy_exclusions, policy_summary, token_idf, lexical_score, hash_embedding, token_slots, hybrid_search, script_mix,
+        guardrail_hits, control_text, path_policy, private_endpoints, citation_top5,
+    )
+}
+SQL = {
+    "policy_exclusions": ENTRIES_SQL + "SELECT doc_id, reason FROM judged WHERE reason IS NOT NULL",
+    "policy_summary": ENTRIES_SQL + "SELECT coalesce(reason, 'ELIGIBLE') AS reason, count(*) AS n FROM judged GROUP BY 1",
+    "token_idf": ENTRIES_SQL + """SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM eligible) + 1) / (count(*) + 1)) + 1, 6) AS idf
+      FROM (SELECT doc_id, unnest(list_distinct(toks)) AS token FROM eligible) GROUP BY token""",
+    "lexical_score": ENTRIES_SQL + _LEX + "SELECT doc_id, round(lexical, 6) AS lexical FROM lex",
+    "hash_embedding": f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents),
+      s AS (SELECT doc_id, {_SLOT} AS dim, sum({_SIGN}) AS x FROM t GROUP BY 1, 2)
+      SELECT doc_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM s WHERE x <> 0""",
+    "token_slots": f"SELECT DISTINCT token, {_SLOT} AS slot, {_SIGN} AS sign FROM (SELECT unnest({_TOKENS}) AS token FROM benchmark)",
+    "hybrid_search": ENTRIES_SQL + _LEX + f"""
+      , tok AS (SELECT doc_id, unnest(toks) AS token FROM eligible), vec AS (SELECT doc_id, {_SLOT} AS dim, sum({_SIGN}) AS x FROM tok GROUP BY 1, 2),
+      emb AS (SELECT doc_id, greatest(0, least(1, sum(x * {_QV}[dim + 1]) / sqrt(sum(x * x)))) AS e FROM vec GROUP BY 1),
+      comp AS (SELECT l.doc_id, lexical, round(coalesce(e, 0), 6) AS embedded,
+        round(((CASE WHEN list_contains(allowed, 'ceramic') THEN 1.0 WHEN contains(t, 'ceramic') THEN 0.7 ELSE 0.0 END)
+          + (CASE WHEN list_contains(allowed, 'license') THEN 1.0 WHEN contains(t, 'license') THEN 0.7 ELSE 0.0 END)) / 2, 6) AS structured,
+        round(greatest(0, least(1, 1 - sqrt(list_sum(list_transform(range(1, 9), lambda k: pow({VISUAL}[k] - features[k], 2)))) / sqrt(8))), 6) AS visual
+        FROM lex l JOIN (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM eligible) USING (doc_id) LEFT JOIN emb USING (doc_id)),
+      scored AS (SELECT *, round(0.65 * lexical + 0.35 * embedded, 6) AS text_score FROM comp),
+      fused AS (SELECT *, round(0.45 * text_score + 0.25 * structured + 0.30 * visual, 8) AS score FROM scored)
+      SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, round(score, 6) AS score, round(text_score, 6) AS text_score,
+        structured, visual FROM fused WHERE score >= 0.05 ORDER BY score DESC, doc_id LIMIT 50""",
+    "script_mix": """SELECT doc_id, han, latin, round(CASE WHEN han + latin > 0 THEN latin / (han + latin) ELSE 0 END, 6) AS latin_share FROM (
+      SELECT doc_id, length(t) - length(regexp_replace(t, '[一-鿿]', '', 'g')) AS han,
+        length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS latin FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""",
+    "guardrail_hits": """SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(t, 'all rights reserved') THEN '0' END,
+      CASE WHEN regexp_matches(t, 'licensed under (the )?(cc|apache|gnu)') THEN '1' END, CASE WHEN regexp_matches(t, 'idiot|moron') THEN '2' END,
+      CASE WHEN regexp_matches(t, '\\b\\d{3}-\\d{2}-\\d{4}\\b') THEN '3' END) AS hits
+      FROM (SELECT doc_id, regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 'mit license', '[mark]', 'g') AS t FROM documents)
+      WHERE regexp_matches(t, 'all rights reserved|licensed under (the )?(cc|apache|gnu)|idiot|moron|\\b\\d{3}-\\d{2}-\\d{4}\\b')""",
+    "control_text": """SELECT regexp_matches(html, '[\\p{Cc}\\p{Cf}]') AS bad, count(*) AS pages, CAST(sum(length(trim(html))) AS BIGINT) AS chars FROM pages GROUP BY 1""",
+    "path_policy": """SELECT page_id, p AS path, CASE WHEN regexp_matches(p, '^[/\\\\]|^[A-Za-z]:|(^|[/\\\\])\\.\\.([/\\\\]|$)|[\\x00-\\x1f\\x7f]') THEN 'UNSAFE'
+      WHEN regexp_matches(p, '(^|/)(admin|private)(/|$)') THEN 'DENIED' WHEN regexp_matches(p, '^(en|fr)/') THEN 'ALLOWED' ELSE 'UNLISTED' END AS verdict
+      FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]*(/[^?]*)?', 1), '^/', '') AS p FROM pages)""",
+    "private_endpoints": """SELECT host, regexp_matches(host, '^(localhost|127\\.|10\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)|\\.(internal|local)$') AS private,
+      count(*) AS pages FROM (SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS host FROM pages) GROUP BY 1, 2""",
+    "citation_top5": """WITH o AS (SELECT lang AS role, source, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2)
+      SELECT role, row_number() OVER (PARTITION BY role ORDER BY doc_id) AS position, o.doc_id, o.source,
+        CASE WHEN n_chars IS NULL THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS state
+      FROM o JOIN documents USING (doc_id) QUALIFY position <= 5""",
+}
