@@ -32,7 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space other than single blanks and line ends makes the plain cut unsafe.
 UNUSUAL = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 NEVER = 1 << 60
-COMPATIBLE_LIMIT = 200_000
+COMPATIBLE_LIMIT = 400_000
 
 
 class OffsetDecoder:
@@ -96,7 +96,7 @@ class BacktrackingEncoder:
         self.arises = [-1] * len(self.bytes_of)
         self.compatible: dict[int, bool] = {}
         self.pieces = Memo(self._piece, 50_000, longest=48)
-        self.after_blank = Memo(self._after_blank, 200_000, longest=24)
+        self.after_blank = Memo(self._after_blank, 320_000, longest=24)
 
     def merged(self, piece: bytes) -> list[int]:
         """Apply the merges by rank; only tells which tokens arise at all."""
@@ -146,9 +146,13 @@ class BacktrackingEncoder:
         whole = self.ids.get(piece)
         if whole is not None and self.fits(-1, whole):
             return [whole]
+        letters = piece.decode("latin-1")
+        longest = [token for _, token in self.automaton.iter_long(letters)]
+        if all(map(self.fits, [-1, *longest[:-1]], longest)):
+            return longest
         n, size, compatible = len(piece), self.size, self.compatible
         starting: list[list[int]] = [[] for _ in range(n)]  # by length, as ends come in order
-        for last, token in self.automaton.iter(piece.decode("latin-1")):
+        for last, token in self.automaton.iter(letters):
             starting[last + 1 - size[token]].append(token)
         closed = bytearray(n + 1)
         path: list[tuple[int, int, list[int]]] = []  # (token, its start, shorter ones there)

@@ -3,7 +3,7 @@
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lower-cases A-Z and turns every ASCII byte that is no digit or letter into a
@@ -49,3 +49,9 @@ def fresh_name(df: DataFrame, base: str) -> str:
 def struct_array(fields: list[tuple[str, pa.DataType, list]]) -> pa.StructArray:
     arrays = [pa.array(values, type=kind) for _, kind, values in fields]
     return pa.StructArray.from_arrays(arrays, names=[name for name, _, _ in fields])
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send whole texts to Python in batches of at most ``rows`` rows (and of 64 MB,
+    Spark's own bound), so that a worker's memory doesn't hang on text length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
