@@ -138,17 +138,17 @@ SQL = {
     "threshold_candidates": RUNS_SQL + _CAND + " UNION ALL ".join(f"SELECT '{n}' AS name, round(x, 6) AS value FROM c_{n}" for n in E.GRID),
     "threshold_grid": RUNS_SQL + _CAND + """, cells AS (
       SELECT s.x AS score, m.x AS margin, c.x AS coverage, q.x AS quality,
-        count(*) FILTER (ok AND expected IS NOT NULL AND correct) AS correct, count(*) FILTER (ok AND expected IS NULL) AS false,
+        count(*) FILTER (ok AND expected IS NOT NULL AND correct) AS correct, count(*) FILTER (ok AND expected IS NULL) AS "false",
         count(*) FILTER (ok AND expected IS NOT NULL AND NOT correct) AS wrong
       FROM (SELECT s.x AS sx, m.x AS mx, c.x AS cx, q.x AS qx, r.*, eligible AND r.score >= s.x AND r.margin >= m.x AND r.coverage >= c.x
         AND r.quality >= q.x AS ok FROM c_score s, c_margin m, c_coverage c, c_quality q, runs r) t
       JOIN c_score s ON s.x = sx JOIN c_margin m ON m.x = mx JOIN c_coverage c ON c.x = cx JOIN c_quality q ON q.x = qx GROUP BY 1, 2, 3, 4
     ), rated AS (
-      SELECT *, false / (SELECT count(*) FROM runs WHERE expected IS NULL) AS far FROM cells
-    ) SELECT round(score, 6) AS score, round(margin, 6) AS margin, round(coverage, 6) AS coverage, round(quality, 6) AS quality, correct, false,
+      SELECT *, "false" / (SELECT count(*) FROM runs WHERE expected IS NULL) AS far FROM cells
+    ) SELECT round(score, 6) AS score, round(margin, 6) AS margin, round(coverage, 6) AS coverage, round(quality, 6) AS quality, correct, "false",
         wrong, round(far, 6) AS far, far <= 0.1 + 1e-12 AS feasible, (SELECT count(*) FROM cells) AS cells FROM rated
-      ORDER BY far <= 0.1 + 1e-12 DESC, CASE WHEN far <= 0.1 + 1e-12 THEN correct ELSE -false END DESC,
-        CASE WHEN far <= 0.1 + 1e-12 THEN -false ELSE correct END DESC, rated.score DESC, rated.margin DESC, rated.coverage DESC, rated.quality DESC LIMIT 1""",
+      ORDER BY far <= 0.1 + 1e-12 DESC, CASE WHEN far <= 0.1 + 1e-12 THEN correct ELSE -"false" END DESC,
+        CASE WHEN far <= 0.1 + 1e-12 THEN -"false" ELSE correct END DESC, rated.score DESC, rated.margin DESC, rated.coverage DESC, rated.quality DESC LIMIT 1""",
     "latency_quantiles": """SELECT event_type, min(value) AS min, median(value) AS median,
       max(value) FILTER (k = least(n, greatest(1, CAST(round_even(0.95 * n + 0.5, 0) AS BIGINT)))) AS p95, max(value) AS max
       FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
