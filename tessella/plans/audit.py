@@ -1,2 +1,125 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Audit queries: a conversation is a chain, its turns are entries."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessella.operators import audit as A
+from tessella.plans.common import table
+
+
+def _body() -> F.Column:
+    return F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text")
+
+
+def stored_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with the hashes as stored: some links and some hashes are planted wrong."""
+    turns = table(spark, sf_dir, "conversations").withColumn("right", F.sha2(_body(), 256))
+    wrong = (F.col("conv_id") % 11 == 5) & (F.col("turn") == 1)
+    turns = turns.withColumn("event_hash", F.when(wrong, F.sha2("right", 256)).otherwise(F.col("right")))
+    link = F.lag("event_hash", 1, A.GENESIS).over(Window.partitionBy("conv_id").orderBy("turn"))
+    return turns.withColumn("prev_hash", F.when((F.col("conv_id") % 7 == 3) & (F.col("turn") == 2), "0").otherwise(link))
+
+
+def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = A.chain_verify(stored_chain(spark, sf_dir), "conv_id", "turn", F.col("right"))
+    return found.withColumn("failure_seq", F.coalesce("failure_seq", F.lit(-1).cast("bigint")))
+
+
+def chain_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a new chain."""
+    chained = A.chain_append(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.concat_ws("|", "role", "text"))
+    return chained.select("conv_id", "turn", "prev_hash", "event_hash")
+
+
+def next_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number that the next entry of each conversation gets."""
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.coalesce(F.max("turn"), F.lit(0)) + 1).alias("next_seq"))
+
+
+def set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One digest for each source's documents, whatever their order."""
+    row = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "text"), 256)
+    return A.set_digest(table(spark, sf_dir, "documents"), row, "source")
+
+
+def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against their labels, and stated against counted characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"))
+    catalog = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    catalog = catalog.select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+    found = A.reconcile(docs, catalog, "doc_id", ["n_chars"])
+    return found.select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+def key_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with no order, and owners of orders that are no customers."""
+    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    right = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct()
+    found = A.reconcile(left, right, "key", [])
+    return found.select("key", F.array_join("reasons", ",").alias("side"))
+
+
+def exact_media_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items whose bytes stand in a document as they are; null texts never match."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.sha2("text", 256).alias("h"))
+    docs = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    joined = items.join(docs, "h", "left")
+    return joined.select("item_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_documents"))
+
+
+def replayed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose exact text an earlier document has; the earliest is named."""
+    texts = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+    first = texts.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return texts.join(first, "h").where("doc_id <> first_id").select("doc_id", "first_id")
+
+
+def version_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of one role whose number doesn't follow on the role's one before."""
+    return A.version_gaps(table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn"), "conv_id", "turn")
+
+
+_CHAIN_SQL = """
+WITH bodies AS (
+  SELECT *, sha256(concat_ws('|', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), role, text)) AS "right" FROM conversations
+), hashed AS (
+  SELECT *, CASE WHEN conv_id % 11 = 5 AND turn = 1 THEN sha256("right") ELSE "right" END AS event_hash FROM bodies
+), stored AS (
+  SELECT *, lag(event_hash, 1, 'GENESIS') OVER (PARTITION BY conv_id ORDER BY turn) AS link FROM hashed
+), checked AS (
+  SELECT conv_id, turn, CASE WHEN conv_id % 7 = 3 AND turn = 2 AND link <> '0' THEN 'previous hash mismatch'
+    WHEN event_hash <> "right" THEN 'event hash mismatch' END AS reason FROM stored
+)
+"""
+QUERIES = {
+    f.__name__: f
+    for f in (chain_verify, chain_append, next_sequence, set_digest, reconcile, key_set_diff, exact_media_match, replayed_documents, version_gaps)
+}
+SQL = {
+    "chain_verify": _CHAIN_SQL + """SELECT conv_id, count(*) AS n_events, coalesce(min(turn) FILTER (reason IS NOT NULL), -1) AS failure_seq,
+      coalesce(arg_min(reason, turn) FILTER (reason IS NOT NULL), 'ok') AS reason, count(reason) = 0 AS valid FROM checked GROUP BY conv_id""",
+    "chain_append": """WITH RECURSIVE ordered AS (
+      SELECT conv_id, turn, concat_ws('|', role, text) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations
+    ), chained AS (
+      SELECT conv_id, turn, k, 'GENESIS' AS prev_hash, sha256('GENESIS|' || body) AS event_hash FROM ordered WHERE k = 1
+      UNION ALL SELECT o.conv_id, o.turn, o.k, c.event_hash, sha256(c.event_hash || '|' || o.body)
+      FROM chained c JOIN ordered o ON o.conv_id = c.conv_id AND o.k = c.k + 1
+    ) SELECT conv_id, turn, prev_hash, event_hash FROM chained""",
+    "next_sequence": "SELECT conv_id, coalesce(max(turn), 0) + 1 AS next_seq FROM conversations GROUP BY conv_id",
+    "set_digest": """WITH h AS (
+      SELECT source, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), lang, text)) AS h FROM documents
+    ) SELECT source, count(*) AS n_rows, sha256(concat_ws(',', CAST(count(*) AS VARCHAR),
+      CAST(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR), CAST(sum(CAST(CAST('0x' || substr(h, 17, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR),
+      CAST(sum(CAST(CAST('0x' || substr(h, 33, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR), CAST(sum(CAST(CAST('0x' || substr(h, 49, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)
+      )) AS digest FROM h GROUP BY source""",
+    "reconcile": """SELECT doc_id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'MISSING_IN_CATALOG' ELSE 'N_CHARS_MISMATCH' END AS reasons
+      FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR n_chars IS DISTINCT FROM length(text)""",
+    "key_set_diff": """SELECT coalesce(c_custkey, o_custkey) AS key, CASE WHEN o_custkey IS NULL THEN 'MISSING_IN_CATALOG' ELSE 'MISSING_IN_STATE' END AS side
+      FROM customer FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_custkey IS NULL""",
+    "exact_media_match": """SELECT item_id, (SELECT count(*) FROM documents d WHERE d.text = b.text) AS n_documents FROM benchmark b""",
+    "replayed_documents": """SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents WHERE text IS NOT NULL)
+      WHERE doc_id <> first_id""",
+    "version_gaps": """SELECT * FROM (SELECT conv_id, turn, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) + 1 AS expected
+      FROM conversations WHERE role = 'user') WHERE expected <> turn""",
+}

@@ -1,2 +1,158 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Frame queries: twelve successive vectors are a capture's frames; metrics come from fixed arithmetic."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessella.functions.vectors import hamming_hex, total
+from tessella.operators import frames as R
+from tessella.plans.common import r6, table, values
+
+INSTRUMENTS = """(1, 'device_ready', 1.0), (1, 'calibration_valid', 1.0), (1, 'snr_db', 21.5), (1, 'saturation_ratio', 0.01), (1, 'region_match_valid', 1.0),
+ (1, 'spatial_registration_valid', 1.0), (1, 'coverage_ratio', 0.95), (1, 'integrity_valid', 1.0), (1, 'reference_applicability', 1.0), (2, 'device_ready', 1.0),
+ (2, 'snr_db', 12.0), (2, 'min_snr_db', 10.0), (3, 'calibration_valid', 0.0), (3, 'coverage_ratio', 0.8), (3, 'min_coverage_ratio', 0.75)"""
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """capture, frame_id, ts, dhash (signs of 64 dimensions; every third frame nearly repeats the one before), features, metrics."""
+    e = table(spark, sf_dir, "embeddings")
+    base = F.col("vec_id") - F.when(F.col("vec_id") % 3 == 2, 1).otherwise(0)
+    signs = e.select(F.col("vec_id").alias("base"), F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)).alias("bits"))
+    nibble = lambda i: F.element_at("bits", 4 * i + 1) * 8 + F.element_at("bits", 4 * i + 2) * 4 + F.element_at("bits", 4 * i + 3) * 2 + F.element_at("bits", 4 * i + 4)
+    dhash = F.concat(*[F.lower(F.hex(nibble(i))) for i in range(16)])
+    n = F.col("vec_id")
+    rows = e.withColumn("base", base).join(signs.select("base", dhash.alias("h")), "base")
+    last = F.when(n % 3 == 2, F.lower(F.hex(F.conv(F.substring("h", 16, 1), 16, 10).cast("int").bitwiseXOR(F.lit(3))))).otherwise(F.substring("h", 16, 1))
+    return rows.select(
+        F.floor(n / R.MOST_FRAMES).alias("capture"), n.alias("frame_id"), (n * 40).alias("ts"), F.concat(F.substring("h", 1, 15), last).alias("dhash"),
+        F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("features"),
+        (200 + n * 13 % 300).alias("width"), (240 + n * 7 % 200).alias("height"), (n * 17 % 256).cast("double").alias("brightness"),
+        (n * 5 % 40 / 100.0).alias("clipped"), (n * 29 % 150).cast("double").alias("sharpness"), (n * 31 % 200).cast("double").alias("spread"),
+    )
+
+
+def _checks() -> dict:
+    return R.server_checks(*map(F.col, ("width", "height", "brightness", "clipped", "sharpness", "spread")))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = R.failed_checks(_checks())
+    share = (5 - F.size(failed)) / 5.0
+    quality = R.frame_quality(share, F.col("sharpness"), F.col("spread"), F.col("clipped"))
+    return frames(spark, sf_dir).withColumns({"quality": quality, "passed": F.size(failed) == 0, "failed": failed})
+
+
+def frame_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("frame_id", F.array_join("failed", ",").alias("failed"), r6("quality").alias("quality"), "passed")
+
+
+def device_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = R.device_checks(F.col("width") * 4, F.col("height") * 4, F.col("brightness"), F.col("clipped"), F.col("sharpness") * 2)
+    return frames(spark, sf_dir).select("frame_id", F.array_join(R.failed_checks(checks), ",").alias("failed"))
+
+
+def instrument_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, INSTRUMENTS, "result_id, name, value").groupBy("result_id")
+    maps = rows.agg(F.map_from_entries(F.collect_list(F.struct("name", F.col("value").cast("double")))).alias("m"))  # at most eleven names
+    return maps.select("result_id", F.array_join(R.failed_checks(R.instrument_checks(F.col("m"))), ",").alias("failed"))
+
+
+def near_duplicate_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.mark_duplicates(frames(spark, sf_dir), "capture")
+    return found.where("duplicate_of is not null").select("capture", "frame_id", "duplicate_of", F.col("distance").cast("bigint").alias("distance"))
+
+
+def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.pairwise_distance(frames(spark, sf_dir), "capture").withColumn("diversity", r6("diversity"))
+
+
+def capture_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.capture_consistency(frames(spark, sf_dir), "capture", "features").withColumn("consistency", r6("consistency"))
+
+
+def mean_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Element-wise mean over a capture's frames."""
+    rows = frames(spark, sf_dir).select("capture", F.posexplode("features").alias("dim", "x"))
+    return rows.groupBy("capture", "dim").agg(r6(F.avg("x")).alias("mean"))
+
+
+def midpoint_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.representatives(_scored(spark, sf_dir), "capture")
+
+
+def frame_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.admission(_scored(spark, sf_dir), "capture", F.lit(480))
+    return found.select("capture", "n_accepted", "n_rejected", "n_duplicate", r6("span").alias("span"), r6("diversity").alias("diversity"), F.array_join("failed", ",").alias("failed"))
+
+
+def image_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame against the one before in its capture."""
+    before = Window.partitionBy("capture").orderBy("ts")
+    rows = _scored(spark, sf_dir).withColumns({f"b_{c}": F.lag(c).over(before) for c in ("dhash", "features", "passed")}).where("b_dhash is not null")
+    squares = total(F.zip_with("features", "b_features", lambda a, b: (a - b) ** 2))
+    status = R.change_status(F.col("brightness") >= 100, hamming_hex(F.col("dhash"), F.col("b_dhash")) / 64.0, F.sqrt(squares / F.size("features")))
+    return rows.select("frame_id", status.alias("status"))
+
+
+def sample_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times at which to take twelve frames of each item's duration."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(R.sample_times(F.col("p_size").cast("double"), 12)).alias("k", "t"))
+    return rows.select("p_partkey", "k", r6("t").alias("t"))
+
+
+_NIBBLES = ", ".join(f"b[{4 * i + 1}] * 8 + b[{4 * i + 2}] * 4 + b[{4 * i + 3}] * 2 + b[{4 * i + 4}]" for i in range(16))
+FRAMES_SQL = f"""
+WITH signs AS (
+  SELECT vec_id AS base, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings
+), nibbles AS (
+  SELECT base, [{_NIBBLES}] AS n FROM signs
+), fr AS (
+  SELECT e.vec_id // 12 AS capture, e.vec_id AS frame_id, e.vec_id * 40 AS ts,
+    array_to_string(list_transform(n[1:15], lambda x: substr('0123456789abcdef', x + 1, 1)), '')
+      || substr('0123456789abcdef', (CASE WHEN e.vec_id % 3 = 2 THEN xor(n[16], 3) ELSE n[16] END) + 1, 1) AS dhash,
+    list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS features, 200 + e.vec_id * 13 % 300 AS width, 240 + e.vec_id * 7 % 200 AS height,
+    CAST(e.vec_id * 17 % 256 AS DOUBLE) AS brightness, e.vec_id * 5 % 40 / 100.0 AS clipped, CAST(e.vec_id * 29 % 150 AS DOUBLE) AS sharpness,
+    CAST(e.vec_id * 31 % 200 AS DOUBLE) AS spread
+  FROM embeddings e JOIN nibbles ON base = e.vec_id - CASE WHEN e.vec_id % 3 = 2 THEN 1 ELSE 0 END
+), checked AS (
+  SELECT *, list_filter([CASE WHEN width < 256 OR height < 256 THEN 'size' END, CASE WHEN brightness < 30 OR brightness > 225 THEN 'brightness' END,
+    CASE WHEN clipped > 0.25 THEN 'clipping' END, CASE WHEN sharpness < 8 THEN 'sharpness' END, CASE WHEN spread < 35 THEN 'range' END], lambda x: x IS NOT NULL) AS f FROM fr
+), scored AS (
+  SELECT *, round(0.65::DOUBLE * ((5 - len(f)) / 5.0::DOUBLE) + 0.15::DOUBLE * least(1.0, sharpness / 120) + 0.1::DOUBLE * least(1.0, spread / 180) + 0.1::DOUBLE * greatest(0.0, 1 - clipped::DOUBLE) + 1e-9, 4) AS quality,
+    len(f) = 0 AS passed FROM checked
+)
+"""
+_HAMMING = "bit_count(xor(CAST('0x' || substr({0}, 1, 8) AS BIGINT), CAST('0x' || substr({1}, 1, 8) AS BIGINT))) + bit_count(xor(CAST('0x' || substr({0}, 9, 8) AS BIGINT), CAST('0x' || substr({1}, 9, 8) AS BIGINT)))"
+QUERIES = {
+    f.__name__: f
+    for f in (
+        frame_gate, device_gate, instrument_gate, near_duplicate_frames, hamming_pairs, capture_consistency, mean_features, midpoint_frame,
+        frame_admission, image_changes, sample_times,
+    )
+}
+SQL = {
+    "frame_gate": FRAMES_SQL + "SELECT frame_id, array_to_string(f, ',') AS failed, round(quality, 6) AS quality, passed FROM scored",
+    "device_gate": FRAMES_SQL + """SELECT frame_id, concat_ws(',', CASE WHEN greatest(width, height) * 4 < 1200 OR least(width, height) * 4 < 900 THEN 'size' END,
+      CASE WHEN brightness < 45 OR brightness > 215 THEN 'exposure' END, CASE WHEN clipped > 0.12 THEN 'clipping' END, CASE WHEN sharpness * 2 < 120 THEN 'focus' END) AS failed FROM fr""",
+    "instrument_gate": f"""WITH v(id, name, value) AS (VALUES {INSTRUMENTS}), m AS (SELECT id, MAP(list(name), list(CAST(value AS DOUBLE))) AS m FROM v GROUP BY id)
+      SELECT id AS result_id, concat_ws(',', CASE WHEN coalesce(m['device_ready'], 0) = 0 THEN 'device_ready' END, CASE WHEN coalesce(m['calibration_valid'], 0) = 0 THEN 'calibration' END,
+      CASE WHEN coalesce(m['snr_db'], 0) < coalesce(m['min_snr_db'], 18) THEN 'signal_to_noise' END, CASE WHEN coalesce(m['saturation_ratio'], 1) > 0.02 THEN 'not_saturated' END,
+      CASE WHEN coalesce(m['region_match_valid'], 0) = 0 THEN 'region_match' END, CASE WHEN coalesce(m['spatial_registration_valid'], 0) = 0 THEN 'spatial_registration' END,
+      CASE WHEN coalesce(m['coverage_ratio'], 0) < coalesce(m['min_coverage_ratio'], 0.9) THEN 'coverage' END, CASE WHEN coalesce(m['integrity_valid'], 0) = 0 THEN 'integrity' END,
+      CASE WHEN coalesce(m['reference_applicability'], 0) = 0 THEN 'reference_applicability' END) AS failed FROM m""",
+    "hamming_pairs": FRAMES_SQL + f"""SELECT c.capture, round(coalesce(avg(d), 0), 6) AS diversity FROM (SELECT DISTINCT capture FROM fr) c LEFT JOIN
+      (SELECT a.capture, ({_HAMMING.format('a.dhash', 'b.dhash')}) / 64.0 AS d FROM fr a JOIN fr b ON a.capture = b.capture AND a.frame_id < b.frame_id) p ON p.capture = c.capture GROUP BY 1""",
+    "capture_consistency": FRAMES_SQL + """SELECT capture, round(CASE WHEN max(n) < 2 THEN 1.0 ELSE 1 - least(1.0, avg(s) * 3) END, 6) AS consistency
+      FROM (SELECT capture, d, stddev_pop(features[d]) AS s, count(*) AS n FROM fr, range(1, 9) r(d) GROUP BY 1, 2) GROUP BY 1""",
+    "mean_features": FRAMES_SQL + "SELECT capture, d - 1 AS dim, round(avg(features[d]), 6) AS mean FROM fr, range(1, 9) r(d) GROUP BY 1, 2",
+    "midpoint_frame": FRAMES_SQL + """, ends AS (
+      SELECT capture, min(frame_id) AS a, max(frame_id) AS z, (min(ts) + max(ts)) / 2 AS mid FROM scored GROUP BY 1
+    ) SELECT capture, a AS first_frame, coalesce((SELECT frame_id FROM scored s WHERE s.capture = ends.capture AND frame_id NOT IN (a, z)
+      ORDER BY abs(ts - mid), -quality, frame_id LIMIT 1), -1) AS middle_frame, z AS last_frame FROM ends""",
+    "image_changes": FRAMES_SQL + f""", p AS (
+      SELECT *, lag(dhash) OVER w AS bh, lag(features) OVER w AS bf FROM scored WINDOW w AS (PARTITION BY capture ORDER BY ts)
+    ), q AS (
+      SELECT *, ({_HAMMING.format('dhash', 'bh')}) / 64.0 AS h, sqrt(list_sum(list_transform(list_zip(features, bf), lambda x: pow(x[1] - x[2], 2))) / 8) AS d FROM p WHERE bh IS NOT NULL
+    ) SELECT frame_id, CASE WHEN brightness < 100 OR h > 0.35 THEN 'NOT_COMPARABLE' WHEN h <= 0.08 AND d <= 0.1 THEN 'STABLE' ELSE 'CHANGE_CANDIDATE' END AS status FROM q""",
+    "sample_times": "SELECT p_partkey, k, round(p_size * (0.05 + 0.9 * k / 11), 6) AS t FROM part, range(12) r(k)",
+}

@@ -1,2 +1,153 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Job queries over ``events``: a user is a job, types are transitions, a user's last digit group a device."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.operators import jobs as J
+from tessella.plans.common import r6, table
+
+# Which event type stands for which transition; views are only looks.
+STATUS = {"signup": "QUEUED", "click": "RUNNING", "error": "RETRY_WAIT", "purchase": "COMPLETED"}
+DEVICES = 20
+NOW = "2024-01-30 12:00:00"
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """job, device, ts, seq, status (null for a look), value, props."""
+    kind = F.col("event_type")
+    status = F.coalesce(*[F.when(kind == k, v) for k, v in STATUS.items()])
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job"), (F.col("user_id") % DEVICES).alias("device"), "ts",
+        F.col("event_id").alias("seq"), status.alias("status"), "value", "props",
+    )
+
+
+def last_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.last_status(log(spark, sf_dir), "job")
+
+
+def outstanding_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.outstanding(J.last_status(log(spark, sf_dir), "device", "job"), "device", quota=6)
+
+
+def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each job's delay after its failures so far."""
+    failed = log(spark, sf_dir).where("status = 'RETRY_WAIT'").groupBy("job").agg(F.count(F.lit(1)).alias("failures"))
+    return failed.withColumn("delay_s", J.backoff_seconds(F.col("failures")))
+
+
+def due_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that wait; failures so far set the delay."""
+    found = J.due_retries(J.last_status(log(spark, sf_dir), "job"), "n_entries", F.lit(NOW).cast("timestamp"))
+    return found.select("job", J.micros_of("next_attempt_at").alias("next_us"), "due")
+
+
+def attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = J.attempts(log(spark, sf_dir), "job", "RUNNING", ("RETRY_WAIT", "COMPLETED"))
+    return found.groupBy("job", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unrecorded_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = J.attempts(log(spark, sf_dir), "job", "RUNNING", ("RETRY_WAIT", "COMPLETED")).where("verdict = 'UNKNOWN'")
+    return found.select("job", "attempt", J.micros_of("started_at").alias("started_us"))
+
+
+def idempotency_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a job under one client key (from the JSON column) must be equal."""
+    client = F.get_json_object("props", "$.k").cast("bigint")
+    requests = log(spark, sf_dir).select("job", client.alias("client_key"), "seq", F.sha2(F.col("status"), 256).alias("digest"))
+    return J.idempotent_intake(requests, ["job", "client_key"], "digest")
+
+
+def cooldown_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = J.cooldown_violations(log(spark, sf_dir).where("status = 'RETRY_WAIT'"), "device", 3600.0)
+    return found.select("device", "seq", r6("gap_s").alias("gap_s"))
+
+
+def fifo_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queued job that has waited longest."""
+    queued = J.last_status(log(spark, sf_dir), "job").where("status = 'QUEUED'")
+    return J.recent(queued, 1, F.asc("ts"), F.asc("seq")).select("job", "seq")
+
+
+def recent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = J.recent(J.last_status(log(spark, sf_dir), "job"), 500, F.desc("ts"), F.desc("seq"))
+    return rows.select("job", "status", "seq")
+
+
+def last_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest failure of each device, across its jobs."""
+    newest = F.max(F.struct("ts", "seq", "job", "value"))
+    rows = log(spark, sf_dir).where("status = 'RETRY_WAIT'").groupBy("device").agg(newest.alias("m"))
+    return rows.select("device", "m.seq", "m.job", "m.value")
+
+
+def correlated_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of every customer, 0 included."""
+    found = J.with_counts(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "n_orders")
+    return found.select("c_custkey", "n_orders")
+
+
+def owned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines per customer, reached only through the order that owns them."""
+    owner = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    joined = lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def job_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = log(spark, sf_dir).groupBy("job").agg(
+        F.count_if(F.col("status") == "RETRY_WAIT").alias("issues"), F.count_if(F.col("status").isNull()).alias("looks"), F.max("value").alias("top")
+    )
+    ending = J.terminal_status(F.col("issues") > 15, F.greatest(3 - F.col("looks"), F.lit(0)), F.col("issues") - 11, F.col("top") > 200)
+    return rows.select("job", ending.alias("ending"))
+
+
+_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS.items())
+LOG_SQL = f"""
+WITH log AS (
+  SELECT user_id AS job, user_id % {DEVICES} AS device, ts, event_id AS seq, CASE event_type {_CASE} END AS status, value, props FROM events
+), last AS (
+  SELECT job, device, status, ts, seq, n AS n_entries FROM (
+    SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts DESC, seq DESC) AS k, count(*) OVER (PARTITION BY job) AS n
+    FROM log WHERE status IS NOT NULL) WHERE k = 1
+), numbered AS (
+  SELECT *, sum(CASE WHEN status = 'RUNNING' THEN 1 ELSE 0 END) OVER (PARTITION BY job ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS attempt FROM log
+), tried AS (
+  SELECT job, CAST(attempt AS BIGINT) AS attempt, min(ts) AS started_at, count(*) FILTER (status IN ('RETRY_WAIT', 'COMPLETED')) AS n
+  FROM numbered WHERE attempt > 0 GROUP BY 1, 2
+)
+"""
+QUERIES = {
+    f.__name__: f
+    for f in (
+        last_status, outstanding_quota, backoff_schedule, due_retries, attempt_outcomes, unrecorded_attempts, idempotency_conflicts,
+        cooldown_violations, fifo_head, recent_jobs, last_of_type, correlated_count, owned_lines, job_endings,
+    )
+}
+SQL = {
+    "last_status": LOG_SQL + "SELECT job, status, ts, seq, n_entries FROM last",
+    "outstanding_quota": LOG_SQL + """SELECT device, count(*) FILTER (status IN ('QUEUED', 'RUNNING', 'RETRY_WAIT')) AS outstanding,
+      count(*) FILTER (status IN ('QUEUED', 'RUNNING', 'RETRY_WAIT')) < 6 AS admits FROM last GROUP BY device""",
+    "backoff_schedule": LOG_SQL + """SELECT job, count(*) AS failures, greatest(0.05, least(5.0 * pow(2.0, least(count(*) - 1, 60)), 300.0)) AS delay_s
+      FROM log WHERE status = 'RETRY_WAIT' GROUP BY job""",
+    "due_retries": LOG_SQL + f"""SELECT job, next_us, next_us <= epoch_us(TIMESTAMP '{NOW}') AS due FROM (SELECT job, epoch_us(ts)
+      + CAST(greatest(0.05, least(5.0 * pow(2.0, least(n_entries - 1, 60)), 300.0)) * 1000000 AS BIGINT) AS next_us FROM last WHERE status = 'RETRY_WAIT')""",
+    "attempt_outcomes": LOG_SQL + """SELECT job, verdict, count(*) AS n FROM (SELECT job, CASE WHEN n = 0 THEN 'UNKNOWN' WHEN n = 1 THEN 'RECORDED'
+      ELSE 'CONFLICT' END AS verdict FROM tried) GROUP BY ALL""",
+    "unrecorded_attempts": LOG_SQL + "SELECT job, attempt, epoch_us(started_at) AS started_us FROM tried WHERE n = 0",
+    "idempotency_conflicts": LOG_SQL + """SELECT job, CAST(props ->> '$.k' AS BIGINT) AS client_key, min(seq) AS first_seq, count(*) AS n_requests,
+      count(DISTINCT coalesce(status, '')) > 1 AS conflict FROM log GROUP BY 1, 2""",
+    "cooldown_violations": LOG_SQL + """SELECT device, seq, round(gap_s, 6) AS gap_s FROM (SELECT device, seq, (epoch_us(ts) - epoch_us(lag(ts) OVER
+      (PARTITION BY device ORDER BY ts, seq))) / 1000000 AS gap_s FROM log WHERE status = 'RETRY_WAIT') WHERE gap_s < 3600""",
+    "fifo_head": LOG_SQL + "SELECT job, seq FROM last WHERE status = 'QUEUED' ORDER BY ts, seq LIMIT 1",
+    "recent_jobs": LOG_SQL + "SELECT job, status, seq FROM last ORDER BY ts DESC, seq DESC LIMIT 100",
+    "last_of_type": LOG_SQL + """SELECT device, seq, job, value FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY ts DESC, seq DESC) AS k
+      FROM log WHERE status = 'RETRY_WAIT') WHERE k = 1""",
+    "correlated_count": "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders FROM customer",
+    "owned_lines": "SELECT o_custkey, count(*) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey",
+    "job_endings": LOG_SQL + """SELECT job, CASE WHEN issues > 15 OR greatest(3 - looks, 0) > 0 THEN 'RECAPTURE_REQUIRED' WHEN top > 200 THEN 'OUT_OF_DOMAIN'
+      WHEN issues - 11 > 0 THEN 'REVIEW_REQUIRED' ELSE 'COMPLETED' END AS ending FROM (SELECT job, count(*) FILTER (status = 'RETRY_WAIT') AS issues,
+      count(*) FILTER (status IS NULL) AS looks, max(value) AS top FROM log GROUP BY job)""",
+}

@@ -1,2 +1,75 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Planning queries: fixed actions and budgets, and settlements over ``lineitem``."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.operators import planning as P
+from tessella.plans.common import r6, table, values
+
+UNCERTAINTY, BLOCKED = 0.85, ["uv:low"]
+ACTIONS = """('macro', 1, 'R1', 'macro:std', 'light', 0.10, true, true, true, 0.95, 0.50, 0.10), ('raman', 2, 'R1', 'raman:mid', 'heat', 0.30, true, true, true, 0.90, 0.20, 0.40),
+ ('xrf', 3, 'R1', 'xrf:std', 'dose', 0.60, true, true, true, 0.85, 0.30, 0.30), ('uv', 4, 'R1', 'uv:low', 'light', 0.05, true, false, true, 0.80, 0.40, 0.05),
+ ('ir', 5, 'R2', 'ir:std', 'heat', 0.20, true, true, true, 0.90, 0.45, 0.20), ('ct', 6, 'R2', 'ct:std', 'dose', 0.20, false, true, false, 0.99, 0.10, 0.80),
+ ('echo', 7, 'R1', 'echo:std', 'heat', 0.30, true, true, true, 0.90, 0.20, 0.40)"""
+ACTION_COLUMNS = "action_id, pos, region, retry_key, channel, load, material, calibrated, ready, pass_rate, expected, cost"
+BUDGETS = """('R1', 'light', 0.2, 0.0, 1.0, false), ('R1', 'heat', 0.1, 0.1, 1.0, false), ('R1', 'dose', 0.3, 0.2, 1.0, false), ('R2', 'heat', 0.0, 0.0, 1.0, true)"""
+BUDGET_COLUMNS = "region, channel, used, reserved, cap, locked"
+
+
+def _doubles(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in names})
+
+
+def _evaluated(spark: SparkSession) -> DataFrame:
+    rows = _doubles(values(spark, ACTIONS, ACTION_COLUMNS), "load", "pass_rate", "expected", "cost")
+    actions = rows.select(
+        "action_id", "pos", "region", "retry_key", F.create_map("channel", "load").alias("loads"),
+        F.create_map(F.lit("material_allowed"), "material", F.lit("calibration_ready"), "calibrated", F.lit("device_ready"), "ready").alias("preconditions"),
+        "pass_rate", F.col("expected").alias("expected_uncertainty"), "cost",
+    )
+    return P.evaluate_actions(actions, _doubles(values(spark, BUDGETS, BUDGET_COLUMNS), "used", "reserved", "cap"), UNCERTAINTY, BLOCKED)
+
+
+def action_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _evaluated(spark)
+    numbers = [r6(c).alias(c) for c in ("gain", "risk", "utility")]
+    return found.select("action_id", *numbers, F.array_join("reasons", ",").alias("reasons"), "qualifies")
+
+
+def chosen_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.choose_action(_evaluated(spark), UNCERTAINTY).select("action_id", r6("utility").alias("utility"))
+
+
+def settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as executions: the quantity was predicted, flag R has no valid telemetry."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("budget"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("execution_id"), F.col("l_linenumber").alias("seq"),
+        F.col("l_quantity").cast("double").alias("predicted"), (F.col("l_quantity") * (1 - F.col("l_discount"))).cast("double").alias("actual"),
+        (F.col("l_returnflag") != "R").alias("telemetry_valid"),
+    )
+    return P.settlement(lines, "budget").withColumn("used", r6("used"))
+
+
+_EVALUATED = f"""
+WITH a({ACTION_COLUMNS}) AS (VALUES {ACTIONS}), b({BUDGET_COLUMNS}) AS (VALUES {BUDGETS}), e AS (
+  SELECT action_id, pos, CAST(pass_rate AS DOUBLE) * greatest(0.0, {UNCERTAINTY} - CAST(expected AS DOUBLE)) AS gain, CAST(cost AS DOUBLE) AS cost,
+    least(1.0, load::DOUBLE / greatest(1e-9, coalesce(cap, 0)::DOUBLE - coalesce(used, 0)::DOUBLE - coalesce(reserved, 0)::DOUBLE)) AS risk,
+    concat_ws(',', CASE WHEN retry_key = '{BLOCKED[0]}' THEN 'RETRY_BLOCKED' END, CASE WHEN NOT material THEN 'NOT_MATERIAL_ALLOWED' END,
+      CASE WHEN NOT calibrated THEN 'NOT_CALIBRATION_READY' END, CASE WHEN NOT ready THEN 'NOT_DEVICE_READY' END, CASE WHEN locked THEN 'CHANNEL_LOCKED' END,
+      CASE WHEN coalesce(used, 0) + coalesce(reserved, 0) + load > coalesce(cap, 0) THEN 'OVER_BUDGET' END) AS reasons
+  FROM a LEFT JOIN b USING (region, channel)
+), u AS (
+  SELECT *, 0.55 * gain - 0.2 * cost - 0.25 * risk AS utility FROM e
+)
+"""
+QUERIES = {f.__name__: f for f in (action_utility, chosen_action, settlement)}
+SQL = {
+    "action_utility": _EVALUATED + """SELECT action_id, round(gain, 6) AS gain, round(risk, 6) AS risk, round(utility, 6) AS utility, reasons,
+      reasons = '' AND utility >= 0.1 AND gain >= 0.25 AS qualifies FROM u""",
+    "chosen_action": _EVALUATED + """SELECT action_id, round(utility, 6) AS utility FROM u WHERE reasons = '' AND utility >= 0.1 AND gain >= 0.25
+      ORDER BY u.utility DESC, risk, pos LIMIT 1""",
+    "settlement": """SELECT budget, round(sum(CASE WHEN ok THEN actual ELSE predicted END), 6) AS used, bool_or(NOT ok) AS locked, count(*) AS n_executions
+      FROM (SELECT *, row_number() OVER (PARTITION BY budget, l_orderkey, l_linenumber ORDER BY predicted DESC, actual DESC, ok DESC) AS k
+      FROM (SELECT l_suppkey AS budget, l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS predicted,
+      CAST(l_quantity * (1 - l_discount) AS DOUBLE) AS actual, l_returnflag <> 'R' AS ok FROM lineitem)) WHERE k = 1 GROUP BY budget""",
+}
