@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import audit, frames, graph, jobs, planning, validation
+from tessella.operators import audit, comparison, frames, graph, jobs, planning, validation
 from tessella.sources import files
 from tessella.streaming import jobs as streams
 
@@ -153,3 +153,32 @@ def test_stream_intake(spark, tmp_path):
     query.awaitTermination()
     got = {r.seq: r.verdict for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: "ACCEPTED", 2: "REPLAYED", 3: "CONFLICT", 4: "ACCEPTED"}
+
+
+def test_promotion_holds_what_it_cannot_compare(spark):
+    rows = [
+        ("ok", "BASELINE", "i", "m1", "r", True), ("ok", "CANDIDATE", "i", "m2", "r", True), ("ok", "OTHER", "x", "m3", "r", True),
+        ("input", "BASELINE", "i", "m1", "r", True), ("input", "CANDIDATE", "j", "m1", "r", None),
+        ("blank", "BASELINE", " ", "m1", "r", True), ("blank", "CANDIDATE", " ", None, "q", True),
+        ("alone", "CANDIDATE", "i", "m2", "r", False),
+        ("twice", "BASELINE", "i", "m1", "r", True), ("twice", "CANDIDATE", "i", "m2", "r", True), ("twice", "CANDIDATE", "i", "m2", "r", True),
+        (None, "BASELINE", None, None, None, None),
+    ]
+    runs = spark.createDataFrame(rows, "pair string, role string, input string, model string, revision string, good boolean")
+    compare = lambda df: comparison.promotion(df, "pair", "role", ["input"], {"model": ["model"], "build": ["model", "revision"]}, F.col("good"))
+    got = {r.pair: (r.reasons, r.decision) for r in compare(runs).collect()}
+    assert got["ok"] == ([], "EXPERT_REVIEW_REQUIRED")
+    assert got["input"][0] == ["input_DIFFERS", "model_NOT_DISTINCT", "build_NOT_DISTINCT", "CANDIDATE_INELIGIBLE"]
+    assert got["blank"][0] == ["input_DIFFERS", "model_NOT_DISTINCT"]
+    assert got["alone"][0] == ["BASELINE_MISSING"] and got["twice"][0] == ["CANDIDATE_REPEATED"] and got[None][0] == ["CANDIDATE_MISSING"]
+    assert {d for k, (_, d) in got.items() if k != "ok"} == {"HOLD"} and compare(runs.limit(0)).count() == 0
+
+
+def test_citations_look_at_the_first_hits_only(spark):
+    rows = [("q", "a", i, *x) for i, x in enumerate([("o1", "c1", None, "r"), ("o1", "c1", "museum", "r"), ("o2", None, "museum", "r"), ("o2", "c1", "museum", "r"), ("o3", "c1", "museum", " "), ("o4", "c1", "museum", "r")])]
+    hits = spark.createDataFrame(rows, "q string, role string, i int, artifact_id string, citation_id string, institution string, review_id string")
+    cite = lambda df: comparison.citations(df, ["q"], "role", [F.col("i")], ["institution"], "review_id")
+    got = sorted((r.position, r.artifact_id, r.source_status) for r in cite(hits).collect())
+    incomplete = "SOURCE_METADATA_INCOMPLETE"
+    assert got == [(1, "o1", incomplete), (4, "o2", "SOURCE_AND_REVIEW_RECORDED"), (5, "o3", incomplete)]
+    assert cite(hits.limit(0)).count() == 0
