@@ -115,7 +115,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _texts(spark, sf_dir)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scored = toxicity.add_toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "toxicity.*")
     names = {c: f"p_{c}" for c in toxicity.CATEGORIES}
     return scored.withColumnsRenamed(names).withColumn("toxic", F.col("p_toxic") >= toxicity.TOXIC_FROM)

@@ -1,12 +1,14 @@
 """Toxicity by a classifier chain of linear models.
 
-The categories are predicted one after the other: insults aimed at persons,
-demeaning words, and toxicity itself. Each model sees the document's features
-and the probabilities of the categories before it. When the chain is fitted,
-these come from models that have not seen the row (out-of-fold predictions), so
-that later links learn how far to trust earlier ones. The first two categories
-have no labels of their own: a row has one if it is labelled toxic and holds
-one of the category's seed words.
+The categories are predicted one after the other: two kinds of toxic text, and
+toxicity itself. Each model sees the document's features and the probabilities
+of the categories before it. When the chain is fitted, these come from models
+that have not seen the row (out-of-fold predictions), so that later links learn
+how far to trust earlier ones. The kinds have no labels of their own: within
+each language the toxic rows of the sample are split in two by the features they
+hold (2-means from the principal direction), and the larger part is kind 1. So
+every toxic row, in whatever words, is of one kind; the kinds are numbers and
+not names, as nothing in the labels says what they mean.
 
 Features are words and their beginnings, chosen on the sample by how much more
 often toxic rows have them.
@@ -30,12 +32,8 @@ MOST_FEATURES = 400
 FOLDS = 5
 RIDGE = 0.2
 TOXIC_FROM = 0.5
-CATEGORIES = ("insult", "demeaning", "toxic")
-# Seed words of the categories that have no labels.
-SEEDS = {
-    "insult": (b"clown", b"idiot", b"loser", b"moron", b"scum", b"trash"),
-    "demeaning": (b"disgusting", b"pathetic", b"stupid", b"worthless"),
-}
+CATEGORIES = ("kind_1", "kind_2", "toxic")
+MEANS_ROUNDS = 50
 
 
 def letters_of(text: bytes) -> list[str]:
@@ -84,6 +82,34 @@ def fit_chain(x: np.ndarray, ys: np.ndarray, folds: int = FOLDS) -> list[np.ndar
     return models
 
 
+def larger_kind(x: np.ndarray) -> np.ndarray:
+    """Splits rows in two by the features they hold; true for the larger part."""
+    held = (x > 0).astype(float)
+    held /= np.maximum(np.sqrt(held.sum(axis=1, keepdims=True)), 1)
+    around = np.round(held - held.mean(axis=0), 12)
+    if not around.any():
+        return np.ones(len(x), bool)
+    side = around @ np.linalg.svd(around, full_matrices=False)[2][0] > 0
+    for _ in range(MEANS_ROUNDS):
+        a, b = held[side].mean(axis=0), held[~side].mean(axis=0)
+        nearer = held @ (a - b) > (a @ a - b @ b) / 2
+        if (nearer == side).all() or nearer.all() or not nearer.any():
+            break
+        side = nearer
+    n = 2 * side.sum()
+    return side if n > len(x) or n == len(x) and side[0] else ~side
+
+
+def kinds(x: np.ndarray, toxic: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """Two columns, 1 where a toxic row is of the larger or smaller kind of its language."""
+    out = np.zeros((len(x), 2))
+    for lang in set(langs[toxic]):
+        rows = np.flatnonzero(toxic & (langs == lang))
+        larger = larger_kind(x[rows])
+        out[rows[larger], 0] = out[rows[~larger], 1] = 1
+    return out
+
+
 def _choose(sample: DataFrame, most: int) -> list[str]:
     """The features with the most significant log-odds for toxic rows."""
 
@@ -116,24 +142,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int =
     index = {term: i for i, term in enumerate(_choose(sample, most))}
 
     def batch(texts: list[bytes]) -> pa.Array:
-        seeded = [[any(s in words for s in of) for of in SEEDS.values()] for words in map(set, map(words_of, texts))]
         found = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in (vector(t, index) for t in texts)]
         return struct_array(
             [
                 ("at", pa.list_(pa.int32()), [a for a, _ in found]),
                 ("value", pa.list_(pa.float64()), [v for _, v in found]),
-                ("seeded", pa.list_(pa.bool_()), seeded),
             ]
         )
 
-    measured = bytes_udf(batch, "struct<at:array<int>,value:array<double>,seeded:array<boolean>>")
-    got = sample.select("id", "y", measured("text").alias("m")).orderBy(F.xxhash64("id"), "id").collect()  # at most ``rows``
+    measured = bytes_udf(batch, "struct<at:array<int>,value:array<double>>")
+    got = sample.select("id", "lang", "y", measured("text").alias("m")).orderBy(F.xxhash64("id"), "id").collect()  # at most ``rows``
     x = np.zeros((len(got), len(index)))
     for i, r in enumerate(got):
         x[i, r.m["at"]] = r.m["value"]
     y = np.array([r.y for r in got])
-    seeded = np.array([r.m["seeded"] for r in got], dtype=float).reshape(-1, len(SEEDS))
-    return ToxicityChain(index, fit_chain(x, np.column_stack([seeded * y[:, None], y])))
+    langs = np.array([r.lang or "" for r in got], dtype=object)
+    return ToxicityChain(index, fit_chain(x, np.column_stack([kinds(x, y > 0, langs), y])))
 
 
 def add_toxicity(docs: DataFrame, chain: ToxicityChain, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:

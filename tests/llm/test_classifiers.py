@@ -81,6 +81,23 @@ def test_later_links_see_out_of_fold_predictions():
     assert np.allclose(chain.probabilities(x)[:, 1], predict(np.column_stack([x, predict(x, models[0])]), models[1]))
 
 
+def test_kinds_come_from_the_sample_in_every_language(spark):
+    words = {"x": (["brugga", "zwelm"], ["oktari", "pinsu"]), "y": (["дурак", "мерзко"], ["хлам", "тупой"])}
+    rows = []
+    for lang, sets in words.items():
+        for i in range(300):
+            kind = [0, 0, 1, 2, 2, 2, 2, 2, 2, 2][i % 10]  # two kinds of toxic text, the second less common, and clean text
+            bad = " ".join(sets[kind]) if kind < 2 else ""
+            rows.append((len(rows), f"plain words {lang * 5} {bad} number {i}", lang, kind))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, kind int")
+    labels = frame.selectExpr("doc_id", "int(kind < 2) AS toxic")
+    got = toxicity.add_toxicity(frame, toxicity.fit(frame, labels)).collect()
+    for lang in words:
+        for kind in range(3):
+            p = np.array([list(r.toxicity) for r in got if r.lang == lang and r.kind == kind])
+            assert len(p) and ((p >= 0.5) == [kind == 0, kind == 1, kind < 2]).all()
+
+
 def test_hard_rows_and_no_labels(spark, hard, clashing, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (4, 0, 1), (4, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.limit(0)):
