@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontamination, language_model, licenses, media, quality, sharding, simhash, token_files, toxicity
+from tessella.llm import bpe, decontamination, language_model, licenses, media, quality, sharding, simhash, token_files, toxicity, word_model
 from tessella.llm.common import small_batches
 from tessella.llm.sql import DECONTAMINATION_SQL, LANGUAGE_MODEL_SQL, sharding_sql
 
@@ -49,6 +49,11 @@ def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({c: F.round(c, 6) + 0.0 for c in ("target_loss", "background_loss", "score")})
 
 
+def op3_word_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = word_model.word_cross_entropy(_texts(spark, sf_dir), _table(spark, sf_dir, "labels"))
+    return scored.withColumns({c: F.round(c, 6) + 0.0 for c in ("target_loss", "background_loss", "score")})
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     c = F.col("contamination")
@@ -126,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": op1_license_scan,
         "op2_quality": op2_quality,
         "op3_cross_entropy": op3_cross_entropy,
+        "op3_word_cross_entropy": op3_word_cross_entropy,
         "op4_decontamination": op4_decontamination,
         "op5_sharding": op5_sharding,
         "op6_token_files": op6_token_files,
