@@ -7,6 +7,7 @@ suffix bucket of a block that ends a pattern holds the candidates, grouped by
 their first word, and a direct comparison confirms an occurrence.
 """
 
+import uuid
 from collections import defaultdict
 
 import pyarrow as pa
@@ -93,7 +94,7 @@ _TABLES: dict[str, WuManber] = {}
 
 
 def _searcher(key: str, broadcast) -> WuManber:
-    """The tables of one block of patterns, built once a Python worker."""
+    """The tables of one block of patterns, built once a Python worker; no two blocks share a ``key``."""
     if key not in _TABLES:
         if len(_TABLES) > 1:
             _TABLES.clear()
@@ -101,8 +102,8 @@ def _searcher(key: str, broadcast) -> WuManber:
     return _TABLES[key]
 
 
-def _scanner(spark, key: str, patterns: dict[bytes, tuple[str, ...]]):
-    shared = spark.sparkContext.broadcast(patterns)
+def _scanner(spark, patterns: dict[bytes, tuple[str, ...]]):
+    key, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(patterns)
 
     def batch(texts: list[bytes]) -> pa.Array:
         found = [_searcher(key, shared).scan(t) for t in texts]
@@ -158,7 +159,7 @@ def find_contamination(
         table: dict[bytes, tuple[str, ...]] = defaultdict(tuple)
         for row in patterns.where(F.col("block") == block).select("pattern", "item").toLocalIterator():
             table[bytes(row.pattern)] += (row.item,)
-        scan = _scanner(spark, f"{id(patterns)}-{block}-{spark.sparkContext.applicationId}", dict(table))
+        scan = _scanner(spark, dict(table))
         if block == 0:
             result = result.withColumn(out_col, scan(F.col(text_col)))
         else:

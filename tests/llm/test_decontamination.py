@@ -1,5 +1,6 @@
 import random
 
+from tessella.llm import decontamination
 from tessella.llm.common import words_of
 from tessella.llm.decontamination import (
     WuManber,
@@ -59,6 +60,19 @@ def test_blocks_give_the_same(spark, hard):
         assert all((r.n_words, r.n, r["items"]) == brute(r.text, items) for r in rows)
 
 
+def test_a_reused_address_does_not_bring_back_another_benchmark(spark, monkeypatch):
+    # every object at one address, as when the first call's table has been freed, and both searches in one process
+    monkeypatch.setattr(decontamination, "id", lambda _: 1, raising=False)
+    searches, make = [], decontamination.bytes_udf
+    monkeypatch.setattr(decontamination, "bytes_udf", lambda batch, kind: (searches.append((kind, batch)), make(batch, kind))[1])
+    docs = spark.createDataFrame([(1, "alpha beta")], "doc_id long, text string")
+    for text in ("alpha beta", "two three"):
+        find_contamination(docs, spark.createDataFrame([(1, text)], "item_id long, text string"))
+    first, second = (batch for kind, batch in searches if kind == decontamination.RESULT)
+    for search, want in ((first, [["1"], []]), (second, [[], ["1"]])):
+        assert search([b"alpha beta", b"one two three"]).field("items").to_pylist() == want
+
+
 def test_empty_tables_and_clashes(spark, empty, clashing):
     bench = spark.createDataFrame([(1, "same text here for ties and nothing else")], "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
