@@ -194,6 +194,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Kept is the one with the smallest id; of equal ids the smallest text hash;
     of rows equal in both any one. Null ids are kept only in groups without others.
+    The radius is that of ``near_duplicates``, much narrower than a similarity of
+    0.8 (README): most such pairs both stay unless a chain links them.
     """
     rows = materialise(near_duplicates(docs, id_col, text_col), "near_duplicates")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
