@@ -25,7 +25,6 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.col("base")["first"]
     base, spans = F.col("base")["label"], F.col("spans")["label"]
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    covered = F.coalesce(F.array_max(F.col("spans")["cover"]), F.lit(0.0))
     return scanned.select(
         "doc_id",
         "n_words",
@@ -34,7 +33,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(first).cast("bigint").alias("last_word"),
         joined(base).alias("base_labels"),
         joined(F.concat(base, spans)).alias("labels"),
-        F.when(F.size("base") > 0, 1.0).otherwise(F.least(covered, F.lit(1.0))).alias("score"),
+        F.col("cover").alias("score"),
     )
 
 
