@@ -2,19 +2,25 @@
 
 Fingerprints that differ in at most four of 64 bits agree in at least four of
 their eight bytes, place by place. The index posts each distinct fingerprint
-under sets of three (place, byte) pairs, chosen so that any four agreeing places
-contain one of the sets (20 sets are enough). Pairs that meet are tallied: how
-many positional bytes they share; those that reach the guaranteed minimum are
-verified by their differing bits. Links then give connected components.
-
-Equal fingerprints are one node, however many documents have them. A crowded
-posting list, of near copies, is compared in blocks, and a block reports only a
-spanning forest of the links it finds, so links are as many as the nodes and
-none between different groups is lost.
+under every set of three (place, byte) pairs it holds: a pair that shares m
+positional bytes meets in C(m, 3) lists. Pairs are tallied over the lists; four
+shared bytes make four meetings, so pairs that met less often are dropped
+without a look, and the rest are verified by their differing bits. Links then
+give connected components.
+
+Equal fingerprints are one node, however many documents have them. Lists of
+near copies may be crowded. The fingerprints in them are posted again under
+every set of four (place, byte) pairs; there each meeting is the guaranteed
+minimum by itself. Longer lists of these are compared in one block, which
+reports only a spanning forest. What is crowded even there goes another way,
+linear in the number of fingerprints: each posts the 2,081 patterns within two
+bits of it, and two fingerprints are within four bits if and only if they share
+one; all that share a pattern link to the smallest of them. So no way grows with
+the square of a list, and no link between different groups is lost.
 """
 
-from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,34 +30,25 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import bytes_udf, fresh_name
 from tessella.operators.components import connected_components
+from tessella.operators.skew import spread_join
 from tessella.sources.shared import materialise
 
 SHINGLE_WORDS = 4
 SEED = 42
 MOST_BITS = 4
 PLACES = 8
-#: Fingerprints that share at least this many of their bytes are verified.
+#: Bytes that two fingerprints within ``MOST_BITS`` share, at least.
 LEAST_SHARED = PLACES - MOST_BITS
-#: Posting lists up to this long are joined; longer ones are compared in blocks.
+#: Bytes a list stands for, and how often a pair that shares the least number meets.
+LISTED = 3
+LEAST_MEETINGS = comb(LEAST_SHARED, LISTED)
+#: Lists up to this long are joined; the next longer are compared in one block.
 SHORT_LIST = 32
 BLOCK = 1024
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 SLICE = 1 << 16
 
 
-def place_sets() -> list[tuple[int, int, int]]:
-    """Triples of byte places such that every four places contain one.
-
-    The places fall into three groups; taken are the triples within a group and
-    those with two places in a group and one in the next.
-    """
-    groups = [(0, 1, 2), (3, 4, 5), (6, 7)]
-    sets = [t for g in groups for t in combinations(g, 3)]
-    for i, g in enumerate(groups):
-        sets += [tuple(sorted((*two, one))) for two in combinations(g, 2) for one in groups[(i + 1) % 3]]
-    return sets
-
-
 def fingerprint(text: bytes) -> int:
     """The 64-bit SimHash of a text's word shingles, unsigned."""
     words = text.translate(LOWER).split()
@@ -84,87 +81,88 @@ def _byte(fp: Column, place: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * place).bitwiseAND(F.lit(255))
 
 
-def _postings(fps: DataFrame) -> DataFrame:
-    """(list, fp): each fingerprint under each of its sets of positional bytes."""
+def _postings(fps: DataFrame, size: int) -> DataFrame:
+    """(list, fp, n): each fingerprint under each of its sets of ``size`` positional
+    bytes, with the length of the list; lists of one fingerprint are left out."""
     fp = F.col("fp")
     keys = []
-    for number, places in enumerate(place_sets()):
+    for number, places in enumerate(combinations(range(PLACES), size)):
         key = F.lit(number).cast("bigint")
         for place in places:
             key = F.shiftleft(key, 8) + _byte(fp, place)
         keys.append(key)
-    return fps.select("fp", F.explode(F.array(*keys)).alias("list"))
+    posted = fps.select("fp", F.explode(F.array(*keys)).alias("list"))
+    lengths = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialise(posted.join(lengths, "list"), "postings")
 
 
-def _shared_bytes(a: Column, b: Column) -> Column:
-    """The tally of a pair: at how many places their bytes agree."""
-    differing = a.bitwiseXOR(b)
-    return sum((F.when(_byte(differing, p) == 0, 1).otherwise(0) for p in range(PLACES)), F.lit(0))
+def _meetings(posted: DataFrame) -> DataFrame:
+    """(u, v) with u < v, once for each short list that holds both."""
+    short = posted.where(F.col("n") <= SHORT_LIST)
+    a, b = short.select("list", F.col("fp").alias("u")), short.select("list", F.col("fp").alias("v"))
+    return a.join(b, "list").where("u < v").select("u", "v")
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links between unsigned ``a`` and ``b``, or within ``a``.
+def _verified(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MOST_BITS).select("u", "v")
 
-    Each row links to the first partner found; a breadth-first walk keeps one
-    link for each newly reached fingerprint.
-    """
-    nodes = np.concatenate([a, b]) if b is not a else a
-    differing = a[:, None] ^ b[None, :]
-    shared = (differing.view(np.uint8).reshape(*differing.shape, PLACES) == 0).sum(axis=2)
-    link = (shared >= LEAST_SHARED) & (np.bitwise_count(differing) <= MOST_BITS)
-    n, shift = len(nodes), len(a) if b is not a else 0
-    open_a = np.ones(len(a), bool)
-    open_b = open_a if b is a else np.ones(len(b), bool)
-    edges = []
-    for root in range(len(a)):
-        if not open_a[root]:
+
+def forest(fps: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links within unsigned ``fps``: a walk from each keeps
+    one link for each newly reached fingerprint."""
+    open_, edges = np.ones(len(fps), bool), []
+    for root in range(len(fps)):
+        if not open_[root]:
             continue
-        open_a[root] = False
+        open_[root] = False
         walk = [root]
         while walk:
             x = walk.pop()
-            if x < len(a):
-                found = np.flatnonzero(link[x] & open_b)
-                open_b[found] = False
-                found = found + shift
-            else:
-                found = np.flatnonzero(link[:, x - shift] & open_a)
-                open_a[found] = False
-            edges += [(int(nodes[x]), int(nodes[y])) for y in found]
+            left = np.flatnonzero(open_)
+            found = left[np.bitwise_count(fps[left] ^ fps[x]) <= MOST_BITS]
+            open_[found] = False
+            edges += [(int(fps[x]), int(fps[y])) for y in found]
             walk += found.tolist()
-    assert len(edges) < max(n, 1)
     return edges
 
 
-def _compare_block(table: pa.Table) -> pa.Table:
-    fps = table.column("fp").to_numpy().view(np.uint64)
-    blocks, i, j = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    a = fps[blocks == i]
-    edges = np.array(forest(a, a if i == j else fps[blocks == j]), np.uint64).reshape(-1, 2).view(np.int64)
+def _compare(table: pa.Table) -> pa.Table:
+    edges = np.array(forest(table.column("fp").to_numpy().view(np.uint64)), np.uint64).reshape(-1, 2).view(np.int64)
     return pa.table({"u": edges[:, 0], "v": edges[:, 1]})
 
 
+def _star_links(fps: DataFrame) -> DataFrame:
+    """Links (u, v) that join all of ``fps`` within four bits, by patterns within two bits of each.
+
+    Sharing a pattern means at most four differing bits, and any two within four
+    bits share one: flip half of the bits in which they differ.
+    """
+    n = fps.count()
+    bit = "IF({0} < 64, shiftleft(1L, {0}), 0L)"
+    pairs = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
+    pairs = pairs.select("fp", "i", F.explode(F.sequence(F.least(F.col("i") + 1, F.lit(64)), F.lit(64))).alias("j"))
+    patterns = pairs.select("fp", F.expr(f"fp ^ {bit.format('i')} ^ {bit.format('j')}").alias("pattern"))
+    shared = patterns.groupBy("pattern").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = spread_join(patterns, materialise(shared, "patterns"), "pattern", "n", n * sum(comb(64, k) for k in range(3)))
+    return joined.where("fp <> v").select(F.col("fp").alias("u"), "v")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fp`` at most four bits apart.
 
-    Short posting lists give all their links; crowded ones a spanning forest.
+    Short lists give all their links; crowded ones enough of them to hold each
+    group together.
     """
-    posted = _postings(fps)
-    lengths = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(posted.join(lengths, "list"), "postings")
-    short, crowded = met.where(F.col("n") <= SHORT_LIST), met.where(F.col("n") > SHORT_LIST)
-    a, b = short.select("list", F.col("fp").alias("u")), short.select("list", F.col("fp").alias("v"))
-    u, v = F.col("u"), F.col("v")
-    found = a.join(b, "list").where(
-        (u < v) & (_shared_bytes(u, v) >= LEAST_SHARED) & (F.bit_count(u.bitwiseXOR(v)) <= MOST_BITS)
-    )
-    n_blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = crowded.withColumn("block", F.pmod(F.xxhash64("fp"), n_blocks)).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1))
-    )
-    dealt = dealt.select("list", "fp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    forests = dealt.groupBy("list", "i", "j").applyInArrow(_compare_block, "u bigint, v bigint")
-    return found.select("u", "v").union(forests).distinct()
+    posted = _postings(fps, LISTED)
+    tally = _meetings(posted).groupBy("u", "v").agg(F.count(F.lit(1)).alias("met"))
+    found = _verified(tally.where(F.col("met") >= LEAST_MEETINGS))
+    crowd = posted.where(F.col("n") > SHORT_LIST).select("fp").distinct()
+    again = _postings(crowd, LEAST_SHARED)
+    found = found.union(_verified(_meetings(again)))
+    middle = again.where((F.col("n") > SHORT_LIST) & (F.col("n") <= BLOCK))
+    found = found.union(middle.select("list", "fp").groupBy("list").applyInArrow(_compare, "u bigint, v bigint"))
+    rest = materialise(again.where(F.col("n") > BLOCK).select("fp").distinct(), "crowded")
+    return found.union(_star_links(rest)).distinct()
 
 
 def fingerprint_groups(fps: DataFrame) -> DataFrame:
@@ -181,12 +179,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     narrow = materialise(add_fingerprint(narrow, out_col="fp").select("doc_id", "text_hash", "fp"), "fingerprints")
-    fps = narrow.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    fps = narrow.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("documents"))
+    fps = materialise(fps, "distinct")
     groups = fps.join(fingerprint_groups(fps.select("fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = materialise(groups, "groups")
-    least = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = groups.select("fp", "root").join(least, "root")
-    return narrow.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "root", "component_id", "text_hash")
+    total, n_fps = groups.agg(F.sum("documents"), F.count(F.lit(1))).first()
+    least = groups.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = spread_join(groups.select("fp", "root", "documents"), materialise(least, "roots"), "root", "n", n_fps)
+    found = spread_join(narrow, materialise(named, "named"), "fp", "documents", total or 0)
+    return found.select("doc_id", F.col("fp").alias("fingerprint"), "root", "component_id", "text_hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

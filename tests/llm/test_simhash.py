@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from tessella.llm import simhash
-from tessella.llm.simhash import fingerprint, fingerprint_groups, forest, keep_one, near_duplicates, place_sets
+from tessella.llm.simhash import fingerprint, fingerprint_groups, forest, keep_one, near_duplicates
 
 
 def plain_fingerprint(text):
@@ -32,10 +32,16 @@ def plain_groups(fps):
     return {f: top(f) for f in fps}
 
 
-def test_four_agreeing_places_contain_a_set():
-    sets = place_sets()
-    assert len(sets) == len(set(sets)) == 20
-    assert all(any(set(s) <= set(four) for s in sets) for four in combinations(range(8), 4))
+def test_pairs_meet_as_often_as_their_shared_bytes_say(spark):
+    rng = random.Random(2)
+    a = rng.getrandbits(63)
+    for shared in range(9):
+        other = a ^ sum(rng.randint(1, 255) << 8 * p for p in rng.sample(range(8), 8 - shared)) & ((1 << 63) - 1)
+        same = sum((a ^ other) >> 8 * p & 255 == 0 for p in range(8))
+        frame = spark.createDataFrame([(a,), (other,)] if a != other else [(a,)], "fp long")
+        met = simhash._meetings(simhash._postings(frame, simhash.LISTED)).count()
+        assert met == (simhash.comb(same, 3) if a != other else 0)
+    assert simhash.LEAST_MEETINGS == 4
 
 
 def test_fingerprints_equal_brute_force(sf_dir, spark):
@@ -50,34 +56,29 @@ def test_fingerprints_equal_brute_force(sf_dir, spark):
     assert fingerprint(many.encode()) == plain_fingerprint(many)
 
 
-def test_forest_spans_the_links():
+def test_forest_and_star_span_the_links(spark):
     rng = np.random.default_rng(4)
-    for same in (True, False):
-        centre = rng.integers(0, 1 << 63, 6).astype(np.uint64)
-        make = lambda n: np.unique(np.array([centre[rng.integers(6)] ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, 3))) for _ in range(n)]))
-        a = make(60)
-        b = a if same else np.setdiff1d(make(60), a)
-        edges = forest(a, b)
-        every = [(int(x), int(y)) for x in a for y in b if x != y and bin(int(x) ^ int(y)).count("1") <= 4]
-
-        def classes(pairs):
-            nodes = {n for p in every for n in p}
-            root = {n: n for n in nodes}
-
-            def top(n):
-                while root[n] != n:
-                    n = root[n]
-                return n
-
-            for x, y in pairs:
-                root[top(x)] = top(y)
-            return {frozenset(m for m in nodes if top(m) == top(n)) for n in nodes}
-
-        assert classes(edges) == classes(every)
-        assert all(bin(x ^ y).count("1") <= 4 for x, y in edges)
-
-
-@pytest.mark.parametrize("short, block", [(32, 1024), (3, 16)])
+    centre = rng.integers(0, 1 << 63, 6).astype(np.uint64)
+    fps = np.unique(np.array([centre[rng.integers(6)] ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, 3))) for _ in range(60)]))
+    star = simhash._star_links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"))
+    want = plain_groups(fps.tolist())
+    for edges in (forest(fps), [(r.u % (1 << 64), r.v % (1 << 64)) for r in star.collect()]):
+        assert all(0 < bin(x ^ y).count("1") <= 4 for x, y in edges)
+        root = {f: f for f in want}
+
+        def top(f):
+            while root[f] != f:
+                f = root[f]
+            return f
+
+        for x, y in edges:
+            lo, hi = sorted((top(x), top(y)))
+            root[hi] = lo
+        assert {f: top(f) for f in want} == want
+    assert len(forest(fps)) == len(fps) - len(set(want.values()))
+
+
+@pytest.mark.parametrize("short, block", [(32, 1024), (3, 16), (2, 4)])
 def test_groups_equal_all_pairs(spark, monkeypatch, short, block):
     monkeypatch.setattr(simhash, "SHORT_LIST", short)
     monkeypatch.setattr(simhash, "BLOCK", block)
