@@ -1,11 +1,15 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 A logistic model, fitted on a bounded sample of labelled rows, gives each
-document's evidence. Grouped aggregation sums it by path and by host. Prior
+document's evidence. Host and path are read from a site column: a URL, or a
+name whose parts are divided by slashes; a name without slashes is a host with
+one empty path. Grouped aggregation sums the evidence by path and by host. Prior
 strengths come from the method of moments: a host's posterior is shrunk toward
 the global mean, a path's toward its host's, the more the sparser it is. A
 document's log-odds are those of its evidence, shifted by how far its path's
-posterior lies from the global mean.
+posterior lies from the global mean. Its own evidence is left out of the sums of
+its path and host, so that it isn't counted twice: a document alone on its site
+is moved by nothing.
 """
 
 from dataclasses import dataclass
@@ -15,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bytes_udf, fresh_name
+from tessella.llm.common import bytes_udf
 from tessella.llm.linear import fit_logistic, predict
 from tessella.llm.sampling import labelled_sample
-from tessella.sources.shared import materialise
+from tessella.sources.shared import discard, materialise
 
 #: Labelled rows that the document classifier is fitted on, at most.
 SAMPLE_ROWS = 6000
@@ -67,6 +71,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label_col:
     sample = labelled_sample(docs, labels, label_col, rows)
     measured = bytes_udf(batch, "array<double>")
     got = sample.select("id", measured("text").alias("x"), "y").orderBy("id").collect()  # at most ``rows``
+    discard(sample)
     x = np.array([r.x for r in got]).reshape(-1, len(features(b"")))
     y = np.array([r.y for r in got])
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
@@ -97,24 +102,52 @@ def _strength(groups: DataFrame, mean: float | Column) -> tuple[float, float]:
     return (min(max(within / between - 1, 1.0), 1e6) if between > 0 else 1e6), centre
 
 
-def site_posteriors(evidence: DataFrame, host: str, path: str, score: str) -> tuple[DataFrame, float]:
-    """(host, path, n, host_posterior, path_posterior) for each path, and the global mean.
+def add_site(docs: DataFrame, site_col: str = "source", host_col: str = "host", path_col: str = "path") -> DataFrame:
+    """``docs`` with the host of a URL or name, in lower case, and the first part of its path.
+
+    A scheme, a port and a leading "www." are left out; without a path it is
+    empty. A null site has null host and path.
+    """
+    bare = F.regexp_replace(F.lower(F.col(site_col)), r"^[a-z][a-z0-9+.\-]*://", "")
+    host = F.regexp_extract(bare, r"^(?:www\.)?([^/?#:]*)", 1)
+    return docs.withColumns({host_col: host, path_col: F.regexp_extract(bare, r"^[^/?#]*/([^/?#]*)", 1)})
+
+
+@dataclass
+class Sites:
+    """Sums by path, with those of its host, and what shrinks them."""
+
+    sums: DataFrame  # host, path, n, total, host_n, host_total
+    mean: float
+    host_strength: float
+    path_strength: float
+
+    def posteriors(self, own: Column | None = None) -> tuple[Column, Column]:
+        """Posterior of the host and of the path, without a document whose evidence is ``own``."""
+        rows, score = (F.lit(0), F.lit(0.0)) if own is None else (F.lit(1), own)
+        host = (F.col("host_total") - score + self.host_strength * self.mean) / (F.col("host_n") - rows + self.host_strength)
+        path = (F.col("total") - score + self.path_strength * host) / (F.col("n") - rows + self.path_strength)
+        return host, path
+
+
+def site_sums(evidence: DataFrame, score: str = "evidence") -> Sites:
+    """The sums of ``score`` over the columns host and path, and the prior strengths.
 
     Paths are summed before the shuffle, so a site with a third of all rows is
-    no burden. Null hosts and paths are sites of their own.
+    no burden. Null hosts and paths are sites of their own. Without rows the mean
+    is one half.
     """
-    paths = evidence.groupBy(host, path).agg(F.count(F.lit(1)).alias("n"), F.sum(score).alias("total"))
+    paths = evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(score).alias("total"))
     paths = materialise(paths, "paths")
-    hosts = paths.groupBy(F.col(host).alias("host_key")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    rows, total = hosts.agg(F.sum("n"), F.sum("total")).first()
+    hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("host_n"), F.sum("total").alias("host_total"))
+    rows, total = hosts.agg(F.sum("host_n"), F.sum("host_total")).first()
     mean = min(max(total / rows, 1e-6), 1 - 1e-6) if rows else 0.5
-    strength, _ = _strength(hosts, F.lit(mean))
-    posterior = (F.col("total") + strength * mean) / (F.col("n") + strength)
-    hosts = hosts.select("host_key", posterior.alias("host_posterior"))
-    joined = paths.join(hosts, paths[host].eqNullSafe(hosts["host_key"])).drop("host_key")
-    strength, _ = _strength(joined, F.col("host_posterior"))
-    posterior = (F.col("total") + strength * F.col("host_posterior")) / (F.col("n") + strength)
-    return materialise(joined.select(host, path, "n", "host_posterior", posterior.alias("path_posterior")), "sites"), mean
+    host_strength, _ = _strength(hosts.select(F.col("host_n").alias("n"), F.col("host_total").alias("total")), F.lit(mean))
+    sums = materialise(paths.join(hosts, paths["host"].eqNullSafe(hosts["h"])).drop("h"), "sites")
+    discard(paths)
+    whole = Sites(sums, mean, host_strength, 0.0)
+    path_strength, _ = _strength(sums.withColumn("host_posterior", whole.posteriors()[0]), F.col("host_posterior"))
+    return Sites(sums, mean, host_strength, path_strength)
 
 
 def _logit(p: Column) -> Column:
@@ -127,39 +160,43 @@ def _posterior(evidence: Column, path_posterior: Column, mean: float) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def score_documents(
-    docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", rows: int = SAMPLE_ROWS
-) -> DataFrame:
+def add_posteriors(scored: DataFrame, sites: Sites) -> DataFrame:
+    """``scored`` (host, path, evidence) with host_posterior, path_posterior and posterior.
+
+    Every path of ``scored`` is in ``sites``, which count each of its rows.
+    """
+    sums = sites.sums.withColumnsRenamed({"host": "h", "path": "p"})
+    joined = scored.join(sums, scored["host"].eqNullSafe(sums["h"]) & scored["path"].eqNullSafe(sums["p"]))
+    host, path = sites.posteriors(F.col("evidence"))
+    joined = joined.withColumns({"host_posterior": host, "path_posterior": path}).drop(*sums.columns)
+    return joined.withColumn("posterior", _posterior(F.col("evidence"), F.col("path_posterior"), sites.mean))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, site_col: str = "source", rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, evidence, host_posterior, path_posterior, posterior and keep of each document.
 
-    A path is (host_col, path_col). A null text is empty; an empty table gives
-    an empty result.
+    The posteriors of host and path are those without the document itself. A
+    null text is empty; an empty table gives an empty result.
     """
     model = fit(docs, labels, rows)
-    narrow = docs.select("doc_id", "text", F.col(host_col).alias("host"), F.col(path_col).alias("path"))
+    narrow = add_site(docs.select("doc_id", "text", F.col(site_col).alias("site")), "site").drop("site")
     scored = materialise(add_evidence(narrow, model).drop("text"), "evidence")
-    sites, mean = site_posteriors(scored, "host", "path", "evidence")
-    sites = sites.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior", "path_posterior")
-    same = scored["host"].eqNullSafe(sites["h"]) & scored["path"].eqNullSafe(sites["p"])
-    joined = scored.join(sites, same).withColumn("posterior", _posterior(F.col("evidence"), F.col("path_posterior"), mean))
-    return joined.select(
+    judged = add_posteriors(scored, site_sums(scored))
+    return judged.select(
         "doc_id", "evidence", "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= KEEP_FROM).alias("keep")
     )
 
 
-def keep_good(
-    docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", rows: int = SAMPLE_ROWS
-) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, site_col: str = "source", rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents whose posterior is at least one half, columns unchanged.
 
     Texts are measured twice, once for the sites and once to decide, rather
-    than written a second time or shuffled.
+    than written a second time. Whole documents meet their sites in a join,
+    by broadcast where the sites are few.
     """
     model = fit(docs, labels, rows)
-    narrow = docs.select("text", F.col(host_col).alias("host"), F.col(path_col).alias("path"))
-    sites, mean = site_posteriors(add_evidence(narrow, model).drop("text"), "host", "path", "evidence")
-    score, h, p, prior = (fresh_name(docs, n) for n in ("evidence", "site_host", "site_path", "site_posterior"))
-    sites = sites.select(F.col("host").alias(h), F.col("path").alias(p), F.col("path_posterior").alias(prior))
-    scored = add_evidence(docs, model, out_col=score)
-    joined = scored.join(sites, scored[host_col].eqNullSafe(F.col(h)) & scored[path_col].eqNullSafe(F.col(p)))
-    return joined.where(_posterior(F.col(score), F.col(prior), mean) >= KEEP_FROM).select(*[docs[c] for c in docs.columns])
+    narrow = add_site(docs.select("text", F.col(site_col).alias("site")), "site").drop("site")
+    sites = site_sums(add_evidence(narrow, model).drop("text"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"], docs[site_col].alias("site"))
+    judged = add_posteriors(add_evidence(add_site(whole, "site").drop("site"), model).drop("text"), sites)
+    return judged.where(F.col("posterior") >= KEEP_FROM).select("row.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import bpe, decontamination, language_model, licenses, media, quality, sharding, simhash, token_files, toxicity, word_model
 from tessella.llm.common import small_batches
-from tessella.llm.sql import DECONTAMINATION_SQL, LANGUAGE_MODEL_SQL, sharding_sql
+from tessella.llm.sql import DECONTAMINATION_SQL, LANGUAGE_MODEL_SQL, WORD_MODEL_SQL, sharding_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+def byte_class_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _texts(spark, sf_dir)
     flagged = language_model.flag_target(docs, _table(spark, sf_dir, "labels"))
     scored = language_model.cross_entropy_difference(docs, flagged, "target")
@@ -129,8 +129,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_quality": op2_quality,
-        "op3_cross_entropy": op3_cross_entropy,
         "op3_word_cross_entropy": op3_word_cross_entropy,
+        "byte_class_cross_entropy": byte_class_cross_entropy,
         "op4_decontamination": op4_decontamination,
         "op5_sharding": op5_sharding,
         "op6_token_files": op6_token_files,
@@ -143,7 +143,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_cross_entropy": LANGUAGE_MODEL_SQL,
+        "op3_word_cross_entropy": WORD_MODEL_SQL,
+        "byte_class_cross_entropy": LANGUAGE_MODEL_SQL,
         "op4_decontamination": DECONTAMINATION_SQL,
         "op5_sharding": sharding_sql(sharding.layout(16), sharding.layout(17)),
     }

@@ -117,3 +117,32 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, round(coalesce(t / n,
   round(coalesce(b / n, 0), 6) AS background_loss, round(coalesce((t - b) / n, 0), 6) AS score
 FROM docs LEFT JOIN totals USING (rid)
 """
+
+
+WORD_MODEL_SQL = f"""
+WITH good AS (
+  SELECT DISTINCT doc_id FROM labels WHERE quality = 1
+), docs AS (
+  SELECT row_number() OVER () AS rid, d.doc_id, {_WORDS.format('text')} AS w, good.doc_id IS NOT NULL AS target
+  FROM documents d LEFT JOIN good ON d.doc_id = good.doc_id
+), tokens AS (
+  SELECT rid, target, unnest(list_concat([' start'], w)) AS a, unnest(list_concat(w, [' end'])) AS b FROM docs WHERE len(w) > 0
+), n1 AS (
+  SELECT b, count(*) AS bg, count(*) FILTER (target) AS tg FROM tokens GROUP BY b
+), totals AS (
+  SELECT sum(bg) AS bg, sum(tg) AS tg FROM n1
+), p1 AS (
+  SELECT b, n1.bg, n1.tg, (n1.bg + 32 * n1.bg / totals.bg) / (totals.bg + 32) AS pb, (n1.tg + 32 * n1.bg / totals.bg) / (totals.tg + 32) AS pt
+  FROM n1, totals
+), n2 AS (
+  SELECT a, b, count(*) AS bg, count(*) FILTER (target) AS tg FROM tokens GROUP BY a, b
+), loss AS (
+  SELECT n2.a, n2.b, -ln((n2.bg + 32 * p1.pb) / (before.bg + 32)) AS lb, -ln((n2.tg + 32 * p1.pt) / (before.tg + 32)) AS lt
+  FROM n2 JOIN p1 ON n2.b = p1.b JOIN n1 before ON before.b = CASE WHEN n2.a = ' start' THEN ' end' ELSE n2.a END
+), sums AS (
+  SELECT rid, count(*) AS n, sum(lt) AS t, sum(lb) AS b FROM tokens JOIN loss USING (a, b) GROUP BY rid
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, round(coalesce(t / n, 0), 6) AS target_loss,
+  round(coalesce(b / n, 0), 6) AS background_loss, round(coalesce((t - b) / n, 0), 6) AS score
+FROM docs LEFT JOIN sums USING (rid)
+"""

@@ -11,7 +11,8 @@ Nothing is collected or broadcast. Texts are dealt to chunks by a hash of the
 id. A chunk sends each distinct token and pair it holds once, with its counts,
 to the bucket of that key; a bucket adds the counts of all chunks and sends the
 totals back in the same order. However common a key, a bucket has it once a
-chunk. Keys are 64-bit hashes.
+chunk, and a chunk sends nothing to a bucket it has no keys for, so there are
+never more messages than distinct keys in the chunks. Keys are 64-bit hashes.
 """
 
 from hashlib import blake2b
@@ -89,7 +90,7 @@ class Chunk:
         self.context = np.searchsorted(keys, context)
         bucket = (keys % np.uint64(buckets)).astype(np.int64)
         self.order = np.argsort(bucket, kind="stable")
-        self.edges = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+        self.buckets, self.starts = np.unique(bucket[self.order], return_index=True)
         self.keys, self.n = keys, len(tokens)
 
     def counts(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +123,9 @@ def word_cross_entropy(docs: DataFrame, labels: DataFrame, label_col: str = "qua
     """doc_id, n_tokens, target_loss, background_loss and score (per token) of ``docs``.
 
     A document is of the target if a label of its id is 1; null ids never are. A
-    text without words has no tokens, and losses and score 0.
+    text without words has no tokens, and losses and score 0. Rows with one id
+    are in one chunk, as their label is; null ids are dealt by their text. An
+    empty table gives an empty result.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // chunk_bytes) or 1
@@ -137,11 +140,11 @@ def word_cross_entropy(docs: DataFrame, labels: DataFrame, label_col: str = "qua
             return pa.table({c: pa.array([], t) for c, t in (("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("background", pa.binary()), ("target", pa.binary()))})
         chunk, marked = Chunk(docs, n), set(_ids_of(good))
         background, target = chunk.counts(np.array([i in marked for i in _ids_of(docs)]))
-        rows = [chunk.order[a:b] for a, b in zip(chunk.edges, chunk.edges[1:])]
+        rows = np.split(chunk.order, chunk.starts[1:])
         return pa.table(
             {
-                "bucket": pa.array(range(n), pa.int32()),
-                "chunk": pa.array([docs["chunk"][0].as_py()] * n, pa.int32()),
+                "bucket": pa.array(chunk.buckets, pa.int32()),
+                "chunk": pa.array([docs["chunk"][0].as_py()] * len(rows), pa.int32()),
                 "keys": pa.array([chunk.keys[r].tobytes() for r in rows], pa.binary()),
                 "background": pa.array([packed(background[r]) for r in rows], pa.binary()),
                 "target": pa.array([packed(target[r]) for r in rows], pa.binary()),

@@ -44,18 +44,77 @@ def test_quality_filter_agrees_and_keeps_columns(tables):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == want
 
 
-def test_sparse_sites_shrink_more(spark):
+def test_sites_are_read_from_urls_and_names(spark):
+    rows = ["https://www.Example.com/a/b?x=1", "http://example.com:80", "src7", "crawl/2024/week1", "x.org/?q", "", None]
+    frame = quality.add_site(spark.createDataFrame([(r,) for r in rows], "source string"))
+    want = [("example.com", "a"), ("example.com", ""), ("src7", ""), ("crawl", "2024"), ("x.org", ""), ("", ""), (None, None)]
+    assert [(r.host, r.path) for r in frame.collect()] == want
+
+
+def plain_strength(groups, mean_of):
+    """Method of moments for (n, total) groups: between-group variance beyond that of sampling."""
+    rows = sum(n for n, _ in groups.values())
+    centre = sum(n * mean_of(g) for g, (n, _) in groups.items()) / rows
+    within = centre * (1 - centre)
+    spread = sum(n * (t / n - mean_of(g)) ** 2 for g, (n, t) in groups.items())
+    between = (spread - (len(groups) - 1) * within) / max(rows - sum(n * n for n, _ in groups.values()) / rows, 1)
+    return min(max(within / between - 1, 1), 1e6) if between > 0 else 1e6
+
+
+def test_posteriors_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    for spread in (2.0, 0.0):
+        hosts = {h: rng.normal() * spread for h in ["a", "b", "c", "d", None]}
+        rows = []
+        for h, lean in hosts.items():
+            for p in ("x", "y", None)[: rng.integers(1, 4)]:
+                own = lean + rng.normal() * spread
+                rows += [(h, p, float(1 / (1 + np.exp(-own - rng.normal())))) for _ in range(int(rng.choice([1, 2, 40])))]
+        got = quality.add_posteriors(
+            frame := spark.createDataFrame(rows, "host string, path string, evidence double"), quality.site_sums(frame)
+        ).collect()
+        assert len(got) == len(rows)
+        paths, hosts = {}, {}
+        for h, p, e in rows:
+            for sums, key in ((paths, (h, p)), (hosts, h)):
+                n, t = sums.get(key, (0, 0.0))
+                sums[key] = n + 1, t + e
+        mean = sum(e for *_, e in rows) / len(rows)
+        m = plain_strength(hosts, lambda h: mean)
+        of_host = {h: (t + m * mean) / (n + m) for h, (n, t) in hosts.items()}
+        k = plain_strength(paths, lambda hp: of_host[hp[0]])
+        logit = lambda p: np.log(p / (1 - p))
+        for r in got:
+            (hn, ht), (pn, pt) = hosts[r.host], paths[r.host, r.path]
+            host = (ht - r.evidence + m * mean) / (hn - 1 + m)
+            path = (pt - r.evidence + k * host) / (pn - 1 + k)
+            post = 1 / (1 + np.exp(-(logit(r.evidence) + logit(path) - logit(mean))))
+            assert np.allclose([r.host_posterior, r.path_posterior, r.posterior], [host, path, post], atol=1e-9)
+
+
+def test_sparse_sites_shrink_more_and_lone_documents_stay(spark):
     rows = [("big", "a", 1.0)] * 400 + [("big", "a", 0.0)] * 100 + [("low", "b", 0.0)] * 400 + [("low", "b", 1.0)] * 100
-    rows += [("tiny", "c", 0.0)] * 2 + [(None, None, 1.0)]
-    frame = spark.createDataFrame(rows, "host string, path string, s double")
-    sites, mean = quality.site_posteriors(frame, "host", "path", "s")
-    got = {r.host: r for r in sites.collect()}
-    assert abs(mean - 501 / 1003) < 1e-9 and set(got) == {"big", "low", "tiny", None}
-    assert abs(got["big"].path_posterior - 0.8) < 0.02 and abs(got["low"].path_posterior - 0.2) < 0.02
-    assert 0.0 < got["tiny"].host_posterior < mean and got[None].n == 1
-    # one step of the formula by hand: a host is (total + m * mean) / (n + m) for one m
-    m = (got["big"].host_posterior * 500 - 400) / (mean - got["big"].host_posterior)
-    assert abs(got["low"].host_posterior - (100 + m * mean) / (500 + m)) < 1e-9
+    rows += [("tiny", "c", 0.0)] * 2 + [(None, None, 0.7)]
+    frame = spark.createDataFrame(rows, "host string, path string, evidence double")
+    sites = quality.site_sums(frame)
+    host, path = sites.posteriors()
+    got = {r.host: r for r in sites.sums.select("host", "n", host.alias("hp"), path.alias("pp")).collect()}
+    assert abs(sites.mean - 500.7 / 1003) < 1e-9 and set(got) == {"big", "low", "tiny", None}
+    assert abs(got["big"].pp - 0.8) < 0.02 and abs(got["low"].pp - 0.2) < 0.02
+    assert 0.0 < got["tiny"].hp < sites.mean and got[None].n == 1
+    lone = quality.add_posteriors(frame, sites).where("host is null").first()
+    assert abs(lone.posterior - 0.7) < 1e-9
+
+
+def test_quality_of_hard_rows(spark, hard, clashing, empty):
+    labels = spark.createDataFrame([(1, 0), (6, 1), (6, 0), (None, 1)], "doc_id long, quality int")
+    sites = lambda df: df.withColumn("source", F.when(F.col("doc_id") > 3, "s/p"))
+    for frame in map(sites, (hard, clashing, empty)):
+        for some in (labels, labels.limit(0)):
+            got = quality.score_documents(frame, some).collect()
+            assert len(got) == frame.count() and all(0 <= r.posterior <= 1 for r in got)
+            kept = quality.keep_good(frame, some)
+            assert kept.columns == frame.columns and kept.count() == sum(r.keep for r in got)
 
 
 def test_toxicity_on_held_out_labels(spark):

@@ -51,7 +51,7 @@ def test_packed_counts_come_back():
 
 
 def test_words_of_other_scripts_differ(spark):
-    # the same byte lengths, spaces and marks: one text to the byte classes of op3_cross_entropy
+    # the same byte lengths, spaces and marks: one text to the byte classes of language_model
     rows = [(i, "кот и пёс" if i % 2 else "дом у рек") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     scores = {r.doc_id: r.score for r in word_cross_entropy(docs, docs.selectExpr("doc_id", "int(doc_id % 2) AS quality")).collect()}
