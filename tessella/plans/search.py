@@ -14,10 +14,15 @@ from tessella.functions.texts import (
     unsafe_path,
 )
 from tessella.operators import search as S
-from tessella.plans.common import r6, table
+from tessella.plans.common import r6, table, values
+from tessella.sources.shared import materialise
 
 QUERY = "the license of this work and the version 2.0 the"
-VALUES = ["ceramic", "license"]
+ATTRIBUTES = {"material": ["Ceramic "], "region": "north", "note": ["license"]}
+MINIMUM, LIMIT, HIGH_MINIMUM = 0.05, 50, 0.35
+VERSION = "2025.1"
+# Texts in several scripts, the Han extension block from U+3400 among them.
+SCRIPTS = "(-1, '\u3400\u3401 \u4e2d\u6587x-1 v2.0.b'), (-2, '\u4dbf\u4dc0\u4dc1 abc'), (-3, '\u9fff\u9fffa_b'), (-4, '\u65e5\u672c\u306e Caf\u00e9 \u4e2d'), (-5, '')"
 VISUAL = [0.1, 0.9, 0.3, 0.7, 0.5, 0.2, 0.8, 0.4]
 DAY = "2025-03-01"
 LICENSES = ("CC-BY", "CC0", "MIT", "PROPRIETARY")
@@ -36,13 +41,17 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, LICENSES)), (i % 4 + 1).cast("int")).alias("license"),
         F.when(i % 13 != 0, start).alias("valid_from"),
         F.when(i % 17 != 0, F.date_add(start, 400)).alias("valid_until"),
-        F.element_at(kinds, (i % 6 + 1).cast("int")).alias("allowed"),
+        F.concat(F.lit("Entry of "), "source").alias("title"),
+        F.create_map(
+            F.lit("materials"), F.element_at(kinds, (i % 6 + 1).cast("int")), F.lit("regions"), F.when(i % 9 == 0, F.array(F.lit("South"))).otherwise(F.array(F.lit(" North"), F.lit("east"))),
+            F.lit("tags"), F.when(i % 19 == 0, F.array(F.lit("LICENSE"))).otherwise(F.array().cast("array<string>")),
+        ).alias("scope"),
         F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: (i * k % 97) / 97.0).alias("features"),
     )
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = S.policy_reason("en", "public", "research", ["CC-BY", "CC0", "MIT"], DAY, ["ceramic"])
+    reason = S.policy_reason("en", "public", "research", ["CC-BY", "CC0", "MIT"], DAY, ATTRIBUTES)
     return entries(spark, sf_dir).withColumn("reason", reason)
 
 
@@ -76,17 +85,51 @@ def token_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("token", hash_slot(F.col("token")).alias("slot"), hash_sign(F.col("token")).alias("sign"))
 
 
+def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("reason is null")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.scored_entries(_eligible(spark, sf_dir), QUERY, ATTRIBUTES, VISUAL)
+
+
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eligible = _judged(spark, sf_dir).where("reason is null")
-    found = S.hybrid_search(eligible, QUERY, VALUES, VISUAL, 0.05, 50)
-    return found.select("rank", "doc_id", r6("score").alias("score"), r6("text_score").alias("text_score"), "structured", "visual")
+    found = S.best_entries(_scored(spark, sf_dir), MINIMUM, LIMIT)
+    return found.select(
+        "rank", "doc_id", r6("score").alias("score"), r6("text_score").alias("text_score"), "structured", "visual",
+        F.array_join("matched_on", ",").alias("matched_on"),
+    )
+
+
+def search_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries refused by policy or, as fewer than the limit pass a high minimum, by score."""
+    limit = 1_000_000
+    by_policy = _judged(spark, sf_dir).where("reason is not null").select("doc_id", "reason")
+    return by_policy.union(S.below_minimum(_scored(spark, sf_dir), HIGH_MINIMUM, limit))
+
+
+def search_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of the results, and stated ones held against them: every third has another version, every fourth another space."""
+    found = S.best_entries(_scored(spark, sf_dir), MINIMUM, LIMIT)
+    allowed = materialise(S.citations(found, _eligible(spark, sf_dir), VERSION), "citations")
+    stated = allowed.withColumn("version", F.when(F.col("doc_id") % 3 == 0, "2024.9").otherwise(F.col("version")))
+    stated = stated.withColumn("space", F.when(F.col("doc_id") % 4 != 0, F.col("space")))
+    return S.check_citations(stated, allowed).select("doc_id", "chunk_id", "version", "content_sha256", "accepted")
 
 
 def script_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Han (U+3400 to U+9FFF) and Latin letters of each document, and of fixed texts in other scripts, and the Han share."""
+    samples = values(spark, SCRIPTS, "doc_id, text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    every = table(spark, sf_dir, "documents").select("doc_id", "text").union(samples)
     t = F.coalesce("text", F.lit(""))
-    han, latin = count_matches(t, "[一-鿿]"), count_matches(t, "[A-Za-z]")
-    share = F.when(han + latin > 0, latin / (han + latin)).otherwise(0.0)
-    return table(spark, sf_dir, "documents").select("doc_id", han.alias("han"), latin.alias("latin"), r6(share).alias("latin_share"))
+    han, latin = count_matches(t, "[\u3400-\u9fff]"), count_matches(t, "[A-Za-z]")
+    return every.select("doc_id", han.alias("han"), latin.alias("latin"), r6(F.round(han / F.greatest(han + latin, F.lit(1)), 4)).alias("han_share"))
+
+
+def script_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the same fixed texts, with slot and sign."""
+    t = values(spark, SCRIPTS, "doc_id, text").select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
+    return t.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "token", "n", hash_slot(F.col("token")).alias("slot"), hash_sign(F.col("token")).alias("sign"))
 
 
 def guardrail_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +170,10 @@ def citation_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("role", F.col("k").alias("position"), "doc_id", "source", F.when(F.col("sized"), "COMPLETE").otherwise("INCOMPLETE").alias("state"))
 
 
-_TOKENS = """flatten(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:[-_.][a-z0-9]+)*|[一-鿿]+'), lambda r:
-  CASE WHEN regexp_matches(r, '[一-鿿]') THEN list_concat(list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 1)),
-    list_transform(range(1, length(r)), lambda i: substr(r, i, 2))) ELSE [r] END))"""
+# Of a text's normal form: first the Latin tokens, then of every Han run its characters and its pairs.
+_TOKENS = """list_concat(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9\u0131\u017f]+(?:[-_.][a-z0-9\u0131\u017f]+)*'),
+  flatten(list_transform(regexp_extract_all(coalesce({0}, ''), '[\u3400-\u4dbf\u4e00-\u9fff]+'), lambda r:
+    list_concat(list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 1)), list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))))"""
 _SLOT = "CAST(CAST('0x' || substr(sha256(token), 1, 8) AS BIGINT) % 96 AS INTEGER)"
 _SIGN = "CASE WHEN CAST('0x' || substr(sha256(token), 9, 2) AS INTEGER) % 2 = 1 THEN 1 ELSE -1 END"
 _LIST = lambda items: "[" + ", ".join(f"'{i}'" for i in items) + "]"
@@ -140,34 +184,57 @@ WITH entries AS (
     CASE WHEN doc_id % 13 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER) END AS valid_from,
     CASE WHEN doc_id % 17 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER) + 400 END AS valid_until,
     [['*'], ['ceramic', 'glass'], ['bronze'], ['ceramic'], ['jade', 'wood'], ['*']][doc_id % 6 + 1] AS allowed,
+    'Entry of ' || source AS title, CASE WHEN doc_id % 9 = 0 THEN ['south'] ELSE ['north', 'east'] END AS regions,
+    CASE WHEN doc_id % 19 = 0 THEN ['license'] ELSE [] END AS tags,
     list_transform(range(1, 9), lambda k: (doc_id * k % 97) / 97.0) AS features
   FROM documents
 ), judged AS (
-  SELECT *, CASE WHEN space <> 'en' THEN 'SPACE_MISMATCH' WHEN NOT public THEN 'ACCESS_SCOPE_MISMATCH' WHEN NOT research THEN 'PURPOSE_NOT_LICENSED'
+  SELECT *, CASE WHEN space <> 'en' THEN 'KNOWLEDGE_SPACE_MISMATCH' WHEN NOT public THEN 'ACCESS_SCOPE_MISMATCH' WHEN NOT research THEN 'PURPOSE_NOT_LICENSED'
     WHEN license NOT IN ('CC-BY', 'CC0', 'MIT') THEN 'LICENSE_NOT_ALLOWLISTED'
     WHEN valid_from > DATE '{DAY}' OR valid_until < DATE '{DAY}' THEN 'LICENSE_NOT_ACTIVE'
-    WHEN NOT (list_contains(allowed, '*') OR list_contains(allowed, 'ceramic')) THEN 'SCOPE_MISMATCH' END AS reason
+    WHEN NOT (list_contains(allowed, '*') OR list_contains(allowed, 'ceramic')) OR NOT list_contains(regions, 'north') THEN 'APPLICABILITY_SCOPE_MISMATCH' END AS reason
   FROM entries
 ), eligible AS (
-  SELECT *, {_TOKENS} AS toks FROM judged WHERE reason IS NULL
+  SELECT *, {_TOKENS.format('text')} AS toks, {_TOKENS.format("title || chr(10) || coalesce(text, '')")} AS all_toks FROM judged WHERE reason IS NULL
 )
 """
 _Q = S.python_tokens(QUERY)
-_LEX = f"""
+_LEX = """
 , asked AS (
-  SELECT token, count(*) AS c FROM (SELECT unnest({_LIST(_Q)}) AS token) GROUP BY 1
+  SELECT token, count(*) AS c FROM (SELECT unnest([QUERY]) AS token) GROUP BY 1
 ), idf AS (
-  SELECT token, c, ln(((SELECT count(*) FROM eligible) + 1) / ((SELECT count(*) FROM eligible WHERE list_contains(toks, token)) + 1)) + 1 AS idf FROM asked
+  SELECT token, c, ln(((SELECT count(*) FROM eligible) + 1) / ((SELECT count(*) FROM eligible WHERE list_contains([TOKS], token)) + 1)) + 1 AS idf FROM asked
 ), lex AS (
-  SELECT doc_id, sum(least(len(list_filter(toks, lambda x: x = token)), c) * idf) / sum(c * idf) AS lexical FROM eligible, idf GROUP BY doc_id
+  SELECT doc_id, sum(least(len(list_filter([TOKS], lambda x: x = token)), c) * idf) / sum(c * idf) AS lexical FROM eligible, idf GROUP BY doc_id
 )
-"""
+""".replace("[QUERY]", _LIST(_Q))
 _QV = [float(x) for x in S.hashed_vector(QUERY)]
+_SCORED = ENTRIES_SQL + _LEX.replace("[TOKS]", "all_toks") + f"""
+, tok AS (
+  SELECT doc_id, unnest(all_toks) AS token FROM eligible
+), vec AS (
+  SELECT doc_id, {_SLOT} AS dim, sum({_SIGN}) AS x FROM tok GROUP BY 1, 2
+), emb AS (
+  SELECT doc_id, greatest(0, least(1, sum(x * {_QV}[dim + 1]) / sqrt(sum(x * x)))) AS e FROM vec GROUP BY 1
+), comp AS (
+  SELECT l.doc_id, round(0.65 * lexical + 0.35 * coalesce(e, 0), 6) AS text_score,
+    round(((CASE WHEN list_contains(known, 'ceramic') THEN 1.0 WHEN contains(t, 'ceramic') THEN 0.7 ELSE 0.0 END)
+      + (CASE WHEN list_contains(known, 'north') THEN 1.0 WHEN contains(t, 'north') THEN 0.7 ELSE 0.0 END)
+      + (CASE WHEN list_contains(known, 'license') THEN 1.0 WHEN contains(t, 'license') THEN 0.7 ELSE 0.0 END)) / 3, 6) AS structured,
+    round(greatest(0, least(1, 1 - sqrt(list_sum(list_transform(range(1, 9), lambda k: pow({VISUAL}[k] - features[k], 2)))) / sqrt(8))), 6) AS visual
+  FROM lex l JOIN (SELECT *, list_concat(allowed, list_concat(regions, tags)) AS known,
+    trim(regexp_replace(lower(coalesce(text, '') || ' ' || title), '\\s+', ' ', 'g')) AS t FROM eligible) USING (doc_id) LEFT JOIN emb USING (doc_id)
+), fused AS (
+  SELECT *, round(0.45 * text_score + 0.25 * structured + 0.30 * visual, 8) AS score FROM comp
+), results AS (
+  SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM fused WHERE score >= {MINIMUM} QUALIFY rank <= {LIMIT}
+)
+"""
 QUERIES = {
     f.__name__: f
     for f in (
-        policy_exclusions, policy_summary, token_idf, lexical_score, hash_embedding, token_slots, hybrid_search, script_mix,
-        guardrail_hits, control_text, path_policy, private_endpoints, citation_top5,
+        policy_exclusions, policy_summary, token_idf, lexical_score, hash_embedding, token_slots, script_tokens, hybrid_search, search_rejects,
+        search_citations, script_mix, guardrail_hits, control_text, path_policy, private_endpoints, citation_top5,
     )
 }
 SQL = {
@@ -175,26 +242,23 @@ SQL = {
     "policy_summary": ENTRIES_SQL + "SELECT coalesce(reason, 'ELIGIBLE') AS reason, count(*) AS n FROM judged GROUP BY 1",
     "token_idf": ENTRIES_SQL + """SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM eligible) + 1) / (count(*) + 1)) + 1, 6) AS idf
       FROM (SELECT doc_id, unnest(list_distinct(toks)) AS token FROM eligible) GROUP BY token""",
-    "lexical_score": ENTRIES_SQL + _LEX + "SELECT doc_id, round(lexical, 6) AS lexical FROM lex",
-    "hash_embedding": f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents),
+    "lexical_score": ENTRIES_SQL + _LEX.replace("[TOKS]", "toks") + "SELECT doc_id, round(lexical, 6) AS lexical FROM lex",
+    "hash_embedding": f"""WITH t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM documents),
       s AS (SELECT doc_id, {_SLOT} AS dim, sum({_SIGN}) AS x FROM t GROUP BY 1, 2)
       SELECT doc_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM s WHERE x <> 0""",
-    "token_slots": f"SELECT DISTINCT token, {_SLOT} AS slot, {_SIGN} AS sign FROM (SELECT unnest({_TOKENS}) AS token FROM benchmark)",
-    "hybrid_search": ENTRIES_SQL + _LEX + f"""
-      , tok AS (SELECT doc_id, unnest(toks) AS token FROM eligible), vec AS (SELECT doc_id, {_SLOT} AS dim, sum({_SIGN}) AS x FROM tok GROUP BY 1, 2),
-      emb AS (SELECT doc_id, greatest(0, least(1, sum(x * {_QV}[dim + 1]) / sqrt(sum(x * x)))) AS e FROM vec GROUP BY 1),
-      comp AS (SELECT l.doc_id, lexical, round(coalesce(e, 0), 6) AS embedded,
-        round(((CASE WHEN list_contains(allowed, 'ceramic') THEN 1.0 WHEN contains(t, 'ceramic') THEN 0.7 ELSE 0.0 END)
-          + (CASE WHEN list_contains(allowed, 'license') THEN 1.0 WHEN contains(t, 'license') THEN 0.7 ELSE 0.0 END)) / 2, 6) AS structured,
-        round(greatest(0, least(1, 1 - sqrt(list_sum(list_transform(range(1, 9), lambda k: pow({VISUAL}[k] - features[k], 2)))) / sqrt(8))), 6) AS visual
-        FROM lex l JOIN (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM eligible) USING (doc_id) LEFT JOIN emb USING (doc_id)),
-      scored AS (SELECT *, round(0.65 * lexical + 0.35 * embedded, 6) AS text_score FROM comp),
-      fused AS (SELECT *, round(0.45 * text_score + 0.25 * structured + 0.30 * visual, 8) AS score FROM scored)
-      SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, round(score, 6) AS score, round(text_score, 6) AS text_score,
-        structured, visual FROM fused WHERE score >= 0.05 ORDER BY score DESC, doc_id LIMIT 50""",
-    "script_mix": """SELECT doc_id, han, latin, round(CASE WHEN han + latin > 0 THEN latin / (han + latin) ELSE 0 END, 6) AS latin_share FROM (
-      SELECT doc_id, length(t) - length(regexp_replace(t, '[一-鿿]', '', 'g')) AS han,
-        length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS latin FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""",
+    "token_slots": f"SELECT DISTINCT token, {_SLOT} AS slot, {_SIGN} AS sign FROM (SELECT unnest({_TOKENS.format('text')}) AS token FROM benchmark)",
+    "script_tokens": f"""SELECT doc_id, token, count(*) AS n, {_SLOT} AS slot, {_SIGN} AS sign
+      FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM (VALUES {SCRIPTS}) v(doc_id, text)) GROUP BY doc_id, token""",
+    "hybrid_search": _SCORED + """SELECT rank, doc_id, round(score, 6) AS score, text_score, structured, visual,
+      concat_ws(',', CASE WHEN text_score > 0 THEN 'text' END, CASE WHEN structured > 0 THEN 'structured' END, CASE WHEN visual > 0 THEN 'visual' END) AS matched_on
+      FROM results""",
+    "search_rejects": _SCORED + f"""SELECT doc_id, reason FROM judged WHERE reason IS NOT NULL
+      UNION ALL SELECT doc_id, 'BELOW_MINIMUM_SCORE' FROM fused WHERE score < {HIGH_MINIMUM}""",
+    "search_citations": _SCORED + f"""SELECT doc_id, doc_id || '#0' AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN '2024.9' ELSE '{VERSION}' END AS version,
+      sha256(coalesce(text, '')) AS content_sha256, doc_id % 3 <> 0 AND doc_id % 4 <> 0 AS accepted FROM results JOIN eligible USING (doc_id)""",
+    "script_mix": f"""SELECT doc_id, han, latin, round(han / greatest(han + latin, 1), 4) AS han_share FROM (
+      SELECT doc_id, length(t) - length(regexp_replace(t, '[\u3400-\u9fff]', '', 'g')) AS han, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS latin
+      FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT * FROM (VALUES {SCRIPTS}) v(doc_id, text)))""",
     "guardrail_hits": """SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(t, 'all rights reserved') THEN '0' END,
       CASE WHEN regexp_matches(t, 'licensed under (the )?(cc|apache|gnu)') THEN '1' END, CASE WHEN regexp_matches(t, 'idiot|moron') THEN '2' END,
       CASE WHEN regexp_matches(t, '\\b\\d{3}-\\d{2}-\\d{4}\\b') THEN '3' END) AS hits
