@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.functions.texts import fresh_name
+
 # How many candidates of each threshold, their bounds and anchors.
 GRID = {
     "score": (24, -1.0, 1.0, (-1.0, 0.62, 0.86, 1.0)),
@@ -108,11 +110,19 @@ def threshold_grid(runs: DataFrame, target_far: float) -> DataFrame:
 
 
 def latency_quantiles(samples: DataFrame, value: str, *keys: str) -> DataFrame:
-    """min, median, p95 (nearest rank: half-even round of 0.95 n + 0.5) and max."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    at = F.least(n, F.greatest(F.lit(1), F.bround(0.95 * n + 0.5, 0).cast("bigint")))
-    placed = samples.withColumn("_p95", F.row_number().over(order) == at)
-    return placed.groupBy(*keys).agg(
-        F.min(value).alias("min"), F.median(value).alias("median"), F.max(F.when(F.col("_p95"), F.col(value))).alias("p95"), F.max(value).alias("max")
+    """min, median, p95 (nearest rank: half-even round of 0.95 n + 0.5) and max.
+
+    Equal values are counted before the shuffle, and ranks run over the counts.
+    Null values don't count.
+    """
+    v, n, upto, whole, at = (fresh_name(samples, c) for c in ("value", "n", "upto", "whole", "at"))
+    counted = samples.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias(v)).agg(F.count(F.lit(1)).alias(n))
+    order = Window.partitionBy(*keys).orderBy(v)
+    ranked = counted.withColumns({upto: F.sum(n).over(order), whole: F.sum(n).over(Window.partitionBy(*keys))})
+    ranked = ranked.withColumn(at, F.least(F.col(whole), F.greatest(F.lit(1), F.bround(0.95 * F.col(whole) + 0.5, 0).cast("bigint"))))
+    holds = lambda rank: (F.col(upto) >= rank) & (F.col(upto) - F.col(n) < rank)
+    lower, upper = F.floor((F.col(whole) + 1) / 2), F.floor(F.col(whole) / 2) + 1
+    pick = lambda rank: F.max(F.when(holds(rank), F.col(v)))
+    return ranked.groupBy(*keys).agg(
+        F.min(v).alias("min"), ((pick(lower) + pick(upper)) / 2).alias("median"), pick(F.col(at)).alias("p95"), F.max(v).alias("max")
     )

@@ -9,6 +9,7 @@ default.
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.functions.texts import ANGLE_ALIASES, ANGLES
 from tessella.operators import retrieval as R
@@ -55,12 +56,36 @@ def _controls(spark: SparkSession) -> DataFrame:
 
 def best_view_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best view of the five best objects of each query view."""
-    from pyspark.sql.window import Window
+    return R.best_objects(*_sides(spark, sf_dir), 5, POLICY).withColumn("similarity", r6("similarity"))
 
+
+def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views with every kind of damage planted by fixed rules."""
+    i = F.col("view_id")
+    vector = (
+        F.when(i % 41 == 1, F.lit(None)).when(i % 41 == 2, F.slice("vector", 1, 8)).when(i % 41 == 3, F.transform("vector", lambda x: x * 0))
+        .when(i % 41 == 4, F.transform("vector", lambda x: F.lit(float("nan")).cast("float"))).otherwise(F.col("vector"))
+    )
+    quality = F.when(i % 41 == 5, F.lit(None)).when(i % 41 == 6, 1.5).otherwise(F.col("quality"))
+    damaged = views(spark, sf_dir).withColumns({"vector": vector, "quality": quality})
+    return damaged.withColumn("object_id", F.when(F.col("view_id") % 41 != 7, F.col("object_id")))
+
+
+def view_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.view_violations(_dirty(spark, sf_dir), 64, "object_id")
+
+
+def sound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best objects of each sound query view among the sound views of the damaged gallery."""
+    every = _dirty(spark, sf_dir)
+    return R.best_objects(every.where("is_query"), every, 2, POLICY).withColumn("similarity", r6("similarity"))
+
+
+def view_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All objects of each query view by falling similarity, ties by object."""
     scored = R.view_scores(*_sides(spark, sf_dir), POLICY)
     order = Window.partitionBy("query_view").orderBy(F.desc("similarity"), "object_id")
-    top = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
-    return top.select("query_view", "rank", "object_id", "best_view", r6("similarity").alias("similarity"))
+    return scored.select("query_view", F.row_number().over(order).alias("position"), "object_id")
 
 
 def unit_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,21 +111,51 @@ def runner_up_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("capture_id", "kind", "object_id", r6("score").alias("score"), r6("margin").alias("margin"))
 
 
+def counterfeit_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admissible negatives of each capture by weighted score."""
+    weighted = _hits(spark, sf_dir).join(_controls(spark), "object_id").where("kind = 'negative' and admissible")
+    weighted = weighted.withColumn("weighted", F.col("score") * F.col("weight"))
+    order = Window.partitionBy("capture_id").orderBy(F.desc("weighted"), "object_id")
+    return weighted.select("capture_id", F.row_number().over(order).alias("position"), "object_id", r6("weighted").alias("weighted"))
+
+
+def negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as records of known negatives, disputed or not by their balance."""
+    balance = F.col("s_acctbal")
+    dispute = F.when(balance < 0, "ACTIVE").when(balance < 3000, "RESOLVED").when(balance < 8000, "NO_KNOWN_DISPUTE")
+    status, admissible, weight = R.negative_control(dispute)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", status.alias("review_status"), admissible.alias("admissible"), weight.alias("weight"))
+
+
+def _signal(hits: DataFrame, spark: SparkSession) -> DataFrame:
+    return R.negative_signal(hits, _controls(spark), POLICY)
+
+
+def _decision(hits: DataFrame, signal: DataFrame) -> DataFrame:
+    return R.identity_decision(hits, signal, hits.select("capture_id").where("capture_id % 7 = 3"), POLICY)
+
+
 def counterfeit_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signal = R.negative_signal(_hits(spark, sf_dir), _controls(spark), POLICY)
-    return signal.withColumn("weighted_score", r6("weighted_score"))
+    return _signal(_hits(spark, sf_dir), spark).withColumns({c: r6(c) for c in ("weighted_score", "catalog_delta", "top_score")})
 
 
 def identity_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _hits(spark, sf_dir)
-    signal = R.negative_signal(hits, _controls(spark), POLICY)
-    replays = hits.select("capture_id").where("capture_id % 7 = 3")
-    decided = R.identity_decision(hits, signal, replays, POLICY)
-    return decided.withColumns({"score": r6("score"), "margin": r6("margin")})
+    return _decision(hits, _signal(hits, spark)).withColumns({"score": r6("score"), "margin": r6("margin")})
 
 
 def related_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.related_objects(_hits(spark, sf_dir), POLICY)
+    return R.related_objects(_hits(spark, sf_dir), POLICY).withColumn("score", r6("score"))
+
+
+def related_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.related_decision(_hits(spark, sf_dir), POLICY)
+
+
+def recognition_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _hits(spark, sf_dir)
+    signal = _signal(hits, spark)
+    return R.recognition_status(_decision(hits, signal), R.related_decision(hits, POLICY), signal)
 
 
 def recapture_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,31 +243,48 @@ WITH raw AS (
   WHERE kind = 'negative'
 ), top_negative AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY weighted DESC NULLS LAST, object_id) AS k,
-    count(*) FILTER (weighted IS NULL) OVER (PARTITION BY capture_id) AS excluded FROM negatives) WHERE k = 1
+    count(*) FILTER (weighted IS NULL) OVER (PARTITION BY capture_id) AS excluded, max(score) OVER (PARTITION BY capture_id) AS top_score FROM negatives) WHERE k = 1
 ), gates AS (
   SELECT t.*, weighted >= {POLICY.negative_score} AS g1, similarity_coverage >= {POLICY.negative_coverage} AS g2,
     quality_score >= {POLICY.negative_quality} AS g3, (SELECT max(score) FROM hits h WHERE h.capture_id = t.capture_id AND kind = 'catalog') AS catalog
   FROM top_negative t
 ), signal AS (
-  SELECT capture_id, object_id, weighted AS weighted_score, g1 AND g2 AND g3 AS triggered,
+  SELECT capture_id, object_id, weighted AS weighted_score, weighted - catalog AS catalog_delta, top_score, g1 AND g2 AND g3 AS triggered,
     CASE WHEN g1 AND g2 AND g3 AND review_status = 'verified' THEN 'STRONG' WHEN g1 AND g2 AND g3 THEN 'WEAK' ELSE 'NONE' END AS strength,
     g1 AND g2 AND g3 AND review_status = 'verified' AND weighted >= catalog - {POLICY.same_margin} AS competes, excluded,
-    concat_ws(',', CASE WHEN NOT g1 THEN 'score' END, CASE WHEN NOT g2 THEN 'coverage' END, CASE WHEN NOT g3 THEN 'quality' END) AS reasons
+    coalesce(nullif(concat_ws(',', CASE WHEN NOT g1 THEN 'NEGATIVE_REFERENCE_SCORE_BELOW_THRESHOLD' END, CASE WHEN NOT g2 THEN 'NEGATIVE_REFERENCE_COVERAGE_BELOW_THRESHOLD' END,
+      CASE WHEN NOT g3 THEN 'NEGATIVE_REFERENCE_QUALITY_BELOW_THRESHOLD' END), ''), 'NEGATIVE_REFERENCE_SIGNAL_GATES_PASSED') AS reasons
   FROM gates
-), decided AS (
+), related AS (
+  SELECT capture_id, object_id, score, score >= {POLICY.related_score} AS r1, similarity_coverage >= {POLICY.related_coverage} AS r2,
+    quality_score >= {POLICY.related_quality} AS r3, rank FROM ranked WHERE kind = 'catalog'
+), relation AS (
+  SELECT capture_id, count(*) FILTER (r1 AND r2 AND r3) AS n_related, any_value(concat_ws(',', CASE WHEN NOT r1 THEN 'SCORE_BELOW_RELATED_THRESHOLD' END,
+    CASE WHEN NOT r2 THEN 'RELATED_VIEW_COVERAGE_BELOW_THRESHOLD' END, CASE WHEN NOT r3 THEN 'RELATED_IMAGE_QUALITY_BELOW_THRESHOLD' END)) FILTER (rank = 1) AS failed
+  FROM related GROUP BY capture_id
+), judged AS (
   SELECT r.*, r.score >= {POLICY.same_score} AS s1, coalesce(r.margin >= {POLICY.same_margin}, true) AS s2,
     r.coverage >= {POLICY.same_coverage} AS s3, len(angles) >= {POLICY.same_angles} AS s4, quality_score >= {POLICY.same_quality} AS s5,
     NOT coalesce(signal.competes, false) AS s7, r.capture_id % 7 <> 3 AS s8,
     r.score >= {POLICY.related_score} AND similarity_coverage >= {POLICY.related_coverage} AND quality_score >= {POLICY.related_quality} AS rel
   FROM ranked r LEFT JOIN signal USING (capture_id) WHERE rank = 1 AND kind = 'catalog'
+), decided AS (
+  SELECT *, s1 AND s2 AND s3 AND s4 AND s5 AND s7 AND s8 AS accepted,
+    CASE WHEN NOT s8 THEN 'EXACT_MEDIA_REPLAY' WHEN s1 AND s2 AND s3 AND s4 AND s5 AND s7 THEN 'KNOWN_ARTIFACT_CANDIDATE'
+      WHEN NOT (s5 AND s3 AND s4) THEN 'INSUFFICIENT_CAPTURE' WHEN rel THEN 'RELATED_REFERENCES_ONLY' ELSE 'OPEN_SET_NO_MATCH' END AS status FROM judged
 )
 """
 
+_SOUND = HITS_SQL + """, damaged AS (
+  SELECT *, CASE view_id % 41 WHEN 1 THEN 'EMPTY_VECTOR' WHEN 2 THEN 'WRONG_DIMENSION' WHEN 3 THEN 'ZERO_LENGTH' WHEN 4 THEN 'NOT_FINITE'
+    WHEN 5 THEN 'QUALITY_OUT_OF_RANGE' WHEN 6 THEN 'QUALITY_OUT_OF_RANGE' WHEN 7 THEN 'MISSING_OBJECT_ID' END AS reason FROM views
+)
+"""
 QUERIES = {
     f.__name__: f
     for f in (
-        best_view_topk, unit_centroid, object_score, angle_coverage, runner_up_margin, counterfeit_signal, identity_decision,
-        related_objects, recapture_hints, strict_matches,
+        best_view_topk, view_violations, sound_topk, view_order, unit_centroid, object_score, angle_coverage, runner_up_margin, counterfeit_signal,
+        counterfeit_ranking, negative_controls, identity_decision, related_objects, related_decision, recognition_status, recapture_hints, strict_matches,
     )
 }
 SQL = {
@@ -225,19 +297,31 @@ SQL = {
       round(similarity_coverage, 6) AS similarity_coverage FROM hits""",
     "runner_up_margin": HITS_SQL + """SELECT capture_id, kind, object_id, round(score, 6) AS score, round(margin, 6) AS margin
       FROM ranked WHERE rank = 1""",
-    "counterfeit_signal": HITS_SQL + """SELECT capture_id, object_id, round(weighted_score, 6) AS weighted_score, triggered, strength, competes,
-      excluded, reasons FROM signal""",
-    "identity_decision": HITS_SQL + """SELECT capture_id, CASE WHEN s1 AND s2 AND s3 AND s4 AND s5 AND s7 AND s8 THEN object_id END AS object_id,
-      round(score, 6) AS score, round(margin, 6) AS margin,
-      CASE WHEN NOT s8 THEN 'EXACT_MEDIA_REPLAY' WHEN s1 AND s2 AND s3 AND s4 AND s5 AND s7 THEN 'KNOWN_CANDIDATE'
-        WHEN NOT (s5 AND s3 AND s4) THEN 'INSUFFICIENT_CAPTURE' WHEN rel THEN 'RELATED_ONLY' ELSE 'NO_MATCH' END AS status,
-      concat_ws(',', CASE WHEN NOT s1 THEN 'score' END, CASE WHEN NOT s2 THEN 'margin' END, CASE WHEN NOT s3 THEN 'coverage' END,
-        CASE WHEN NOT s4 THEN 'angles' END, CASE WHEN NOT s5 THEN 'quality' END, CASE WHEN NOT s7 THEN 'no_negative' END,
-        CASE WHEN NOT s8 THEN 'no_replay' END) AS failed FROM decided""",
-    "related_objects": HITS_SQL + f"""SELECT capture_id, count(*) FILTER (ok) AS n_related,
-      coalesce(string_agg(CAST(object_id AS VARCHAR), ',' ORDER BY score DESC, object_id) FILTER (ok), '') AS related
-      FROM (SELECT *, score >= {POLICY.related_score} AND similarity_coverage >= {POLICY.related_coverage}
-        AND quality_score >= {POLICY.related_quality} AS ok FROM hits WHERE kind = 'catalog') GROUP BY capture_id""",
+    "view_violations": _SOUND + "SELECT view_id, reason FROM damaged WHERE reason IS NOT NULL",
+    "sound_topk": _SOUND + """SELECT * FROM (SELECT query_view, row_number() OVER (PARTITION BY query_view ORDER BY s DESC, object_id) AS rank, object_id, best_view,
+      round(s, 6) AS similarity FROM (SELECT q.view_id AS query_view, g.object_id, max(round(list_inner_product(q.v, g.v), 9)) AS s,
+      arg_max(g.view_id, (round(list_inner_product(q.v, g.v), 9), -g.view_id)) AS best_view FROM damaged q JOIN damaged g ON q.view_id <> g.view_id
+      WHERE q.is_query AND coalesce(q.reason, 'MISSING_OBJECT_ID') = 'MISSING_OBJECT_ID' AND g.reason IS NULL GROUP BY 1, 2)) WHERE rank <= 2""",
+    "view_order": HITS_SQL + "SELECT query_view, row_number() OVER (PARTITION BY query_view ORDER BY similarity DESC, object_id) AS position, object_id FROM best",
+    "counterfeit_signal": HITS_SQL + """SELECT capture_id, object_id, round(weighted_score, 6) AS weighted_score, round(catalog_delta, 6) AS catalog_delta,
+      round(top_score, 6) AS top_score, triggered, strength, competes, excluded, reasons FROM signal""",
+    "counterfeit_ranking": HITS_SQL + """SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY weighted DESC, object_id) AS position, object_id,
+      round(weighted, 6) AS weighted FROM negatives WHERE weighted IS NOT NULL""",
+    "negative_controls": """SELECT s_suppkey, CASE WHEN ok THEN 'verified' ELSE 'disputed' END AS review_status, ok AS admissible, CASE WHEN ok THEN 1.0 ELSE 0.0 END AS weight
+      FROM (SELECT s_suppkey, s_acctbal >= 0 AND s_acctbal < 8000 AS ok FROM supplier)""",
+    "identity_decision": HITS_SQL + """SELECT capture_id, CASE WHEN accepted THEN object_id END AS object_id, round(score, 6) AS score, round(margin, 6) AS margin, accepted, status,
+      coalesce(nullif(concat_ws(',', CASE WHEN NOT s1 THEN 'SCORE_BELOW_SAME_ARTIFACT_THRESHOLD' END, CASE WHEN NOT s2 THEN 'RUNNER_UP_MARGIN_BELOW_THRESHOLD' END,
+        CASE WHEN NOT s3 THEN 'QUERY_VIEW_COVERAGE_BELOW_THRESHOLD' END, CASE WHEN NOT s4 THEN 'INSUFFICIENT_COMPLEMENTARY_DECLARED_ANGLES' END,
+        CASE WHEN NOT s5 THEN 'IMAGE_QUALITY_BELOW_THRESHOLD' END, CASE WHEN NOT s7 THEN 'KNOWN_COUNTERFEIT_REFERENCE_CONFLICT' END,
+        CASE WHEN NOT s8 THEN 'EXACT_MEDIA_REPLAY' END), ''), 'PASSED_ALL_IDENTITY_GATES') AS reasons FROM decided""",
+    "related_objects": HITS_SQL + """SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY score DESC, object_id) AS position, object_id,
+      round(score, 6) AS score FROM related WHERE r1 AND r2 AND r3""",
+    "related_decision": HITS_SQL + """SELECT capture_id, n_related, n_related > 0 AS accepted, CASE WHEN n_related > 0 THEN 'related_candidates' ELSE 'no_reliable_related_candidate' END AS status,
+      coalesce(nullif(failed, ''), 'RELATED_GATES_PASSED') AS reasons FROM relation""",
+    "recognition_status": HITS_SQL + f"""SELECT capture_id, CASE WHEN NOT accepted AND n_related = 0 AND status NOT IN ('INSUFFICIENT_CAPTURE', 'CALIBRATION_REQUIRED', 'EXACT_MEDIA_REPLAY')
+      THEN 'OPEN_SET_NO_MATCH' ELSE status END AS status, CASE WHEN triggered AND competes THEN 'CONFLICT_REVIEW' WHEN triggered THEN 'STRONG_SIGNAL'
+      WHEN top_score >= {R.WEAK_SIGNAL_FROM} THEN 'WEAK_SIGNAL' WHEN top_score IS NOT NULL THEN 'NO_SIGNAL' ELSE 'NOT_RUN' END AS cross_check
+      FROM decided JOIN relation USING (capture_id) JOIN signal USING (capture_id)""",
     "recapture_hints": HITS_SQL + f""", shot AS (SELECT capture_id, angle, max(quality) AS q FROM views WHERE is_query AND angle IS NOT NULL GROUP BY ALL),
       wanted AS (SELECT capture_id, unnest([{_known}]) AS angle FROM (SELECT DISTINCT capture_id FROM views WHERE is_query))
       SELECT capture_id, angle, CASE WHEN q IS NULL THEN 'MISSING_ANGLE' ELSE 'LOW_QUALITY' END AS reason
