@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.skew import spread_join
-from tessella.sources.shared import discard, materialise
+from tessella.sources.shared import discard, materialise, owning
 
 
 def _with_least(edges: DataFrame, around: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
@@ -43,15 +43,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         large, least = _large_star(now, n_edges)
         between = materialise(large.distinct(), "edges")
-        discard(now)
-        discard(least)
+        discard(now, least)
         small, least = _small_star(between, between.count())
         now = materialise(small.distinct(), "edges")
-        discard(between)
-        discard(least)
+        discard(between, least)
         n_edges, digest = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == (n_edges, digest):
             break
         mark = n_edges, digest
     roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+    return owning(found, now)

@@ -40,14 +40,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._tessella_path = path
+    out._tessella_paths = [path]
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote and nothing reads any more."""
-    path = getattr(df, "_tessella_path", None)
-    if path:
+def owning(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, which reads ``tables``; they go with it when it is discarded."""
+    df._tessella_paths = [path for table in tables for path in getattr(table, "_tessella_paths", ())]
+    return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these tables, once nothing reads them any more."""
+    for df in tables:
         spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        for path in getattr(df, "_tessella_paths", ()):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        df._tessella_paths = []
