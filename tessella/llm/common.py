@@ -3,7 +3,7 @@
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Lower-cases A-Z and turns every ASCII byte that is no digit or letter into a
@@ -28,7 +28,8 @@ def bytes_udf(batch: Callable[[list[bytes]], pa.Array], returns: str) -> Callabl
     """An Arrow UDF over the UTF-8 bytes of one string column.
 
     It is marked non-deterministic so that Spark evaluates it once a row, even
-    where a filter and a projection both use its result.
+    where a filter and a projection both use its result. Spark bounds a batch by
+    64 MB, so a worker's memory doesn't hang on the length of texts.
     """
 
     @F.arrow_udf(returns)
@@ -38,20 +39,6 @@ def bytes_udf(batch: Callable[[list[bytes]], pa.Array], returns: str) -> Callabl
     return run.asNondeterministic()
 
 
-def fresh_name(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` doesn't have, whatever columns it came with."""
-    taken = {c.lower() for c in df.columns}
-    while base.lower() in taken:
-        base += "_"
-    return base
-
-
 def struct_array(fields: list[tuple[str, pa.DataType, list]]) -> pa.StructArray:
     arrays = [pa.array(values, type=kind) for _, kind, values in fields]
     return pa.StructArray.from_arrays(arrays, names=[name for name, _, _ in fields])
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send whole texts to Python in batches of at most ``rows`` rows (and of 64 MB,
-    Spark's own bound), so that a worker's memory doesn't hang on text length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bytes_udf, fresh_name, struct_array, words_of
-from tessella.sources.shared import materialise
+from tessella.functions.texts import fresh_name
+from tessella.llm.common import bytes_udf, struct_array, words_of
+from tessella.sources.shared import discard, materialise
 
 WINDOW_WORDS = 10
 #: Patterns searched in one pass; larger benchmarks take several passes.
@@ -151,15 +152,16 @@ def find_contamination(
     block needs no shuffle at all. A null text has no words and no hits; an
     empty benchmark hits nothing; items without id or words are left out.
     """
-    patterns = materialise(benchmark_patterns(benchmark, size), "patterns")
-    n_blocks = max(1, -(-patterns.count() // block_patterns))
-    patterns = patterns.withColumn("block", F.pmod(F.xxhash64("pattern", "item"), F.lit(n_blocks)))
+    stored = materialise(benchmark_patterns(benchmark, size), "patterns")
+    n_blocks = max(1, -(-stored.count() // block_patterns))
+    patterns = stored.withColumn("block", F.pmod(F.xxhash64("pattern", "item"), F.lit(n_blocks)))
     spark, part, result = docs.sparkSession, fresh_name(docs, "part"), docs
+    before = None
     for block in range(n_blocks):
-        table: dict[bytes, tuple[str, ...]] = defaultdict(tuple)
+        table: dict[bytes, list[str]] = defaultdict(list)
         for row in patterns.where(F.col("block") == block).select("pattern", "item").toLocalIterator():
-            table[bytes(row.pattern)] += (row.item,)
-        scan = _scanner(spark, dict(table))
+            table[bytes(row.pattern)].append(row.item)
+        scan = _scanner(spark, {pattern: tuple(items) for pattern, items in table.items()})
         if block == 0:
             result = result.withColumn(out_col, scan(F.col(text_col)))
         else:
@@ -175,6 +177,10 @@ def find_contamination(
             result = result.drop(part)
         if n_blocks > 1:
             result = materialise(result, "contamination")
+            if before is not None:
+                discard(before)
+            before = result
+    discard(stored)
     return result
 
 

@@ -24,6 +24,8 @@ GREY, BITS = 0, 8
 
 WIDTH = 576
 PAD = 255
+#: Rows of a picture that are filtered at a time, whatever its height.
+ROWS = 1024
 GRID, LOW = 32, 8
 RESULT = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string>"
 
@@ -41,21 +43,32 @@ def pad_payload(data: bytes, width: int = WIDTH) -> bytes:
     return data + bytes([PAD]) * (-len(data) % width if data else width)
 
 
-def encode_png(pixels: np.ndarray, level: int = 1) -> bytes:
-    """A grey PNG of a two-dimensional uint8 array."""
+def _filter_rows(pixels: np.ndarray, before: np.ndarray) -> bytes:
+    """Each row by the best of filters 0 to 2, with the filter's number; ``before`` is the row above the first."""
     height, width = pixels.shape
     left = np.zeros_like(pixels)
     left[:, 1:] = pixels[:, :-1]
-    above = np.zeros_like(pixels)
-    above[1:] = pixels[:-1]
-    filtered = np.stack([pixels, pixels - left, pixels - above])  # filters 0, 1, 2
+    above = np.concatenate([before[None], pixels[:-1]])
+    filtered = np.stack([pixels, pixels - left, pixels - above])
     weight = np.abs(filtered.view(np.int8).astype(np.int16)).sum(axis=2)
     best = weight.argmin(axis=0)
     rows = np.empty((height, width + 1), np.uint8)
     rows[:, 0] = best
     rows[:, 1:] = filtered[best, np.arange(height)]
+    return rows.tobytes()
+
+
+def encode_png(pixels: np.ndarray, level: int = 1) -> bytes:
+    """A grey PNG of a two-dimensional uint8 array, filtered and deflated ``ROWS`` rows at a time."""
+    height, width = pixels.shape
+    deflate = zlib.compressobj(level)
+    parts = []
+    for at in range(0, height, ROWS):
+        before = pixels[at - 1] if at else np.zeros(width, np.uint8)
+        parts.append(deflate.compress(_filter_rows(pixels[at : at + ROWS], before)))
+    parts.append(deflate.flush())
     header = struct.pack(">IIBBBBB", width, height, BITS, GREY, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", b"".join(parts)) + _chunk(b"IEND", b"")
 
 
 def _paeth_row(row: np.ndarray, above: np.ndarray) -> np.ndarray:
@@ -128,12 +141,12 @@ def _averaged(pixels: np.ndarray, cells: int) -> np.ndarray:
     widths = np.maximum(edges[1:] - starts, 1)
     if pixels.shape[0] < cells:
         return pixels[starts]
-    return np.add.reduceat(pixels, starts, axis=0) / widths[:, None]
+    return np.add.reduceat(pixels, starts, axis=0, dtype=np.float64) / widths[:, None]
 
 
 def cosine_hash(pixels: np.ndarray) -> str:
     """16 hex digits: which of the lowest 8 x 8 cosine coefficients exceed their median."""
-    small = _averaged(_averaged(pixels.astype(np.float64), GRID).T, GRID).T
+    small = _averaged(_averaged(pixels, GRID).T, GRID).T
     low = (COSINES @ small @ COSINES.T).ravel()
     return np.packbits(low > np.median(low[1:])).tobytes().hex()
 

@@ -157,11 +157,11 @@ def _logit(p: Column) -> Column:
 
 def _posterior(evidence: Column, path_posterior: Column, mean: float) -> Column:
     odds = _logit(evidence) + _logit(path_posterior) - _logit(F.lit(mean))
-    return 1 / (1 + F.exp(-odds))
+    return F.round(1 / (1 + F.exp(-odds)), 9)
 
 
 def add_posteriors(scored: DataFrame, sites: Sites) -> DataFrame:
-    """``scored`` (host, path, evidence) with host_posterior, path_posterior and posterior.
+    """``scored`` (host, path, evidence) with host_posterior, path_posterior and posterior (to nine places).
 
     Every path of ``scored`` is in ``sites``, which count each of its rows.
     """

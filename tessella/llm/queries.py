@@ -7,12 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, decontamination, language_model, licenses, media, quality, sharding, simhash, token_files, toxicity, word_model
-from tessella.llm.common import small_batches
 from tessella.llm.sql import DECONTAMINATION_SQL, LANGUAGE_MODEL_SQL, WORD_MODEL_SQL, sharding_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,6 +19,12 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, base phrase places and template spans of every document.
+
+    A null, empty or wordless text has n_words 0, null first_word and last_word,
+    empty labels and score 0. score is the largest share of a template that one
+    chain covers. Repeated rows each get a row.
+    """
     scanned = licenses.scan_licenses(_texts(spark, sf_dir)).select("doc_id", "licenses.*")
     first = F.col("base")["first"]
     base, spans = F.col("base")["label"], F.col("spans")["label"]
@@ -38,10 +42,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence, posteriors and decision of every document, its site read from ``source``.
+
+    A null text is empty, a null source a site of its own; repeated rows each
+    count and get a row.
+    """
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def byte_class_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op3, with n-grams over byte classes, small enough for a table; a companion of op3, not the operator."""
     docs = _texts(spark, sf_dir)
     flagged = language_model.flag_target(docs, _table(spark, sf_dir, "labels"))
     scored = language_model.cross_entropy_difference(docs, flagged, "target")
@@ -49,11 +59,22 @@ def byte_class_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_word_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of every document under the target and background word models.
+
+    A text without words has n_tokens 0, losses and score 0. Repeated rows each
+    count and get a row.
+    """
     scored = word_model.word_cross_entropy(_texts(spark, sf_dir), _table(spark, sf_dir, "labels"))
     return scored.withColumns({c: F.round(c, 6) + 0.0 for c in ("target_loss", "background_loss", "score")})
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows that occur in every document.
+
+    A null or wordless text has zeros, the digest of no items, and isn't
+    contaminated; null items and items without words are left out; equal texts
+    of several items name them all. Repeated rows each get a row.
+    """
     found = decontamination.find_contamination(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     c = F.col("contamination")
     return found.select(
@@ -67,6 +88,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by the law ``key``; grown_shard is that with one more shard.
+
+    A null text has size 1; null ids share a shard. Repeated rows each get a
+    slot of their own, in order of arrival.
+    """
     docs = _texts(spark, sf_dir).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
@@ -80,12 +106,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document's ids lie in the token files, as read back from them.
+
+    A null or empty text is just the end id. Null ids come first; rows with
+    equal ids follow each other in order of arrival.
+    """
     folder = token_files.token_folder(spark)
     parts = token_files.write_token_files(_texts(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), folder)
     return token_files.read_documents(spark, folder, parts)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's picture and of its samples, as read back.
+
+    A null or empty text is one row of padding. Equal texts give equal values.
+    """
     stored = media.add_png(_texts(spark, sf_dir)).select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "media"
     )
@@ -102,11 +137,20 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document.
+
+    Texts without words have fingerprint 0. component_id is null only where all
+    ids of a group are. Repeated rows each get a row.
+    """
     rows = simhash.near_duplicates(_texts(spark, sf_dir))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the text they decode to.
+
+    A null or empty text has no tokens. Repeated rows each get a row.
+    """
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     encoded = bpe.encode_texts(_texts(spark, sf_dir), vocabulary).select("doc_id", "ids")
     decoded = bpe.decode_ids(encoded, vocabulary)
@@ -119,10 +163,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each category for every document, and whether it is toxic.
+
+    A null or empty text has no features. Without labels every probability is
+    one half. Repeated rows each get a row.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scored = toxicity.add_toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "toxicity.*")
     names = {c: f"p_{c}" for c in toxicity.CATEGORIES}
-    return scored.withColumnsRenamed(names).withColumn("toxic", F.col("p_toxic") >= toxicity.TOXIC_FROM)
+    return scored.withColumnsRenamed(names).withColumn("toxic", F.col("p_toxic") > toxicity.TOXIC_ABOVE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

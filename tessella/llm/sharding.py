@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import fresh_name
+from tessella.functions.texts import fresh_name
 from tessella.sources.shared import materialise
 
 SHARDS_PER_RACK, RACKS_PER_REGION, BASE_SHARDS = 4, 2, 16
@@ -24,7 +24,10 @@ def layout(n_shards: int) -> Tree:
 
     Up to 16 shards fill racks of four, two racks a region. Each later shard is
     a region of its own, so that no standing subtree changes its weight: one
-    more shard takes rows only into itself.
+    more shard takes rows only into itself. That holds from 16 shards on; below,
+    a new shard raises the weight of its rack and region, and rows drawn there
+    may land beside it. A deep tree of many shards is passed to ``place`` as it
+    is, with the one it grows to.
     """
     tree: Tree = {}
     for shard in range(n_shards):
@@ -93,12 +96,12 @@ def add_slots(rows: DataFrame, shard_col: str, order: list[str], out_col: str =
     return numbered.withColumn(out_col, F.col(out_col) + F.col(before)).drop(arrival, part, before)
 
 
-def place(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", tree: Tree | None = None) -> DataFrame:
+def place(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", trees: tuple[Tree, Tree] | None = None) -> DataFrame:
     """``docs`` with ``shard`` and ``grown_shard`` (with one more shard), by the id alone.
 
-    Rows with equal ids, null ids among them, share a shard.
+    ``trees`` are those before and after growth, else the layouts of ``n_shards``
+    and one more. Rows with equal ids, null ids among them, share a shard.
     """
+    before, after = trees or (layout(n_shards), layout(n_shards + 1))
     key = key_text(id_col)
-    return docs.withColumns(
-        {"shard": shard_of(key, tree or layout(n_shards)), "grown_shard": shard_of(key, layout(n_shards + 1))}
-    )
+    return docs.withColumns({"shard": shard_of(key, before), "grown_shard": shard_of(key, after)})

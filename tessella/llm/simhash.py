@@ -28,10 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bytes_udf, fresh_name
+from tessella.functions.texts import fresh_name
+from tessella.llm.common import bytes_udf
 from tessella.operators.components import connected_components
 from tessella.operators.skew import spread_join
-from tessella.sources.shared import materialise
+from tessella.sources.shared import discard, materialise, owning
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -91,7 +92,8 @@ def _postings(fps: DataFrame, size: int) -> DataFrame:
         for place in places:
             key = F.shiftleft(key, 8) + _byte(fp, place)
         keys.append(key)
-    posted = fps.select("fp", F.explode(F.array(*keys)).alias("list"))
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # a row makes dozens
+    posted = spread.select("fp", F.explode(F.array(*keys)).alias("list"))
     lengths = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return materialise(posted.join(lengths, "list"), "postings")
 
@@ -143,12 +145,13 @@ def _star_links(fps: DataFrame) -> DataFrame:
     pairs = pairs.select("fp", "i", F.explode(F.sequence(F.least(F.col("i") + 1, F.lit(64)), F.lit(64))).alias("j"))
     patterns = pairs.select("fp", F.expr(f"fp ^ {bit.format('i')} ^ {bit.format('j')}").alias("pattern"))
     shared = patterns.groupBy("pattern").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = spread_join(patterns, materialise(shared, "patterns"), "pattern", "n", n * sum(comb(64, k) for k in range(3)))
-    return joined.where("fp <> v").select(F.col("fp").alias("u"), "v")
+    shared = materialise(shared, "patterns")
+    joined = spread_join(patterns, shared, "pattern", "n", n * sum(comb(64, k) for k in range(3)))
+    return owning(joined.where("fp <> v").select(F.col("fp").alias("u"), "v"), shared)
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Links (u, v) between distinct fingerprints ``fp`` at most four bits apart.
+    """Links (u, v) between distinct fingerprints ``fp`` at most four bits apart, written.
 
     Short lists give all their links; crowded ones enough of them to hold each
     group together.
@@ -162,12 +165,18 @@ def links(fps: DataFrame) -> DataFrame:
     middle = again.where((F.col("n") > SHORT_LIST) & (F.col("n") <= BLOCK))
     found = found.union(middle.select("list", "fp").groupBy("list").applyInArrow(_compare, "u bigint, v bigint"))
     rest = materialise(again.where(F.col("n") > BLOCK).select("fp").distinct(), "crowded")
-    return found.union(_star_links(rest)).distinct()
+    star = _star_links(rest)
+    linked = materialise(found.union(star).distinct(), "links")
+    discard(posted, again, rest, star)
+    return linked
 
 
 def fingerprint_groups(fps: DataFrame) -> DataFrame:
     """(fp, root) for the distinct fingerprints in ``fps`` that are linked to another."""
-    return connected_components(links(fps)).select(F.col("node").alias("fp"), "root")
+    linked = links(fps)
+    found = connected_components(linked)
+    discard(linked)
+    return owning(found.select(F.col("node").alias("fp"), "root"), found)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,13 +190,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     narrow = materialise(add_fingerprint(narrow, out_col="fp").select("doc_id", "text_hash", "fp"), "fingerprints")
     fps = narrow.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("documents"))
     fps = materialise(fps, "distinct")
-    groups = fps.join(fingerprint_groups(fps.select("fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = materialise(groups, "groups")
+    linked = fingerprint_groups(fps.select("fp"))
+    groups = materialise(fps.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "groups")
+    discard(fps, linked)
     total, n_fps = groups.agg(F.sum("documents"), F.count(F.lit(1))).first()
     least = groups.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = spread_join(groups.select("fp", "root", "documents"), materialise(least, "roots"), "root", "n", n_fps)
-    found = spread_join(narrow, materialise(named, "named"), "fp", "documents", total or 0)
-    return found.select("doc_id", F.col("fp").alias("fingerprint"), "root", "component_id", "text_hash")
+    least = materialise(least, "roots")
+    named = materialise(spread_join(groups.select("fp", "root", "documents"), least, "root", "n", n_fps), "named")
+    discard(groups, least)
+    found = spread_join(narrow, named, "fp", "documents", total or 0)
+    return owning(found.select("doc_id", F.col("fp").alias("fingerprint"), "root", "component_id", "text_hash"), narrow, named)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +210,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The radius is that of ``near_duplicates``, much narrower than a similarity of
     0.8 (README): most such pairs both stay unless a chain links them.
     """
-    rows = materialise(near_duplicates(docs, id_col, text_col), "near_duplicates")
+    found = near_duplicates(docs, id_col, text_col)
+    rows = materialise(found, "near_duplicates")
+    discard(found)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     best = rows.groupBy("root").agg(F.min(order).alias("best"))
     best = best.select(F.col("best.doc_id").alias("best_id"), F.col("best.text_hash").alias("best_hash"))

@@ -223,7 +223,7 @@ def _document_checksums(folder: str, part: int) -> Iterator[pa.RecordBatch]:
 def read_documents(spark: SparkSession, folder: str, parts: DataFrame, id_type: str = "bigint") -> DataFrame:
     """One row a document, from the files alone: doc_id, start, n_tokens, ids_crc32.
 
-    ``parts`` is what ``write_token_files`` returned; one task reads one part.
+    ``parts`` is what ``write_token_files`` returned; parts are dealt by range, one to a task.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def read_documents(spark: SparkSession, folder: str, parts: DataFrame, id_type:
                     )
 
     n = max(1, parts.count())
-    todo = parts.select("part", "first").repartition(n, "part")
+    todo = parts.select("part", "first").repartitionByRange(n, "part")
     return todo.mapInArrow(read, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

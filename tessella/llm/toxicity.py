@@ -14,7 +14,6 @@ Features are words and their beginnings, chosen on the sample by how much more
 often toxic rows have them.
 """
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,16 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bytes_udf, fresh_name, struct_array, words_of
+from tessella.functions.texts import fresh_name
+from tessella.llm.common import bytes_udf, struct_array, words_of
 from tessella.llm.linear import fit_logistic, predict
 from tessella.llm.sampling import labelled_sample
+from tessella.llm.tokenizers import Memo
+from tessella.sources.shared import discard
 
-#: Labelled rows that the chain is fitted on, and features it uses, at most.
+#: Labelled rows that the chain is fitted on, and features it uses, at most: the
+#: size of the model, which is the same for every corpus and drops no document.
 SAMPLE_ROWS = 6000
 MOST_FEATURES = 400
 FOLDS = 5
 RIDGE = 0.2
-TOXIC_FROM = 0.5
+TOXIC_ABOVE = 0.5
 CATEGORIES = ("kind_1", "kind_2", "toxic")
 MEANS_ROUNDS = 50
 
@@ -46,14 +49,20 @@ def terms_of(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in range(3, min(len(word), 9)))]
 
 
-def vector(text: bytes, index: dict[str, int]) -> np.ndarray:
+class Places(Memo):
+    """word -> the places of the chosen features that it has; most words have none."""
+
+    def __init__(self, index: dict[str, int]):
+        super().__init__(lambda word: [index[t] for t in terms_of(word) if t in index], longest=64)
+        self.size = len(index)
+
+
+def vector(text: bytes, places: Places) -> np.ndarray:
     """How often each chosen feature occurs, as log(1 + n)."""
-    counts = np.zeros(len(index))
-    for word, n in Counter(letters_of(text)).items():
-        for term in terms_of(word):
-            at = index.get(term)
-            if at is not None:
-                counts[at] += n
+    counts = np.zeros(places.size)
+    for word in letters_of(text):
+        for at in places[word]:
+            counts[at] += 1
     return np.log1p(counts)
 
 
@@ -142,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int =
     index = {term: i for i, term in enumerate(_choose(sample, most))}
 
     def batch(texts: list[bytes]) -> pa.Array:
-        found = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in (vector(t, index) for t in texts)]
+        places = Places(index)
+        found = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in (vector(t, places) for t in texts)]
         return struct_array(
             [
                 ("at", pa.list_(pa.int32()), [a for a, _ in found]),
@@ -152,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int =
 
     measured = bytes_udf(batch, "struct<at:array<int>,value:array<double>>")
     got = sample.select("id", "lang", "y", measured("text").alias("m")).orderBy(F.xxhash64("id"), "id").collect()  # at most ``rows``
+    discard(sample)
     x = np.zeros((len(got), len(index)))
     for i, r in enumerate(got):
         x[i, r.m["at"]] = r.m["value"]
@@ -166,10 +177,10 @@ def add_toxicity(docs: DataFrame, chain: ToxicityChain, text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def batch(texts: list[bytes]) -> pa.Array:
-        model = shared.value
+        model, places = shared.value, Places(shared.value.index)
         parts = [np.empty((0, len(CATEGORIES)))]
         for at in range(0, len(texts), 500):
-            x = np.array([vector(t, model.index) for t in texts[at : at + 500]]).reshape(-1, len(model.index))
+            x = np.array([vector(t, places) for t in texts[at : at + 500]])
             parts.append(model.probabilities(x))
         p = np.concatenate(parts)
         return pa.StructArray.from_arrays([pa.array(p[:, i]) for i in range(len(CATEGORIES))], names=list(CATEGORIES))
@@ -178,8 +189,8 @@ def add_toxicity(docs: DataFrame, chain: ToxicityChain, text_col: str = "text",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents whose probability of toxicity is below one half, columns unchanged."""
+    """The documents whose probability of toxicity is at most one half, columns unchanged; without labels all."""
     name = fresh_name(docs, "toxicity")
     scored = add_toxicity(docs, fit(docs, labels, rows), out_col=name)
-    return scored.where(~(F.col(name)["toxic"] >= TOXIC_FROM)).drop(name)
+    return scored.where(F.col(name)["toxic"] <= TOXIC_ABOVE).drop(name)
 
