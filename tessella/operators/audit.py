@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.functions.texts import fresh_name
+from tessella.sources.shared import materialise
+
 GENESIS = "GENESIS"
 
 
@@ -39,38 +42,106 @@ def chain_append(rows: DataFrame, key: str, order: str, body: Column) -> DataFra
     return dealt.mapInArrow(link, schema).withColumnsRenamed({"key": key, "order": order})
 
 
-def chain_verify(chain: DataFrame, key: str, order: str, recomputed: Column) -> DataFrame:
+def chain_verify(chain: DataFrame, key: str, order: str, recomputed: Column, states: DataFrame | None = None) -> DataFrame:
     """For each key: entries, the first failing one and why, and the last good hash.
 
-    ``chain``: key, order, prev_hash, event_hash. A wrong link is named before a
-    wrong hash of the same entry; null hashes fail.
+    ``chain``: key, order, prev_hash, event_hash; ``recomputed`` is the hash that
+    an entry ought to have. A wrong link is named before a wrong hash of the same
+    entry; null hashes fail. ``latest_hash`` is the hash before the failing entry,
+    or the last one.
+
+    ``states``, if given, has a row a key: tail_hash, state_hash, and what the
+    newest entry says of the state, expected_hash (null: nothing). The tail must
+    be the last hash, and the state's hash the expected one; the last entry is
+    then named as the failing one. ``bound`` says whether the state was held
+    against a hash. A key with a state but no entries has the first hash as its
+    last; a key without a state fails for its tail.
     """
+    r, f, z = (fresh_name(chain, c) for c in ("reason", "failure", "last"))
     before = F.lag("event_hash", 1, GENESIS).over(Window.partitionBy(key).orderBy(order))
     reason = F.when(~F.col("prev_hash").eqNullSafe(before), "previous hash mismatch").when(
         ~F.col("event_hash").eqNullSafe(recomputed), "event hash mismatch"
     )
-    checked = chain.withColumn("_reason", reason)
+    entry = F.struct(F.col(order).alias("seq"), F.col(r).alias("reason"), F.col(z).alias("hash"))
+    checked = chain.withColumns({r: reason, z: before})
     out = checked.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_events"), F.min(F.when(F.col("_reason").isNotNull(), F.struct(order, "_reason"))).alias("f")
+        F.count(F.lit(1)).alias("n_events"),
+        F.min(F.when(F.col(r).isNotNull(), entry)).alias(f),
+        F.max(F.struct(F.col(order).alias("seq"), F.col("event_hash").alias("hash"))).alias(z),
+    )
+    latest = F.coalesce(F.when(F.col(f).isNotNull(), F.col(f)["hash"]).otherwise(F.col(z)["hash"]), F.lit(GENESIS))
+    found = out.select(
+        F.col(key).alias("k"), "n_events", F.col(f)["seq"].alias("failure_seq"), F.col(f)["reason"].alias("reason"), latest.alias("latest_hash"), F.col(z)["seq"].alias("last_seq")
     )
-    return out.select(
-        key, "n_events", F.col(f"f.{order}").alias("failure_seq"), F.coalesce("f._reason", F.lit("ok")).alias("reason"), F.col("f").isNull().alias("valid")
+    if states is not None:
+        s = states.select(F.col(key).alias("state_key"), "tail_hash", "state_hash", "expected_hash")
+        found = found.join(s, F.col("k").eqNullSafe(F.col("state_key")), "full_outer").withColumns(
+            {"k": F.coalesce("k", "state_key"), "n_events": F.coalesce("n_events", F.lit(0).cast("bigint")), "latest_hash": F.coalesce("latest_hash", F.lit(GENESIS))}
+        )
+        later = F.when(~F.col("tail_hash").eqNullSafe(F.col("latest_hash")), "session state audit tail mismatch").when(
+            F.col("expected_hash").isNotNull() & ~F.col("expected_hash").eqNullSafe(F.col("state_hash")), "session state content hash mismatch"
+        )
+        found = found.withColumns({"failure_seq": F.when(F.col("reason").isNull() & later.isNotNull(), F.col("last_seq")).otherwise(F.col("failure_seq")), "reason": F.coalesce("reason", later)})
+        found = found.withColumn("bound", F.col("reason").isNull() & F.col("expected_hash").isNotNull())
+    extra = ["bound"] if states is not None else []
+    return found.select(
+        F.col("k").alias(key), "n_events", "failure_seq", F.coalesce("reason", F.lit("ok")).alias("reason"), F.col("reason").isNull().alias("valid"), "latest_hash", *extra
     )
 
 
-def set_digest(rows: DataFrame, row_hash: Column, *keys: str) -> DataFrame:
-    """A digest of each key's rows that doesn't hang on their order.
+#: Hex digits are used up from the leaves of a digest tree; a leaf holds about so many rows.
+LEAF_ROWS = 256
 
-    Sixty bits of each quarter of every row's SHA-256 are summed, and the sums
-    hashed. Sums combine before the shuffle, so no group is ever sorted or
-    collected; repeated rows count as often as they occur.
+
+def set_digest(rows: DataFrame, row_hash: Column, *keys: str) -> DataFrame:
+    """(keys, n_rows, digest): a digest of each key's rows that doesn't hang on their order.
+
+    ``row_hash`` is the SHA-256 of a row. Rows with one hash are counted first.
+    The hashes of a key are the leaves of a tree by their leading hex digits, as
+    many levels as bring a leaf to about ``LEAF_ROWS`` rows; a node is the
+    SHA-256 of its sorted children, "hash:count" at the leaves, and the root is
+    the digest. So no group is ever gathered in a row, repeated rows count as
+    often as they occur, and two sets with one digest would be a collision.
+    """
+    h, n, level, node = (fresh_name(rows, c) for c in ("h", "n", "level", "node"))
+    counted = rows.groupBy(*keys, row_hash.alias(h)).agg(F.count(F.lit(1)).alias(n))
+    counted = materialise(counted, "hashes")
+    k = [F.col(c).alias(f"{node}_{i}") for i, c in enumerate(keys)]
+    depth = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.count(F.lit(1)) / float(LEAF_ROWS)))).cast("int")
+    sizes = counted.groupBy(*k).agg(F.sum(n).alias("n_rows"), depth.alias(level)) if keys else counted.agg(F.sum(n).alias("n_rows"), depth.alias(level))
+    sizes = materialise(sizes, "sizes")
+    same = [F.col(c).eqNullSafe(F.col(f"{node}_{i}")) for i, c in enumerate(keys)]
+    children = counted.join(sizes.drop("n_rows"), same) if keys else counted.crossJoin(F.broadcast(sizes.drop("n_rows")))  # one row
+    children = children.select(*keys, h, level, F.concat_ws(":", h, F.col(n).cast("string")).alias(node))
+    for depth in range(sizes.agg(F.max(level)).first()[0] or 0, -1, -1):
+        here = children.where(F.col(level) == depth).groupBy(*keys, F.left(F.col(h), F.lit(depth)).alias(h))
+        up = here.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(node)), ","), 256).alias(node))  # a leaf's rows, or sixteen nodes
+        up = up.select(*keys, h, F.lit(depth - 1).alias(level), F.concat_ws(":", h, node).alias(node))
+        children = up.unionByName(children.where(F.col(level) < depth))
+    roots = children.select(*keys, F.substring(F.col(node), 2, 64).alias("digest"))
+    if not keys:
+        return sizes.select(F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_rows")).join(roots, how="left")
+    joined = sizes.drop(level).join(roots, same)
+    return joined.select(*keys, "n_rows", "digest")
+
+
+def evidence_bundle(sessions: DataFrame, files: DataFrame, key: str, kinds: tuple[str, ...]) -> DataFrame:
+    """(key, n_files, digest) of each session: its own fields and, for each kind, its files' sorted hashes.
+
+    ``sessions``: key and any fields; ``files``: key, kind, sha256. Null hashes
+    and other kinds are left out; a kind without files still has its place.
     """
-    quarter = lambda at: F.sum(F.conv(F.substring("_h", at, 15), 16, 10).cast("decimal(38,0)"))
-    sums = [quarter(at) for at in (1, 17, 33, 49)]
-    hashed = rows.withColumn("_h", row_hash)
-    out = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[s.alias(f"_s{i}") for i, s in enumerate(sums)])
-    parts = F.concat_ws(",", F.col("n_rows").cast("string"), *[F.coalesce(F.col(f"_s{i}"), F.lit(0)).cast("string") for i in range(4)])
-    return out.select(*keys, "n_rows", F.sha2(parts, 256).alias("digest"))
+    digests = None
+    own = F.to_json(F.struct(*sorted(sessions.columns)), {"ignoreNullFields": "false"})
+    base = sessions.select(key, F.sha2(own, 256).alias("own"))
+    for i, kind in enumerate(kinds):
+        of = set_digest(files.where((F.col("kind") == kind) & F.col("sha256").isNotNull()), F.col("sha256"), key)
+        of = of.select(F.col(key).alias(f"k{i}"), F.col("n_rows").alias(f"n{i}"), F.col("digest").alias(f"d{i}"))
+        base = base.join(of, base[key] == of[f"k{i}"], "left")
+        part = F.concat(F.lit(kind + "="), F.coalesce(f"d{i}", F.lit("")))
+        digests = part if digests is None else F.concat_ws("|", digests, part)
+    count = sum((F.coalesce(f"n{i}", F.lit(0).cast("bigint")) for i in range(1, len(kinds))), F.coalesce("n0", F.lit(0).cast("bigint")))
+    return base.select(key, count.alias("n_files"), F.sha2(F.concat_ws("|", "own", digests), 256).alias("digest"))
 
 
 def reconcile(state: DataFrame, catalog: DataFrame, key: str, compared: list[str]) -> DataFrame:
@@ -79,12 +150,13 @@ def reconcile(state: DataFrame, catalog: DataFrame, key: str, compared: list[str
     A key missing on one side, or a compared column that differs. Null keys
     are never equal and so are reported as missing.
     """
-    s, c = state.withColumn("_s", F.lit(1)), catalog.withColumn("_c", F.lit(1))
+    in_state, in_catalog = fresh_name(state, "in_state"), fresh_name(catalog, "in_catalog")
+    s, c = state.withColumn(in_state, F.lit(1)), catalog.withColumn(in_catalog, F.lit(1))
     joined = s.join(c, s[key] == c[key], "full_outer")
-    both = F.col("_s").isNotNull() & F.col("_c").isNotNull()
+    both = s[in_state].isNotNull() & c[in_catalog].isNotNull()
     reasons = [
-        F.when(F.col("_c").isNull(), "MISSING_IN_CATALOG"),
-        F.when(F.col("_s").isNull(), "MISSING_IN_STATE"),
+        F.when(c[in_catalog].isNull(), "MISSING_IN_CATALOG"),
+        F.when(s[in_state].isNull(), "MISSING_IN_STATE"),
         *[F.when(both & ~s[x].eqNullSafe(c[x]), f"{x.upper()}_MISMATCH") for x in compared],
     ]
     found = joined.select(F.coalesce(s[key], c[key]).alias(key), F.array_compact(F.array(*reasons)).alias("reasons"))

@@ -1,22 +1,26 @@
 """Frames of a capture: quality gates, near duplicates, selection, consistency.
 
-A capture has at most ``MOST_FRAMES`` frames, as the cameras' contract says;
-only because of that may a capture's frames be gathered in one array.
+Frames are never gathered in one row, so a capture may have any number of them.
 """
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.vectors import hamming_hex, total
+from tessella.functions.texts import fresh_name
 
-MOST_FRAMES = 12
 # Gates, weights and distances.
 NEAR_BITS = 4
 QUALITY_WEIGHTS = {"checks": 0.65, "sharpness": 0.15, "range": 0.10, "clipping": 0.10}
 FULL_SHARPNESS, FULL_RANGE = 120.0, 180.0
 LEAST_USABLE, LEAST_SPAN, LEAST_DIVERSITY, LEAST_CHOSEN = 3, 0.55, 0.015, 2
 STABLE_HASH, STABLE_FEATURES, COMPARABLE_HASH = 0.08, 0.10, 0.35
+LEAST_CONSISTENCY = 0.65
+REFERENCE_CHECKS = ("size", "brightness", "clipping", "sharpness", "range")
 
 
 def server_checks(width: Column, height: Column, brightness: Column, clipped: Column, sharpness: Column, spread: Column) -> dict[str, Column]:
@@ -74,43 +78,109 @@ def frame_quality(passed_share: Column, sharpness: Column, spread: Column, clipp
     return F.round(parts + 1e-9, 4)
 
 
+def device_quality(brightness: Column, black: Column, white: Column, sharpness: Column) -> Column:
+    """Quality of a picture on the capturing device, from exposure, clipping and detail, between 0 and 1."""
+    exposure = 1 - F.least(F.lit(1.0), F.abs(brightness - 130) / 130)
+    clipping = 1 - F.least(F.lit(1.0), (black + white) / 0.24)
+    detail = F.least(F.lit(1.0), sharpness / 320)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.35 * exposure + 0.25 * clipping + 0.40 * detail))
+
+
+def reference_quality(checks: Column, failed: Column, passed: Column) -> tuple[Column, Column]:
+    """(score, problem) of a stored quality record: the share of passed checks, null where the record contradicts itself.
+
+    ``checks`` is a map of booleans, ``failed`` a list of names. The record must
+    have exactly the known checks, none null, name the failed ones once each,
+    and state whether all passed.
+    """
+    known = F.array(*map(F.lit, REFERENCE_CHECKS))
+    names = F.array_sort(F.map_keys(checks))
+    really = F.filter(known, lambda name: ~checks[name])
+    problem = (
+        F.when(~F.coalesce(names == F.array_sort(known), F.lit(False)), "CHECKS_DO_NOT_MATCH")
+        .when(F.exists(F.map_values(checks), lambda ok: ok.isNull()), "CHECK_NOT_BOOLEAN")
+        .when(~F.coalesce(F.array_sort(failed) == F.array_sort(really), F.lit(False)), "FAILED_CHECKS_INCONSISTENT")
+        .when(~F.coalesce(passed == (F.size(really) == 0), F.lit(False)), "DECISION_INCONSISTENT")
+    )
+    score = F.round((len(REFERENCE_CHECKS) - F.size(really)) / float(len(REFERENCE_CHECKS)), 6)
+    return F.when(problem.isNull(), score), problem
+
+
 def mark_duplicates(frames: DataFrame, key: str, near_bits: int = NEAR_BITS) -> DataFrame:
     """key, frame_id, duplicate_of, distance for each frame.
 
     Frames go in order of time and id; each is compared with those kept so far
     and is a duplicate of the nearest (the earliest of equally near ones) if at
     most ``near_bits`` bits differ. The outcome hangs on the order, so it is a
-    fold over a capture's few frames, not a closure.
+    fold and no closure: captures are dealt to tasks, and a task streams over
+    sorted frames and holds the kept hashes of one capture, 16 bytes each. Null
+    keys are a capture of their own; a frame without a hash of 16 hex digits is
+    never compared and no duplicate.
+    """
+    rows = frames.select(F.col(key).alias("k"), "frame_id", "ts", F.when(F.col("dhash").rlike("^[0-9a-fA-F]{16}$"), F.col("dhash")).alias("dhash"))
+    dealt = rows.repartition("k").sortWithinPartitions("k", "ts", "frame_id").select("k", "frame_id", "dhash")
+    kinds = dict(dealt.dtypes)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, hashes, n = object(), np.empty(0, np.int64), np.empty(0, np.uint64), 0
+        for batch in batches:
+            original, distance = [], []
+            for k, frame, digits in zip(*[c.to_pylist() for c in batch.columns]):
+                if k != at:
+                    at, n = k, 0
+                original.append(None)
+                distance.append(None)
+                if digits is None:
+                    continue
+                own = np.uint64(int(digits, 16))
+                if n:
+                    apart = np.bitwise_count(hashes[:n] ^ own)
+                    nearest = int(apart.argmin())
+                    if apart[nearest] <= near_bits:
+                        original[-1], distance[-1] = int(ids[nearest]), int(apart[nearest])
+                        continue
+                if n == len(ids):
+                    ids, hashes = (np.resize(x, max(16, 2 * n)) for x in (ids, hashes))
+                ids[n], hashes[n], n = frame, own, n + 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(original, pa.int64()), pa.array(distance, pa.int32())], names=["k", "frame_id", "duplicate_of", "distance"]
+            )
+
+    found = dealt.mapInArrow(fold, f"k {kinds['k']}, frame_id {kinds['frame_id']}, duplicate_of bigint, distance int")
+    return found.withColumnRenamed("k", key)
+
+
+def usable_frames(frames: DataFrame, key: str) -> DataFrame:
+    """``frames`` that passed their gate and are no near duplicates of earlier ones.
+
+    ``frames``: key, frame_id, ts, dhash, passed; a frame_id occurs once in a capture.
     """
-    frame = F.struct("ts", "frame_id", "dhash")
-    ordered = frames.groupBy(key).agg(F.array_sort(F.collect_list(frame)).alias("fs"))  # at most MOST_FRAMES
-    state = "struct<kept:array<struct<id:bigint,dhash:string>>,out:array<struct<frame_id:bigint,duplicate_of:bigint,distance:int>>>"
-    empty = F.struct(F.array().alias("kept"), F.array().alias("out")).cast(state)
+    marks = mark_duplicates(frames, key).where("duplicate_of is null")
+    k, f = fresh_name(frames, "k"), fresh_name(frames, "f")
+    marks = marks.select(F.col(key).alias(k), F.col("frame_id").alias(f))
+    return frames.where("passed").join(marks, frames[key].eqNullSafe(F.col(k)) & (frames["frame_id"] == F.col(f)), "left_semi")
 
-    def step(acc: Column, f: Column) -> Column:
-        apart = F.transform(acc["kept"], lambda k, i: F.struct(hamming_hex(k["dhash"], f["dhash"]).alias("d"), i.alias("i"), k["id"].alias("id")))
-        nearest = F.array_min(apart)
-        near = F.coalesce(nearest["d"] <= near_bits, F.lit(False))
-        row = F.struct(
-            f["frame_id"].alias("frame_id"), F.when(near, nearest["id"]).alias("duplicate_of"), F.when(near, nearest["d"]).alias("distance")
-        )
-        kept = F.when(near, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(F.struct(f["frame_id"].alias("id"), f["dhash"].alias("dhash")))))
-        return F.struct(kept.alias("kept"), F.concat(acc["out"], F.array(row)).alias("out")).cast(state)
 
-    folded = ordered.select(key, F.explode(F.aggregate("fs", empty, step)["out"]).alias("r"))
-    return folded.select(key, "r.*")
+def _bits(dhash: Column) -> list[Column]:
+    """The 64 bits of a hash of 16 hex digits."""
+    digit = [F.conv(F.substring(dhash, i, 1), 16, 10).cast("int") for i in range(1, 17)]
+    return [F.shiftright(d, b).bitwiseAND(F.lit(1)) for d in digit for b in range(4)]
 
 
 def pairwise_distance(frames: DataFrame, key: str) -> DataFrame:
-    """Mean share of differing hash bits over a capture's pairs; 0 for fewer than two frames."""
-    hashes = frames.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("frame_id", "dhash"))).alias("fs"))  # at most MOST_FRAMES
-    rests = F.transform("fs", lambda a, i: F.transform(F.slice("fs", i + 2, F.size("fs")), lambda b: hamming_hex(a["dhash"], b["dhash"]) / 64.0))
-    pairs = F.flatten(rests)
-    return hashes.select(key, F.when(F.size(pairs) > 0, total(pairs) / F.size(pairs)).otherwise(0.0).alias("diversity"))
+    """Mean share of differing hash bits over a capture's pairs; 0 for fewer than two frames.
+
+    A bit that c of n frames have differs in c (n - c) pairs, so no pairs are made.
+    """
+    n = F.count("dhash")
+    ones = [F.sum(b) for b in _bits(F.col("dhash"))]
+    differing = sum((c * (n - c) for c in ones[1:]), ones[0] * (n - ones[0]))
+    mean = F.when(n > 1, differing / (n * (n - 1) / 2) / 64.0).otherwise(0.0)
+    return frames.groupBy(key).agg(mean.alias("diversity"))
 
 
 def capture_consistency(frames: DataFrame, key: str, vector: str) -> DataFrame:
-    """1 minus three times the mean population deviation over dimensions, kept within 0 and 1."""
+    """1 minus three times the mean population deviation over dimensions, kept within 0 and 1; 1 for fewer than two frames."""
     n = frames.groupBy(key).agg(F.count(F.lit(1)).alias("n_frames"))
     spread = frames.select(key, F.posexplode(vector).alias("d", "x")).groupBy(key, "d").agg(F.stddev_pop("x").alias("s"))
     mean = spread.groupBy(key).agg(F.avg("s").alias("s"))
@@ -118,46 +188,66 @@ def capture_consistency(frames: DataFrame, key: str, vector: str) -> DataFrame:
     return n.join(mean, key, "left").select(key, score.alias("consistency"))
 
 
-def representatives(frames: DataFrame, key: str) -> DataFrame:
-    """The first and last frames of a capture and the one nearest to the middle between them.
+def representatives(usable: DataFrame, key: str) -> DataFrame:
+    """(key, position, frame_id): the first and last usable frames and the one nearest to the middle between them, in order of time.
 
-    Of equally near ones the better quality goes first, then the smaller id.
+    ``usable``: key, frame_id, ts, quality. Up to three frames are all chosen. Of
+    equally near ones the better quality goes first, then the smaller id.
     """
+    first, last, ts, frame, near = (fresh_name(usable, c) for c in ("first", "last", "at", "frame", "near"))
     w = Window.partitionBy(key)
-    first, last = F.min(F.struct("ts", "frame_id")).over(w), F.max(F.struct("ts", "frame_id")).over(w)
-    marked = frames.withColumns({"_first": first, "_last": last})
-    middle = (F.col("_first.ts") + F.col("_last.ts")) / 2
-    inner = (F.col("frame_id") != F.col("_first.frame_id")) & (F.col("frame_id") != F.col("_last.frame_id"))
-    near = F.min(F.when(inner, F.struct(F.abs(F.col("ts") - middle).alias("d"), (-F.col("quality")).alias("q"), "frame_id")))
-    out = marked.groupBy(key).agg(F.first("_first.frame_id").alias("first_frame"), F.first("_last.frame_id").alias("last_frame"), near.alias("m"))
-    middle_id = F.coalesce(F.col("m.frame_id"), F.lit(-1).cast("bigint"))
-    return out.select(key, "first_frame", middle_id.alias("middle_frame"), "last_frame")
-
-
-def admission(frames: DataFrame, key: str, duration: Column) -> DataFrame:
-    """Counters of a capture and its gate.
-
-    ``frames``: key, frame_id, ts, dhash, quality, passed. A near duplicate is
-    suppressed before quality is looked at.
+    ends = F.struct(F.col("ts").alias(ts), F.col("frame_id").alias(frame))
+    marked = usable.withColumns({first: F.min(ends).over(w), last: F.max(ends).over(w)})
+    middle = (F.col(first)[ts] + F.col(last)[ts]) / 2
+    inner = (F.col("frame_id") != F.col(first)[frame]) & (F.col("frame_id") != F.col(last)[frame])
+    nearest = F.min(F.when(inner, F.struct(F.abs(F.col("ts") - middle).alias("d"), (-F.col("quality")).alias("q"), F.col("frame_id").alias(frame), F.col("ts").alias(ts))))
+    out = marked.groupBy(key).agg(F.first(first).alias(first), F.first(last).alias(last), nearest.alias(near))
+    chosen = F.array_sort(F.array_distinct(F.array_compact(F.array(F.col(first), F.col(last), F.when(F.col(near).isNotNull(), F.struct(F.col(near)[ts].alias(ts), F.col(near)[frame].alias(frame)))))))
+    return out.select(key, F.posexplode(chosen).alias("position", "c")).select(key, (F.col("position") + 1).alias("position"), F.col("c")[frame].alias("frame_id"))
+
+
+def admission(frames: DataFrame, key: str, duration: Column, features: str = "features") -> DataFrame:
+    """Counters of a capture, its span, diversity and consistency, and the checks it fails.
+
+    ``frames``: key, frame_id, ts, dhash, quality, passed, features. A near
+    duplicate is suppressed before quality is looked at; diversity and
+    consistency are those of the accepted frames, to four places.
     """
     marked = frames.join(mark_duplicates(frames, key), [key, "frame_id"])
-    status = F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE").when(~F.col("passed"), "REJECTED").otherwise("ACCEPTED")
+    status = F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE").when(~F.coalesce("passed", F.lit(False)), "REJECTED").otherwise("ACCEPTED")
     marked = marked.withColumn("status", status)
     counts = marked.groupBy(key).agg(
         *[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in ("ACCEPTED", "REJECTED", "DUPLICATE")],
         F.least(F.lit(1.0), (F.max("ts") - F.min("ts")) / F.greatest(F.max(duration), F.lit(1))).alias("span"),
     )
     usable = marked.where("status = 'ACCEPTED'")
-    out = counts.join(pairwise_distance(usable, key), key, "left").fillna(0.0, ["diversity"])
+    out = counts.join(pairwise_distance(usable, key), key, "left").join(capture_consistency(usable, key, features), key, "left")
+    out = out.fillna({"diversity": 0.0, "consistency": 1.0}).withColumns({c: F.round(c, 4) for c in ("span", "diversity", "consistency")})
     checks = {
         "minimum_usable_frames": F.col("n_accepted") >= LEAST_USABLE,
         "temporal_coverage": F.col("span") >= LEAST_SPAN,
-        "viewpoint_diversity": F.round("diversity", 4) >= LEAST_DIVERSITY,
+        "viewpoint_diversity": F.col("diversity") >= LEAST_DIVERSITY,
         "representative_frames": F.least("n_accepted", F.lit(3)) >= LEAST_CHOSEN,
     }
     return out.withColumn("failed", failed_checks(checks))
 
 
+def next_observations(admitted: DataFrame, key: str) -> DataFrame:
+    """(key, priority, observation): what to capture next, by what ``admission`` found.
+
+    Pictures of better quality and a turn around the object are advised where a
+    check failed, a calibration target where the capture is uneven; the two
+    further kinds of observation always stand at the end.
+    """
+    lacks = lambda *names: F.arrays_overlap("failed", F.array(*map(F.lit, names)))
+    advice = (
+        (1, "OBS-RGB-QUALITY", lacks("minimum_usable_frames")), (2, "OBS-RGB-ROTATION", lacks("temporal_coverage", "viewpoint_diversity")),
+        (3, "OBS-CALIBRATION", F.col("consistency") < LEAST_CONSISTENCY), (4, "OBS-UV-NIR", F.lit(True)), (5, "OBS-MATERIAL-SCIENCE", F.lit(True)),
+    )
+    listed = F.array_compact(F.array(*[F.when(on, F.struct(F.lit(p).alias("priority"), F.lit(name).alias("observation"))) for p, name, on in advice]))
+    return admitted.select(key, F.explode(listed).alias("o")).select(key, "o.*")
+
+
 def change_status(both_passed: Column, hash_share: Column, feature_distance: Column) -> Column:
     """What two images of one place say about a change."""
     return (

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.texts import fresh_name
+
 
 def upsert(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last version of each key, by ``order``, with when the key first came.
@@ -22,12 +24,13 @@ def edges_allowed(edges: DataFrame, relations: tuple[str, ...]) -> tuple[DataFra
 
 
 def induced_subgraph(nodes: DataFrame, edges: DataFrame, most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame]:
-    """The last ``most_nodes`` nodes, and the last ``most_edges`` edges between them (a view's fixed limits)."""
-    shown = nodes.orderBy(F.desc("first_seen")).limit(most_nodes)
-    ids = shown.select(F.col("id").alias("_id"))
-    inside = edges.join(ids, edges["source"] == ids["_id"], "left_semi")
-    inside = inside.join(ids, inside["target"] == ids["_id"], "left_semi")
-    return shown, inside.orderBy(F.desc("first_seen")).limit(most_edges)
+    """The last ``most_nodes`` nodes, and the last ``most_edges`` edges between them (a view's fixed limits); ties go by id, the largest first."""
+    shown = nodes.orderBy(F.desc("first_seen"), F.desc("id")).limit(most_nodes)
+    name = fresh_name(edges, "node")
+    ids = shown.select(F.col("id").alias(name))
+    inside = edges.join(ids, edges["source"] == ids[name], "left_semi")
+    inside = inside.join(ids, inside["target"] == ids[name], "left_semi")
+    return shown, inside.orderBy(F.desc("first_seen"), F.desc("source"), F.desc("target")).limit(most_edges)
 
 
 def component_status(parts: DataFrame, *keys: str) -> DataFrame:

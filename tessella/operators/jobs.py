@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.functions.texts import fresh_name
+
 # The states that hold a place in a device's queue, and limits.
 OUTSTANDING = ("QUEUED", "RUNNING", "RETRY_WAIT")
 QUOTA, BASE_DELAY, MOST_DELAY, LEAST_DELAY = 20, 5.0, 300.0, 0.05
@@ -72,10 +74,10 @@ def idempotent_intake(requests: DataFrame, keys: list[str], digest: str) -> Data
     ``requests``: keys, seq, ``digest``. Equal digests are replays of the first;
     different ones are conflicts. Null digests are a value of their own.
     """
-    d = F.coalesce(F.col(digest), F.lit(""))
-    first = F.min(F.struct("seq", d.alias("digest")))
-    out = requests.groupBy(*keys).agg(first.alias("f"), F.count(F.lit(1)).alias("n_requests"), F.min(d).alias("a"), F.max(d).alias("z"))
-    return out.select(*keys, F.col("f.seq").alias("first_seq"), "n_requests", (F.col("a") != F.col("z")).alias("conflict"))
+    d = F.struct(F.col(digest).isNotNull().alias("known"), F.coalesce(F.col(digest), F.lit("")).alias("value"))
+    first, a, z = (fresh_name(requests, c) for c in ("first", "a", "z"))
+    out = requests.groupBy(*keys).agg(F.min("seq").alias(first), F.count(F.lit(1)).alias("n_requests"), F.min(d).alias(a), F.max(d).alias(z))
+    return out.select(*keys, F.col(first).alias("first_seq"), "n_requests", (F.col(a) != F.col(z)).alias("conflict"))
 
 
 def cooldown_violations(log: DataFrame, key: str, seconds: float) -> DataFrame:
@@ -92,9 +94,10 @@ def recent(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
 
 def with_counts(parents: DataFrame, children: DataFrame, key: str, child_key: str, out_col: str) -> DataFrame:
     """``parents`` with how many children each has; 0 for none."""
-    counts = children.where(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    joined = parents.join(counts, parents[key] == counts["_key"], "left")
-    return joined.withColumn(out_col, F.coalesce("_n", F.lit(0).cast("bigint"))).drop("_key", "_n")
+    k, n = fresh_name(parents, "child_key"), fresh_name(parents, "n_children")
+    counts = children.where(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias(k)).agg(F.count(F.lit(1)).alias(n))
+    joined = parents.join(counts, parents[key] == counts[k], "left")
+    return joined.withColumn(out_col, F.coalesce(n, F.lit(0).cast("bigint"))).drop(*{k, n} - {out_col})
 
 
 def terminal_status(recapture: Column, missing_views: Column, issues: Column, out_of_domain: Column) -> Column:

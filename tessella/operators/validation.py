@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.functions.texts import fresh_name
+
 # Patterns of identifiers, hashes, dates; bytes that files begin with.
 IDENTIFIER = "^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 SHA256 = "^[0-9a-f]{64}$"
@@ -38,8 +40,9 @@ def duplicate_keys(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
 
 def orphans(children: DataFrame, child_key: str, parents: DataFrame, parent_key: str) -> DataFrame:
     """Children whose parent doesn't exist; null references are orphans."""
-    known = parents.select(F.col(parent_key).alias("_parent"))
-    return children.join(known, children[child_key] == known["_parent"], "left_anti")
+    name = fresh_name(children, "parent")
+    known = parents.select(F.col(parent_key).alias(name))
+    return children.join(known, children[child_key] == known[name], "left_anti")
 
 
 def position_gaps(rows: DataFrame, key: str, position: str) -> DataFrame:

@@ -2,34 +2,45 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.operators import audit as A
 from tessella.plans.common import table
+from tessella.sources.shared import materialise
 
 
-def _body() -> F.Column:
-    return F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text")
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.chain_append(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.concat_ws("|", "role", "text"))
 
 
 def stored_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with the hashes as stored: some links and some hashes are planted wrong."""
-    turns = table(spark, sf_dir, "conversations").withColumn("right", F.sha2(_body(), 256))
-    wrong = (F.col("conv_id") % 11 == 5) & (F.col("turn") == 1)
-    turns = turns.withColumn("event_hash", F.when(wrong, F.sha2("right", 256)).otherwise(F.col("right")))
-    link = F.lag("event_hash", 1, A.GENESIS).over(Window.partitionBy("conv_id").orderBy("turn"))
-    return turns.withColumn("prev_hash", F.when((F.col("conv_id") % 7 == 3) & (F.col("turn") == 2), "0").otherwise(link))
+    """Turns with body and hashes as stored, each hash bound to the one before: some links, hashes and bodies are planted wrong."""
+    i, turn = F.col("conv_id"), F.col("turn")
+    return _turns(spark, sf_dir).withColumns(
+        {
+            "prev_hash": F.when((i % 7 == 3) & (turn == 1), "0").otherwise(F.col("prev_hash")),
+            "event_hash": F.when((i % 11 == 5) & (turn == 1), F.sha2("event_hash", 256)).otherwise(F.col("event_hash")),
+            "body": F.when((i % 13 == 6) & (turn == 0), F.concat("body", F.lit("!"))).otherwise(F.col("body")),
+        }
+    )
 
 
 def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = A.chain_verify(stored_chain(spark, sf_dir), "conv_id", "turn", F.col("right"))
+    """Chains against their links and hashes, and against states whose tail or content some have wrong."""
+    chain = materialise(stored_chain(spark, sf_dir), "chain")
+    i = F.col("conv_id")
+    tails = chain.groupBy("conv_id").agg(F.max(F.struct("turn", "event_hash"))["event_hash"].alias("tail"))
+    state = F.sha2(F.concat(F.lit("state "), i.cast("string")), 256)
+    states = tails.select(
+        "conv_id", F.when(i % 17 == 8, "stale").otherwise(F.col("tail")).alias("tail_hash"), state.alias("state_hash"),
+        F.when(i % 5 == 0, None).when(i % 19 == 9, "other").otherwise(state).alias("expected_hash"),
+    )
+    found = A.chain_verify(chain, "conv_id", "turn", F.sha2(F.concat_ws("|", "prev_hash", "body"), 256), states)
     return found.withColumn("failure_seq", F.coalesce("failure_seq", F.lit(-1).cast("bigint")))
 
 
 def chain_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as a new chain."""
-    chained = A.chain_append(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.concat_ws("|", "role", "text"))
-    return chained.select("conv_id", "turn", "prev_hash", "event_hash")
+    return _turns(spark, sf_dir).select("conv_id", "turn", "prev_hash", "event_hash")
 
 
 def next_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +54,15 @@ def set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.set_digest(table(spark, sf_dir, "documents"), row, "source")
 
 
+def evidence_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sessions, their lines as files of three kinds by return flag."""
+    sessions = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_custkey").cast("string").alias("owner"))
+    files = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("kind"), F.sha2(F.concat_ws("|", "l_partkey", "l_suppkey", "l_linenumber"), 256).alias("sha256")
+    )
+    return A.evidence_bundle(sessions, files, "o_orderkey", ("A", "N", "R"))
+
+
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against their labels, and stated against counted characters."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"))
@@ -80,39 +100,62 @@ def version_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.version_gaps(table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn"), "conv_id", "turn")
 
 
-_CHAIN_SQL = """
-WITH bodies AS (
-  SELECT *, sha256(concat_ws('|', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), role, text)) AS "right" FROM conversations
-), hashed AS (
-  SELECT *, CASE WHEN conv_id % 11 = 5 AND turn = 1 THEN sha256("right") ELSE "right" END AS event_hash FROM bodies
-), stored AS (
-  SELECT *, lag(event_hash, 1, 'GENESIS') OVER (PARTITION BY conv_id ORDER BY turn) AS link FROM hashed
+_CHAIN = """WITH RECURSIVE ordered AS (
+  SELECT conv_id, turn, concat_ws('|', role, text) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations
+), chained AS (
+  SELECT conv_id, turn, k, body, 'GENESIS' AS prev_hash, sha256('GENESIS|' || body) AS event_hash FROM ordered WHERE k = 1
+  UNION ALL SELECT o.conv_id, o.turn, o.k, o.body, c.event_hash, sha256(c.event_hash || '|' || o.body)
+  FROM chained c JOIN ordered o ON o.conv_id = c.conv_id AND o.k = c.k + 1
+)
+"""
+_CHAIN_SQL = _CHAIN + """, stored AS (
+  SELECT conv_id, turn, CASE WHEN conv_id % 7 = 3 AND turn = 1 THEN '0' ELSE prev_hash END AS prev_hash,
+    CASE WHEN conv_id % 11 = 5 AND turn = 1 THEN sha256(event_hash) ELSE event_hash END AS event_hash,
+    CASE WHEN conv_id % 13 = 6 AND turn = 0 THEN body || '!' ELSE body END AS body FROM chained
+), linked AS (
+  SELECT *, lag(event_hash, 1, 'GENESIS') OVER (PARTITION BY conv_id ORDER BY turn) AS link FROM stored
 ), checked AS (
-  SELECT conv_id, turn, CASE WHEN conv_id % 7 = 3 AND turn = 2 AND link <> '0' THEN 'previous hash mismatch'
-    WHEN event_hash <> "right" THEN 'event hash mismatch' END AS reason FROM stored
+  SELECT *, CASE WHEN prev_hash <> link THEN 'previous hash mismatch' WHEN event_hash <> sha256(prev_hash || '|' || body) THEN 'event hash mismatch' END AS reason FROM linked
+), chains AS (
+  SELECT conv_id, count(*) AS n, min(turn) FILTER (reason IS NOT NULL) AS seq, arg_min(reason, turn) FILTER (reason IS NOT NULL) AS reason, max(turn) AS last_seq,
+    arg_max(event_hash, turn) AS tail, arg_min(link, turn) FILTER (reason IS NOT NULL) AS good, sha256('state ' || conv_id) AS state FROM checked GROUP BY conv_id
+), judged AS (
+  SELECT *, coalesce(good, tail) AS latest_hash, CASE WHEN conv_id % 17 = 8 THEN 'stale' ELSE tail END AS tail_hash,
+    CASE WHEN conv_id % 5 = 0 THEN NULL WHEN conv_id % 19 = 9 THEN 'other' ELSE state END AS expected FROM chains
+), named AS (
+  SELECT *, coalesce(reason, CASE WHEN tail_hash <> latest_hash THEN 'session state audit tail mismatch'
+    WHEN expected <> state THEN 'session state content hash mismatch' END) AS why FROM judged
 )
 """
 QUERIES = {
     f.__name__: f
-    for f in (chain_verify, chain_append, next_sequence, set_digest, reconcile, key_set_diff, exact_media_match, replayed_documents, version_gaps)
+    for f in (chain_verify, chain_append, next_sequence, set_digest, evidence_bundle, reconcile, key_set_diff, exact_media_match, replayed_documents, version_gaps)
 }
 SQL = {
-    "chain_verify": _CHAIN_SQL + """SELECT conv_id, count(*) AS n_events, coalesce(min(turn) FILTER (reason IS NOT NULL), -1) AS failure_seq,
-      coalesce(arg_min(reason, turn) FILTER (reason IS NOT NULL), 'ok') AS reason, count(reason) = 0 AS valid FROM checked GROUP BY conv_id""",
-    "chain_append": """WITH RECURSIVE ordered AS (
-      SELECT conv_id, turn, concat_ws('|', role, text) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations
-    ), chained AS (
-      SELECT conv_id, turn, k, 'GENESIS' AS prev_hash, sha256('GENESIS|' || body) AS event_hash FROM ordered WHERE k = 1
-      UNION ALL SELECT o.conv_id, o.turn, o.k, c.event_hash, sha256(c.event_hash || '|' || o.body)
-      FROM chained c JOIN ordered o ON o.conv_id = c.conv_id AND o.k = c.k + 1
-    ) SELECT conv_id, turn, prev_hash, event_hash FROM chained""",
+    "chain_verify": _CHAIN_SQL + """SELECT conv_id, n AS n_events, CASE WHEN why IS NULL THEN -1 ELSE coalesce(seq, last_seq) END AS failure_seq, coalesce(why, 'ok') AS reason,
+      why IS NULL AS valid, latest_hash, why IS NULL AND expected IS NOT NULL AS bound FROM named""",
+    "chain_append": _CHAIN + "SELECT conv_id, turn, prev_hash, event_hash FROM chained",
     "next_sequence": "SELECT conv_id, coalesce(max(turn), 0) + 1 AS next_seq FROM conversations GROUP BY conv_id",
     "set_digest": """WITH h AS (
       SELECT source, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), lang, text)) AS h FROM documents
-    ) SELECT source, count(*) AS n_rows, sha256(concat_ws(',', CAST(count(*) AS VARCHAR),
-      CAST(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR), CAST(sum(CAST(CAST('0x' || substr(h, 17, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR),
-      CAST(sum(CAST(CAST('0x' || substr(h, 33, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR), CAST(sum(CAST(CAST('0x' || substr(h, 49, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)
-      )) AS digest FROM h GROUP BY source""",
+    ), c AS (
+      SELECT source, h, count(*) AS n FROM h GROUP BY ALL
+    ), d AS (
+      SELECT source, count(*) AS m, sum(n) AS n_rows FROM c GROUP BY source
+    ), leaves AS (
+      SELECT source, p, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS node FROM (SELECT *, CASE WHEN m > 256 THEN substr(h, 1, 1) ELSE '' END AS p
+      FROM c JOIN d USING (source)) GROUP BY ALL
+    ) SELECT source, CAST(any_value(n_rows) AS BIGINT) AS n_rows, CASE WHEN any_value(m) > 256 THEN sha256(string_agg(p || ':' || node, ',' ORDER BY p || ':' || node))
+      ELSE any_value(node) END AS digest FROM leaves JOIN d USING (source) GROUP BY source""",
+    "evidence_bundle": """WITH f AS (
+      SELECT l_orderkey, l_returnflag AS kind, sha256(concat_ws('|', l_partkey, l_suppkey, l_linenumber)) AS h FROM lineitem
+    ), k AS (
+      SELECT l_orderkey, kind, sum(n) AS n, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS d FROM (SELECT l_orderkey, kind, h, count(*) AS n FROM f GROUP BY ALL) GROUP BY ALL
+    ), p AS (
+      SELECT o_orderkey, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_files, 'A=' || coalesce(any_value(d) FILTER (kind = 'A'), '') || '|N=' || coalesce(any_value(d) FILTER (kind = 'N'), '')
+        || '|R=' || coalesce(any_value(d) FILTER (kind = 'R'), '') AS parts, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || any_value(o_orderstatus) || '","owner":"' || any_value(o_custkey) || '"}') AS own
+      FROM orders LEFT JOIN k ON o_orderkey = l_orderkey GROUP BY o_orderkey
+    ) SELECT o_orderkey, n_files, sha256(own || '|' || parts) AS digest FROM p""",
     "reconcile": """SELECT doc_id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'MISSING_IN_CATALOG' ELSE 'N_CHARS_MISMATCH' END AS reasons
       FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR n_chars IS DISTINCT FROM length(text)""",
     "key_set_diff": """SELECT coalesce(c_custkey, o_custkey) AS key, CASE WHEN o_custkey IS NULL THEN 'MISSING_IN_CATALOG' ELSE 'MISSING_IN_STATE' END AS side

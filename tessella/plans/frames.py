@@ -4,13 +4,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.vectors import hamming_hex, total
+from tessella.functions.vectors import hamming_hex, rms_similarity, total
 from tessella.operators import frames as R
-from tessella.plans.common import r6, table, values
+from tessella.plans.common import r6, table
 
-INSTRUMENTS = """(1, 'device_ready', 1.0), (1, 'calibration_valid', 1.0), (1, 'snr_db', 21.5), (1, 'saturation_ratio', 0.01), (1, 'region_match_valid', 1.0),
- (1, 'spatial_registration_valid', 1.0), (1, 'coverage_ratio', 0.95), (1, 'integrity_valid', 1.0), (1, 'reference_applicability', 1.0), (2, 'device_ready', 1.0),
- (2, 'snr_db', 12.0), (2, 'min_snr_db', 10.0), (3, 'calibration_valid', 0.0), (3, 'coverage_ratio', 0.8), (3, 'min_coverage_ratio', 0.75)"""
+FRAMES = 12
+DURATION = 480
+# Names of an instrument's numbers, by place; which a result has, and their values, follow from its id.
+INSTRUMENT_NUMBERS = (
+    "device_ready", "calibration_valid", "snr_db", "min_snr_db", "saturation_ratio", "region_match_valid", "spatial_registration_valid",
+    "coverage_ratio", "min_coverage_ratio", "integrity_valid", "reference_applicability",
+)
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +28,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.withColumn("base", base).join(signs.select("base", dhash.alias("h")), "base")
     last = F.when(n % 3 == 2, F.lower(F.hex(F.conv(F.substring("h", 16, 1), 16, 10).cast("int").bitwiseXOR(F.lit(3))))).otherwise(F.substring("h", 16, 1))
     return rows.select(
-        F.floor(n / R.MOST_FRAMES).alias("capture"), n.alias("frame_id"), (n * 40).alias("ts"), F.concat(F.substring("h", 1, 15), last).alias("dhash"),
+        F.floor(n / FRAMES).alias("capture"), n.alias("frame_id"), (n * 40).alias("ts"), F.concat(F.substring("h", 1, 15), last).alias("dhash"),
         F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("features"),
         (200 + n * 13 % 300).alias("width"), (240 + n * 7 % 200).alias("height"), (n * 17 % 256).cast("double").alias("brightness"),
         (n * 5 % 40 / 100.0).alias("clipped"), (n * 29 % 150).cast("double").alias("sharpness"), (n * 31 % 200).cast("double").alias("spread"),
@@ -52,9 +56,33 @@ def device_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instrument_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, INSTRUMENTS, "result_id, name, value").groupBy("result_id")
-    maps = rows.agg(F.map_from_entries(F.collect_list(F.struct("name", F.col("value").cast("double")))).alias("m"))  # at most eleven names
-    return maps.select("result_id", F.array_join(R.failed_checks(R.instrument_checks(F.col("m"))), ",").alias("failed"))
+    """Parts as instrument results: number k is missing for one key in seven, flags fail for one in five."""
+    p = F.col("p_partkey")
+    entries = []
+    for k, name in enumerate(INSTRUMENT_NUMBERS):
+        value = {"snr_db": p % 30, "min_snr_db": p % 25, "saturation_ratio": (p % 4) / 100.0, "coverage_ratio": (p % 20) / 20.0 + 0.04, "min_coverage_ratio": (p % 10) / 10.0}.get(name, F.when((p + k) % 5 == 0, 0).otherwise(1))
+        entries.append(F.when((p + k) % 7 != 0, F.struct(F.lit(name).alias("key"), value.cast("double").alias("value"))))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.map_from_entries(F.array_compact(F.array(*entries))).alias("m"))
+    return rows.select("p_partkey", F.array_join(R.failed_checks(R.instrument_checks(F.col("m"))), ",").alias("failed"))
+
+
+def device_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = R.device_quality(F.col("brightness"), F.col("clipped") / 2, F.col("clipped") / 4, F.col("sharpness") * 2)
+    return frames(spark, sf_dir).select("frame_id", r6(score).alias("quality"))
+
+
+def reference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames' gates as stored records, some made inconsistent by fixed rules."""
+    f = F.col("frame_id")
+    ok = {name: check for name, check in _checks().items()}
+    entries = [F.struct(F.lit(n).alias("k"), F.when((f % 29 == 1) & F.lit(n == "range"), None).otherwise(c).alias("v")) for n, c in ok.items()]
+    extra = F.array(F.struct(F.lit("extra").alias("k"), F.lit(True).alias("v")))
+    checks = F.map_from_entries(F.when(f % 29 == 2, F.concat(F.array(*entries), extra)).when(f % 29 == 3, F.slice(F.array(*entries), 1, 4)).otherwise(F.array(*entries)))
+    scored = _scored(spark, sf_dir).withColumn("checks", checks)
+    failed = F.when(f % 29 == 4, F.concat("failed", F.array(F.lit("size")))).when(f % 29 == 5, F.reverse("failed")).otherwise(F.col("failed"))
+    passed = F.when(f % 29 == 6, ~F.col("passed")).otherwise(F.col("passed"))
+    score, problem = R.reference_quality(F.col("checks"), failed, passed)
+    return scored.select("frame_id", r6(score).alias("score"), problem.alias("problem"))
 
 
 def near_duplicate_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +95,9 @@ def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.capture_consistency(frames(spark, sf_dir), "capture", "features").withColumn("consistency", r6("consistency"))
+    """Over the usable frames of each capture."""
+    usable = R.usable_frames(_scored(spark, sf_dir), "capture")
+    return R.capture_consistency(usable, "capture", "features").withColumn("consistency", r6("consistency"))
 
 
 def mean_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +107,42 @@ def mean_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def midpoint_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.representatives(_scored(spark, sf_dir), "capture")
+    """The frames that stand for each capture."""
+    return R.representatives(R.usable_frames(_scored(spark, sf_dir), "capture"), "capture")
+
+
+def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.admission(_scored(spark, sf_dir), "capture", F.lit(DURATION))
 
 
 def frame_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.admission(_scored(spark, sf_dir), "capture", F.lit(480))
-    return found.select("capture", "n_accepted", "n_rejected", "n_duplicate", r6("span").alias("span"), r6("diversity").alias("diversity"), F.array_join("failed", ",").alias("failed"))
+    numbers = [r6(c).alias(c) for c in ("span", "diversity", "consistency")]
+    return _admitted(spark, sf_dir).select("capture", "n_accepted", "n_rejected", "n_duplicate", *numbers, F.array_join("failed", ",").alias("failed"))
+
+
+def next_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.next_observations(_admitted(spark, sf_dir), "capture")
+
+
+def salient_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two strongest of nine tiles: nine means over 63 dimensions of each vector."""
+    tiles = F.explode(F.sequence(F.lit(0), F.lit(8))).alias("tile")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", tiles)
+    score = F.round(total(F.transform(F.slice("embedding", F.col("tile") * 7 + 1, 7), lambda x: F.abs(x).cast("double"))) / 7, 4)
+    order = Window.partitionBy("vec_id").orderBy(F.desc("score"), F.desc("tile"))
+    ranked = rows.select("vec_id", "tile", score.alias("score")).withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+    return ranked.select("vec_id", "rank", "tile", r6("score").alias("score"))
+
+
+def demo_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three views of lowest id per object as a small catalog; for each query view the three most similar by RMS distance."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 8).alias("v"))
+    order = Window.partitionBy("label").orderBy("vec_id")
+    catalog = e.withColumn("k", F.row_number().over(order)).where("k <= 3").select(F.col("vec_id").alias("reference_id"), F.col("v").alias("r"))
+    near = e.where("vec_id % 20 = 0").crossJoin(F.broadcast(catalog))  # the query set against a catalog of three views an object
+    near = near.select("vec_id", "reference_id", rms_similarity(F.col("v"), F.col("r")).alias("similarity"))
+    best = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "reference_id")
+    return near.withColumn("rank", F.row_number().over(best)).where("rank <= 3").select("vec_id", "rank", "reference_id", r6("similarity").alias("similarity"))
 
 
 def image_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,32 +183,88 @@ WITH signs AS (
 )
 """
 _HAMMING = "bit_count(xor(CAST('0x' || substr({0}, 1, 8) AS BIGINT), CAST('0x' || substr({1}, 1, 8) AS BIGINT))) + bit_count(xor(CAST('0x' || substr({0}, 9, 8) AS BIGINT), CAST('0x' || substr({1}, 9, 8) AS BIGINT)))"
+# The greedy order: frame by frame, with the kept ones in a list.
+_GREEDY = FRAMES_SQL.replace("WITH signs", "WITH RECURSIVE signs", 1) + f"""
+, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY capture ORDER BY ts, frame_id) AS k FROM scored
+), walk AS (
+  SELECT capture, k, frame_id, CAST(NULL AS BIGINT) AS duplicate_of, CAST(NULL AS BIGINT) AS distance, [{{'id': frame_id, 'h': dhash}}] AS kept FROM numbered WHERE k = 1
+  UNION ALL
+  SELECT capture, k, frame_id, CASE WHEN best.d <= 4 THEN best.id END, CASE WHEN best.d <= 4 THEN best.d END,
+    CASE WHEN best.d <= 4 THEN kept ELSE list_append(kept, {{'id': frame_id, 'h': dhash}}) END
+  FROM (SELECT n.capture, n.k, n.frame_id, n.dhash, w.kept,
+      list_sort(list_transform(w.kept, lambda x: {{'d': CAST({_HAMMING.format('x.h', 'n.dhash')} AS BIGINT), 'id': x.id}}))[1] AS best
+    FROM walk w JOIN numbered n ON n.capture = w.capture AND n.k = w.k + 1)
+), marked AS (
+  SELECT s.*, duplicate_of, distance, CASE WHEN duplicate_of IS NOT NULL THEN 'DUPLICATE' WHEN NOT passed THEN 'REJECTED' ELSE 'ACCEPTED' END AS status
+  FROM scored s JOIN walk USING (capture, frame_id)
+), usable AS (
+  SELECT * FROM marked WHERE status = 'ACCEPTED'
+), pairs AS (
+  SELECT a.capture, avg(({_HAMMING.format('a.dhash', 'b.dhash')}) / 64.0) AS diversity FROM usable a JOIN usable b ON a.capture = b.capture AND a.frame_id < b.frame_id GROUP BY 1
+), steady AS (
+  SELECT capture, CASE WHEN max(n) < 2 THEN 1.0 ELSE 1 - least(1.0, avg(s) * 3) END AS consistency
+  FROM (SELECT capture, d, stddev_pop(features[d]) AS s, count(*) AS n FROM usable, range(1, 9) r(d) GROUP BY 1, 2) GROUP BY 1
+), admitted AS (
+  SELECT capture, count(*) FILTER (status = 'ACCEPTED') AS n_accepted, count(*) FILTER (status = 'REJECTED') AS n_rejected, count(*) FILTER (status = 'DUPLICATE') AS n_duplicate,
+    round(least(1.0, (max(ts) - min(ts)) / {DURATION}), 4) AS span, round(coalesce(any_value(diversity), 0), 4) AS diversity, round(coalesce(any_value(consistency), 1), 4) AS consistency
+  FROM marked LEFT JOIN pairs USING (capture) LEFT JOIN steady USING (capture) GROUP BY capture
+), gated AS (
+  SELECT *, list_filter([CASE WHEN n_accepted < 3 THEN 'minimum_usable_frames' END, CASE WHEN span < 0.55 THEN 'temporal_coverage' END,
+    CASE WHEN diversity < 0.015 THEN 'viewpoint_diversity' END, CASE WHEN n_accepted < 2 THEN 'representative_frames' END], lambda x: x IS NOT NULL) AS failed FROM admitted
+), ends AS (
+  SELECT capture, arg_min(frame_id, (ts, frame_id)) AS a, arg_max(frame_id, (ts, frame_id)) AS z, (min(ts) + max(ts)) / 2 AS mid FROM usable GROUP BY 1
+)
+"""
+_INSTRUMENT_VALUES = {
+    "snr_db": "p % 30", "min_snr_db": "p % 25", "saturation_ratio": "(p % 4) / 100.0", "coverage_ratio": "(p % 20) / 20.0 + 0.04", "min_coverage_ratio": "(p % 10) / 10.0",
+}
+_INSTRUMENT = ", ".join(
+    f"CASE WHEN (p + {k}) % 7 <> 0 THEN CAST({_INSTRUMENT_VALUES.get(n, f'CASE WHEN (p + {k}) % 5 = 0 THEN 0 ELSE 1 END')} AS DOUBLE) END AS {n}" for k, n in enumerate(INSTRUMENT_NUMBERS)
+)
 QUERIES = {
     f.__name__: f
     for f in (
-        frame_gate, device_gate, instrument_gate, near_duplicate_frames, hamming_pairs, capture_consistency, mean_features, midpoint_frame,
-        frame_admission, image_changes, sample_times,
+        frame_gate, device_gate, device_quality, reference_quality, instrument_gate, near_duplicate_frames, hamming_pairs, capture_consistency,
+        mean_features, midpoint_frame, frame_admission, next_observations, salient_tiles, demo_references, image_changes, sample_times,
     )
 }
 SQL = {
     "frame_gate": FRAMES_SQL + "SELECT frame_id, array_to_string(f, ',') AS failed, round(quality, 6) AS quality, passed FROM scored",
     "device_gate": FRAMES_SQL + """SELECT frame_id, concat_ws(',', CASE WHEN greatest(width, height) * 4 < 1200 OR least(width, height) * 4 < 900 THEN 'size' END,
       CASE WHEN brightness < 45 OR brightness > 215 THEN 'exposure' END, CASE WHEN clipped > 0.12 THEN 'clipping' END, CASE WHEN sharpness * 2 < 120 THEN 'focus' END) AS failed FROM fr""",
-    "instrument_gate": f"""WITH v(id, name, value) AS (VALUES {INSTRUMENTS}), m AS (SELECT id, MAP(list(name), list(CAST(value AS DOUBLE))) AS m FROM v GROUP BY id)
-      SELECT id AS result_id, concat_ws(',', CASE WHEN coalesce(m['device_ready'], 0) = 0 THEN 'device_ready' END, CASE WHEN coalesce(m['calibration_valid'], 0) = 0 THEN 'calibration' END,
-      CASE WHEN coalesce(m['snr_db'], 0) < coalesce(m['min_snr_db'], 18) THEN 'signal_to_noise' END, CASE WHEN coalesce(m['saturation_ratio'], 1) > 0.02 THEN 'not_saturated' END,
-      CASE WHEN coalesce(m['region_match_valid'], 0) = 0 THEN 'region_match' END, CASE WHEN coalesce(m['spatial_registration_valid'], 0) = 0 THEN 'spatial_registration' END,
-      CASE WHEN coalesce(m['coverage_ratio'], 0) < coalesce(m['min_coverage_ratio'], 0.9) THEN 'coverage' END, CASE WHEN coalesce(m['integrity_valid'], 0) = 0 THEN 'integrity' END,
-      CASE WHEN coalesce(m['reference_applicability'], 0) = 0 THEN 'reference_applicability' END) AS failed FROM m""",
+    "instrument_gate": f"""WITH m AS (SELECT p AS p_partkey, {_INSTRUMENT} FROM (SELECT p_partkey AS p FROM part))
+      SELECT p_partkey, concat_ws(',', CASE WHEN coalesce(device_ready, 0) = 0 THEN 'device_ready' END, CASE WHEN coalesce(calibration_valid, 0) = 0 THEN 'calibration' END,
+      CASE WHEN coalesce(snr_db, 0) < coalesce(min_snr_db, 18) THEN 'signal_to_noise' END, CASE WHEN coalesce(saturation_ratio, 1) > 0.02 THEN 'not_saturated' END,
+      CASE WHEN coalesce(region_match_valid, 0) = 0 THEN 'region_match' END, CASE WHEN coalesce(spatial_registration_valid, 0) = 0 THEN 'spatial_registration' END,
+      CASE WHEN coalesce(coverage_ratio, 0) < coalesce(min_coverage_ratio, 0.9) THEN 'coverage' END, CASE WHEN coalesce(integrity_valid, 0) = 0 THEN 'integrity' END,
+      CASE WHEN coalesce(reference_applicability, 0) = 0 THEN 'reference_applicability' END) AS failed FROM m""",
+    "device_quality": FRAMES_SQL + """SELECT frame_id, round(greatest(0.0, least(1.0, 0.35::DOUBLE * (1 - least(1.0, abs(brightness - 130) / 130))
+      + 0.25::DOUBLE * (1 - least(1.0, clipped::DOUBLE * 0.75::DOUBLE / 0.24::DOUBLE)) + 0.40::DOUBLE * least(1.0, sharpness * 2 / 320))), 6) AS quality FROM fr""",
+    "reference_quality": FRAMES_SQL + """SELECT frame_id, CASE WHEN problem IS NULL THEN round((5 - len(f)) / 5.0, 6) END AS score, problem FROM (
+      SELECT *, CASE WHEN frame_id % 29 IN (2, 3) THEN 'CHECKS_DO_NOT_MATCH' WHEN frame_id % 29 = 1 THEN 'CHECK_NOT_BOOLEAN'
+        WHEN frame_id % 29 = 4 THEN 'FAILED_CHECKS_INCONSISTENT' WHEN frame_id % 29 = 6 THEN 'DECISION_INCONSISTENT' END AS problem FROM scored)""",
+    "near_duplicate_frames": _GREEDY + "SELECT capture, frame_id, duplicate_of, distance FROM walk WHERE duplicate_of IS NOT NULL",
     "hamming_pairs": FRAMES_SQL + f"""SELECT c.capture, round(coalesce(avg(d), 0), 6) AS diversity FROM (SELECT DISTINCT capture FROM fr) c LEFT JOIN
       (SELECT a.capture, ({_HAMMING.format('a.dhash', 'b.dhash')}) / 64.0 AS d FROM fr a JOIN fr b ON a.capture = b.capture AND a.frame_id < b.frame_id) p ON p.capture = c.capture GROUP BY 1""",
-    "capture_consistency": FRAMES_SQL + """SELECT capture, round(CASE WHEN max(n) < 2 THEN 1.0 ELSE 1 - least(1.0, avg(s) * 3) END, 6) AS consistency
-      FROM (SELECT capture, d, stddev_pop(features[d]) AS s, count(*) AS n FROM fr, range(1, 9) r(d) GROUP BY 1, 2) GROUP BY 1""",
+    "capture_consistency": _GREEDY + "SELECT capture, round(consistency, 6) AS consistency FROM steady",
     "mean_features": FRAMES_SQL + "SELECT capture, d - 1 AS dim, round(avg(features[d]), 6) AS mean FROM fr, range(1, 9) r(d) GROUP BY 1, 2",
-    "midpoint_frame": FRAMES_SQL + """, ends AS (
-      SELECT capture, min(frame_id) AS a, max(frame_id) AS z, (min(ts) + max(ts)) / 2 AS mid FROM scored GROUP BY 1
-    ) SELECT capture, a AS first_frame, coalesce((SELECT frame_id FROM scored s WHERE s.capture = ends.capture AND frame_id NOT IN (a, z)
-      ORDER BY abs(ts - mid), -quality, frame_id LIMIT 1), -1) AS middle_frame, z AS last_frame FROM ends""",
+    "midpoint_frame": _GREEDY + """SELECT capture, row_number() OVER (PARTITION BY capture ORDER BY ts, frame_id) AS position, frame_id FROM (
+      SELECT capture, frame_id, ts FROM usable JOIN ends USING (capture) WHERE frame_id IN (a, z) UNION ALL SELECT capture, frame_id, ts FROM (
+      SELECT capture, frame_id, ts, row_number() OVER (PARTITION BY capture ORDER BY abs(ts - mid), -quality, frame_id) AS k FROM usable JOIN ends USING (capture)
+      WHERE frame_id NOT IN (a, z)) WHERE k = 1)""",
+    "frame_admission": _GREEDY + "SELECT capture, n_accepted, n_rejected, n_duplicate, span, diversity, consistency, array_to_string(failed, ',') AS failed FROM gated",
+    "next_observations": _GREEDY + """SELECT capture, o.p AS priority, o.n AS observation FROM (SELECT capture, unnest(list_filter([
+      CASE WHEN n_accepted < 3 THEN {'p': 1, 'n': 'OBS-RGB-QUALITY'} END, CASE WHEN span < 0.55 OR diversity < 0.015 THEN {'p': 2, 'n': 'OBS-RGB-ROTATION'} END,
+      CASE WHEN consistency < 0.65 THEN {'p': 3, 'n': 'OBS-CALIBRATION'} END, {'p': 4, 'n': 'OBS-UV-NIR'}, {'p': 5, 'n': 'OBS-MATERIAL-SCIENCE'}],
+      lambda x: x IS NOT NULL)) AS o FROM gated)""",
+    "salient_tiles": """SELECT vec_id, rank, tile, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, tile DESC) AS rank FROM (
+      SELECT vec_id, t AS tile, round(list_sum(list_transform(embedding[t * 7 + 1:t * 7 + 7], lambda x: CAST(abs(x) AS DOUBLE))) / 7, 4) AS score FROM embeddings, range(9) r(t))) WHERE rank <= 2""",
+    "demo_references": """WITH e AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+      c AS (SELECT vec_id AS reference_id, v AS r FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3)
+      SELECT * FROM (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, reference_id) AS rank, reference_id, similarity FROM (
+      SELECT vec_id, reference_id, round(greatest(0, 1 - sqrt(list_sum(list_transform(list_zip(v, r), lambda x: pow(x[1] - x[2], 2))) / 8)), 4) AS similarity
+      FROM e, c WHERE vec_id % 20 = 0)) WHERE rank <= 3""",
     "image_changes": FRAMES_SQL + f""", p AS (
       SELECT *, lag(dhash) OVER w AS bh, lag(features) OVER w AS bf FROM scored WINDOW w AS (PARTITION BY capture ORDER BY ts)
     ), q AS (

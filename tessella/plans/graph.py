@@ -97,9 +97,9 @@ SQL = {
     "refused_edges": _EDGES + f"SELECT relation, count(*) AS n FROM e WHERE relation NOT IN ({_RELATIONS}) GROUP BY relation",
     "node_upsert": """SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS status, arg_min(event_id, (ts, event_id)) AS first_seen FROM events GROUP BY user_id""",
     "recent_subgraph": _EDGES + """, n AS (
-      SELECT source AS id, arg_min(event_id, (ts, event_id)) AS first_seen FROM e GROUP BY source ORDER BY first_seen DESC LIMIT 24
+      SELECT source AS id, arg_min(event_id, (ts, event_id)) AS first_seen FROM e GROUP BY source ORDER BY first_seen DESC, source DESC LIMIT 24
     ) SELECT source, target, first_seen FROM (SELECT source, target, arg_min(event_id, (ts, event_id)) AS first_seen FROM e GROUP BY ALL)
-      WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n) ORDER BY first_seen DESC LIMIT 38""",
+      WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n) ORDER BY first_seen DESC, source DESC, target DESC LIMIT 38""",
     "category_rollup": """SELECT lang, array_to_string(c, ',') AS categories, CASE WHEN list_contains(c, 'DEMO') AND list_contains(c, 'USER_UPLOAD') THEN 'MIXED'
       WHEN list_contains(c, 'DEMO') THEN 'DEMO' ELSE 'UNVERIFIED' END AS overall, n FROM (SELECT lang, list_sort(list(DISTINCT category)) AS c, count(*) AS n
       FROM (SELECT lang, CASE CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 3 WHEN 0 THEN 'DEMO' WHEN 1 THEN 'USER_UPLOAD' ELSE 'UNKNOWN' END AS category
