@@ -143,10 +143,10 @@ def sequence_hint(name: Column) -> Column:
 
 
 def safe_file_name(path: Column, longest: int = 180) -> Column:
-    """The last part of a path, without NUL, cut to ``longest`` characters; "upload" if nothing is left."""
-    name = F.substring_index(F.regexp_replace(path, r"\\\\", "/"), "/", -1)
+    """The last part of a path, trailing slashes aside, without NUL, cut to ``longest`` characters; "artifact-image" if nothing is left."""
+    name = F.substring_index(F.regexp_replace(path, "/+$", ""), "/", -1)
     name = F.left(F.regexp_replace(name, "\\x00", ""), F.lit(longest))
-    return F.when(F.coalesce(name, F.lit("")) == "", "upload").otherwise(name)
+    return F.when(F.coalesce(name, F.lit("")).isin("", "."), "artifact-image").otherwise(name)
 
 
 def utc_time(text: Column) -> Column:

@@ -3,7 +3,7 @@
 from collections.abc import Callable
 from importlib import import_module
 
-AREAS = ("retrieval", "search", "evaluation", "frames", "jobs", "audit", "planning", "validation", "graph", "comparison")
+AREAS = ("retrieval", "search", "evaluation", "frames", "jobs", "audit", "planning", "validation", "graph", "comparison", "records")
 
 
 def queries() -> dict[str, Callable]:
