@@ -41,17 +41,19 @@ def evaluate_actions(actions: DataFrame, budgets: DataFrame, uncertainty: float,
         )
     )
     out = actions.join(channels, "action_id", "left").select(
-        "action_id", "pos", gain.alias("gain"), risk.alias("risk"), utility.alias("utility"), reasons.alias("reasons")
+        "action_id", "pos", "region", gain.alias("gain"), risk.alias("risk"), utility.alias("utility"), reasons.alias("reasons")
     )
     fits = (F.size("reasons") == 0) & (F.col("utility") >= LEAST_UTILITY) & (F.col("gain") >= LEAST_GAIN)
     return out.withColumn("qualifies", fits)
 
 
-def choose_action(evaluated: DataFrame, uncertainty: float) -> DataFrame:
-    """The best qualifying action: utility, then less risk, then input order; none if certain enough."""
+def choose_action(evaluated: DataFrame, uncertainty: float, *keys: str) -> DataFrame:
+    """The best qualifying action, of each key if any are named: utility, then less risk, then input order; none if certain enough."""
     if uncertainty <= STOP_BELOW:
         return evaluated.limit(0)
-    return evaluated.where("qualifies").orderBy(F.desc("utility"), "risk", "pos").limit(1)
+    rest = [c for c in evaluated.columns if c not in keys]
+    best = F.max(F.struct("utility", (-F.col("risk")).alias("less_risk"), (-F.col("pos")).alias("earlier"), F.struct(*rest).alias("row")))
+    return evaluated.where("qualifies").groupBy(*keys).agg(best.alias("best")).where("best is not null").select(*keys, "best.row.*")
 
 
 def settlement(executions: DataFrame, *keys: str) -> DataFrame:

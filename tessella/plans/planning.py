@@ -1,43 +1,50 @@
-"""Planning queries: fixed actions and budgets, and settlements over ``lineitem``."""
+"""Planning queries: parts are actions in regions with budgets of three channels, lines are settled executions."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import planning as P
-from tessella.plans.common import r6, table, values
+from tessella.plans.common import r6, table
 
-UNCERTAINTY, BLOCKED = 0.85, ["uv:low"]
-ACTIONS = """('macro', 1, 'R1', 'macro:std', 'light', 0.10, true, true, true, 0.95, 0.50, 0.10), ('raman', 2, 'R1', 'raman:mid', 'heat', 0.30, true, true, true, 0.90, 0.20, 0.40),
- ('xrf', 3, 'R1', 'xrf:std', 'dose', 0.60, true, true, true, 0.85, 0.30, 0.30), ('uv', 4, 'R1', 'uv:low', 'light', 0.05, true, false, true, 0.80, 0.40, 0.05),
- ('ir', 5, 'R2', 'ir:std', 'heat', 0.20, true, true, true, 0.90, 0.45, 0.20), ('ct', 6, 'R2', 'ct:std', 'dose', 0.20, false, true, false, 0.99, 0.10, 0.80),
- ('echo', 7, 'R1', 'echo:std', 'heat', 0.30, true, true, true, 0.90, 0.20, 0.40)"""
-ACTION_COLUMNS = "action_id, pos, region, retry_key, channel, load, material, calibrated, ready, pass_rate, expected, cost"
-BUDGETS = """('R1', 'light', 0.2, 0.0, 1.0, false), ('R1', 'heat', 0.1, 0.1, 1.0, false), ('R1', 'dose', 0.3, 0.2, 1.0, false), ('R2', 'heat', 0.0, 0.0, 1.0, true)"""
-BUDGET_COLUMNS = "region, channel, used, reserved, cap, locked"
+UNCERTAINTY, BLOCKED = 0.85, ["k3", "k7"]
+CHANNELS = ("light", "heat", "dose")
 
 
-def _doubles(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in names})
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    channel = F.element_at(F.array(*map(F.lit, CHANNELS)), (p % 3 + 1).cast("int"))
+    ready = {name: p % n != 0 for name, n in zip(P.PRECONDITIONS, (7, 11, 13))}
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("a"), p.cast("string")).alias("action_id"), p.alias("pos"), (F.col("p_size") % 6).cast("bigint").alias("region"),
+        F.concat(F.lit("k"), (p % 20).cast("string")).alias("retry_key"), F.create_map(channel, (p % 10 / 10.0).cast("double")).alias("loads"),
+        F.create_map(*[x for name, ok in ready.items() for x in (F.lit(name), ok)]).alias("preconditions"), (0.5 + p % 6 / 10.0).alias("pass_rate"),
+        (p % 8 / 10.0).alias("expected_uncertainty"), (p % 9 / 20.0).alias("cost"),
+    )
 
 
-def _evaluated(spark: SparkSession) -> DataFrame:
-    rows = _doubles(values(spark, ACTIONS, ACTION_COLUMNS), "load", "pass_rate", "expected", "cost")
-    actions = rows.select(
-        "action_id", "pos", "region", "retry_key", F.create_map("channel", "load").alias("loads"),
-        F.create_map(F.lit("material_allowed"), "material", F.lit("calibration_ready"), "calibrated", F.lit("device_ready"), "ready").alias("preconditions"),
-        "pass_rate", F.col("expected").alias("expected_uncertainty"), "cost",
-    )
-    return P.evaluate_actions(actions, _doubles(values(spark, BUDGETS, BUDGET_COLUMNS), "used", "reserved", "cap"), UNCERTAINTY, BLOCKED)
+def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget for each region and channel; the sixth region of parts has none."""
+    r, i = F.col("r_regionkey").cast("bigint"), F.col("i")
+    listed = F.posexplode(F.array(*map(F.lit, CHANNELS))).alias("i", "channel")
+    return table(spark, sf_dir, "region").select("r_regionkey", listed).select(
+        r.alias("region"), "channel", ((r + i) % 4 / 10.0).alias("used"), (r * i % 3 / 10.0).alias("reserved"), (1.0 - r % 2 * 0.3).alias("cap"), ((r == 2) & (i == 1)).alias("locked")
+    )
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.evaluate_actions(actions(spark, sf_dir), budgets(spark, sf_dir), UNCERTAINTY, BLOCKED)
 
 
 def action_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _evaluated(spark)
+    found = _evaluated(spark, sf_dir)
     numbers = [r6(c).alias(c) for c in ("gain", "risk", "utility")]
     return found.select("action_id", *numbers, F.array_join("reasons", ",").alias("reasons"), "qualifies")
 
 
 def chosen_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.choose_action(_evaluated(spark), UNCERTAINTY).select("action_id", r6("utility").alias("utility"))
+    """The best action of each region."""
+    best = P.choose_action(_evaluated(spark, sf_dir), UNCERTAINTY, "region")
+    return best.select("region", "action_id", r6("utility").alias("utility"))
 
 
 def settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,23 +58,29 @@ def settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EVALUATED = f"""
-WITH a({ACTION_COLUMNS}) AS (VALUES {ACTIONS}), b({BUDGET_COLUMNS}) AS (VALUES {BUDGETS}), e AS (
-  SELECT action_id, pos, CAST(pass_rate AS DOUBLE) * greatest(0.0, {UNCERTAINTY} - CAST(expected AS DOUBLE)) AS gain, CAST(cost AS DOUBLE) AS cost,
-    least(1.0, load::DOUBLE / greatest(1e-9, coalesce(cap, 0)::DOUBLE - coalesce(used, 0)::DOUBLE - coalesce(reserved, 0)::DOUBLE)) AS risk,
-    concat_ws(',', CASE WHEN retry_key = '{BLOCKED[0]}' THEN 'RETRY_BLOCKED' END, CASE WHEN NOT material THEN 'NOT_MATERIAL_ALLOWED' END,
-      CASE WHEN NOT calibrated THEN 'NOT_CALIBRATION_READY' END, CASE WHEN NOT ready THEN 'NOT_DEVICE_READY' END, CASE WHEN locked THEN 'CHANNEL_LOCKED' END,
-      CASE WHEN coalesce(used, 0) + coalesce(reserved, 0) + load > coalesce(cap, 0) THEN 'OVER_BUDGET' END) AS reasons
-  FROM a LEFT JOIN b USING (region, channel)
+WITH a AS (
+  SELECT 'a' || p_partkey AS action_id, p_partkey AS pos, CAST(p_size % 6 AS BIGINT) AS region, 'k' || p_partkey % 20 AS retry_key, p_partkey % 3 AS i, p_partkey % 10 / 10.0 AS load,
+    p_partkey % 7 <> 0 AS material, p_partkey % 11 <> 0 AS calibrated, p_partkey % 13 <> 0 AS ready, 0.5 + p_partkey % 6 / 10.0 AS pass_rate,
+    p_partkey % 8 / 10.0 AS expected, p_partkey % 9 / 20.0 AS cost FROM part
+), b AS (
+  SELECT r_regionkey AS region, i, (r_regionkey + i) % 4 / 10.0 AS used, r_regionkey * i % 3 / 10.0 AS reserved, 1.0 - r_regionkey % 2 * 0.3 AS cap, r_regionkey = 2 AND i = 1 AS locked
+  FROM region, range(3) r(i)
+), e AS (
+  SELECT *, pass_rate * greatest(0.0, {UNCERTAINTY} - expected) AS gain, coalesce(cap, 0) - (coalesce(used, 0) + coalesce(reserved, 0)) AS room FROM a LEFT JOIN b USING (region, i)
 ), u AS (
-  SELECT *, 0.55 * gain - 0.2 * cost - 0.25 * risk AS utility FROM e
+  SELECT *, least(1.0, load / greatest(1e-9, room)) AS risk, concat_ws(',', CASE WHEN retry_key IN ({", ".join(f"'{k}'" for k in BLOCKED)}) THEN 'RETRY_BLOCKED' END,
+      CASE WHEN NOT material THEN 'NOT_MATERIAL_ALLOWED' END, CASE WHEN NOT calibrated THEN 'NOT_CALIBRATION_READY' END, CASE WHEN NOT ready THEN 'NOT_DEVICE_READY' END,
+      CASE WHEN locked THEN 'CHANNEL_LOCKED' END, CASE WHEN load > room + 1e-9 THEN 'OVER_BUDGET' END) AS reasons FROM e
+), v AS (
+  SELECT *, 0.55 * gain - 0.2 * cost - 0.25 * risk AS utility FROM u
 )
 """
 QUERIES = {f.__name__: f for f in (action_utility, chosen_action, settlement)}
 SQL = {
     "action_utility": _EVALUATED + """SELECT action_id, round(gain, 6) AS gain, round(risk, 6) AS risk, round(utility, 6) AS utility, reasons,
-      reasons = '' AND utility >= 0.1 AND gain >= 0.25 AS qualifies FROM u""",
-    "chosen_action": _EVALUATED + """SELECT action_id, round(utility, 6) AS utility FROM u WHERE reasons = '' AND utility >= 0.1 AND gain >= 0.25
-      ORDER BY u.utility DESC, risk, pos LIMIT 1""",
+      reasons = '' AND utility >= 0.1 AND gain >= 0.25 AS qualifies FROM v""",
+    "chosen_action": _EVALUATED + """SELECT region, action_id, round(utility, 6) AS utility FROM v WHERE reasons = '' AND utility >= 0.1 AND gain >= 0.25
+      QUALIFY row_number() OVER (PARTITION BY region ORDER BY v.utility DESC, risk, pos) = 1""",
     "settlement": """SELECT budget, round(sum(CASE WHEN ok THEN actual ELSE predicted END), 6) AS used, bool_or(NOT ok) AS locked, count(*) AS n_executions
       FROM (SELECT *, row_number() OVER (PARTITION BY budget, l_orderkey, l_linenumber ORDER BY predicted DESC, actual DESC, ok DESC) AS k
       FROM (SELECT l_suppkey AS budget, l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS predicted,

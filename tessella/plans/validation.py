@@ -7,7 +7,6 @@ from tessella.operators import validation as V
 from tessella.plans.common import r6, table
 
 COUNTABLE = ["FRONT", "BACK", "LEFT", "RIGHT", "TOP", "BASE"]
-ANSWERS = ("'Sure: ```json\n{\"a\": 1}\n``` done'", "'{\"b\": 2}'", "'no object'", "'x {\"c\": {\"d\": 3}} y'")
 
 
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +52,11 @@ def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broken rules of documents as entries."""
-    docs = table(spark, sf_dir, "documents")
+    """Broken rules of documents as entries; damage of each kind is planted."""
+    i = F.col("doc_id")
+    text = F.when(i % 37 == 1, F.concat("text", F.lit("\x07"))).when(i % 47 == 2, F.lit(None)).when(i % 53 == 3, "").otherwise(F.col("text"))
+    source = F.when(i % 43 == 4, F.concat(F.lit(" "), "source")).otherwise(F.col("source"))
+    docs = table(spark, sf_dir, "documents").withColumns({"text": text, "source": source})
     rules = {
         "has_text": F.length("text") > 0,
         "length_as_stated": F.length("text") == F.col("n_chars"),
@@ -97,14 +99,20 @@ def latest_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detected_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page bodies by first bytes: web pages are no media."""
-    kind = F.coalesce(V.detected_type(F.encode("html", "utf-8")), F.lit("unknown"))
+    """Page bodies by first bytes, most of them with those of a media type put before them."""
+    marks = F.array(*map(F.lit, ("89504E470D0A1A0A", "FFD8FFE0", "524946460000000057454250", "000000186674797069736F6D", "504B0304", "25504446", "")))
+    content = F.unhex(F.concat(F.element_at(marks, (F.col("page_id") % 7 + 1).cast("int")), F.hex(F.left("html", F.lit(8)))))
+    kind = F.coalesce(V.detected_type(content), F.lit("unknown"))
     return table(spark, sf_dir, "pages").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def answer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM (VALUES " + ", ".join(f"({i}, {a})" for i, a in enumerate(ANSWERS)).replace("\n", "\\n") + ") AS t(id, answer)")
-    return rows.select("id", F.coalesce(V.fenced_json(F.col("answer")), F.lit("")).alias("json"))
+    """Turns as a model's answers: fenced, bare, amid prose, or without an object."""
+    i = F.col("conv_id") + F.col("turn")
+    body = F.to_json(F.struct(F.col("turn").alias("a"), F.struct(F.col("conv_id").alias("c")).alias("b")))
+    answer = F.when(i % 4 == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n``` done {"))).when(i % 4 == 1, body)
+    answer = answer.when(i % 4 == 2, F.concat(F.lit("here "), body, F.lit(" it is"))).otherwise("no object")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(V.fenced_json(answer), F.lit("")).alias("json"))
 
 
 QUERIES = {
@@ -134,12 +142,15 @@ SQL = {
     "countable_angle_rule": _views_sql() + f"""SELECT object_id, count(*) AS n_views, count(DISTINCT angle) FILTER (angle IN ({_ANGLES})) AS n_angles FROM views GROUP BY object_id
       HAVING count(*) < 6 OR count(DISTINCT angle) FILTER (angle IN ({_ANGLES})) < 6""",
     "kind_counts": _views_sql() + "SELECT kind, count(*) AS n_views, count(DISTINCT object_id) AS n_objects FROM views GROUP BY kind",
-    "entry_rules": r"""SELECT rule, count(*) AS n FROM (
-      SELECT 'has_text' AS rule FROM documents WHERE NOT coalesce(length(text) > 0, false)
-      UNION ALL SELECT 'length_as_stated' FROM documents WHERE NOT coalesce(length(text) = n_chars, false)
-      UNION ALL SELECT 'safe_text' FROM documents WHERE NOT coalesce(NOT regexp_matches(regexp_replace(text, '[\n\t\r]', '', 'g'), '[\p{Cc}\p{Cf}]'), false)
-      UNION ALL SELECT 'source_identifier' FROM documents WHERE NOT coalesce(regexp_matches(source, '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$'), false)
-      UNION ALL SELECT 'digest' FROM documents WHERE text IS NULL) GROUP BY rule""",
+    "entry_rules": r"""WITH d AS (
+      SELECT CASE WHEN doc_id % 37 = 1 THEN text || chr(7) WHEN doc_id % 47 = 2 THEN NULL WHEN doc_id % 53 = 3 THEN '' ELSE text END AS text, n_chars,
+        CASE WHEN doc_id % 43 = 4 THEN ' ' || source ELSE source END AS source FROM documents
+    ) SELECT rule, count(*) AS n FROM (
+      SELECT 'has_text' AS rule FROM d WHERE NOT coalesce(length(text) > 0, false)
+      UNION ALL SELECT 'length_as_stated' FROM d WHERE NOT coalesce(length(text) = n_chars, false)
+      UNION ALL SELECT 'safe_text' FROM d WHERE NOT coalesce(NOT regexp_matches(regexp_replace(text, '[\n\t\r]', '', 'g'), '[\p{Cc}\p{Cf}]'), false)
+      UNION ALL SELECT 'source_identifier' FROM d WHERE NOT coalesce(regexp_matches(source, '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$'), false)
+      UNION ALL SELECT 'digest' FROM d WHERE text IS NULL) GROUP BY rule""",
     "interval_rule": """SELECT CAST(l_shipdate AS DATE) BETWEEN CAST(o_orderdate AS DATE) AND CAST(o_orderdate AS DATE) + 60 AS inside, count(*) AS n
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""",
     "review_rule": """SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN NOT CAST(o_orderdate AS DATE) <= DATE '1997-12-31' THEN 'reviewed_in_time' END,
@@ -151,8 +162,7 @@ SQL = {
       CAST(sum(l_quantity) AS BIGINT) AS samples, CAST(sum(l_quantity * l_linenumber) AS BIGINT) AS ticks FROM lineitem GROUP BY l_suppkey)""",
     "latest_by_role": """SELECT role, conv_id, turn, sha256(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id DESC, turn DESC) AS k
       FROM conversations) WHERE k = 1""",
-    "detected_types": """SELECT CASE WHEN starts_with(html, '%PDF') THEN 'application/pdf' WHEN substr(html, 5, 4) = 'ftyp' THEN 'video/mp4'
-      WHEN substr(html, 9, 4) = 'WEBP' THEN 'image/webp' ELSE 'unknown' END AS kind, count(*) AS n FROM pages GROUP BY 1""",
-    "answer_json": "SELECT id, coalesce(nullif(coalesce(nullif(regexp_extract(answer, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1), ''), regexp_extract(answer, '(?s)(\\{.*\\})', 1)), ''), '') AS json FROM (VALUES "
-    + ", ".join(f"({i}, {a})" for i, a in enumerate(ANSWERS)) + ") t(id, answer)",
+    "detected_types": """SELECT ['image/png', 'image/jpeg', 'image/webp', 'video/mp4', 'application/zip', 'application/pdf', 'unknown'][page_id % 7 + 1] AS kind, count(*) AS n
+      FROM pages GROUP BY 1""",
+    "answer_json": """SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 = 3 THEN '' ELSE '{"a":' || turn || ',"b":{"c":' || conv_id || '}}' END AS json FROM conversations""",
 }

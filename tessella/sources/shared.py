@@ -55,6 +55,45 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         spark = df.sparkSession
         for path in getattr(df, "_tessella_paths", ()):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            where, store = _hadoop(spark, path)
+            store.delete(where, True)
         df._tessella_paths = []
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """A path and its file system, of whatever store it lies in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, such as a manifest or a pointer; one of that name is replaced."""
+    where, store = _hadoop(spark, path)
+    stream = store.create(where, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file; None if there is none."""
+    where, store = _hadoop(spark, path)
+    if not store.exists(where):
+        return None
+    stream = store.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def move_over(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file, in one step where the store can, over an older one of the target's name."""
+    jvm = spark._jvm
+    rename = getattr(jvm.org.apache.hadoop.fs.Options, "Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    one, two = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    context.rename(one, two, options)

@@ -111,18 +111,111 @@ def test_archives_and_movies(spark, tmp_path):
     assert [(r.level, r.box, r.problem) for r in boxes] == [(0, "ftyp", None), (0, "moov", None), (1, "trak", None), (2, "tkhd", None), (0, "mdat", "BAD_SIZE")]
 
 
-def test_view_archive_and_publish(spark, tmp_path):
+def test_view_archive_binds_rows_and_identity(spark, tmp_path):
     views = spark.createDataFrame([(1, [0.5, 0.25]), (2, [1.0, 0.0])], "view_id bigint, vector array<float>")
-    files.write_view_archive(views, str(tmp_path / "v"), "vector", "view_id")
-    good, bad = files.read_view_archive(spark, str(tmp_path / "v"), "vector", "view_id")
-    assert (good.count(), bad.count()) == (2, 0)
+    identity = {"library": "L1", "model": "m", "revision": "r"}
+    files.write_view_archive(views, str(tmp_path / "v"), identity, "vector", "view_id")
+    read = lambda expected: files.read_view_archive(spark, str(tmp_path / "v"), expected, "vector", "view_id")
+    good, bad, wrong = read(identity)
+    assert (good.count(), bad.count(), wrong) == (2, 0, [])
+    assert read({**identity, "model": "other"})[2] == ["model"]
+    spark.read.parquet(str(tmp_path / "v/views")).limit(1).withColumn("vector", F.array(F.lit(0.1).cast("float"), F.lit(0.2).cast("float"))).write.mode("append").parquet(str(tmp_path / "v/views"))
+    good, bad, wrong = read(identity)
+    assert (good.count(), bad.count(), wrong) == (2, 1, ["rows", "rows_sha256"])
+    ragged = spark.createDataFrame([(1, [0.5]), (2, [1.0, 0.0])], "view_id bigint, vector array<float>")
+    with pytest.raises(ValueError):
+        files.write_view_archive(ragged, str(tmp_path / "w"), identity, "vector", "view_id")
+    assert files.read_view_archive(spark, str(tmp_path / "w"), identity, "vector", "view_id")[2] == ["manifest"]
+
+
+def test_publish_swaps_a_pointer(spark, tmp_path):
+    views = spark.createDataFrame([(1,), (2,)], "view_id bigint")
     with pytest.raises(ValueError):
         files.publish(views, F.col("view_id") > 1, str(tmp_path / "p"))
+    with pytest.raises(ValueError):
+        files.read_published(spark, str(tmp_path / "p"))
     files.publish(views, F.col("view_id") > 0, str(tmp_path / "p"))
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+    files.publish(views.limit(1), F.col("view_id") > 0, str(tmp_path / "p"))
+    assert files.read_published(spark, str(tmp_path / "p")).count() == 1
+    with pytest.raises(ValueError):
+        files.publish(views, F.col("view_id") > 1, str(tmp_path / "p"))
+    assert files.read_published(spark, str(tmp_path / "p")).count() == 1
+    files.write_document(views.limit(1), str(tmp_path / "d.json"))
+    files.write_document(views.where("view_id = 2"), str(tmp_path / "d.json"))
+    assert (tmp_path / "d.json").read_text() == '{"view_id":2}'
+    with pytest.raises(ValueError):
+        files.write_document(views, str(tmp_path / "d.json"))
     store = spark.createDataFrame([(hashlib.sha256(b"a").hexdigest(),)], "sha256 string")
     blobs = spark.createDataFrame([(bytearray(b"a"),), (bytearray(b"b"),), (bytearray(b"b"),), (None,)], "content binary")
     assert [bytes(r.content) for r in files.new_blobs(blobs, store).collect()] == [b"b"]
+    files.write_review_sheet(views, str(tmp_path / "sheet"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "sheet")).count() == 2
+    (tmp_path / "big.json").write_text('{"a": 1}')
+    with pytest.raises(ValueError):
+        files.read_manifest(spark, str(tmp_path / "big.json"), "a int", most_bytes=3)
+
+
+def test_archive_rules(spark, tmp_path):
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in (("a/one.jpg", "x" * 50), ("A/ONE.jpg", "y"), ("../up.png", "z"), ("bomb.mp4", "0" * 1_000_000), ("fine.txt", "ok")):
+            z.writestr(name, text)
+    (tmp_path / "a.zip").write_bytes(made.getvalue())
+    found = files.archive_problems(files.zip_entries(spark, str(tmp_path / "a.zip")))
+    assert {r.name: r.problem for r in found.collect()} == {"A/ONE.jpg": None, "a/one.jpg": "REPEATED_PATH", "../up.png": "UNSAFE_PATH", "bomb.mp4": "COMPRESSION_RATIO", "fine.txt": None}
+    total = files.archive_totals(found).first()
+    assert (total.n_files, total.n_images, total.n_videos, total.n_problems) == (5, 3, 1, 3)
+
+
+def test_movie_tracks(spark, tmp_path):
+    box = lambda kind, body=b"": (len(body) + 8).to_bytes(4, "big") + kind + body
+    n = lambda *values: b"".join(v.to_bytes(4, "big") for v in values)
+    stbl = box(b"stbl", box(b"stsd", n(0, 1, 86) + b"avc1" + bytes(78)) + box(b"stts", n(0, 2, 10, 100, 5, 200)))
+    mdia = box(b"mdia", box(b"mdhd", n(0, 0, 0, 1000, 2000, 0)) + box(b"hdlr", n(0, 0) + b"vide" + bytes(13)) + box(b"minf", stbl))
+    tkhd = box(b"tkhd", bytes(76) + n(640 << 16, 480 << 16))
+    (tmp_path / "m.mp4").write_bytes(box(b"ftyp", b"isom") + box(b"moov", box(b"trak", tkhd + mdia)))
+    (tmp_path / "n.mp4").write_bytes(b"\x00\x00\x00\x09free")
+    row = files.movie_tracks(spark, str(tmp_path)).collect()
+    assert len(row) == 1
+    r = row[0]
+    assert (r.handler, r.codec, r.width, r.height, r.timescale, r.ticks, r.samples, r.run_ticks, r.seconds, r.agrees) == ("vide", "avc1", 640, 480, 1000, 2000, 15, 2000, 2.0, True)
+
+
+def _png(pixels):
+    """A colour PNG of a height x width x 3 array."""
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\x00" + row.tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_pictures(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pixels = rng.integers(0, 256, (24, 36, 3), dtype=np.uint8)
+    ramp = np.repeat(np.arange(0, 252, 7, dtype=np.uint8)[None, :, None], 24, axis=0).repeat(3, axis=2)
+    for name, p in (("noise.png", pixels), ("ramp.png", ramp), ("flat.png", np.full((8, 9, 3), 200, np.uint8))):
+        (tmp_path / name).write_bytes(_png(p))
+    (tmp_path / "broken.png").write_bytes(b"no picture")
+    got = {r.file.rsplit("/", 1)[1]: r for r in files.read_pictures(spark, str(tmp_path)).collect()}
+    assert set(got) == {"noise.png", "ramp.png", "flat.png"}
+    m = got["noise.png"].measured
+    grey = np.floor(pixels @ np.array([0.299, 0.587, 0.114]) + 0.5)
+    assert abs(m.brightness - grey.mean()) < 0.1 and abs(m.range - np.subtract(*np.percentile(grey, [99, 1]))) <= 1 and m.entropy > 0.9
+    most, least = pixels.max(axis=2) / 1.0, pixels.min(axis=2) / 1.0
+    assert abs(m.saturation - ((most - least) / np.maximum(most, 1)).mean()) < 1e-3
+    assert got["ramp.png"].measured.dhash == "f" * 16 and got["ramp.png"].measured.symmetry < 0.6
+    flat = got["flat.png"].measured
+    assert (flat.dhash, flat.entropy, flat.sharpness, flat.edge_density, flat.symmetry, flat.laplacian) == ("0" * 16, 0.0, 0.0, 0.0, 1.0, 0.0)
+    assert [t.score for t in m.tiles] == sorted([t.score for t in m.tiles], reverse=True) and len(m.tiles) == 2
+    digest = hashlib.sha256((tmp_path / "flat.png").read_bytes()).hexdigest()
+    index = spark.createDataFrame([(digest, "image/png"), (digest, "image/jpeg"), ("0" * 64, "image/png")], "sha256 string, media_type string")
+    assert {(r.media_type, r.problem, r.content is None) for r in files.indexed_files(spark, str(tmp_path), index).collect()} == {
+        ("image/png", None, False), ("image/jpeg", "TYPE_DIFFERS", True), ("image/png", "MISSING", True),
+    }
 
 
 def test_streams_equal_batch_replay(spark, sf_dir, tmp_path):
