@@ -95,7 +95,8 @@ def _postings(fps: DataFrame, size: int) -> DataFrame:
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # a row makes dozens
     posted = spread.select("fp", F.explode(F.array(*keys)).alias("list"))
     lengths = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return materialise(posted.join(lengths, "list"), "postings")
+    # The planner doesn't know how many rows a fingerprint makes, so it must not choose by size.
+    return materialise(posted.join(lengths.hint("merge"), "list"), "postings")
 
 
 def _meetings(posted: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def _star_links(fps: DataFrame) -> DataFrame:
     patterns = pairs.select("fp", F.expr(f"fp ^ {bit.format('i')} ^ {bit.format('j')}").alias("pattern"))
     shared = patterns.groupBy("pattern").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialise(shared, "patterns")
-    joined = spread_join(patterns, shared, "pattern", "n", n * sum(comb(64, k) for k in range(3)))
+    joined = spread_join(patterns, shared, "pattern", "n", n * sum(comb(64, k) for k in range(3)), exploded=True)
     return owning(joined.where("fp <> v").select(F.col("fp").alias("u"), "v"), shared)
 
 
