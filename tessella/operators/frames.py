@@ -181,11 +181,12 @@ def pairwise_distance(frames: DataFrame, key: str) -> DataFrame:
 
 def capture_consistency(frames: DataFrame, key: str, vector: str) -> DataFrame:
     """1 minus three times the mean population deviation over dimensions, kept within 0 and 1; 1 for fewer than two frames."""
-    n = frames.groupBy(key).agg(F.count(F.lit(1)).alias("n_frames"))
-    spread = frames.select(key, F.posexplode(vector).alias("d", "x")).groupBy(key, "d").agg(F.stddev_pop("x").alias("s"))
-    mean = spread.groupBy(key).agg(F.avg("s").alias("s"))
-    score = F.when(F.col("n_frames") < 2, 1.0).otherwise(1 - F.least(F.lit(1.0), F.coalesce("s", F.lit(0.0)) * 3))
-    return n.join(mean, key, "left").select(key, score.alias("consistency"))
+    n, d, x, s = (fresh_name(frames, c) for c in ("n_frames", "dimension", "value", "deviation"))
+    counted = frames.groupBy(key).agg(F.count(F.lit(1)).alias(n))
+    spread = frames.select(key, F.posexplode(vector).alias(d, x)).groupBy(key, d).agg(F.stddev_pop(x).alias(s))
+    mean = spread.groupBy(key).agg(F.avg(s).alias(s))
+    score = F.when(F.col(n) < 2, 1.0).otherwise(1 - F.least(F.lit(1.0), F.coalesce(s, F.lit(0.0)) * 3))
+    return counted.join(mean, key, "left").select(key, score.alias("consistency"))
 
 
 def representatives(usable: DataFrame, key: str) -> DataFrame:
@@ -203,7 +204,9 @@ def representatives(usable: DataFrame, key: str) -> DataFrame:
     nearest = F.min(F.when(inner, F.struct(F.abs(F.col("ts") - middle).alias("d"), (-F.col("quality")).alias("q"), F.col("frame_id").alias(frame), F.col("ts").alias(ts))))
     out = marked.groupBy(key).agg(F.first(first).alias(first), F.first(last).alias(last), nearest.alias(near))
     chosen = F.array_sort(F.array_distinct(F.array_compact(F.array(F.col(first), F.col(last), F.when(F.col(near).isNotNull(), F.struct(F.col(near)[ts].alias(ts), F.col(near)[frame].alias(frame)))))))
-    return out.select(key, F.posexplode(chosen).alias("position", "c")).select(key, (F.col("position") + 1).alias("position"), F.col("c")[frame].alias("frame_id"))
+    at, one = fresh_name(usable, "place"), fresh_name(usable, "chosen")
+    listed = out.select(key, F.posexplode(chosen).alias(at, one))
+    return listed.select(key, (F.col(at) + 1).alias("position"), F.col(one)[frame].alias("frame_id"))
 
 
 def admission(frames: DataFrame, key: str, duration: Column, features: str = "features") -> DataFrame:
@@ -245,7 +248,8 @@ def next_observations(admitted: DataFrame, key: str) -> DataFrame:
         (3, "OBS-CALIBRATION", F.col("consistency") < LEAST_CONSISTENCY), (4, "OBS-UV-NIR", F.lit(True)), (5, "OBS-MATERIAL-SCIENCE", F.lit(True)),
     )
     listed = F.array_compact(F.array(*[F.when(on, F.struct(F.lit(p).alias("priority"), F.lit(name).alias("observation"))) for p, name, on in advice]))
-    return admitted.select(key, F.explode(listed).alias("o")).select(key, "o.*")
+    one = fresh_name(admitted, "advice")
+    return admitted.select(key, F.explode(listed).alias(one)).select(key, f"{one}.*")
 
 
 def change_status(both_passed: Column, hash_share: Column, feature_distance: Column) -> Column:
