@@ -1,15 +1,27 @@
-"""Job logs as streams; each operator has a batch twin in ``operators.jobs``.
+"""Job and action logs as streams; each operator has a batch twin in ``operators``.
 
 Processing time only, as the log needs no windows: the state of a key is a few
-values, kept in the state store and so safe from lost executors.
+values, kept in the state store and so safe from lost executors. The rows of one
+key in one micro-batch are put in order together; limit a micro-batch by the
+source's options.
 """
 
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessella.operators.jobs import BASE_DELAY, LEAST_DELAY, MOST_DELAY
+from tessella.operators.records import ActionState
+
+
+def append_log(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append every new entry of ``log`` to a Parquet log, each exactly once, until no more are there."""
+    writer = log.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start(path)
+
 
 def last_status(log: DataFrame, key: str = "job") -> DataFrame:
     """A row for each key that a micro-batch touches: its newest status so far.
@@ -39,22 +51,84 @@ def intake(requests: DataFrame, key: str = "request_key") -> DataFrame:
     """Each request's verdict: ACCEPTED the first time, then REPLAYED, or CONFLICT if its digest differs.
 
     ``requests``: a string key, bigint seq, digest. Within a micro-batch the
-    smallest seq goes first.
+    smallest seq goes first. A null digest is a value of its own.
     """
 
     def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = state.get[0] if state.exists else None
-        for rows in batches:
-            rows = rows.sort_values("seq")
-            verdicts = []
-            for digest in rows["digest"]:
-                verdicts.append("ACCEPTED" if first is None else "REPLAYED" if digest == first else "CONFLICT")
-                first = digest if first is None else first
-            yield pd.DataFrame({key: keys[0], "seq": rows["seq"].astype("int64"), "verdict": verdicts})
-        if first is not None:
-            state.update((first,))
-
-    rows = requests.selectExpr(key, "seq", "coalesce(digest, '') as digest").where(f"{key} is not null")
+        first = tuple(state.get) if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("seq")
+        verdicts = []
+        for known, digest in zip(rows["known"], rows["digest"]):
+            own = (bool(known), digest)
+            verdicts.append("ACCEPTED" if first is None else "REPLAYED" if own == first else "CONFLICT")
+            first = own if first is None else first
+        state.update(first)
+        yield pd.DataFrame({key: keys[0], "seq": rows["seq"].astype("int64"), "verdict": verdicts})
+
+    rows = requests.selectExpr(key, "seq", "digest is not null as known", "coalesce(digest, '') as digest").where(f"{key} is not null")
+    return rows.groupBy(key).applyInPandasWithState(
+        update, f"{key} string, seq bigint, verdict string", "known boolean, digest string", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def actions(log: DataFrame, limit: float) -> DataFrame:
+    """Every entry's verdict and the session's budget after it, as ``operators.records.replay_actions`` gives them.
+
+    ``log``: session, seq, kind, run, load, valid, as there. A reservation, claim
+    or settlement counts once, whichever micro-batch it comes in; entries must
+    come in order of seq from one micro-batch to the next. Null sessions are left out.
+    """
+
+    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            used, reserved, locked, run, claimed, settled = state.get
+            now = ActionState(limit, used, reserved, locked, run or None, claimed, set(settled))
+        else:
+            now = ActionState(limit)
+        rows = pd.concat(list(batches)).sort_values("seq")
+        out = []
+        for row in rows.itertuples():
+            load = None if pd.isna(row.load) else float(row.load)
+            out.append((keys[0], int(row.seq), now.apply(row.kind, row.run, load, bool(row.valid)), now.used, now.reserved, now.locked))
+        state.update((now.used, now.reserved, now.locked, now.run or "", now.claimed, sorted(now.settled)))
+        yield pd.DataFrame(out, columns=["session", "seq", "verdict", "used", "reserved", "locked"])
+
+    rows = log.selectExpr("session", "seq", "kind", "run", "cast(load as double) as load", "coalesce(valid, false) as valid").where("session is not null")
+    return rows.groupBy("session").applyInPandasWithState(
+        update, "session bigint, seq bigint, verdict string, used double, reserved double, locked boolean",
+        "used double, reserved double, locked boolean, run string, claimed boolean, settled array<string>", "append", GroupStateTimeout.NoTimeout,
+    )
+
+
+def retries(log: DataFrame, key: str = "job") -> DataFrame:
+    """Waiting jobs that are put back in the queue when their delay is over.
+
+    ``log``: a bigint key and status, in order of arrival. Each RETRY_WAIT starts a
+    timer of processing time, doubled with every wait of the job between fixed
+    bounds; any other status stops it. A row is (key, attempt, status), WAITING when a
+    timer starts and QUEUED when it has run out; timers are looked at when a
+    micro-batch runs.
+    """
+
+    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waits, waiting = state.get if state.exists else (0, False)
+        status = None
+        if state.hasTimedOut:
+            state.update((waits, False))
+            status = "QUEUED" if waiting else None
+        else:
+            for rows in batches:
+                for entry in rows["status"]:
+                    waiting = entry == "RETRY_WAIT"
+                    waits += waiting
+            state.update((waits, waiting))
+            if waiting:
+                delay = max(LEAST_DELAY, min(BASE_DELAY * 2.0 ** min(max(waits - 1, 0), 60), MOST_DELAY))
+                state.setTimeoutDuration(int(delay * 1000))
+                status = "WAITING"
+        yield pd.DataFrame({key: [keys[0]], "attempt": [waits], "status": [status]} if status else {key: [], "attempt": [], "status": []})
+
+    rows = log.select(key, "status").where(f"{key} is not null and status is not null")
     return rows.groupBy(key).applyInPandasWithState(
-        update, f"{key} string, seq bigint, verdict string", "digest string", "append", GroupStateTimeout.NoTimeout
+        update, f"{key} bigint, attempt bigint, status string", "waits bigint, waiting boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
     )

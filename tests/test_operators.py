@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import time
 import zipfile
 
 import pytest
@@ -235,17 +236,58 @@ def test_streams_equal_batch_replay(spark, sf_dir, tmp_path):
     assert final == {r.job: (r.status, r.seq, r.n_entries) for r in jobs.last_status(batch, "job").collect()}
 
 
+def _streamed(spark, stream, tmp_path, mode="append"):
+    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).format("parquet").option("checkpointLocation", str(tmp_path / "check")).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out")).collect()
+
+
 def test_stream_intake(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("b", 4, None), (None, 5, "z")], "request_key string, seq bigint, digest string")
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("b", 4, None), ("b", 6, ""), ("b", 7, None), (None, 5, "z")], "request_key string, seq bigint, digest string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    query = (
-        streams.intake(source).writeStream.outputMode("append").trigger(availableNow=True).format("parquet")
-        .option("checkpointLocation", str(tmp_path / "check")).start(str(tmp_path / "out"))
-    )
-    query.awaitTermination()
-    got = {r.seq: r.verdict for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: "ACCEPTED", 2: "REPLAYED", 3: "CONFLICT", 4: "ACCEPTED"}
+    got = {r.seq: r.verdict for r in _streamed(spark, streams.intake(source), tmp_path)}
+    assert got == {1: "ACCEPTED", 2: "REPLAYED", 3: "CONFLICT", 4: "ACCEPTED", 6: "CONFLICT", 7: "REPLAYED"}
+    found = jobs.idempotent_intake(rows.where("request_key = 'b'"), ["request_key"], "digest").first()
+    assert (found.first_seq, found.conflict) == (4, True)
+
+
+def test_stream_of_actions_equals_replay(spark, tmp_path):
+    import random
+
+    from tessella.operators import records
+
+    rng = random.Random(6)
+    kind = "session bigint, seq bigint, kind string, run string, load double, valid boolean"
+    rows = [(s, i, rng.choice(["reserve", "claim", "settle"]), rng.choice(["r1", "r2", "r3"]), rng.choice([None, 0.5, 2.0]), rng.random() < 0.8) for s in range(6) for i in range(30)]
+    frame = spark.createDataFrame(rows, kind)
+    for at in range(3):  # three micro-batches, in order
+        frame.where(f"seq >= {at * 10} and seq < {at * 10 + 10}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = _streamed(spark, streams.actions(source, 3.0), tmp_path)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, records.replay_actions(frame, 3.0).collect()))
+    streams.append_log(source, str(tmp_path / "log"), str(tmp_path / "log_check")).awaitTermination()
+    streams.append_log(source, str(tmp_path / "log"), str(tmp_path / "log_check")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "log")).count() == len(rows)
+
+
+def test_stream_of_retries(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "BASE_DELAY", 0.05)
+    (tmp_path / "in").mkdir()
+    put = lambda name, *rows: (tmp_path / "in" / name).write_text("\n".join(f'{{"job": {j}, "status": "{s}"}}' for j, s in rows))
+    source = spark.readStream.schema("job bigint, status string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = []
+    put("0.json", (1, "RETRY_WAIT"), (2, "RETRY_WAIT"), (3, "RUNNING"))
+    query = streams.retries(source).writeStream.outputMode("append").trigger(processingTime="200 milliseconds").option("checkpointLocation", str(tmp_path / "check")).foreachBatch(lambda df, _: got.extend(df.collect())).start()
+    try:
+        for i in range(1, 60):
+            if {(1, 1, "QUEUED"), (2, 1, "QUEUED")} <= set(map(tuple, got)):
+                break
+            time.sleep(1)
+            put(f"{i}.json", (9, "RUNNING"))  # timers are looked at when a micro-batch runs
+    finally:
+        query.stop()
+    assert {(1, 1, "WAITING"), (2, 1, "WAITING"), (1, 1, "QUEUED"), (2, 1, "QUEUED")} <= set(map(tuple, got)) and not [r for r in got if r.job == 3]
 
 
 def test_promotion_holds_what_it_cannot_compare(spark):
