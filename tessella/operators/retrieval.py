@@ -442,6 +442,46 @@ def related_decision(hits: DataFrame, policy: Policy = Policy()) -> DataFrame:
     )
 
 
+# What is said of a capture for each status of its decision.
+STATUS_NOTES = {
+    "INSUFFICIENT_CAPTURE": "CAPTURE_INSUFFICIENT", "CALIBRATION_REQUIRED": "CALIBRATION_REQUIRED", "OPEN_SET_NO_MATCH": "OPEN_SET_LIMITATION",
+    "RELATED_REFERENCES_ONLY": "RELATED_ONLY_LIMITATION", "EXACT_MEDIA_REPLAY": "EXACT_MEDIA_REPLAY_BLOCKED",
+}
+
+
+def explanations(hits: DataFrame, decisions: DataFrame, signal: DataFrame) -> DataFrame:
+    """(capture_id, section, position, code, object_id, detail): what a report states about a capture, in codes.
+
+    Sections are "shared", "differences" and "uncertainties". The best catalog
+    object's numbers are stated as relations within the index only; without one,
+    its absence is. Uncertainties name the failed gates, the status's own note, the
+    known negative that raised a signal or that none was compared, and always that
+    authenticity isn't judged.
+    """
+    top = ranked(hits.where("kind = 'catalog'")).where("rank = 1").select("capture_id", "object_id", "score", "coverage", "quality_score", "margin")
+    base = decisions.select("capture_id", "status", "reasons").join(top, "capture_id", "left")
+    base = base.join(signal.select("capture_id", F.col("object_id").alias("negative"), "triggered", "weighted_score", "top_score"), "capture_id", "left")
+    has, r4 = F.col("object_id").isNotNull(), lambda c: F.round(c, 4)
+    numbers = F.to_json(F.struct(r4("score").alias("score"), r4("coverage").alias("coverage"), r4("quality_score").alias("quality_score"), r4("margin").alias("runner_up_margin")))
+    note = F.create_map(*[F.lit(x) for pair in STATUS_NOTES.items() for x in pair])
+    said = lambda on, section, code, obj=None, detail=None: F.when(
+        on, F.struct(F.lit(section).alias("section"), (code if isinstance(code, Column) else F.lit(code)).alias("code"), (F.lit(None) if obj is None else obj).cast("bigint").alias("object_id"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
+    )
+    lines = [
+        said(has, "shared", "TOP_CANDIDATE_RETRIEVAL_METRICS", F.col("object_id"), numbers),
+        said(~has, "uncertainties", "NO_CATALOG_CANDIDATE"),
+        said(~has, "differences", "NO_REFERENCE_FOR_DIRECT_COMPARISON"),
+        said(F.col("reasons") != "PASSED_ALL_IDENTITY_GATES", "uncertainties", "IDENTITY_GATE_REASONS", None, F.col("reasons")),
+        said(F.try_element_at(note, F.col("status")).isNotNull(), "uncertainties", F.try_element_at(note, F.col("status"))),
+        said(F.col("triggered"), "differences", "COUNTERFEIT_REFERENCE_SIGNAL", F.col("negative"), r4("weighted_score")),
+        said(F.col("top_score").isNull(), "uncertainties", "COUNTERFEIT_CROSS_CHECK_NOT_RUN"),
+        said(F.lit(True), "uncertainties", "AUTHENTICITY_NOT_ASSESSED"),
+    ]
+    stated = base.select("capture_id", F.posexplode(F.array_compact(F.array(*lines))).alias("order", "s")).select("capture_id", "order", "s.*")
+    place = F.row_number().over(Window.partitionBy("capture_id", "section").orderBy("order"))
+    return stated.select("capture_id", "section", place.alias("position"), "code", "object_id", "detail")
+
+
 def recognition_status(decisions: DataFrame, related: DataFrame, signal: DataFrame) -> DataFrame:
     """(capture_id, status, cross_check): the decision as a user sees it.
 

@@ -4,6 +4,10 @@ A rule with null inputs counts as broken, unless its docstring says otherwise:
 edges fail closed.
 """
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,6 +49,42 @@ def orphans(children: DataFrame, child_key: str, parents: DataFrame, parent_key:
     return children.join(known, children[child_key] == known[name], "left_anti")
 
 
+def joined_digest(chunks: DataFrame, key: str, position: str, text: str) -> DataFrame:
+    """(key, n, chars, digest): the SHA-256 of each key's chunks joined in order.
+
+    Keys are dealt to tasks, and a task streams over sorted chunks with one
+    digest at a time, so a text is never put together, however long. Null chunks
+    are empty; equal positions go by text; null keys are a key of their own.
+    """
+    rows = chunks.select(F.col(key).alias("k"), F.col(position).alias("p"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    dealt = rows.repartition("k").sortWithinPartitions("k", "p", "t").select("k", "t")
+    kind = dict(dealt.dtypes)["k"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, chars, digest, schema = object(), 0, 0, None, None
+        done: list[tuple] = []
+        for batch in batches:
+            schema = batch.schema
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if digest is None or k != at:
+                    if digest is not None:
+                        done.append((at, n, chars, digest.hexdigest()))
+                    at, n, chars, digest = k, 0, 0, hashlib.sha256()
+                n, chars = n + 1, chars + len(t)
+                digest.update(t.encode())
+            if done:
+                yield out(done, schema)
+                done = []
+        if digest is not None:
+            yield out([(at, n, chars, digest.hexdigest())], schema)
+
+    def out(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        kinds = (schema.types[0], pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["k", "n", "chars", "digest"])
+
+    return dealt.mapInArrow(fold, f"k {kind}, n bigint, chars bigint, digest string").withColumnRenamed("k", key)
+
+
 def position_gaps(rows: DataFrame, key: str, position: str) -> DataFrame:
     """Rows whose position isn't the number of rows before them: positions run from 0 without gaps."""
     expected = F.row_number().over(Window.partitionBy(key).orderBy(position)) - 1

@@ -158,6 +158,12 @@ def recognition_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.recognition_status(_decision(hits, signal), R.related_decision(hits, POLICY), signal)
 
 
+def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _hits(spark, sf_dir)
+    signal = _signal(hits, spark)
+    return R.explanations(hits, _decision(hits, signal), signal).select("capture_id", "section", "position", "code", "object_id")
+
+
 def recapture_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standard angles that a capture lacks or has only below the usable quality."""
     from tessella.functions.texts import canonical_angle
@@ -284,7 +290,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         best_view_topk, view_violations, sound_topk, view_order, unit_centroid, object_score, angle_coverage, runner_up_margin, counterfeit_signal,
-        counterfeit_ranking, negative_controls, identity_decision, related_objects, related_decision, recognition_status, recapture_hints, strict_matches,
+        counterfeit_ranking, negative_controls, identity_decision, related_objects, related_decision, recognition_status, explanations, recapture_hints, strict_matches,
     )
 }
 SQL = {
@@ -322,6 +328,14 @@ SQL = {
       THEN 'OPEN_SET_NO_MATCH' ELSE status END AS status, CASE WHEN triggered AND competes THEN 'CONFLICT_REVIEW' WHEN triggered THEN 'STRONG_SIGNAL'
       WHEN top_score >= {R.WEAK_SIGNAL_FROM} THEN 'WEAK_SIGNAL' WHEN top_score IS NOT NULL THEN 'NO_SIGNAL' ELSE 'NOT_RUN' END AS cross_check
       FROM decided JOIN relation USING (capture_id) JOIN signal USING (capture_id)""",
+    "explanations": HITS_SQL + """SELECT capture_id, section, row_number() OVER (PARTITION BY capture_id, section ORDER BY k) AS position, code, object_id FROM (
+      SELECT capture_id, 1 AS k, 'shared' AS section, 'TOP_CANDIDATE_RETRIEVAL_METRICS' AS code, object_id FROM decided
+      UNION ALL SELECT capture_id, 4, 'uncertainties', 'IDENTITY_GATE_REASONS', NULL FROM decided WHERE NOT accepted
+      UNION ALL SELECT capture_id, 5, 'uncertainties', CASE status WHEN 'INSUFFICIENT_CAPTURE' THEN 'CAPTURE_INSUFFICIENT' WHEN 'OPEN_SET_NO_MATCH' THEN 'OPEN_SET_LIMITATION'
+        WHEN 'RELATED_REFERENCES_ONLY' THEN 'RELATED_ONLY_LIMITATION' ELSE 'EXACT_MEDIA_REPLAY_BLOCKED' END, NULL FROM decided WHERE status <> 'KNOWN_ARTIFACT_CANDIDATE'
+      UNION ALL SELECT capture_id, 6, 'differences', 'COUNTERFEIT_REFERENCE_SIGNAL', object_id FROM signal WHERE triggered
+      UNION ALL SELECT capture_id, 7, 'uncertainties', 'COUNTERFEIT_CROSS_CHECK_NOT_RUN', NULL FROM decided WHERE capture_id NOT IN (SELECT capture_id FROM signal)
+      UNION ALL SELECT capture_id, 8, 'uncertainties', 'AUTHENTICITY_NOT_ASSESSED', NULL FROM decided)""",
     "recapture_hints": HITS_SQL + f""", shot AS (SELECT capture_id, angle, max(quality) AS q FROM views WHERE is_query AND angle IS NOT NULL GROUP BY ALL),
       wanted AS (SELECT capture_id, unnest([{_known}]) AS angle FROM (SELECT DISTINCT capture_id FROM views WHERE is_query))
       SELECT capture_id, angle, CASE WHEN q IS NULL THEN 'MISSING_ANGLE' ELSE 'LOW_QUALITY' END AS reason

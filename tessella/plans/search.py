@@ -13,6 +13,7 @@ from tessella.functions.texts import (
     tokens,
     unsafe_path,
 )
+from tessella.operators import models as M
 from tessella.operators import search as S
 from tessella.plans.common import r6, table, values
 from tessella.sources.shared import materialise
@@ -79,6 +80,17 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("x <> 0").select("doc_id", "dim", r6("x").alias("x"))
 
 
+def model_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts embedded by a model that can't do every fifth length and gives vectors of other lengths; its vectors are checked."""
+
+    def embed(texts: list[str]) -> list:
+        return [None if len(t) % 5 == 0 else [1.0 if i == len(t) % 96 else 0.0 for i in range(96)] if len(t) % 3 else [2.0] + [0.0] * (95 - len(t) % 2) for t in texts]
+
+    found = M.embed_texts(table(spark, sf_dir, "benchmark"), embed)
+    problem = M.unit_problem(F.col("embedding.vector"), 96)
+    return found.select("item_id", "embedding.provider", "embedding.degraded_reason", F.size("embedding.vector").alias("n"), problem.alias("problem"))
+
+
 def token_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and sign of every distinct benchmark token, by SQL expressions alone."""
     t = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("token")).distinct()
@@ -233,7 +245,7 @@ _SCORED = ENTRIES_SQL + _LEX.replace("[TOKS]", "all_toks") + f"""
 QUERIES = {
     f.__name__: f
     for f in (
-        policy_exclusions, policy_summary, token_idf, lexical_score, hash_embedding, token_slots, script_tokens, hybrid_search, search_rejects,
+        policy_exclusions, policy_summary, token_idf, lexical_score, hash_embedding, model_embeddings, token_slots, script_tokens, hybrid_search, search_rejects,
         search_citations, script_mix, guardrail_hits, control_text, path_policy, private_endpoints, citation_top5,
     )
 }
@@ -246,6 +258,9 @@ SQL = {
     "hash_embedding": f"""WITH t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM documents),
       s AS (SELECT doc_id, {_SLOT} AS dim, sum({_SIGN}) AS x FROM t GROUP BY 1, 2)
       SELECT doc_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM s WHERE x <> 0""",
+    "model_embeddings": """SELECT item_id, CASE WHEN n % 5 = 0 THEN 'hashed' ELSE 'model' END AS provider, CASE WHEN n % 5 = 0 THEN 'NO_VECTOR' END AS degraded_reason,
+      CASE WHEN n % 5 <> 0 AND n % 3 = 0 AND n % 2 = 1 THEN 95 ELSE 96 END AS n, CASE WHEN n % 5 = 0 OR n % 3 <> 0 THEN NULL WHEN n % 2 = 1 THEN 'WRONG_DIMENSION' ELSE 'NOT_UNIT_LENGTH' END AS problem
+      FROM (SELECT item_id, length(text) AS n FROM benchmark)""",
     "token_slots": f"SELECT DISTINCT token, {_SLOT} AS slot, {_SIGN} AS sign FROM (SELECT unnest({_TOKENS.format('text')}) AS token FROM benchmark)",
     "script_tokens": f"""SELECT doc_id, token, count(*) AS n, {_SLOT} AS slot, {_SIGN} AS sign
       FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM (VALUES {SCRIPTS}) v(doc_id, text)) GROUP BY doc_id, token""",

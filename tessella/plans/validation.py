@@ -31,10 +31,7 @@ def contiguous_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every conversation's turns joined in order: chunks give back their text."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))  # one conversation's turns
-    joined = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"))
-    text = F.array_join(F.col("t")["text"], "")
-    return joined.select("conv_id", F.size("t").cast("bigint").alias("n"), F.sha2(text, 256).alias("digest"))
+    return V.joined_digest(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
 def countable_angle_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +135,7 @@ SQL = {
       UNION ALL SELECT 'line', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)""",
     "contiguous_positions": """SELECT l_orderkey, position, expected FROM (SELECT l_orderkey, position, row_number() OVER (PARTITION BY l_orderkey ORDER BY position) - 1
       AS expected FROM (SELECT DISTINCT l_orderkey, CAST(l_linenumber AS BIGINT) - 1 AS position FROM lineitem)) WHERE position <> expected""",
-    "chunk_text": "SELECT conv_id, count(*) AS n, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn, text)) AS digest FROM conversations GROUP BY conv_id",
+    "chunk_text": "SELECT conv_id, count(*) AS n, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn, text)) AS digest FROM conversations GROUP BY conv_id",
     "countable_angle_rule": _views_sql() + f"""SELECT object_id, count(*) AS n_views, count(DISTINCT angle) FILTER (angle IN ({_ANGLES})) AS n_angles FROM views GROUP BY object_id
       HAVING count(*) < 6 OR count(DISTINCT angle) FILTER (angle IN ({_ANGLES})) < 6""",
     "kind_counts": _views_sql() + "SELECT kind, count(*) AS n_views, count(DISTINCT object_id) AS n_objects FROM views GROUP BY kind",
