@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.functions.texts import fresh_name
+
 CITED = 5
 
 
@@ -61,7 +63,8 @@ def citations(hits: DataFrame, keys: list[str], role: str, order: list[Column],
     looked = hits.withColumn("position", first).where(F.col("position") <= most)
     named = looked.where(_present("artifact_id") & _present("citation_id"))
     again = F.row_number().over(Window.partitionBy(*keys, role, "artifact_id", "citation_id").orderBy("position"))
-    cited = named.withColumn("_again", again).where("_again = 1").drop("_again")
+    k = fresh_name(named, "again")
+    cited = named.withColumn(k, again).where(F.col(k) == 1).drop(k)
     recorded = F.lit(False)
     for c in source:
         recorded = recorded | _present(c)
