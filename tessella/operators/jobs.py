@@ -13,6 +13,8 @@ from tessella.functions.texts import fresh_name
 
 # The states that hold a place in a device's queue, and limits.
 OUTSTANDING = ("QUEUED", "RUNNING", "RETRY_WAIT")
+OPEN = ("DRAFT", "READY", "UPLOADING", "POLLING", "RETRY_REQUESTED", "MODEL_UNAVAILABLE", "FAILED")
+RECOVERABLE = ("READY", "UPLOADING", "POLLING", "RETRY_REQUESTED")
 QUOTA, BASE_DELAY, MOST_DELAY, LEAST_DELAY = 20, 5.0, 300.0, 0.05
 MOST_RECENT = 100
 
@@ -68,6 +70,25 @@ def attempts(log: DataFrame, key: str, started: str, recorded: tuple[str, ...])
     return out.withColumn("verdict", verdict)
 
 
+def recover(states: DataFrame, tried: DataFrame, key: str, now: Column, most: int) -> DataFrame:
+    """What becomes of the jobs that ran when the process ended: (key, attempt, outcome, status, next_attempt_at).
+
+    ``states``: key, status. ``tried``: key, attempt, n_outcomes, as ``attempts``
+    gives them. A last attempt without outcome gets UNKNOWN_AFTER_RESTART. Below
+    ``most`` attempts the job waits for its next one, with the delay that its
+    attempts so far earn it; otherwise, and if it had no attempt, it is queued again.
+    """
+    last = tried.groupBy(F.col(key).alias("k")).agg(F.max(F.struct("attempt", "n_outcomes")).alias("a"))
+    running = states.where(F.col("status") == "RUNNING").select(F.col(key).alias("job_key")).join(last, F.col("job_key") == F.col("k"), "left")
+    attempt = F.col("a.attempt")
+    waits = F.coalesce(attempt < most, F.lit(False))
+    at = F.timestamp_micros(F.unix_micros(now) + (backoff_seconds(attempt) * 1_000_000).cast("bigint"))
+    return running.select(
+        F.col("job_key").alias(key), attempt.alias("attempt"), F.when(F.col("a.n_outcomes") == 0, "UNKNOWN_AFTER_RESTART").alias("outcome"),
+        F.when(waits, "RETRY_WAIT").otherwise("QUEUED").alias("status"), F.when(waits, at).alias("next_attempt_at"),
+    )
+
+
 def idempotent_intake(requests: DataFrame, keys: list[str], digest: str) -> DataFrame:
     """The first request of each key, and whether a later one differs.
 

@@ -82,6 +82,33 @@ def last_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("device", "m.seq", "m.job", "m.value")
 
 
+def crash_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that were running: back to waiting below twelve attempts, else queued."""
+    whole = log(spark, sf_dir)
+    tried = J.attempts(whole, "job", "RUNNING", ("RETRY_WAIT", "COMPLETED"))
+    found = J.recover(J.last_status(whole, "job"), tried, "job", F.lit(NOW).cast("timestamp"), 12)
+    return found.select("job", "attempt", "outcome", "status", J.micros_of("next_attempt_at").alias("next_us"))
+
+
+def _client_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = F.array(*map(F.lit, (*J.OPEN, "COMPLETED", "CANCELLED")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.element_at(states, (F.col("o_orderkey") % 9 + 1).cast("int")).alias("state"))
+
+
+def latest_open_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    open_ = _client_jobs(spark, sf_dir).where(F.col("state").isin(*J.OPEN))
+    return J.recent(open_, 1, F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey", "state")
+
+
+def recoverable_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that a client takes up again, all of them."""
+    return _client_jobs(spark, sf_dir).where(F.col("state").isin(*J.RECOVERABLE)).select("o_orderkey", "state")
+
+
+def latest_client_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.recent(_client_jobs(spark, sf_dir), 20, F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey", "state")
+
+
 def correlated_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of every customer, 0 included."""
     found = J.with_counts(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "n_orders")
@@ -123,10 +150,22 @@ QUERIES = {
     f.__name__: f
     for f in (
         last_status, outstanding_quota, backoff_schedule, due_retries, attempt_outcomes, unrecorded_attempts, idempotency_conflicts,
-        cooldown_violations, fifo_head, recent_jobs, last_of_type, correlated_count, owned_lines, job_endings,
+        cooldown_violations, fifo_head, recent_jobs, last_of_type, crash_recovery, latest_open_job, recoverable_jobs, latest_client_jobs,
+        correlated_count, owned_lines, job_endings,
     )
 }
+_CLIENT = f"""WITH j AS (
+  SELECT o_orderkey, o_orderdate, [{", ".join(f"'{s}'" for s in (*J.OPEN, "COMPLETED", "CANCELLED"))}][o_orderkey % 9 + 1] AS state FROM orders
+)
+"""
+_STATES = lambda states: ", ".join(f"'{s}'" for s in states)
 SQL = {
+    "crash_recovery": LOG_SQL + f"""SELECT job, attempt, CASE WHEN n = 0 THEN 'UNKNOWN_AFTER_RESTART' END AS outcome, CASE WHEN attempt < 12 THEN 'RETRY_WAIT' ELSE 'QUEUED' END AS status,
+      CASE WHEN attempt < 12 THEN epoch_us(TIMESTAMP '{NOW}') + CAST(greatest(0.05, least(300.0, 5.0 * pow(2, attempt - 1))) * 1000000 AS BIGINT) END AS next_us
+      FROM last LEFT JOIN (SELECT job, max(attempt) AS attempt, arg_max(n, attempt) AS n FROM tried GROUP BY job) USING (job) WHERE status = 'RUNNING'""",
+    "latest_open_job": _CLIENT + f"SELECT o_orderkey, state FROM j WHERE state IN ({_STATES(J.OPEN)}) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1",
+    "recoverable_jobs": _CLIENT + f"SELECT o_orderkey, state FROM j WHERE state IN ({_STATES(J.RECOVERABLE)})",
+    "latest_client_jobs": _CLIENT + "SELECT o_orderkey, state FROM j ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20",
     "last_status": LOG_SQL + "SELECT job, status, ts, seq, n_entries FROM last",
     "outstanding_quota": LOG_SQL + """SELECT device, count(*) FILTER (status IN ('QUEUED', 'RUNNING', 'RETRY_WAIT')) AS outstanding,
       count(*) FILTER (status IN ('QUEUED', 'RUNNING', 'RETRY_WAIT')) < 6 AS admits FROM last GROUP BY device""",

@@ -6,13 +6,19 @@ from pyspark.sql import functions as F
 from tessella.operators import validation as V
 from tessella.plans.common import r6, table
 
+# Four more keys of a line.
+DUPLICATE_KEYS = {
+    "supplier": ("l_orderkey", "l_suppkey"), "flags": ("l_orderkey", "l_returnflag", "l_linestatus"), "amount": ("l_partkey", "l_quantity"),
+    "place": ("l_suppkey", "l_linenumber", "l_quantity"),
+}
 COUNTABLE = ["FRONT", "BACK", "LEFT", "RIGHT", "TOP", "BASE"]
 
 
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws("-", "l_orderkey", "l_linenumber")
     part = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey")
-    return V.duplicate_keys(table(spark, sf_dir, "lineitem"), {"line": line, "part": part})
+    more = {name: F.concat_ws("-", *columns) for name, columns in DUPLICATE_KEYS.items()}
+    return V.duplicate_keys(table(spark, sf_dir, "lineitem"), {"line": line, "part": part, **more})
 
 
 def orphan_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +136,8 @@ def _views_sql() -> str:
 
 SQL = {
     "duplicate_keys": """SELECT 'line' AS rule, concat_ws('-', l_orderkey, l_linenumber) AS value, count(*) AS n FROM lineitem GROUP BY 2 HAVING count(*) > 1
-      UNION ALL SELECT 'part', concat_ws('-', l_orderkey, l_partkey, l_suppkey), count(*) FROM lineitem GROUP BY 2 HAVING count(*) > 1""",
+      UNION ALL SELECT 'part', concat_ws('-', l_orderkey, l_partkey, l_suppkey), count(*) FROM lineitem GROUP BY 2 HAVING count(*) > 1"""
+    + "".join(f" UNION ALL SELECT '{name}', concat_ws('-', {', '.join(columns)}), count(*) FROM lineitem GROUP BY 2 HAVING count(*) > 1" for name, columns in DUPLICATE_KEYS.items()),
     "orphan_refs": """SELECT 'label' AS rule, count(*) AS n FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)
       UNION ALL SELECT 'line', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)""",
     "contiguous_positions": """SELECT l_orderkey, position, expected FROM (SELECT l_orderkey, position, row_number() OVER (PARTITION BY l_orderkey ORDER BY position) - 1
