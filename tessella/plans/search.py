@@ -106,9 +106,10 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores have eight places; of the six shown, halves go up."""
     found = S.best_entries(_scored(spark, sf_dir), MINIMUM, LIMIT)
     return found.select(
-        "rank", "doc_id", r6("score").alias("score"), r6("text_score").alias("text_score"), "structured", "visual",
+        "rank", "doc_id", r6(F.col("score") + 1e-9).alias("score"), r6("text_score").alias("text_score"), "structured", "visual",
         F.array_join("matched_on", ",").alias("matched_on"),
     )
 
@@ -264,7 +265,7 @@ SQL = {
     "token_slots": f"SELECT DISTINCT token, {_SLOT} AS slot, {_SIGN} AS sign FROM (SELECT unnest({_TOKENS.format('text')}) AS token FROM benchmark)",
     "script_tokens": f"""SELECT doc_id, token, count(*) AS n, {_SLOT} AS slot, {_SIGN} AS sign
       FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM (VALUES {SCRIPTS}) v(doc_id, text)) GROUP BY doc_id, token""",
-    "hybrid_search": _SCORED + """SELECT rank, doc_id, round(score, 6) AS score, text_score, structured, visual,
+    "hybrid_search": _SCORED + """SELECT rank, doc_id, round(score + 1e-9, 6) AS score, text_score, structured, visual,
       concat_ws(',', CASE WHEN text_score > 0 THEN 'text' END, CASE WHEN structured > 0 THEN 'structured' END, CASE WHEN visual > 0 THEN 'visual' END) AS matched_on
       FROM results""",
     "search_rejects": _SCORED + f"""SELECT doc_id, reason FROM judged WHERE reason IS NOT NULL
