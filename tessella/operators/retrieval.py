@@ -256,8 +256,9 @@ def object_hits(queries: DataFrame, gallery: DataFrame, policy: Policy = Policy(
         F.avg(F.col("matched").cast("double")).alias("similarity_coverage"),
         F.array_sort(F.collect_set(F.when(F.col("angle_matched"), F.col("angle")))).alias("angles"),
     )
-    declared = captures.groupBy("capture_id").agg(F.count_distinct("angle").alias("query_angles"))
-    objects = gallery.groupBy("object_id").agg(F.max("kind").alias("kind"), F.count_distinct(canonical_angle(F.col("angle"))).alias("object_angles"))
+    angles = lambda angle: F.size(F.collect_set(angle))  # noqa: E731  # at most eleven
+    declared = captures.groupBy("capture_id").agg(angles("angle").alias("query_angles"))
+    objects = gallery.groupBy("object_id").agg(F.max("kind").alias("kind"), angles(canonical_angle(F.col("angle"))).alias("object_angles"))
     per_angle = lambda n: F.when(n > 0, F.size("angles") / n).otherwise(0.0)
     qc = centroids(queries, "capture_id").withColumnRenamed("centroid", "qc")
     gc = centroids(gallery, "object_id").withColumnRenamed("centroid", "gc")
