@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontamination, language_model, licenses, media, quality, sharding, simhash, token_files, toxicity, word_model
+from tessella.llm import bpe, conversation_trie, decontamination, language_model, licenses, media, quality, sharding, simhash, token_files, toxicity, word_model
 from tessella.llm.sql import DECONTAMINATION_SQL, LANGUAGE_MODEL_SQL, WORD_MODEL_SQL, sharding_sql
 
 
@@ -174,6 +174,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnsRenamed(names).withColumn("toxic", F.col("p_toxic") > toxicity.TOXIC_ABOVE)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with the totals of its subtree.
+
+    Rows without conv_id are left out, null roles and texts are empty; equal turn
+    numbers stand by role and text. An empty table gives no row.
+    """
+    return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -187,6 +196,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
         "op10_toxicity": op10_toxicity,
+        "op12_conversation_trie": op12_conversation_trie,
     }
 
 
