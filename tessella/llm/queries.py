@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, conversation_trie, decontamination, language_model, licenses, media, quality, sharding, simhash, token_files, toxicity, word_model
+from tessella.llm import bpe, conversation_trie, decontamination, fingerprints, language_model, licenses, media, quality, sharding, simhash, token_files, toxicity, vector_codes, word_model
 from tessella.llm.sql import DECONTAMINATION_SQL, LANGUAGE_MODEL_SQL, WORD_MODEL_SQL, sharding_sql
 
 
@@ -174,6 +174,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnsRenamed(names).withColumn("toxic", F.col("p_toxic") > toxicity.TOXIC_ABOVE)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and how alike they and the next document's are.
+
+    A null text is empty and like another empty one. Null ids come last, equal
+    ids go by a hash of their texts. Repeated rows each get a row.
+    """
+    return fingerprints.with_next(_texts(spark, sf_dir))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations, with the totals of its subtree.
 
@@ -183,6 +192,14 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and errors of every vector with finite components, by codebooks fitted on all of them.
+
+    Repeated rows each count and get a row; null labels are one label.
+    """
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -196,7 +213,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
         "op10_toxicity": op10_toxicity,
+        "op11_fingerprints": op11_fingerprints,
         "op12_conversation_trie": op12_conversation_trie,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
