@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, conversation_trie, decontamination, fingerprints, language_model, licenses, media, quality, sharding, simhash, token_files, toxicity, vector_codes, word_model
-from tessella.llm.sql import DECONTAMINATION_SQL, LANGUAGE_MODEL_SQL, WORD_MODEL_SQL, sharding_sql
+from tessella.llm.sql import CONVERSATION_TRIE_SQL, DECONTAMINATION_SQL, LANGUAGE_MODEL_SQL, VECTOR_CODES_SQL, WORD_MODEL_SQL, sharding_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -225,4 +225,6 @@ def oracle_sql() -> dict[str, str]:
         "byte_class_cross_entropy": LANGUAGE_MODEL_SQL,
         "op4_decontamination": DECONTAMINATION_SQL,
         "op5_sharding": sharding_sql(sharding.layout(16), sharding.layout(17)),
+        "op12_conversation_trie": CONVERSATION_TRIE_SQL,
+        "op13_vector_codes": VECTOR_CODES_SQL,
     }

@@ -146,3 +146,84 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, round(coalesce(t / n,
   round(coalesce(b / n, 0), 6) AS background_loss, round(coalesce((t - b) / n, 0), 6) AS score
 FROM docs LEFT JOIN sums USING (rid)
 """
+
+
+def _crc32(hexed: str) -> str:
+    """CRC-32 of bytes given as hexadecimal digits, with the table ``t`` of the 256 steps."""
+    return f"""xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(CAST(length({hexed}) / 2 AS BIGINT)),
+      lambda i: CAST('0x' || substr({hexed}, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"""
+
+
+CONVERSATION_TRIE_SQL = f"""
+WITH RECURSIVE steps(b, c, n) AS (
+  SELECT b, b, 0 FROM range(256) r(b)
+  UNION ALL
+  SELECT b, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n + 1 FROM steps WHERE n < 8
+), crc_table AS MATERIALIZED (
+  SELECT list(c ORDER BY b) AS t FROM steps WHERE n = 8
+), said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, r, left(x, 64), sha256(length(r) || ':' || r || x)) AS turns
+  FROM said GROUP BY conv_id
+), drawn AS (
+  SELECT conv_id, turns, conv_id - conv_id % 20 AS base, {_crc32("lower(hex(encode(CAST(conv_id AS VARCHAR))))")} % 4 AS h FROM own, crc_table
+), rebuilt AS (
+  SELECT d.conv_id, list_concat(CASE WHEN b.conv_id IS NULL THEN [] ELSE b.turns[1:d.h] END, d.turns[d.h + 1:]) AS turns
+  FROM drawn d LEFT JOIN own b ON b.conv_id = d.base
+), passed AS (
+  SELECT conv_id, turns[1:d] AS path, d = len(turns) AS ended FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT path, len(path) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '') AS ends
+  FROM passed GROUP BY path
+), sized AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(path[-1].x, '[^\\x20\\x09-\\x0D]+')) END AS saved
+  FROM nodes LEFT JOIN (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1) c USING (path)
+), below AS (
+  SELECT path[1:d] AS path, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT path, saved, n_children, unnest(range(depth + 1)) AS d FROM sized) GROUP BY 1
+)
+SELECT s.conv_id, CAST(s.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(s.n_convs AS BIGINT) AS n_convs,
+  CAST(s.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, sha256(s.ends) AS ends_sha256
+FROM sized s JOIN below USING (path) LEFT JOIN nodes p ON s.depth > 0 AND p.path = s.path[1:s.depth - 1]
+"""
+
+
+def _nearest(books: str) -> str:
+    distance = " + ".join(f"(x{i} - c{i}) * (x{i} - c{i})" for i in range(4))
+    return f"SELECT p, rid, min(({distance}) * 64 + e) AS k FROM cut JOIN {books} USING (p) GROUP BY p, rid"
+
+
+def _moved(books: str, nearest: str) -> str:
+    means = ", ".join(f"CAST(floor(sum(x{i}) / count(*)) AS BIGINT) AS m{i}" for i in range(4))
+    entry = ", ".join(f"coalesce(m{i}, c{i}) AS c{i}" for i in range(4))
+    return f"SELECT p, e, {entry} FROM {books} LEFT JOIN (SELECT p, k % 64 AS e, {means} FROM {nearest} JOIN cut USING (p, rid) GROUP BY ALL) USING (p, e)"
+
+
+#: For vectors of 64 components.
+VECTOR_CODES_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS rid, vec_id, label, v FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x) AND abs(x) < 262144)) = 64)
+), cut AS MATERIALIZED (
+  SELECT rid, p, {", ".join(f"v[4 * p + {i + 1}] AS x{i}" for i in range(4))} FROM kept, range(16) r(p)
+), books0 AS MATERIALIZED (
+  SELECT p, rid AS e, {", ".join(f"x{i} AS c{i}" for i in range(4))} FROM cut WHERE rid < 64
+), nearest0 AS MATERIALIZED ({_nearest("books0")}
+), books1 AS MATERIALIZED ({_moved("books0", "nearest0")}
+), nearest1 AS MATERIALIZED ({_nearest("books1")}
+), books2 AS MATERIALIZED ({_moved("books1", "nearest1")}
+), nearest2 AS MATERIALIZED ({_nearest("books2")}
+), coded AS (
+  SELECT rid, string_agg(printf('%02x', k % 64), '' ORDER BY p) AS code, CAST(sum(k // 64) AS BIGINT) AS error FROM nearest2 GROUP BY rid
+), digest AS (
+  SELECT sha256(string_agg(concat_ws(',', c0, c1, c2, c3), ',' ORDER BY p, e)) AS d FROM books2
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, d AS codebooks_sha256
+FROM kept JOIN coded USING (rid), digest
+"""
