@@ -36,18 +36,18 @@ SEED = 42
 #: that scripts without spaces have terms, too.
 LONG_WORD = 48
 PIECE = 8
-#: Terms whose draws a worker keeps, three numbers a sample; then it starts anew.
+#: Terms whose draws a worker keeps at most, three numbers a sample.
 KEPT_TERMS = 65_536
 BLOCK = 1_024
 #: Terms that are drawn for at once, so that what is worked on stays in a core's cache.
-DRAWN = 64
+DRAWN = 128
 SLICE = 1 << 20
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 # Fixed values of the SplitMix64 generator: step and multipliers.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MULTIPLIERS = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-STEPS = STEP * np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64)
+STEPS = STEP * np.arange(1, SAMPLES + 1, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,28 +61,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _gamma(u: np.ndarray, v: np.ndarray, scale: float) -> np.ndarray:
-    """-ln of two uniform draws' product, the sum of two exponential draws; draws are (n + 1/2) / sqrt(scale)."""
-    x = u.astype(np.float64)
-    x += 0.5
-    x *= v.astype(np.float64) + 0.5
-    x *= 1 / scale
-    np.log(x, out=x)
-    return np.negative(x, out=x)
+def _exponential(bits: int) -> np.ndarray:
+    """The exponential distribution's quantiles at the middles of 2^bits equal shares, downwards."""
+    return np.round(-np.log((np.arange(1 << bits) + 0.5) / (1 << bits)), 12)
 
 
-def draws(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, b and ln c - r (1 - b) of each term hash and sample, rounded to single precision.
+#: Draws come from tables, of bits that are cut from one mixed number: 10 and 10 for r, the
+#: sum of two exponential draws, 12 for b, 16 and 16 for c.
+TEN, SIXTEEN = _exponential(10), _exponential(16)
 
-    One mixed number makes r, of two times 21 bits, and b, of 22; another c.
-    """
-    state = hashes[:, None] + STEPS[None, :]
-    bits = mix(state)
-    one, two = bits[:, :SAMPLES], bits[:, SAMPLES:]
-    r = _gamma(one >> np.uint64(43), (one >> np.uint64(22)) & np.uint64((1 << 21) - 1), 2.0**42).astype(np.float32)
-    b = ((one & np.uint64((1 << 22) - 1)).astype(np.float64) / 2.0**22).astype(np.float32)
-    c = _gamma(two >> np.uint64(32), two & np.uint64((1 << 32) - 1), 2.0**64)
-    light = (np.log(c, out=c) - r.astype(np.float64) * (1 - b.astype(np.float64))).astype(np.float32)
+
+def draws(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, b and ln c - r (1 - b) of each term hash and sample, in single precision."""
+    bits = mix(hashes[:, None] + STEPS[None, :])
+    cut = lambda shift, n: ((bits >> np.uint64(shift)) & np.uint64((1 << n) - 1)).view(np.int64)
+    r = TEN[cut(54, 10)]
+    r += TEN[cut(44, 10)]
+    b = cut(32, 12) * (1 / 4096) + 1 / 8192
+    c = SIXTEEN[cut(16, 16)]
+    c += SIXTEEN[cut(0, 16)]
+    light = np.log(c, out=c)
+    light -= r * (1 - b)
     return r, b, light
 
 
@@ -96,6 +95,8 @@ def terms_of(text: bytes) -> Counter:
             end += 1
         counts.update(text[at:end].translate(LOWER).split())
         at = end
+    if max(map(len, counts), default=0) <= LONG_WORD:
+        return counts
     for word in [w for w in counts if len(w) > LONG_WORD]:
         n, letters = counts.pop(word), word.decode()
         for i in range(max(1, len(letters) - PIECE + 1)):
@@ -104,35 +105,52 @@ def terms_of(text: bytes) -> Counter:
 
 
 class Sampler:
-    """Fingerprints of weighted terms; keeps the draws of terms that it has met."""
+    """Fingerprints of weighted terms; keeps the draws of the terms that it meets most."""
 
     def __init__(self):
         self.place: dict[bytes, int] = {}
+        self.met = np.zeros(KEPT_TERMS, np.int64)
         self.hashes = np.empty(KEPT_TERMS, np.uint64)
         self.r, self.b, self.light = (np.empty((KEPT_TERMS, SAMPLES), np.float32) for _ in range(3))
 
+    def _make_room(self) -> None:
+        """Forget half of the terms, those met least often; counts are halved, so that old ones fade."""
+        n = len(self.place)
+        keep = np.sort(np.argsort(-self.met[:n], kind="stable")[: KEPT_TERMS // 2])
+        for kept in (self.hashes, self.r, self.b, self.light):
+            kept[: len(keep)] = kept[keep]
+        halved = self.met[keep] // 2
+        self.met[:] = 0
+        self.met[: len(keep)] = halved
+        terms = list(self.place)  # in order of their places
+        self.place = {terms[i]: at for at, i in enumerate(keep.tolist())}
+
     def _places(self, terms: list[bytes]) -> np.ndarray:
-        new = [t for t in terms if t not in self.place]
-        if len(self.place) + len(new) > KEPT_TERMS:
-            self.place.clear()
-            new = terms
-        if new:
-            first = len(self.place)
-            rows = slice(first, first + len(new))
-            self.place.update(zip(new, range(first, first + len(new))))
-            self.hashes[rows] = [xxhash.xxh64_intdigest(t, SEED) for t in new]
-            for at in range(first, first + len(new), DRAWN):
-                some = slice(at, min(at + DRAWN, first + len(new)))
+        place = self.place
+        rows = np.array([place.get(t, -1) for t in terms])
+        missing = np.flatnonzero(rows < 0)
+        if len(missing) and len(place) + len(missing) > KEPT_TERMS:
+            self._make_room()
+            return self._places(terms)
+        if len(missing):
+            first, last = len(place), len(place) + len(missing)
+            new = [terms[i] for i in missing.tolist()]
+            place.update(zip(new, range(first, last)))
+            rows[missing] = np.arange(first, last)
+            self.hashes[first:last] = [xxhash.xxh64_intdigest(t, SEED) for t in new]
+            for at in range(first, last, DRAWN):
+                some = slice(at, min(at + DRAWN, last))
                 self.r[some], self.b[some], self.light[some] = draws(self.hashes[some])
-        return np.fromiter(map(self.place.__getitem__, terms), np.int64, len(terms))
+        self.met[rows] += 1
+        return rows
 
     def samples(self, counts: Counter) -> np.ndarray:
         """The 16 bits of each sample, 1 to 65,535; all 0 without terms."""
         best, term, step = np.full(SAMPLES, np.inf), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.int64)
-        terms, samples = list(counts), np.arange(SAMPLES)
+        terms, often, samples = list(counts), np.array(list(counts.values()), np.float64), np.arange(SAMPLES)
         for at in range(0, len(terms), BLOCK):
             part = terms[at : at + BLOCK]
-            rows, weights = self._places(part), np.fromiter(map(counts.__getitem__, part), np.float64, len(part))
+            rows, weights = self._places(part), often[at : at + BLOCK]
             a = self.light[rows]  # ln a of terms that occur once, where t is 0
             more = np.flatnonzero(weights > 1)
             if len(more):

@@ -28,9 +28,10 @@ def plain_fingerprint(counts):
         best = None
         for term, w in counts.items():
             h = xxhash.xxh64_intdigest(term, 42)
-            x, y = (plain_mix(h + 0x9E3779B97F4A7C15 * (k * SAMPLES + j + 1) & MASK) for k in range(2))
-            r = float(np.float32(-math.log(((x >> 43) + 0.5) * ((x >> 22) % 2**21 + 0.5) / 2.0**42)))
-            c, b = -math.log(((y >> 32) + 0.5) * (y % 2**32 + 0.5) / 2.0**64), x % 2**22 / 2.0**22
+            x = plain_mix(h + 0x9E3779B97F4A7C15 * (j + 1) & MASK)
+            drawn = lambda shift, bits: -math.log(((x >> shift) % 2**bits + 0.5) / 2**bits)
+            r, b, c = drawn(54, 10) + drawn(44, 10), ((x >> 32) % 4096 + 0.5) / 4096, drawn(16, 16) + drawn(0, 16)
+            r = float(np.float32(r))
             t = math.floor(math.log(w) / r + b)
             a = np.float32(math.log(c) - r * (1 - b))
             a = np.float32(a - np.float64(r) * t)
@@ -85,7 +86,7 @@ def test_blocks_and_a_small_memory_change_nothing(monkeypatch):
     texts = [" ".join(random.Random(k).choices([f"w{i}" for i in range(300)], k=400)).encode() for k in range(5)]
     want = [Sampler().of_text(t).tolist() for t in texts]
     monkeypatch.setattr(fingerprints, "BLOCK", 50)
-    monkeypatch.setattr(fingerprints, "KEPT_TERMS", 60)
+    monkeypatch.setattr(fingerprints, "KEPT_TERMS", 120)
     one = Sampler()
     assert [one.of_text(t).tolist() for t in texts] == want
 
