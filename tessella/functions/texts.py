@@ -10,11 +10,18 @@ from pyspark.sql import functions as F
 EMBEDDING_SIZE = 96
 LATIN_TOKEN = "[a-z0-9\u0131\u017f]+(?:[-_.][a-z0-9\u0131\u017f]+)*"
 HAN_RUN = "[\u3400-\u4dbf\u4e00-\u9fff]+"
+# The characters that count as blank, those of Unicode and not of ASCII only.
+BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    """``text`` without the blanks at its ends, whatever their script."""
+    return F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
 
 
 def normal_text(text: Column) -> Column:
-    """Lower case, white space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Lower case, runs of blanks as one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text), f"[{BLANKS}]+", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -72,32 +79,25 @@ SCOPE_OF = {
 SCOPE_PARTS = ("artifact_types", "materials", "modalities", "crafts", "regions", "tags")
 
 
-def plain_normal(text: str) -> str:
-    """``normal_text`` of a value that the driver knows."""
-    return " ".join(text.strip().lower().split())
-
-
-def query_values(value) -> list[str]:
-    """The distinct values of an attribute, one or a list, in normal form; blank ones are left out."""
-    values = value if isinstance(value, (list, tuple)) else [value]
-    return sorted({plain_normal(v) for v in values if isinstance(v, str) and v.strip()})
+def wanted_values(value) -> Column:
+    """An attribute of a query, a text or a list of texts, as an array of its distinct values in normal form; blank ones are left out."""
+    texts = [F.lit(v) for v in ([value] if isinstance(value, str) else value or ()) if isinstance(v, str)]
+    known = F.transform(F.array(*texts).cast("array<string>"), normal_text)
+    return F.array_distinct(F.filter(known, lambda v: v != ""))
 
 
 def scope_compatible(attributes: dict, scope: Column) -> Column:
     """Whether an entry's scope, a map of lists, admits a query's attributes.
 
-    Each attribute that names a part of the scope is held against that part: it
-    must have a wildcard or a common value. Attributes without values, and those
-    that name no part, don't limit; a part that the scope lacks admits nothing.
+    Each attribute that names a part of the scope meets that part: they share a
+    value, or the part has a wildcard. Attributes without values, and those that
+    name no part, don't limit; a part that the scope lacks admits nothing.
     """
-    ok = F.lit(True)
-    for key, part in SCOPE_OF.items():
-        wanted = query_values(attributes[key]) if key in attributes else []
-        if wanted:
-            allowed = F.transform(scope[part], normal_text)
-            admits = F.array_contains(allowed, "*") | F.arrays_overlap(allowed, F.array(*map(F.lit, wanted)))
-            ok = ok & F.coalesce(admits, F.lit(False))
-    return ok
+    met = [
+        (F.size(wanted) == 0) | F.coalesce(F.arrays_overlap(F.array_append(wanted, "*"), F.transform(scope[SCOPE_OF[name]], normal_text)), F.lit(False))
+        for name, wanted in ((name, wanted_values(value)) for name, value in attributes.items() if name in SCOPE_OF)
+    ]
+    return F.forall(F.array(F.lit(True), *met), lambda ok: ok)
 
 
 def unsafe_path(path: Column) -> Column:

@@ -4,6 +4,7 @@ Frames are never gathered in one row, so a capture may have any number of them.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +24,23 @@ LEAST_CONSISTENCY = 0.65
 REFERENCE_CHECKS = ("size", "brightness", "clipping", "sharpness", "range")
 
 
-def server_checks(width: Column, height: Column, brightness: Column, clipped: Column, sharpness: Column, spread: Column) -> dict[str, Column]:
-    """The five checks of an uploaded image."""
+def server_checks(width: Column, height: Column, brightness: Column, black: Column, white: Column, sharpness: Column, spread: Column) -> dict[str, Column]:
+    """The five checks of an uploaded image; black and white clipping each have a bound."""
     return {
         "size": (width >= 256) & (height >= 256),
         "brightness": brightness.between(30, 225),
-        "clipping": clipped <= 0.25,
+        "clipping": (black <= 0.25) & (white <= 0.25),
         "sharpness": sharpness >= 8,
         "range": spread >= 35,
     }
 
 
-def device_checks(width: Column, height: Column, brightness: Column, clipped: Column, laplacian: Column) -> dict[str, Column]:
+def device_checks(width: Column, height: Column, brightness: Column, black: Column, white: Column, laplacian: Column) -> dict[str, Column]:
     """The stricter checks on the capturing device."""
     return {
         "size": (F.greatest(width, height) >= 1200) & (F.least(width, height) >= 900),
         "exposure": brightness.between(45, 215),
-        "clipping": clipped <= 0.12,
+        "clipping": (black <= 0.12) & (white <= 0.12),
         "focus": laplacian >= 120,
     }
 
@@ -67,15 +68,19 @@ def failed_checks(checks: dict[str, Column]) -> Column:
 
 
 def frame_quality(passed_share: Column, sharpness: Column, spread: Column, clipped: Column) -> Column:
-    """Weighted quality between 0 and 1, to four places; halves, but for a billionth, go up."""
-    w = QUALITY_WEIGHTS
-    parts = (
-        w["checks"] * passed_share
-        + w["sharpness"] * F.least(F.lit(1.0), sharpness / FULL_SHARPNESS)
-        + w["range"] * F.least(F.lit(1.0), spread / FULL_RANGE)
-        + w["clipping"] * F.greatest(F.lit(0.0), 1 - clipped)
-    )
-    return F.round(parts + 1e-9, 4)
+    """Weighted quality between 0 and 1, to four places; ``clipped`` is the black and the white share together.
+
+    The parts are added as decimals of nine places, so that halves go up whatever
+    binary fractions make of them.
+    """
+    parts = {
+        "checks": passed_share,
+        "sharpness": F.least(F.lit(1.0), sharpness / FULL_SHARPNESS),
+        "range": F.least(F.lit(1.0), spread / FULL_RANGE),
+        "clipping": F.greatest(F.lit(0.0), 1 - clipped),
+    }
+    exact = [(F.lit(QUALITY_WEIGHTS[name]) * part).cast("decimal(20,9)") for name, part in parts.items()]
+    return F.round(reduce(Column.__add__, exact), 4).cast("double")
 
 
 def device_quality(brightness: Column, black: Column, white: Column, sharpness: Column) -> Column:

@@ -22,11 +22,11 @@ from tessella.functions.texts import (
     first_reason,
     fresh_name,
     normal_text,
-    query_values,
     scope_compatible,
     tokens,
+    wanted_values,
 )
-from tessella.functions.vectors import l2_similarity
+from tessella.functions.vectors import l2_similarity, total
 from tessella.sources.shared import materialise
 
 # Weights of the modalities and of the two text scores.
@@ -36,16 +36,18 @@ IN_SCOPE, IN_TEXT = 1.0, 0.7
 #: Tokens whose slot a worker remembers.
 REMEMBERED = 500_000
 
-_latin, _han = re.compile(LATIN_TOKEN).findall, re.compile(HAN_RUN).findall
+_TOKEN = re.compile(f"(?P<latin>{LATIN_TOKEN})|{HAN_RUN}")
 
 
 def python_tokens(text: str) -> list[str]:
-    """The same tokens as ``functions.texts.tokens``, Latin ones first."""
-    text = text.lower()
-    out: list[str] = _latin(text)
-    for run in _han(text):
-        out += [*run, *(run[i : i + 2] for i in range(len(run) - 1))]
-    return out
+    """The same tokens as ``functions.texts.tokens``, in order of the runs that they are cut from."""
+    return [
+        run[at : at + width]
+        for match in _TOKEN.finditer(text.lower())
+        for run in (match[0],)
+        for width in ((len(run),) if match["latin"] else (1, 2))
+        for at in range(len(run) - width + 1)
+    ]
 
 
 class _Slots(dict):
@@ -169,13 +171,11 @@ def lexical_scores(docs: DataFrame, query: str, text_col: str = "text", out_col:
 
 def structured_score(attributes: dict, scope: Column, text: Column) -> Column:
     """Mean over all values of the attributes: 1 in any part of the scope, 0.7 in the normal ``text``, else 0."""
-    values = [v for value in attributes.values() for v in query_values(value)]
-    if not values:
-        return F.lit(0.0)
+    values = F.flatten(F.array(F.array().cast("array<string>"), *map(wanted_values, attributes.values())))
     parts = F.array(*[F.coalesce(scope[p], F.array().cast("array<string>")) for p in SCOPE_PARTS])
     known = F.transform(F.flatten(parts), normal_text)
-    scores = [F.when(F.array_contains(known, v), IN_SCOPE).when(F.contains(text, F.lit(v)), IN_TEXT).otherwise(0.0) for v in values]
-    return sum(scores[1:], scores[0]) / len(scores)
+    scores = F.transform(values, lambda v: F.when(F.array_contains(known, v), IN_SCOPE).when(F.contains(text, v), IN_TEXT).otherwise(0.0))
+    return F.coalesce(total(scores) / F.nullif(F.size(values), F.lit(0)), F.lit(0.0))
 
 
 def scored_entries(entries: DataFrame, query: str, attributes: dict, visual: list[float] | None) -> DataFrame:
@@ -202,11 +202,11 @@ def scored_entries(entries: DataFrame, query: str, attributes: dict, visual: lis
     scored = narrow.withColumn("lexical", _lexical(narrow, wanted, "m")).withColumn("cosine", F.col("m.cosine"))
     scored = scored.withColumn("text_score", F.round(LEXICAL * F.col("lexical") + EMBEDDED * F.col("cosine"), 6))
     names = {"text": "text_score", "structured": "structured", "visual": "visual"}
-    total = sum((F.lit(w) * F.col(names[m]) for m, w in weights.items()), F.lit(0.0))
+    fused = sum((F.lit(w) * F.col(names[m]) for m, w in weights.items()), F.lit(0.0))
     matched = F.array_compact(F.array(*[F.when(F.col(names[m]) > 0, m) for m in weights]))
     return scored.select(
         "doc_id", F.round("lexical", 6).alias("lexical"), F.round("cosine", 6).alias("embedded"), "text_score", "structured", "visual",
-        F.round(total, 8).alias("score"), matched.alias("matched_on"),
+        F.round(fused, 8).alias("score"), matched.alias("matched_on"),
     )
 
 

@@ -31,18 +31,18 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(n / FRAMES).alias("capture"), n.alias("frame_id"), (n * 40).alias("ts"), F.concat(F.substring("h", 1, 15), last).alias("dhash"),
         F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("features"),
         (200 + n * 13 % 300).alias("width"), (240 + n * 7 % 200).alias("height"), (n * 17 % 256).cast("double").alias("brightness"),
-        (n * 5 % 40 / 100.0).alias("clipped"), (n * 29 % 150).cast("double").alias("sharpness"), (n * 31 % 200).cast("double").alias("spread"),
+        (n * 5 % 40 / 100.0).alias("black"), (n * 3 % 35 / 100.0).alias("white"), (n * 29 % 150).cast("double").alias("sharpness"), (n * 31 % 200).cast("double").alias("spread"),
     )
 
 
 def _checks() -> dict:
-    return R.server_checks(*map(F.col, ("width", "height", "brightness", "clipped", "sharpness", "spread")))
+    return R.server_checks(*map(F.col, ("width", "height", "brightness", "black", "white", "sharpness", "spread")))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = R.failed_checks(_checks())
     share = (5 - F.size(failed)) / 5.0
-    quality = R.frame_quality(share, F.col("sharpness"), F.col("spread"), F.col("clipped"))
+    quality = R.frame_quality(share, F.col("sharpness"), F.col("spread"), F.col("black") + F.col("white"))
     return frames(spark, sf_dir).withColumns({"quality": quality, "passed": F.size(failed) == 0, "failed": failed})
 
 
@@ -51,7 +51,7 @@ def frame_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def device_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = R.device_checks(F.col("width") * 4, F.col("height") * 4, F.col("brightness"), F.col("clipped"), F.col("sharpness") * 2)
+    checks = R.device_checks(F.col("width") * 4, F.col("height") * 4, F.col("brightness"), F.col("black"), F.col("white"), F.col("sharpness") * 2)
     return frames(spark, sf_dir).select("frame_id", F.array_join(R.failed_checks(checks), ",").alias("failed"))
 
 
@@ -67,7 +67,7 @@ def instrument_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def device_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = R.device_quality(F.col("brightness"), F.col("clipped") / 2, F.col("clipped") / 4, F.col("sharpness") * 2)
+    score = R.device_quality(F.col("brightness"), F.col("black"), F.col("white"), F.col("sharpness") * 2)
     return frames(spark, sf_dir).select("frame_id", r6(score).alias("quality"))
 
 
@@ -171,14 +171,15 @@ WITH signs AS (
     array_to_string(list_transform(n[1:15], lambda x: substr('0123456789abcdef', x + 1, 1)), '')
       || substr('0123456789abcdef', (CASE WHEN e.vec_id % 3 = 2 THEN xor(n[16], 3) ELSE n[16] END) + 1, 1) AS dhash,
     list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS features, 200 + e.vec_id * 13 % 300 AS width, 240 + e.vec_id * 7 % 200 AS height,
-    CAST(e.vec_id * 17 % 256 AS DOUBLE) AS brightness, e.vec_id * 5 % 40 / 100.0 AS clipped, CAST(e.vec_id * 29 % 150 AS DOUBLE) AS sharpness,
+    CAST(e.vec_id * 17 % 256 AS DOUBLE) AS brightness, e.vec_id * 5 % 40 / 100.0 AS black, e.vec_id * 3 % 35 / 100.0 AS white, CAST(e.vec_id * 29 % 150 AS DOUBLE) AS sharpness,
     CAST(e.vec_id * 31 % 200 AS DOUBLE) AS spread
   FROM embeddings e JOIN nibbles ON base = e.vec_id - CASE WHEN e.vec_id % 3 = 2 THEN 1 ELSE 0 END
 ), checked AS (
   SELECT *, list_filter([CASE WHEN width < 256 OR height < 256 THEN 'size' END, CASE WHEN brightness < 30 OR brightness > 225 THEN 'brightness' END,
-    CASE WHEN clipped > 0.25 THEN 'clipping' END, CASE WHEN sharpness < 8 THEN 'sharpness' END, CASE WHEN spread < 35 THEN 'range' END], lambda x: x IS NOT NULL) AS f FROM fr
+    CASE WHEN black > 0.25 OR white > 0.25 THEN 'clipping' END, CASE WHEN sharpness < 8 THEN 'sharpness' END, CASE WHEN spread < 35 THEN 'range' END], lambda x: x IS NOT NULL) AS f FROM fr
 ), scored AS (
-  SELECT *, round(0.65::DOUBLE * ((5 - len(f)) / 5.0::DOUBLE) + 0.15::DOUBLE * least(1.0, sharpness / 120) + 0.1::DOUBLE * least(1.0, spread / 180) + 0.1::DOUBLE * greatest(0.0, 1 - clipped::DOUBLE) + 1e-9, 4) AS quality,
+  SELECT *, CAST(round(CAST(0.65::DOUBLE * ((5 - len(f)) / 5.0::DOUBLE) AS DECIMAL(20, 9)) + CAST(0.15::DOUBLE * least(1.0, sharpness / 120) AS DECIMAL(20, 9))
+    + CAST(0.1::DOUBLE * least(1.0, spread / 180) AS DECIMAL(20, 9)) + CAST(0.1::DOUBLE * greatest(0.0, 1 - (black::DOUBLE + white::DOUBLE)) AS DECIMAL(20, 9)), 4) AS DOUBLE) AS quality,
     len(f) = 0 AS passed FROM checked
 )
 """
@@ -232,7 +233,7 @@ QUERIES = {
 SQL = {
     "frame_gate": FRAMES_SQL + "SELECT frame_id, array_to_string(f, ',') AS failed, round(quality, 6) AS quality, passed FROM scored",
     "device_gate": FRAMES_SQL + """SELECT frame_id, concat_ws(',', CASE WHEN greatest(width, height) * 4 < 1200 OR least(width, height) * 4 < 900 THEN 'size' END,
-      CASE WHEN brightness < 45 OR brightness > 215 THEN 'exposure' END, CASE WHEN clipped > 0.12 THEN 'clipping' END, CASE WHEN sharpness * 2 < 120 THEN 'focus' END) AS failed FROM fr""",
+      CASE WHEN brightness < 45 OR brightness > 215 THEN 'exposure' END, CASE WHEN black > 0.12 OR white > 0.12 THEN 'clipping' END, CASE WHEN sharpness * 2 < 120 THEN 'focus' END) AS failed FROM fr""",
     "instrument_gate": f"""WITH m AS (SELECT p AS p_partkey, {_INSTRUMENT} FROM (SELECT p_partkey AS p FROM part))
       SELECT p_partkey, concat_ws(',', CASE WHEN coalesce(device_ready, 0) = 0 THEN 'device_ready' END, CASE WHEN coalesce(calibration_valid, 0) = 0 THEN 'calibration' END,
       CASE WHEN coalesce(snr_db, 0) < coalesce(min_snr_db, 18) THEN 'signal_to_noise' END, CASE WHEN coalesce(saturation_ratio, 1) > 0.02 THEN 'not_saturated' END,
@@ -240,7 +241,7 @@ SQL = {
       CASE WHEN coalesce(coverage_ratio, 0) < coalesce(min_coverage_ratio, 0.9) THEN 'coverage' END, CASE WHEN coalesce(integrity_valid, 0) = 0 THEN 'integrity' END,
       CASE WHEN coalesce(reference_applicability, 0) = 0 THEN 'reference_applicability' END) AS failed FROM m""",
     "device_quality": FRAMES_SQL + """SELECT frame_id, round(greatest(0.0, least(1.0, 0.35::DOUBLE * (1 - least(1.0, abs(brightness - 130) / 130))
-      + 0.25::DOUBLE * (1 - least(1.0, clipped::DOUBLE * 0.75::DOUBLE / 0.24::DOUBLE)) + 0.40::DOUBLE * least(1.0, sharpness * 2 / 320))), 6) AS quality FROM fr""",
+      + 0.25::DOUBLE * (1 - least(1.0, (black::DOUBLE + white::DOUBLE) / 0.24::DOUBLE)) + 0.40::DOUBLE * least(1.0, sharpness * 2 / 320))), 6) AS quality FROM fr""",
     "reference_quality": FRAMES_SQL + """SELECT frame_id, CASE WHEN problem IS NULL THEN round((5 - len(f)) / 5.0, 6) END AS score, problem FROM (
       SELECT *, CASE WHEN frame_id % 29 IN (2, 3) THEN 'CHECKS_DO_NOT_MATCH' WHEN frame_id % 29 = 1 THEN 'CHECK_NOT_BOOLEAN'
         WHEN frame_id % 29 = 4 THEN 'FAILED_CHECKS_INCONSISTENT' WHEN frame_id % 29 = 6 THEN 'DECISION_INCONSISTENT' END AS problem FROM scored)""",

@@ -20,10 +20,10 @@ from tessella.sources.shared import materialise
 
 QUERY = "the license of this work and the version 2.0 the"
 ATTRIBUTES = {"material": ["Ceramic "], "region": "north", "note": ["license"]}
-MINIMUM, LIMIT, HIGH_MINIMUM = 0.05, 50, 0.35
+MINIMUM, LIMIT, HIGH_MINIMUM = 0.05, 50, 0.5
 VERSION = "2025.1"
 # Texts in several scripts, the Han extension block from U+3400 among them.
-SCRIPTS = "(-1, '\u3400\u3401 \u4e2d\u6587x-1 v2.0.b'), (-2, '\u4dbf\u4dc0\u4dc1 abc'), (-3, '\u9fff\u9fffa_b'), (-4, '\u65e5\u672c\u306e Caf\u00e9 \u4e2d'), (-5, '')"
+SCRIPTS = ("\u3400\u3401 \u4e2d\u6587x-1 v2.0.b ", "\u4dbf\u4dc0\u4dc1 abc", "\u9fff\u9fffa_b ", "\u65e5\u672c\u306e Caf\u00e9 \u4e2d", "")
 VISUAL = [0.1, 0.9, 0.3, 0.7, 0.5, 0.2, 0.8, 0.4]
 DAY = "2025-03-01"
 LICENSES = ("CC-BY", "CC0", "MIT", "PROPRIETARY")
@@ -44,7 +44,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 17 != 0, F.date_add(start, 400)).alias("valid_until"),
         F.concat(F.lit("Entry of "), "source").alias("title"),
         F.create_map(
-            F.lit("materials"), F.element_at(kinds, (i % 6 + 1).cast("int")), F.lit("regions"), F.when(i % 9 == 0, F.array(F.lit("South"))).otherwise(F.array(F.lit(" North"), F.lit("east"))),
+            F.lit("materials"), F.element_at(kinds, (i % 6 + 1).cast("int")), F.lit("regions"), F.when(i % 9 == 0, F.array(F.lit("South"))).when(i % 4 == 3, F.array(F.lit("\u3000North\xa0"), F.lit("east"))).otherwise(F.array(F.lit(" North"), F.lit("east"))),
             F.lit("tags"), F.when(i % 19 == 0, F.array(F.lit("LICENSE"))).otherwise(F.array().cast("array<string>")),
         ).alias("scope"),
         F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: (i * k % 97) / 97.0).alias("features"),
@@ -116,9 +116,8 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries refused by policy or, as fewer than the limit pass a high minimum, by score."""
-    limit = 1_000_000
     by_policy = _judged(spark, sf_dir).where("reason is not null").select("doc_id", "reason")
-    return by_policy.union(S.below_minimum(_scored(spark, sf_dir), HIGH_MINIMUM, limit))
+    return by_policy.union(S.below_minimum(_scored(spark, sf_dir), HIGH_MINIMUM, LIMIT))
 
 
 def search_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,24 +129,28 @@ def search_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.check_citations(stated, allowed).select("doc_id", "chunk_id", "version", "content_sha256", "accepted")
 
 
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' beginnings, each after one of the texts in other scripts."""
+    before = F.element_at(F.array(*map(F.lit, SCRIPTS)), (F.col("doc_id") % len(SCRIPTS) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(before, F.substring(F.coalesce("text", F.lit("")), 1, 60)).alias("text"))
+
+
 def script_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Han (U+3400 to U+9FFF) and Latin letters of each document, and of fixed texts in other scripts, and the Han share."""
-    samples = values(spark, SCRIPTS, "doc_id, text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    every = table(spark, sf_dir, "documents").select("doc_id", "text").union(samples)
-    t = F.coalesce("text", F.lit(""))
-    han, latin = count_matches(t, "[\u3400-\u9fff]"), count_matches(t, "[A-Za-z]")
-    return every.select("doc_id", han.alias("han"), latin.alias("latin"), r6(F.round(han / F.greatest(han + latin, F.lit(1)), 4)).alias("han_share"))
+    """Han (U+3400 to U+9FFF) and Latin letters of each document, and the Han share."""
+    han, latin = count_matches(F.col("text"), "[\u3400-\u9fff]"), count_matches(F.col("text"), "[A-Za-z]")
+    return _scripts(spark, sf_dir).select("doc_id", han.alias("han"), latin.alias("latin"), r6(F.round(han / F.greatest(han + latin, F.lit(1)), 4)).alias("han_share"))
 
 
 def script_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of the same fixed texts, with slot and sign."""
-    t = values(spark, SCRIPTS, "doc_id, text").select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
-    return t.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "token", "n", hash_slot(F.col("token")).alias("slot"), hash_sign(F.col("token")).alias("sign"))
+    """Tokens of the same texts over all documents, with slot and sign."""
+    t = _scripts(spark, sf_dir).select(F.explode(tokens(F.col("text"))).alias("token"))
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select("token", "n", hash_slot(F.col("token")).alias("slot"), hash_sign(F.col("token")).alias("sign"))
 
 
 def guardrail_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with forbidden wording, after a literal mark has been redacted."""
-    clean = F.regexp_replace(normal_text(F.col("text")), "(?i)mit license", "[mark]")
+    """Documents with forbidden wording, after a literal mark has been redacted; every seventh has ideographic blanks."""
+    text = F.when(F.col("doc_id") % 7 == 3, F.regexp_replace("text", " ", "\u3000")).otherwise(F.col("text"))
+    clean = F.regexp_replace(normal_text(text), "(?i)mit license", "[mark]")
     hits = F.array_compact(F.array(*[F.when(clean.rlike(p), F.lit(i)) for i, p in enumerate(FORBIDDEN)]))
     rows = table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits")).where("size(hits) > 0")
     return rows.select("doc_id", F.concat_ws(",", F.col("hits").cast("array<string>")).alias("hits"))
@@ -211,6 +214,9 @@ WITH entries AS (
   SELECT *, {_TOKENS.format('text')} AS toks, {_TOKENS.format("title || chr(10) || coalesce(text, '')")} AS all_toks FROM judged WHERE reason IS NULL
 )
 """
+_SCRIPTS = f"SELECT doc_id, {_LIST(SCRIPTS)}[doc_id % {len(SCRIPTS)} + 1] || left(coalesce(text, ''), 60) AS text FROM documents"
+# The blanks of Unicode, as this engine writes them.
+_BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _Q = S.python_tokens(QUERY)
 _LEX = """
 , asked AS (
@@ -236,7 +242,7 @@ _SCORED = ENTRIES_SQL + _LEX.replace("[TOKS]", "all_toks") + f"""
       + (CASE WHEN list_contains(known, 'license') THEN 1.0 WHEN contains(t, 'license') THEN 0.7 ELSE 0.0 END)) / 3, 6) AS structured,
     round(greatest(0, least(1, 1 - sqrt(list_sum(list_transform(range(1, 9), lambda k: pow({VISUAL}[k] - features[k], 2)))) / sqrt(8))), 6) AS visual
   FROM lex l JOIN (SELECT *, list_concat(allowed, list_concat(regions, tags)) AS known,
-    trim(regexp_replace(lower(coalesce(text, '') || ' ' || title), '\\s+', ' ', 'g')) AS t FROM eligible) USING (doc_id) LEFT JOIN emb USING (doc_id)
+    trim(regexp_replace(lower(coalesce(text, '') || ' ' || title), '{_BLANKS}', ' ', 'g')) AS t FROM eligible) USING (doc_id) LEFT JOIN emb USING (doc_id)
 ), fused AS (
   SELECT *, round(0.45 * text_score + 0.25 * structured + 0.30 * visual, 8) AS score FROM comp
 ), results AS (
@@ -263,22 +269,21 @@ SQL = {
       CASE WHEN n % 5 <> 0 AND n % 3 = 0 AND n % 2 = 1 THEN 95 ELSE 96 END AS n, CASE WHEN n % 5 = 0 OR n % 3 <> 0 THEN NULL WHEN n % 2 = 1 THEN 'WRONG_DIMENSION' ELSE 'NOT_UNIT_LENGTH' END AS problem
       FROM (SELECT item_id, length(text) AS n FROM benchmark)""",
     "token_slots": f"SELECT DISTINCT token, {_SLOT} AS slot, {_SIGN} AS sign FROM (SELECT unnest({_TOKENS.format('text')}) AS token FROM benchmark)",
-    "script_tokens": f"""SELECT doc_id, token, count(*) AS n, {_SLOT} AS slot, {_SIGN} AS sign
-      FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM (VALUES {SCRIPTS}) v(doc_id, text)) GROUP BY doc_id, token""",
+    "script_tokens": f"""SELECT token, count(*) AS n, {_SLOT} AS slot, {_SIGN} AS sign FROM (SELECT unnest({_TOKENS.format('text')}) AS token FROM ({_SCRIPTS})) GROUP BY token""",
     "hybrid_search": _SCORED + """SELECT rank, doc_id, round(score + 1e-9, 6) AS score, text_score, structured, visual,
       concat_ws(',', CASE WHEN text_score > 0 THEN 'text' END, CASE WHEN structured > 0 THEN 'structured' END, CASE WHEN visual > 0 THEN 'visual' END) AS matched_on
       FROM results""",
     "search_rejects": _SCORED + f"""SELECT doc_id, reason FROM judged WHERE reason IS NOT NULL
-      UNION ALL SELECT doc_id, 'BELOW_MINIMUM_SCORE' FROM fused WHERE score < {HIGH_MINIMUM}""",
+      UNION ALL SELECT doc_id, 'BELOW_MINIMUM_SCORE' FROM fused WHERE score < {HIGH_MINIMUM} AND (SELECT count(*) FROM fused WHERE score >= {HIGH_MINIMUM}) < {LIMIT}""",
     "search_citations": _SCORED + f"""SELECT doc_id, doc_id || '#0' AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN '2024.9' ELSE '{VERSION}' END AS version,
       sha256(coalesce(text, '')) AS content_sha256, doc_id % 3 <> 0 AND doc_id % 4 <> 0 AS accepted FROM results JOIN eligible USING (doc_id)""",
     "script_mix": f"""SELECT doc_id, han, latin, round(han / greatest(han + latin, 1), 4) AS han_share FROM (
-      SELECT doc_id, length(t) - length(regexp_replace(t, '[\u3400-\u9fff]', '', 'g')) AS han, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS latin
-      FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT * FROM (VALUES {SCRIPTS}) v(doc_id, text)))""",
+      SELECT doc_id, length(text) - length(regexp_replace(text, '[\u3400-\u9fff]', '', 'g')) AS han, length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS latin
+      FROM ({_SCRIPTS}))""",
     "guardrail_hits": """SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(t, 'all rights reserved') THEN '0' END,
       CASE WHEN regexp_matches(t, 'licensed under (the )?(cc|apache|gnu)') THEN '1' END, CASE WHEN regexp_matches(t, 'idiot|moron') THEN '2' END,
       CASE WHEN regexp_matches(t, '\\b\\d{3}-\\d{2}-\\d{4}\\b') THEN '3' END) AS hits
-      FROM (SELECT doc_id, regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 'mit license', '[mark]', 'g') AS t FROM documents)
+      FROM (SELECT doc_id, regexp_replace(trim(regexp_replace(lower(CASE WHEN doc_id % 7 = 3 THEN replace(text, ' ', chr(12288)) ELSE text END), '""" + _BLANKS + """', ' ', 'g')), 'mit license', '[mark]', 'g') AS t FROM documents)
       WHERE regexp_matches(t, 'all rights reserved|licensed under (the )?(cc|apache|gnu)|idiot|moron|\\b\\d{3}-\\d{2}-\\d{4}\\b')""",
     "control_text": """SELECT regexp_matches(html, '[\\p{Cc}\\p{Cf}]') AS bad, count(*) AS pages, CAST(sum(length(trim(html))) AS BIGINT) AS chars FROM pages GROUP BY 1""",
     "path_policy": """SELECT page_id, p AS path, CASE WHEN regexp_matches(p, '^[/\\\\]|^[A-Za-z]:|(^|[/\\\\])\\.\\.([/\\\\]|$)|[\\x00-\\x1f\\x7f]') THEN 'UNSAFE'
