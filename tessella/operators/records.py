@@ -6,13 +6,14 @@ rule unless its docstring says otherwise. Empty tables break nothing.
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.texts import first_reason, fresh_name
+from tessella.functions.texts import first_reason, fresh_name, normal_text, stripped
 from tessella.operators.validation import CONTROLS, SHA256
 
 # Limits of a model's answer, of requests, and of pictures.
@@ -74,28 +75,41 @@ def canonical_json(fields: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))), {"ignoreNullFields": "false"})
 
 
-def answer_violations(answers: DataFrame, captures: DataFrame) -> DataFrame:
+def answer_violations(answers: DataFrame, captures: DataFrame, forbidden: tuple[str, ...] = ()) -> DataFrame:
     """(answer_id, rule) for what is wrong with a model's structured answers.
 
     ``answers``: answer_id, body (JSON). ``captures``: answer_id, capture_id,
-    view_code, those the model was shown. A body has exactly the known fields; texts
-    are non-blank and bounded, lists bounded and without repeats; an observation or
-    issue names a shown capture, with its view; every shown capture has one.
+    view_code, those the model was shown. A body has exactly the known fields, and
+    so has each observation and issue, all of them strings; texts are non-blank,
+    whatever the script of the blanks, and bounded, those of observations and
+    issues with their blanks; lists are bounded and without repeats; an observation
+    or issue names a shown capture, with its view; every shown capture has one. No
+    string matches a ``forbidden`` pattern once it is in normal form.
     """
-    a = answers.select("answer_id", "body", F.from_json("body", ANSWER).alias("a"), F.array_sort(F.json_object_keys("body")).alias("fields"))
-    blank = lambda t: ~F.coalesce(F.length(F.trim(t)).between(1, MOST_TEXT), F.lit(False))
-    texts = lambda name: ~F.exists(F.col(f"a.{name}"), blank)
+    a = answers.select(
+        "answer_id", F.try_parse_json("body").alias("v"), F.from_json("body", ANSWER).alias("a"), F.array_sort(F.json_object_keys("body")).alias("fields"), json_strings(F.col("body")).alias("said")
+    )
+    strings = lambda name: F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant")).isin("ARRAY<VOID>", "ARRAY<STRING>")
+    shaped = lambda name, *fields: F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant")).isin(
+        "ARRAY<VOID>", f"ARRAY<OBJECT<{', '.join(f'{f}: STRING' for f in sorted(fields))}>>"
+    )
+    listed = lambda name: ~F.exists(F.col(f"a.{name}"), lambda t: ~F.coalesce(F.length(stripped(t)).between(1, MOST_TEXT), F.lit(False)))
+    bound = lambda t: F.coalesce((stripped(t) != "") & (F.length(t) <= MOST_TEXT), F.lit(False))
     unique = lambda name: F.size(f"a.{name}") == F.size(F.array_distinct(f"a.{name}"))
+    refused = lambda t: reduce(Column.__or__, [normal_text(t).rlike(p) for p in forbidden], F.lit(False))
     rules = {
         "fields": F.col("fields") == F.array(*map(F.lit, ANSWER_FIELDS)),
         "ood_risk": F.col("a.ood_risk").isin(*RISKS),
-        **{f"{n}_texts": texts(n) for n in ("cross_view_observations", "limitations")},
+        **{f"{n}_texts": strings(n) & listed(n) for n in ("cross_view_observations", "limitations")},
         **{f"{n}_bounded": F.size(f"a.{n}") <= MOST_LISTED for n in ("cross_view_observations", "limitations")},
         **{f"{n}_unique": unique(n) for n in ("cross_view_observations", "limitations")},
+        "observation_fields": shaped("observations", "capture_id", "view_code", "text"),
         "observations_bounded": F.size("a.observations") <= MOST_OBSERVATIONS,
-        "observation_texts": ~F.exists(F.col("a.observations"), lambda o: blank(o["text"])),
+        "observation_texts": F.forall("a.observations", lambda o: bound(o["text"])),
+        "capture_issue_fields": shaped("capture_issues", "capture_id", "issue"),
         "capture_issues_bounded": F.size("a.capture_issues") <= MOST_ISSUES,
-        "capture_issue_texts": ~F.exists(F.col("a.capture_issues"), lambda i: blank(i["issue"])),
+        "capture_issue_texts": F.forall("a.capture_issues", lambda i: bound(i["issue"])),
+        "guard": ~F.exists("said", refused),
     }
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
     own = a.select("answer_id", F.explode(broken).alias("rule"))

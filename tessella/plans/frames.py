@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions.vectors import hamming_hex, rms_similarity, total
 from tessella.operators import frames as R
+from tessella.operators import pixels as P
 from tessella.plans.common import r6, table
 
 FRAMES = 12
@@ -125,13 +126,13 @@ def next_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def salient_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two strongest of nine tiles: nine means over 63 dimensions of each vector."""
-    tiles = F.explode(F.sequence(F.lit(0), F.lit(8))).alias("tile")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", tiles)
-    score = F.round(total(F.transform(F.slice("embedding", F.col("tile") * 7 + 1, 7), lambda x: F.abs(x).cast("double"))) / 7, 4)
-    order = Window.partitionBy("vec_id").orderBy(F.desc("score"), F.desc("tile"))
-    ranked = rows.select("vec_id", "tile", score.alias("score")).withColumn("rank", F.row_number().over(order)).where("rank <= 2")
-    return ranked.select("vec_id", "rank", "tile", r6("score").alias("score"))
+    """The two strongest tiles of each vector's picture: 12 x 9 grey pixels that repeat its components, every fifth picture flat."""
+    byte = lambda x: F.pmod(F.floor(x.cast("double") * 4096), F.lit(256)).cast("int")
+    pixel = lambda i: F.lpad(F.hex(F.when(F.col("vec_id") % 5 == 4, F.lit(77)).otherwise(byte(F.col("embedding")[i % 64]))), 2, "0")
+    picture = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(107)), pixel), ""))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", P.measure(picture, F.lit(12), F.lit(9), F.lit(1)).alias("m"))
+    tiles = rows.select("vec_id", F.posexplode("m.tiles").alias("rank", "t"))
+    return tiles.select("vec_id", (F.col("rank") + 1).alias("rank"), r6("t.score").alias("score"), r6("t.left").alias("left"), r6("t.top").alias("top"))
 
 
 def demo_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,8 +260,18 @@ SQL = {
       CASE WHEN n_accepted < 3 THEN {'p': 1, 'n': 'OBS-RGB-QUALITY'} END, CASE WHEN span < 0.55 OR diversity < 0.015 THEN {'p': 2, 'n': 'OBS-RGB-ROTATION'} END,
       CASE WHEN consistency < 0.65 THEN {'p': 3, 'n': 'OBS-CALIBRATION'} END, {'p': 4, 'n': 'OBS-UV-NIR'}, {'p': 5, 'n': 'OBS-MATERIAL-SCIENCE'}],
       lambda x: x IS NOT NULL)) AS o FROM gated)""",
-    "salient_tiles": """SELECT vec_id, rank, tile, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, tile DESC) AS rank FROM (
-      SELECT vec_id, t AS tile, round(list_sum(list_transform(embedding[t * 7 + 1:t * 7 + 7], lambda x: CAST(abs(x) AS DOUBLE))) / 7, 4) AS score FROM embeddings, range(9) r(t))) WHERE rank <= 2""",
+    "salient_tiles": """WITH p AS (
+      SELECT vec_id, i // 12 AS y, i % 12 AS x, CASE WHEN vec_id % 5 = 4 THEN 77 ELSE CAST(floor(embedding[i % 64 + 1]::DOUBLE * 4096) AS BIGINT) END AS v
+      FROM embeddings, range(108) r(i)
+    ), g AS (
+      SELECT vec_id, y, x, (((v % 256) + 256) % 256) / 255.0::DOUBLE AS v FROM p
+    ), e AS (
+      SELECT vec_id, y // 3 AS row, x // 4 AS col, sqrt(pow(v - coalesce(lag(v) OVER (PARTITION BY vec_id, y ORDER BY x), v), 2)
+        + pow(v - coalesce(lag(v) OVER (PARTITION BY vec_id, x ORDER BY y), v), 2)) AS s FROM g
+    ), t AS (
+      SELECT vec_id, row, col, round(avg(s), 9) AS mean FROM e GROUP BY ALL
+    ) SELECT vec_id, CAST(row_number() OVER w AS INTEGER) AS rank, round(mean, 4) AS score, round(col / 3.0, 4)::DOUBLE AS left, round(row / 3.0, 4)::DOUBLE AS top
+      FROM t WINDOW w AS (PARTITION BY vec_id ORDER BY mean DESC, row, col) QUALIFY row_number() OVER w <= 2""",
     "demo_references": """WITH e AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
       c AS (SELECT vec_id AS reference_id, v AS r FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3)
       SELECT * FROM (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, reference_id) AS rank, reference_id, similarity FROM (

@@ -69,21 +69,23 @@ def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     named = captures.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("capture_id", "view_code"))).alias("c"))  # three captures
     a = F.col("answer_id")
     seen = F.when(a % 7 == 1, F.slice("c", 2, 3)).otherwise(F.col("c"))
-    text = F.when(a % 11 == 2, " ").when(a % 11 == 3, F.repeat(F.lit("x"), 501)).otherwise("seen")
+    text = F.when(a % 11 == 2, "\u3000\n").when(a % 11 == 3, F.repeat(F.lit("x"), 501)).when(a % 11 == 4, F.concat(F.lit("seen"), F.repeat(F.lit(" "), 497))).when(a % 11 == 5, "All  rights\u3000reserved").otherwise("seen")
     observations = F.transform(
         seen, lambda x: F.struct(x["capture_id"].alias("capture_id"), F.when((a % 13 == 4) & (x["capture_id"] == "c0"), "TOP").otherwise(x["view_code"]).alias("view_code"), text.alias("text"))
     )
-    limits = F.when(a % 17 == 5, F.array(F.lit("same"), F.lit("same"))).when(a % 17 == 6, F.array_repeat(F.lit("y"), 33)).otherwise(F.array(F.lit("one")))
+    limits = F.when(a % 17 == 5, F.array(F.lit("same"), F.lit("same"))).when(a % 17 == 6, F.array_repeat(F.lit("y"), 33)).when(a % 17 == 7, F.array(F.lit("\xa0\u2003"))).when(a % 17 == 8, F.array(F.concat(F.lit("z"), F.repeat(F.lit(" "), 800)))).otherwise(F.array(F.lit("one")))
     issues = F.when(a % 19 == 7, F.array(F.struct(F.lit("c9").alias("capture_id"), F.lit("blurred").alias("issue")))).otherwise(F.array().cast("array<struct<capture_id:string,issue:string>>"))
     risk = F.when(a % 23 == 8, "NONE").otherwise("LOW")
     body = F.struct(observations.alias("observations"), F.array(F.lit("all")).alias("cross_view_observations"), limits.alias("limitations"), issues.alias("capture_issues"), risk.alias("ood_risk"))
     extra = F.struct(*[body[n].alias(n) for n in ("observations", "cross_view_observations", "limitations", "capture_issues", "ood_risk")], F.lit(1).alias("more"))
-    answers = named.select("answer_id", F.when(a % 29 == 9, F.to_json(extra)).otherwise(F.to_json(body)).alias("body"))
+    whole = F.when(a % 29 == 9, F.to_json(extra)).otherwise(F.to_json(body))
+    fourth = F.when(a % 31 == 10, F.regexp_replace(whole, '"view_code"', '"sure":true,"view_code"')).when(a % 31 == 11, F.replace(whole, F.lit('["all"]'), F.lit("[7]"))).otherwise(whole)
+    answers = named.select("answer_id", fourth.alias("body"))
     return answers, captures
 
 
 def answer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.answer_violations(*_answers(spark, sf_dir))
+    return R.answer_violations(*_answers(spark, sf_dir), forbidden=("all rights reserved",))
 
 
 def any_high_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,7 +362,9 @@ SQL = {
       SELECT a, count(*) FILTER (named) AS observed, bool_or(NOT named) AS missed, bool_or(named AND cap = 'c0') AS has_first FROM seen GROUP BY a
     ) SELECT a AS answer_id, unnest(list_filter([CASE WHEN a % 29 = 9 THEN 'fields' END, CASE WHEN a % 23 = 8 THEN 'ood_risk' END,
       CASE WHEN a % 17 = 6 THEN 'limitations_bounded' END, CASE WHEN a % 17 IN (5, 6) THEN 'limitations_unique' END,
-      CASE WHEN a % 11 IN (2, 3) AND observed > 0 THEN 'observation_texts' END, CASE WHEN a % 13 = 4 AND has_first THEN 'observation_not_bound' END,
+      CASE WHEN a % 17 = 7 THEN 'limitations_texts' END, CASE WHEN a % 31 = 11 THEN 'cross_view_observations_texts' END,
+      CASE WHEN a % 31 = 10 AND observed > 0 THEN 'observation_fields' END, CASE WHEN a % 11 = 5 AND observed > 0 THEN 'guard' END,
+      CASE WHEN a % 11 IN (2, 3, 4) AND observed > 0 THEN 'observation_texts' END, CASE WHEN a % 13 = 4 AND has_first THEN 'observation_not_bound' END,
       CASE WHEN a % 19 = 7 THEN 'capture_issue_not_bound' END, CASE WHEN missed THEN 'capture_not_represented' END], lambda x: x IS NOT NULL)) AS rule FROM s""",
     "any_high_risk": "SELECT l_orderkey, bool_or(l_discount >= 0.09) AS any_high FROM lineitem GROUP BY 1",
     "citation_rules": """WITH p AS (

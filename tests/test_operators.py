@@ -317,3 +317,49 @@ def test_citations_look_at_the_first_hits_only(spark):
     incomplete = "SOURCE_METADATA_INCOMPLETE"
     assert got == [(1, "o1", incomplete), (4, "o2", "SOURCE_AND_REVIEW_RECORDED"), (5, "o3", incomplete)]
     assert cite(hits.limit(0)).count() == 0
+
+
+def test_resampling_and_tiles_equal_plain_writings():
+    import math
+
+    import numpy as np
+
+    from tessella.operators import pixels
+
+    def weights(n, size, at):
+        scale = n / size
+        wide = max(scale, 1.0)
+        centre = (at + 0.5) * scale
+        first, last = max(0, int(centre - 3 * wide + 0.5)), min(n, int(centre + 3 * wide + 0.5))
+        sinc = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x)
+        raw = [sinc(x) * sinc(x / 3) if abs(x) < 3 else 0.0 for x in ((i - centre + 0.5) / wide for i in range(first, last))]
+        return first, [int(w / sum(raw) * 2**22 + (0.5 if w >= 0 else -0.5)) for w in raw]
+
+    def plain(rows, width, height):
+        cut = lambda total: min(255, max(0, (total + 2**21) >> 22))
+        line = lambda values, size: [cut(sum(v * w for v, w in zip(values[f:], ws))) for f, ws in (weights(len(values), size, i) for i in range(size))]
+        across = [line(r, width) for r in rows]
+        return list(zip(*[line(list(c), height) for c in zip(*across)]))
+
+    rng = np.random.default_rng(8)
+    for shape in ((24, 36), (8, 9), (5, 7), (200, 3), (1, 1), (31, 250)):
+        grey = rng.integers(0, 256, shape).astype(np.uint8)
+        small = pixels.resampled(grey, 9, 8)
+        assert [tuple(r) for r in small.tolist()] == [tuple(r) for r in plain(grey.tolist(), 9, 8)]
+        bits = "".join("1" if r[i + 1] > r[i] else "0" for r in small.tolist() for i in range(8))
+        assert pixels.difference_hash(grey) == f"{int(bits, 2):016x}"
+    grey = rng.integers(0, 256, (20, 31)).astype(np.uint8)
+    bright = grey / 255
+    edge = lambda y, x: math.hypot(bright[y, x] - bright[y, max(x - 1, 0)], bright[y, x] - bright[max(y - 1, 0), x])
+    means = {}
+    for i in range(9):
+        ys, xs = range(i // 3 * 20 // 3, (i // 3 + 1) * 20 // 3), range(i % 3 * 31 // 3, (i % 3 + 1) * 31 // 3)
+        means[i] = np.mean([edge(y, x) for y in ys for x in xs])
+    best = sorted(means, key=lambda i: (-means[i], i))[:2]
+    got = pixels.salient_tiles_of(grey)
+    assert [t[1:3] for t in got] == [(round(i % 3 * 31 // 3 / 31, 4), round(i // 3 * 20 // 3 / 20, 4)) for i in best]
+    assert [t[0] for t in got] == pytest.approx([means[i] for i in best], abs=1e-4)
+    assert [t[1:3] for t in pixels.salient_tiles_of(np.full((9, 9), 5, np.uint8))] == [(0.0, 0.0), (0.3333, 0.0)]
+    n = np.bincount(grey.ravel(), minlength=256) / grey.size
+    assert pixels.entropy(grey) == pytest.approx(-sum(p * math.log2(p) for p in n if p) / 8)
+    assert pixels.symmetry(grey) == pytest.approx(1 - np.mean([abs(int(r[x]) - int(r[30 - x])) for r in grey for x in range(15)]) / 255)
