@@ -6,9 +6,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.functions.texts import fresh_name
+from tessella.operators.ranges import running
 from tessella.sources.shared import materialise
 
 GENESIS = "GENESIS"
@@ -55,15 +55,17 @@ def chain_verify(chain: DataFrame, key: str, order: str, recomputed: Column, sta
     be the last hash, and the state's hash the expected one; the last entry is
     then named as the failing one. ``bound`` says whether the state was held
     against a hash. A key with a state but no entries has the first hash as its
-    last; a key without a state fails for its tail.
+    last; a key without a state fails for its tail. A long chain is verified by
+    ranges of it; ``chain`` is read three times.
     """
-    r, f, z = (fresh_name(chain, c) for c in ("reason", "failure", "last"))
-    before = F.lag("event_hash", 1, GENESIS).over(Window.partitionBy(key).orderBy(order))
+    r, f, z, n = (fresh_name(chain, c) for c in ("reason", "failure", "last", "place"))
+    before = F.when(F.col(n) == 1, GENESIS).otherwise(F.col(z))
     reason = F.when(~F.col("prev_hash").eqNullSafe(before), "previous hash mismatch").when(
         ~F.col("event_hash").eqNullSafe(recomputed), "event hash mismatch"
     )
     entry = F.struct(F.col(order).alias("seq"), F.col(r).alias("reason"), F.col(z).alias("hash"))
-    checked = chain.withColumns({r: reason, z: before})
+    linked = running(chain, [key], [order], number=n, lags={z: "event_hash"})
+    checked = linked.withColumns({r: reason, z: before})
     out = checked.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.min(F.when(F.col(r).isNotNull(), entry)).alias(f),
@@ -165,5 +167,5 @@ def reconcile(state: DataFrame, catalog: DataFrame, key: str, compared: list[str
 
 def version_gaps(rows: DataFrame, key: str, version: str) -> DataFrame:
     """Rows whose version is not one more than the one before (the first: 0)."""
-    before = F.coalesce(F.lag(version).over(Window.partitionBy(key).orderBy(version)), F.lit(-1))
-    return rows.withColumn("expected", before + 1).where(F.col("expected") != F.col(version))
+    found = running(rows, [key], [version], lags={"expected": version})
+    return found.withColumn("expected", F.coalesce(F.col("expected"), F.lit(-1)) + 1).where(F.col("expected") != F.col(version))

@@ -7,9 +7,9 @@ their own; an empty log gives no rows.
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.functions.texts import fresh_name
+from tessella.operators.ranges import running
 
 # The states that hold a place in a device's queue, and limits.
 OUTSTANDING = ("QUEUED", "RUNNING", "RETRY_WAIT")
@@ -55,36 +55,52 @@ def due_retries(states: DataFrame, attempts: str, now: Column) -> DataFrame:
     return waiting.withColumn("due", F.col("next_attempt_at") <= now)
 
 
-def attempts(log: DataFrame, key: str, started: str, recorded: tuple[str, ...]) -> DataFrame:
-    """(key, attempt, started_at, n_outcomes, verdict) of every attempt.
+def attempts(log: DataFrame, key: str, started: str, recorded: tuple[str, ...], succeeded: tuple[str, ...] = ()) -> DataFrame:
+    """(key, attempt, started_at, n_outcomes, verdict, available) of every attempt.
 
     An attempt runs from its start to the next start of the same job. It must
-    have exactly one outcome: none is UNKNOWN, several are CONFLICT.
+    have exactly one outcome: none is UNKNOWN, several are CONFLICT. ``available``
+    says whether the newest outcome is one of ``succeeded``; null without one. A
+    job with most of the log's entries is numbered by ranges of them. ``log`` is
+    read three times.
     """
-    order = Window.partitionBy(key).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = log.withColumn("attempt", F.sum(F.when(F.col("status") == started, 1).otherwise(0)).over(order))
-    outcomes = F.count_if(F.col("status").isin(*recorded))
-    found = numbered.where("attempt > 0").groupBy(key, "attempt")
-    out = found.agg(F.min("ts").alias("started_at"), outcomes.alias("n_outcomes"))
+    began, n = fresh_name(log, "began"), fresh_name(log, "attempt")
+    flagged = log.withColumn(began, (F.col("status") == started).cast("int"))
+    numbered = running(flagged, [key], ["ts", "seq"], totals={n: began})
+    outcome = F.col("status").isin(*recorded)
+    found = numbered.where(F.col(n) > 0).groupBy(key, F.col(n).alias("attempt"))
+    out = found.agg(
+        F.min("ts").alias("started_at"), F.count_if(outcome).alias("n_outcomes"),
+        F.max(F.when(outcome, F.struct("ts", "seq", F.col("status").isin(*succeeded).alias("available")))).alias("newest"),
+    )
     verdict = F.when(F.col("n_outcomes") == 0, "UNKNOWN").when(F.col("n_outcomes") == 1, "RECORDED").otherwise("CONFLICT")
-    return out.withColumn("verdict", verdict)
+    return out.select(key, "attempt", "started_at", "n_outcomes", verdict.alias("verdict"), F.col("newest.available").alias("available"))
+
 
+def recover(states: DataFrame, tried: DataFrame, key: str, now: Column, most: int, base: float = 0.0) -> DataFrame:
+    """What becomes of unfinished jobs when the process starts again: (key, attempt, outcome, status, next_attempt_at).
 
-def recover(states: DataFrame, tried: DataFrame, key: str, now: Column, most: int) -> DataFrame:
-    """What becomes of the jobs that ran when the process ended: (key, attempt, outcome, status, next_attempt_at).
+    ``states``: key, status, attempt_base (attempts made before the present
+    cycle), next_attempt_at. ``tried``: key, attempt, n_outcomes, available, as
+    ``attempts`` gives them.
 
-    ``states``: key, status. ``tried``: key, attempt, n_outcomes, as ``attempts``
-    gives them. A last attempt without outcome gets UNKNOWN_AFTER_RESTART. Below
-    ``most`` attempts the job waits for its next one, with the delay that its
-    attempts so far earn it; otherwise, and if it had no attempt, it is queued again.
+    A job that was running gets the outcome UNKNOWN_AFTER_RESTART, which is not
+    available, where its last attempt has none. It waits for another attempt only if
+    the last outcome isn't available, its cycle has had fewer than ``most``
+    attempts and there is a ``base`` delay; so a job that ended after a success is
+    queued at once and its result used again. Other running jobs, those without an
+    attempt among them, are queued. Jobs that wait without a time are queued, too;
+    those with one stay and aren't returned.
     """
-    last = tried.groupBy(F.col(key).alias("k")).agg(F.max(F.struct("attempt", "n_outcomes")).alias("a"))
-    running = states.where(F.col("status") == "RUNNING").select(F.col(key).alias("job_key")).join(last, F.col("job_key") == F.col("k"), "left")
-    attempt = F.col("a.attempt")
-    waits = F.coalesce(attempt < most, F.lit(False))
-    at = F.timestamp_micros(F.unix_micros(now) + (backoff_seconds(attempt) * 1_000_000).cast("bigint"))
-    return running.select(
-        F.col("job_key").alias(key), attempt.alias("attempt"), F.when(F.col("a.n_outcomes") == 0, "UNKNOWN_AFTER_RESTART").alias("outcome"),
+    last = tried.groupBy(F.col(key).alias("k")).agg(F.max(F.struct("attempt", "n_outcomes", "available")).alias("a"))
+    left = states.where((F.col("status") == "RUNNING") | ((F.col("status") == "RETRY_WAIT") & F.col("next_attempt_at").isNull()))
+    left = left.select(F.col(key).alias("job_key"), "status", "attempt_base").join(last, F.col("job_key").eqNullSafe(F.col("k")), "left")
+    ran, attempt = F.col("status") == "RUNNING", F.col("a.attempt")
+    cycle = attempt - F.coalesce("attempt_base", F.lit(0))
+    waits = F.coalesce(ran & attempt.isNotNull() & ~F.coalesce("a.available", F.lit(False)) & (cycle < most) & F.lit(base > 0), F.lit(False))
+    at = F.timestamp_micros(F.unix_micros(now) + (backoff_seconds(cycle, base) * 1_000_000).cast("bigint"))
+    return left.select(
+        F.col("job_key").alias(key), attempt.alias("attempt"), F.when(ran & (F.col("a.n_outcomes") == 0), "UNKNOWN_AFTER_RESTART").alias("outcome"),
         F.when(waits, "RETRY_WAIT").otherwise("QUEUED").alias("status"), F.when(waits, at).alias("next_attempt_at"),
     )
 
@@ -102,10 +118,10 @@ def idempotent_intake(requests: DataFrame, keys: list[str], digest: str) -> Data
 
 
 def cooldown_violations(log: DataFrame, key: str, seconds: float) -> DataFrame:
-    """Entries that come sooner than ``seconds`` after the one before of the same key."""
-    before = F.lag(micros_of("ts")).over(Window.partitionBy(key).orderBy("ts", "seq"))
-    gap = (micros_of("ts") - before) / 1_000_000
-    return log.withColumn("gap_s", gap).where(F.col("gap_s") < seconds)
+    """Entries that come sooner than ``seconds`` after the one before of the same key, however many a key has."""
+    at, before = fresh_name(log, "at"), fresh_name(log, "before")
+    found = running(log.withColumn(at, micros_of("ts")), [key], ["ts", "seq"], lags={before: at})
+    return found.withColumn("gap_s", (F.col(at) - F.col(before)) / 1_000_000).drop(at, before).where(F.col("gap_s") < seconds)
 
 
 def recent(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
@@ -121,11 +137,17 @@ def with_counts(parents: DataFrame, children: DataFrame, key: str, child_key: st
     return joined.withColumn(out_col, F.coalesce(n, F.lit(0).cast("bigint"))).drop(*{k, n} - {out_col})
 
 
-def terminal_status(recapture: Column, missing_views: Column, issues: Column, out_of_domain: Column) -> Column:
-    """How a finished job ends: what needs a new capture goes before what needs a look."""
-    return (
-        F.when(recapture | (missing_views > 0), "RECAPTURE_REQUIRED")
-        .when(out_of_domain, "OUT_OF_DOMAIN")
-        .when(issues > 0, "REVIEW_REQUIRED")
-        .otherwise("COMPLETED")
-    )
+def terminal_status(
+    n_succeeded: Column, last_available: Column, recapture: Column, n_views: Column, least_views: Column, n_visible: Column, n_issues: Column, risk: Column
+) -> Column:
+    """How a job ends, from its model runs and what they saw.
+
+    MODEL_UNAVAILABLE if no run succeeded or the last one didn't. PARTIAL if a
+    capture must be repeated, distinct views are fewer than the least, nothing was
+    seen, captures have issues, or the risk is HIGH. Otherwise SUCCEEDED. Nulls
+    count as none, false and no risk.
+    """
+    number = lambda c: F.coalesce(c, F.lit(0))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    partial = yes(recapture) | (number(n_views) < number(least_views)) | (number(n_visible) == 0) | (number(n_issues) > 0) | yes(risk == "HIGH")
+    return F.when((number(n_succeeded) == 0) | ~yes(last_available), "MODEL_UNAVAILABLE").when(partial, "PARTIAL").otherwise("SUCCEEDED")

@@ -11,9 +11,9 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.functions.texts import first_reason, fresh_name, normal_text, stripped
+from tessella.operators.ranges import running
 from tessella.operators.validation import CONTROLS, SHA256
 
 # Limits of a model's answer, of requests, and of pictures.
@@ -240,8 +240,8 @@ def entry_violations(entries: DataFrame, chunks: DataFrame, dimension: int, spac
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
     own = entries.select("source_id", F.explode(broken).alias("rule"))
     repeated = entries.groupBy("source_id").count().where("count > 1").select("source_id", F.lit("repeated").alias("rule"))
-    order = Window.partitionBy("source_id").orderBy("position")
-    placed = chunks.withColumns({"expected": F.row_number().over(order) - 1, "start": F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    placed = running(chunks.withColumn("letters", F.length("text")), ["source_id"], ["position", "chunk_sha256"], number="expected", totals={"start": "letters"})
+    placed = placed.withColumns({"expected": F.col("expected") - 1, "start": F.coalesce(F.col("start") - F.coalesce("letters", F.lit(0)), F.lit(0))})
     held = placed.join(entries.select("source_id", F.col("text").alias("whole")), "source_id")
     part = F.substring(F.col("whole"), (F.col("start") + 1).cast("int"), F.length("text"))
     gaps = held.groupBy("source_id").agg(
@@ -305,13 +305,13 @@ def readiness(*stages: tuple[Column, str], ready: str = "READY") -> Column:
 def latest_distinct(rows: DataFrame, key: str, item: str, order: list[str], most: int) -> DataFrame:
     """(key, position, item): the newest ``most`` items of each key, each where it first came, newest first; null items don't count."""
     first = rows.where(F.col(item).isNotNull()).groupBy(key, item).agg(F.min(F.struct(*order)).alias("at"))
-    newest = Window.partitionBy(key).orderBy(F.desc("at"), F.desc(item))
-    return first.select(key, F.row_number().over(newest).alias("position"), item).where(F.col("position") <= most)
+    placed = running(first, [key], [F.desc("at"), F.desc(item)], number="position")
+    return placed.select(key, F.col("position").cast("int").alias("position"), item).where(F.col("position") <= most)
 
 
 def rounds(rows: DataFrame, key: str, order: list[str], out_col: str = "round") -> DataFrame:
     """``rows`` numbered within their key: how many came before, and one."""
-    return rows.withColumn(out_col, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return running(rows, [key], order, number=out_col)
 
 
 def with_defaults(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

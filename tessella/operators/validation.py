@@ -10,9 +10,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.functions.texts import fresh_name
+from tessella.operators.ranges import running
 
 # Patterns of identifiers, hashes, dates; bytes that files begin with.
 IDENTIFIER = "^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
@@ -87,8 +87,8 @@ def joined_digest(chunks: DataFrame, key: str, position: str, text: str) -> Data
 
 def position_gaps(rows: DataFrame, key: str, position: str) -> DataFrame:
     """Rows whose position isn't the number of rows before them: positions run from 0 without gaps."""
-    expected = F.row_number().over(Window.partitionBy(key).orderBy(position)) - 1
-    return rows.withColumn("expected", expected.cast("bigint")).where(~F.col(position).eqNullSafe(F.col("expected")))
+    found = running(rows, [key], [position], number="expected").withColumn("expected", F.col("expected") - 1)
+    return found.where(~F.col(position).eqNullSafe(F.col("expected")))
 
 
 def required_angles(views: DataFrame, key: str, angle: str, countable: list[str], least: int) -> DataFrame:

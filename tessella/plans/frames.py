@@ -7,7 +7,9 @@ from pyspark.sql.window import Window
 from tessella.functions.vectors import hamming_hex, rms_similarity, total
 from tessella.operators import frames as R
 from tessella.operators import pixels as P
+from tessella.operators.ranges import running
 from tessella.plans.common import r6, table
+from tessella.sources.shared import materialise
 
 FRAMES = 12
 DURATION = 480
@@ -148,8 +150,8 @@ def demo_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each frame against the one before in its capture."""
-    before = Window.partitionBy("capture").orderBy("ts")
-    rows = _scored(spark, sf_dir).withColumns({f"b_{c}": F.lag(c).over(before) for c in ("dhash", "features", "passed")}).where("b_dhash is not null")
+    scored = materialise(_scored(spark, sf_dir).select("capture", "frame_id", "ts", "dhash", "features", "passed", "brightness"), "scored")
+    rows = running(scored, ["capture"], ["ts", "frame_id"], lags={f"b_{c}": c for c in ("dhash", "features", "passed")}).where("b_dhash is not null")
     squares = total(F.zip_with("features", "b_features", lambda a, b: (a - b) ** 2))
     status = R.change_status(F.col("brightness") >= 100, hamming_hex(F.col("dhash"), F.col("b_dhash")) / 64.0, F.sqrt(squares / F.size("features")))
     return rows.select("frame_id", status.alias("status"))

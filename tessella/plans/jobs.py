@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import jobs as J
+from tessella.operators.ranges import running
 from tessella.plans.common import r6, table
 
 # Which event type stands for which transition; views are only looks.
@@ -83,10 +84,22 @@ def last_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crash_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs that were running: back to waiting below twelve attempts, else queued."""
+    """Unfinished jobs after a crash. A job's cycle begins with its newest enqueuing; of waiting jobs every third lost its time.
+
+    A purchase is a success, an error a failure. The crash comes after a job's last
+    entry, so running jobs lack the outcome of their last attempt; every second one is
+    taken to have crashed after an earlier outcome, its last start left out.
+    """
     whole = log(spark, sf_dir)
-    tried = J.attempts(whole, "job", "RUNNING", ("RETRY_WAIT", "COMPLETED"))
-    found = J.recover(J.last_status(whole, "job"), tried, "job", F.lit(NOW).cast("timestamp"), 12)
+    state = J.last_status(whole, "job")
+    final = state.where("status = 'RUNNING' AND job % 2 = 1").select("job", "seq")
+    known = whole.join(final, ["job", "seq"], "left_anti")
+    numbered = running(known.withColumn("began", (F.col("status") == "RUNNING").cast("int")), ["job"], ["ts", "seq"], totals={"attempt": "began"})
+    base = numbered.where("status = 'QUEUED'").groupBy("job").agg(F.max("attempt").alias("attempt_base"))
+    time = F.when(F.col("seq") % 3 != 0, F.col("ts"))
+    states = state.join(base, "job", "left").select("job", "status", "attempt_base", time.alias("next_attempt_at"))
+    tried = J.attempts(known, "job", "RUNNING", ("RETRY_WAIT", "COMPLETED"), ("COMPLETED",))
+    found = J.recover(states, tried, "job", F.lit(NOW).cast("timestamp"), 2, base=5.0)
     return found.select("job", "attempt", "outcome", "status", J.micros_of("next_attempt_at").alias("next_us"))
 
 
@@ -124,11 +137,17 @@ def owned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = log(spark, sf_dir).groupBy("job").agg(
-        F.count_if(F.col("status") == "RETRY_WAIT").alias("issues"), F.count_if(F.col("status").isNull()).alias("looks"), F.max("value").alias("top")
-    )
-    ending = J.terminal_status(F.col("issues") > 15, F.greatest(3 - F.col("looks"), F.lit(0)), F.col("issues") - 11, F.col("top") > 200)
-    return rows.select("job", ending.alias("ending"))
+    """Attempts are model runs, jobs of every seventh key have none; what the runs saw follows from the job's entries and number."""
+    whole = log(spark, sf_dir)
+    tried = J.attempts(whole.where("job % 7 <> 0"), "job", "RUNNING", ("RETRY_WAIT", "COMPLETED"), ("COMPLETED",))
+    runs = tried.groupBy("job").agg(F.count_if("available").alias("n_succeeded"), F.max_by("available", "attempt").alias("last_available"))
+    seen = whole.groupBy("job").agg(F.count_if(F.col("status").isNull()).alias("looks"), F.count_if(F.col("value") > 150).alias("large"), F.max("value").alias("top"))
+    j = F.col("job")
+    ending = J.terminal_status(
+        F.col("n_succeeded"), F.col("last_available"), j % 5 == 1, F.col("looks") % 6, F.lit(2), F.when(j % 11 == 3, 0).otherwise(F.col("looks")),
+        F.when(j % 3 == 0, F.col("large")), F.when(F.col("top") > 230, "HIGH").otherwise("LOW"),
+    )
+    return seen.join(runs, "job", "left").select("job", ending.alias("ending"))
 
 
 _CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS.items())
@@ -160,9 +179,22 @@ _CLIENT = f"""WITH j AS (
 """
 _STATES = lambda states: ", ".join(f"'{s}'" for s in states)
 SQL = {
-    "crash_recovery": LOG_SQL + f"""SELECT job, attempt, CASE WHEN n = 0 THEN 'UNKNOWN_AFTER_RESTART' END AS outcome, CASE WHEN attempt < 12 THEN 'RETRY_WAIT' ELSE 'QUEUED' END AS status,
-      CASE WHEN attempt < 12 THEN epoch_us(TIMESTAMP '{NOW}') + CAST(greatest(0.05, least(300.0, 5.0 * pow(2, attempt - 1))) * 1000000 AS BIGINT) END AS next_us
-      FROM last LEFT JOIN (SELECT job, max(attempt) AS attempt, arg_max(n, attempt) AS n FROM tried GROUP BY job) USING (job) WHERE status = 'RUNNING'""",
+    "crash_recovery": LOG_SQL + f"""
+    , known AS (
+      SELECT log.*, sum(CASE WHEN log.status = 'RUNNING' THEN 1 ELSE 0 END) OVER (PARTITION BY log.job ORDER BY log.ts, log.seq ROWS UNBOUNDED PRECEDING) AS attempt
+      FROM log ANTI JOIN (SELECT job, seq FROM last WHERE status = 'RUNNING' AND job % 2 = 1) f ON log.job = f.job AND log.seq = f.seq
+    ), bases AS (
+      SELECT job, max(attempt) AS attempt_base FROM known WHERE status = 'QUEUED' GROUP BY job
+    ), newest AS (
+      SELECT job, attempt, count(*) FILTER (status IN ('RETRY_WAIT', 'COMPLETED')) AS n,
+        arg_max(status, (ts, seq)) FILTER (status IN ('RETRY_WAIT', 'COMPLETED')) = 'COMPLETED' AS available
+      FROM known WHERE attempt > 0 GROUP BY job, attempt QUALIFY row_number() OVER (PARTITION BY job ORDER BY attempt DESC) = 1
+    ), judged AS (
+      SELECT last.job, last.status, CAST(attempt AS BIGINT) AS attempt, n, attempt - coalesce(attempt_base, 0) AS cycle,
+        last.status = 'RUNNING' AND attempt IS NOT NULL AND NOT coalesce(available, false) AND attempt - coalesce(attempt_base, 0) < 2 AS waits
+      FROM last LEFT JOIN bases USING (job) LEFT JOIN newest USING (job) WHERE last.status = 'RUNNING' OR (last.status = 'RETRY_WAIT' AND last.seq % 3 = 0)
+    ) SELECT job, attempt, CASE WHEN status = 'RUNNING' AND n = 0 THEN 'UNKNOWN_AFTER_RESTART' END AS outcome, CASE WHEN waits THEN 'RETRY_WAIT' ELSE 'QUEUED' END AS status,
+      CASE WHEN waits THEN epoch_us(TIMESTAMP '{NOW}') + CAST(greatest(0.05, least(300.0, 5.0 * pow(2, greatest(cycle - 1, 0)))) * 1000000 AS BIGINT) END AS next_us FROM judged""",
     "latest_open_job": _CLIENT + f"SELECT o_orderkey, state FROM j WHERE state IN ({_STATES(J.OPEN)}) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1",
     "recoverable_jobs": _CLIENT + f"SELECT o_orderkey, state FROM j WHERE state IN ({_STATES(J.RECOVERABLE)})",
     "latest_client_jobs": _CLIENT + "SELECT o_orderkey, state FROM j ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20",
@@ -186,7 +218,15 @@ SQL = {
       FROM log WHERE status = 'RETRY_WAIT') WHERE k = 1""",
     "correlated_count": "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders FROM customer",
     "owned_lines": "SELECT o_custkey, count(*) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey",
-    "job_endings": LOG_SQL + """SELECT job, CASE WHEN issues > 15 OR greatest(3 - looks, 0) > 0 THEN 'RECAPTURE_REQUIRED' WHEN top > 200 THEN 'OUT_OF_DOMAIN'
-      WHEN issues - 11 > 0 THEN 'REVIEW_REQUIRED' ELSE 'COMPLETED' END AS ending FROM (SELECT job, count(*) FILTER (status = 'RETRY_WAIT') AS issues,
-      count(*) FILTER (status IS NULL) AS looks, max(value) AS top FROM log GROUP BY job)""",
+    "job_endings": LOG_SQL + """
+    , outcomes AS (
+      SELECT job, attempt, arg_max(status, (ts, seq)) FILTER (status IN ('RETRY_WAIT', 'COMPLETED')) = 'COMPLETED' AS available
+      FROM numbered WHERE attempt > 0 AND job % 7 <> 0 GROUP BY ALL
+    ), runs AS (
+      SELECT job, count(*) FILTER (available) AS n_succeeded, first(available ORDER BY attempt DESC) AS last_available FROM outcomes GROUP BY job
+    ), seen AS (
+      SELECT job, count(*) FILTER (status IS NULL) AS looks, count(*) FILTER (value > 150) AS large, max(value) AS top FROM log GROUP BY job
+    ) SELECT job, CASE WHEN coalesce(n_succeeded, 0) = 0 OR NOT coalesce(last_available, false) THEN 'MODEL_UNAVAILABLE'
+      WHEN job % 5 = 1 OR looks % 6 < 2 OR job % 11 = 3 OR looks = 0 OR (job % 3 = 0 AND large > 0) OR top > 230 THEN 'PARTIAL' ELSE 'SUCCEEDED' END AS ending
+      FROM seen LEFT JOIN runs USING (job)""",
 }

@@ -7,6 +7,7 @@ from tessella.functions.texts import canonical_angle, safe_file_name, sequence_h
 from tessella.operators import jobs as J
 from tessella.operators import records as R
 from tessella.operators import validation as V
+from tessella.operators.ranges import running
 from tessella.plans.common import r6, table
 from tessella.plans.retrieval import RAW_ANGLES
 
@@ -255,13 +256,7 @@ def round_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the canonical order of the whole table: source, then id."""
-    from pyspark.sql.window import Window
-
-    docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    before = docs.withColumn("before", F.sum("n").over(Window.orderBy("source")) - F.col("n")).select("source", "before")  # one row a source
-    own = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    placed = table(spark, sf_dir, "documents").select("doc_id", "source", own.alias("k"))
-    return placed.join(before, "source").select("doc_id", (F.col("k") + F.col("before")).alias("place"))
+    return running(table(spark, sf_dir, "documents").select("doc_id", "source"), [], ["source", "doc_id"], number="place").select("doc_id", "place")
 
 
 def record_union(spark: SparkSession, sf_dir: str) -> DataFrame:

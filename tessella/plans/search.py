@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.functions.texts import (
     count_matches,
@@ -15,6 +14,7 @@ from tessella.functions.texts import (
 )
 from tessella.operators import models as M
 from tessella.operators import search as S
+from tessella.operators.ranges import running
 from tessella.plans.common import r6, table, values
 from tessella.sources.shared import materialise
 
@@ -179,10 +179,9 @@ def private_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citation_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First five citations of each role, once per (role, source), and whether they are complete."""
-    w = Window.partitionBy("role", "source").orderBy("doc_id")
-    once = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("role"), F.col("n_chars").isNotNull().alias("sized"))
-    once = once.withColumn("k", F.row_number().over(w)).where("k = 1")
-    top = once.withColumn("k", F.row_number().over(Window.partitionBy("role").orderBy("doc_id"))).where("k <= 5")
+    docs = table(spark, sf_dir, "documents").select("source", F.col("lang").alias("role"), F.struct("doc_id", F.col("n_chars").isNotNull().alias("sized")).alias("d"))
+    once = docs.groupBy("role", "source").agg(F.min("d").alias("d")).select("role", "source", "d.*")
+    top = running(materialise(once, "once"), ["role"], ["doc_id"], number="k").where("k <= 5")
     return top.select("role", F.col("k").alias("position"), "doc_id", "source", F.when(F.col("sized"), "COMPLETE").otherwise("INCOMPLETE").alias("state"))
 
 

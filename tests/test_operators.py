@@ -363,3 +363,26 @@ def test_resampling_and_tiles_equal_plain_writings():
     n = np.bincount(grey.ravel(), minlength=256) / grey.size
     assert pixels.entropy(grey) == pytest.approx(-sum(p * math.log2(p) for p in n if p) / 8)
     assert pixels.symmetry(grey) == pytest.approx(1 - np.mean([abs(int(r[x]) - int(r[30 - x])) for r in grey for x in range(15)]) / 255)
+
+
+def test_recovery_looks_at_the_last_outcome(spark):
+    states = [("after success", "RUNNING", 0), ("after failure", "RUNNING", 0), ("unknown", "RUNNING", 0), ("spent", "RUNNING", 0), ("new cycle", "RUNNING", 2), ("none", "RUNNING", 0), ("done", "COMPLETED", 0), ("lost", "RETRY_WAIT", 0), (None, "RUNNING", None)]
+    tried = [("after success", 1, 1, True), ("after failure", 1, 1, False), ("unknown", 1, 0, None), ("spent", 2, 0, None), ("new cycle", 3, 1, False), ("done", 1, 1, True), ("lost", 1, 1, False), (None, 1, 1, False)]
+    frame = spark.createDataFrame(states, "job string, status string, attempt_base int").withColumn("next_attempt_at", F.lit(None).cast("timestamp"))
+    frame = frame.union(spark.sql("SELECT 'waits', 'RETRY_WAIT', 0, TIMESTAMP '2024-01-01 00:00:00'"))
+    attempts = spark.createDataFrame(tried, "job string, attempt int, n_outcomes int, available boolean")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    got = {r.job: (r.status, r.outcome, r.delay) for r in jobs.recover(frame, attempts, "job", now, 2, base=5.0).withColumn("delay", F.unix_seconds("next_attempt_at") - F.unix_seconds(now)).collect()}
+    assert got == {
+        "after success": ("QUEUED", None, None), "after failure": ("RETRY_WAIT", None, 5), "unknown": ("RETRY_WAIT", "UNKNOWN_AFTER_RESTART", 5), "spent": ("QUEUED", "UNKNOWN_AFTER_RESTART", None),
+        "new cycle": ("RETRY_WAIT", None, 5), "none": ("QUEUED", None, None), "lost": ("QUEUED", None, None), None: ("RETRY_WAIT", None, 5),
+    }
+    assert {r.status for r in jobs.recover(frame, attempts, "job", now, 2).collect()} == {"QUEUED"}
+
+
+def test_endings(spark):
+    ok = dict(n_succeeded=1, last_available=True, recapture=False, n_views=3, least_views=3, n_visible=1, n_issues=0, risk="LOW")
+    cases = [({}, "SUCCEEDED"), ({"n_succeeded": 0}, "MODEL_UNAVAILABLE"), ({"last_available": False, "recapture": True}, "MODEL_UNAVAILABLE"), ({"last_available": None}, "MODEL_UNAVAILABLE"), ({"recapture": True}, "PARTIAL"), ({"n_views": 2}, "PARTIAL"), ({"n_visible": 0}, "PARTIAL"), ({"n_issues": 1}, "PARTIAL"), ({"risk": "HIGH"}, "PARTIAL"), ({"risk": None}, "SUCCEEDED")]
+    rows = [tuple((ok | change).values()) for change, _ in cases]
+    frame = spark.createDataFrame(rows, "n_succeeded int, last_available boolean, recapture boolean, n_views int, least_views int, n_visible int, n_issues int, risk string")
+    assert [r[0] for r in frame.select(jobs.terminal_status(*map(F.col, ok))).collect()] == [want for _, want in cases]
