@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions.texts import ANGLE_ALIASES, ANGLES
 from tessella.operators import retrieval as R
+from tessella.operators import vector_index as X
 from tessella.plans.common import r6, table, values
 
 RAW_ANGLES = (
@@ -59,6 +60,13 @@ def best_view_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.best_objects(*_sides(spark, sf_dir), 5, POLICY).withColumn("similarity", r6("similarity"))
 
 
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through an index of all views, of which only cells that may matter are read."""
+    queries, gallery = _sides(spark, sf_dir)
+    found, _, _ = X.search(queries, X.build_index(gallery), 5, POLICY)
+    return found.withColumn("similarity", r6("similarity"))
+
+
 def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The views with every kind of damage planted by fixed rules."""
     i = F.col("view_id")
@@ -289,13 +297,15 @@ _SOUND = HITS_SQL + """, damaged AS (
 QUERIES = {
     f.__name__: f
     for f in (
-        best_view_topk, view_violations, sound_topk, view_order, unit_centroid, object_score, angle_coverage, runner_up_margin, counterfeit_signal,
+        best_view_topk, indexed_topk, view_violations, sound_topk, view_order, unit_centroid, object_score, angle_coverage, runner_up_margin, counterfeit_signal,
         counterfeit_ranking, negative_controls, identity_decision, related_objects, related_decision, recognition_status, explanations, recapture_hints, strict_matches,
     )
 }
 SQL = {
     "best_view_topk": HITS_SQL + """SELECT * FROM (SELECT query_view, row_number() OVER (PARTITION BY query_view ORDER BY similarity DESC, object_id) AS rank,
       object_id, best_view, round(similarity, 6) AS similarity FROM best) WHERE rank <= 5""",
+    "indexed_topk": HITS_SQL + """SELECT * FROM (SELECT query_view, row_number() OVER (PARTITION BY query_view ORDER BY similarity DESC, object_id) AS rank,
+      object_id, best_view, round(similarity, 6) AS similarity FROM best) WHERE rank <= 5""",
     "unit_centroid": HITS_SQL + "SELECT object_id, d - 1 AS dim, round(x, 6) AS x FROM gc",
     "object_score": HITS_SQL + """SELECT capture_id, object_id, kind, round(score, 6) AS score, round(view_score, 6) AS view_score,
       round(centroid_score, 6) AS centroid_score, round(quality_score, 6) AS quality_score FROM hits""",
