@@ -5,6 +5,10 @@ Nothing here reads a clock: ``now`` is a parameter. Null keys are a job of
 their own; an empty log gives no rows.
 """
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,11 @@ OPEN = ("DRAFT", "READY", "UPLOADING", "POLLING", "RETRY_REQUESTED", "MODEL_UNAV
 RECOVERABLE = ("READY", "UPLOADING", "POLLING", "RETRY_REQUESTED")
 QUOTA, BASE_DELAY, MOST_DELAY, LEAST_DELAY = 20, 5.0, 300.0, 0.05
 MOST_RECENT = 100
+# What leads from which state to which; CREATE makes a job, all else is refused.
+TRANSITIONS = {
+    ("CLAIM", "QUEUED"): "RUNNING", ("DEFER", "RUNNING"): "RETRY_WAIT", ("READY", "RETRY_WAIT"): "QUEUED", ("SUCCEED", "RUNNING"): "SUCCEEDED",
+    ("END_PARTLY", "RUNNING"): "PARTIAL", ("GIVE_UP", "RUNNING"): "MODEL_UNAVAILABLE", ("FAIL", "RUNNING"): "FAILED", ("RETRY", "MODEL_UNAVAILABLE"): "QUEUED",
+}
 
 
 def micros_of(ts: str) -> Column:
@@ -105,6 +114,78 @@ def recover(states: DataFrame, tried: DataFrame, key: str, now: Column, most: in
     )
 
 
+@dataclass
+class DeviceDesk:
+    """What is known of a device besides its jobs, and the rules by which its requests are judged."""
+
+    quota: int
+    cooldown_us: int
+    outstanding: int = 0
+    last_retry: int | None = None
+
+    def judge(self, kind: str | None, status: str | None, same: bool, us: int) -> tuple[str, str | None]:
+        """(verdict, new status) of a request about a job in ``status``, null if there is none; a null status changes nothing.
+
+        CREATE of a known job is REPLAYED if its content is the same, else a
+        CONFLICT. Other requests about unknown jobs are NOT_FOUND, and those that
+        lead nowhere from the job's state a CONFLICT. New and repeated jobs need a
+        place below the quota (CAPACITY), repeated ones also the cooldown since the
+        device's last (COOLDOWN).
+        """
+        if kind == "CREATE":
+            if status is not None:
+                return ("REPLAYED" if same else "CONFLICT"), None
+            target = "QUEUED"
+        elif status is None:
+            return "NOT_FOUND", None
+        else:
+            target = TRANSITIONS.get((kind, status))
+            if target is None:
+                return "CONFLICT", None
+        if kind in ("CREATE", "RETRY") and self.outstanding >= self.quota:
+            return "CAPACITY", None
+        if kind == "RETRY":
+            if self.last_retry is not None and us - self.last_retry < self.cooldown_us:
+                return "COOLDOWN", None
+            self.last_retry = us
+        self.outstanding += (target in OUTSTANDING) - (status in OUTSTANDING)
+        return "ACCEPTED", target
+
+
+_REQUESTS = "device bigint, seq bigint, job bigint, verdict string, status string, outstanding bigint"
+
+
+def replay_requests(log: DataFrame, quota: int = QUOTA, cooldown_s: float = 0.0) -> DataFrame:
+    """(device, seq, job, verdict, status, outstanding) of every request, in the order that they came.
+
+    ``log``: device, job, ts, seq, kind, digest. ``status`` is the job's after
+    the request (null: there is none), ``outstanding`` the device's. Requests are
+    dealt by device and streamed in order of (ts, seq); a task holds the states of one
+    device's jobs. Quota and cooldown make a device's requests a sequence, so a
+    device with most of them is one long task. Null devices and jobs are left out.
+    """
+    rows = log.where("device IS NOT NULL AND job IS NOT NULL").select("device", "seq", "job", micros_of("ts").alias("us"), "kind", F.coalesce("digest", F.lit("")).alias("digest"))
+    rows = rows.select(*[F.col(c).cast("bigint").alias(c) for c in ("device", "seq", "job", "us")], "kind", "digest").repartition("device").sortWithinPartitions("device", "us", "seq")
+    cooldown_us = int(cooldown_s * 1_000_000)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, desk, known = None, DeviceDesk(quota, cooldown_us), {}
+        for batch in batches:
+            out = []
+            for device, seq, job, us, kind, digest in zip(*(c.to_pylist() for c in batch.columns)):
+                if device != at:
+                    at, desk, known = device, DeviceDesk(quota, cooldown_us), {}
+                status, first = known.get(job, (None, digest))
+                verdict, new = desk.judge(kind, status, digest == first, us)
+                if new is not None:
+                    known[job] = new, first
+                out.append((device, seq, job, verdict, new or status, desk.outstanding))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names=[c.split()[0] for c in _REQUESTS.split(", ")])
+
+    return rows.mapInArrow(replay, _REQUESTS)
+
+
 def idempotent_intake(requests: DataFrame, keys: list[str], digest: str) -> DataFrame:
     """The first request of each key, and whether a later one differs.
 

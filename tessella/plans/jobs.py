@@ -103,6 +103,26 @@ def crash_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("job", "attempt", "outcome", "status", J.micros_of("next_attempt_at").alias("next_us"))
 
 
+def requests_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of devices: a user has three jobs; errors and views stand for two kinds each."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    asked = (
+        F.when(kind == "signup", "CREATE").when(kind == "click", "CLAIM").when(kind == "purchase", F.when(n % 4 == 0, "END_PARTLY").otherwise("SUCCEED"))
+        .when(kind == "error", F.when(n % 2 == 0, "DEFER").otherwise("GIVE_UP")).otherwise(F.when(n % 3 == 0, "READY").otherwise("RETRY"))
+    )
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") % DEVICES).alias("device"), (F.col("user_id") * 3 + n % 3).alias("job"), "ts", n.alias("seq"), asked.alias("kind"),
+        F.when(n % 5 == 0, F.lit("other")).when(n % 7 != 0, "content").alias("digest"),
+    )
+
+
+REQUEST_QUOTA, REQUEST_COOLDOWN_S = 6, 400_000.0
+
+
+def request_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.replay_requests(requests_log(spark, sf_dir), REQUEST_QUOTA, REQUEST_COOLDOWN_S)
+
+
 def _client_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = F.array(*map(F.lit, (*J.OPEN, "COMPLETED", "CANCELLED")))
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.element_at(states, (F.col("o_orderkey") % 9 + 1).cast("int")).alias("state"))
@@ -169,7 +189,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         last_status, outstanding_quota, backoff_schedule, due_retries, attempt_outcomes, unrecorded_attempts, idempotency_conflicts,
-        cooldown_violations, fifo_head, recent_jobs, last_of_type, crash_recovery, latest_open_job, recoverable_jobs, latest_client_jobs,
+        cooldown_violations, fifo_head, recent_jobs, last_of_type, crash_recovery, request_verdicts, latest_open_job, recoverable_jobs, latest_client_jobs,
         correlated_count, owned_lines, job_endings,
     )
 }
@@ -195,6 +215,32 @@ SQL = {
       FROM last LEFT JOIN bases USING (job) LEFT JOIN newest USING (job) WHERE last.status = 'RUNNING' OR (last.status = 'RETRY_WAIT' AND last.seq % 3 = 0)
     ) SELECT job, attempt, CASE WHEN status = 'RUNNING' AND n = 0 THEN 'UNKNOWN_AFTER_RESTART' END AS outcome, CASE WHEN waits THEN 'RETRY_WAIT' ELSE 'QUEUED' END AS status,
       CASE WHEN waits THEN epoch_us(TIMESTAMP '{NOW}') + CAST(greatest(0.05, least(300.0, 5.0 * pow(2, greatest(cycle - 1, 0)))) * 1000000 AS BIGINT) END AS next_us FROM judged""",
+    "request_verdicts": f"""
+    WITH RECURSIVE asked AS (
+      SELECT user_id % {DEVICES} AS device, user_id * 3 + event_id % 3 AS job, epoch_us(ts) AS us, event_id AS seq,
+        CASE event_type WHEN 'signup' THEN 'CREATE' WHEN 'click' THEN 'CLAIM' WHEN 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN 'END_PARTLY' ELSE 'SUCCEED' END
+          WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'DEFER' ELSE 'GIVE_UP' END ELSE CASE WHEN event_id % 3 = 0 THEN 'READY' ELSE 'RETRY' END END AS kind,
+        CASE WHEN event_id % 5 = 0 THEN 'other' WHEN event_id % 7 <> 0 THEN 'content' ELSE '' END AS digest FROM events
+    ), rules(kind, held, goes) AS (VALUES {", ".join(f"('{k}', '{s}', '{t}')" for (k, s), t in J.TRANSITIONS.items())}
+    ), placed AS (
+      SELECT *, row_number() OVER (PARTITION BY device ORDER BY us, seq) AS k FROM asked
+    ), walk AS (
+      SELECT DISTINCT device, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS job, CAST(NULL AS VARCHAR) AS verdict, CAST(NULL AS VARCHAR) AS status,
+        CAST(MAP {{}} AS MAP(BIGINT, STRUCT(s VARCHAR, d VARCHAR))) AS jobs, CAST(0 AS BIGINT) AS outstanding, CAST(NULL AS BIGINT) AS last FROM asked
+      UNION ALL
+      SELECT device, k, seq, job, verdict, CASE WHEN verdict = 'ACCEPTED' THEN goes ELSE was END,
+        CASE WHEN verdict = 'ACCEPTED' THEN map_concat(jobs, MAP {{job: {{'s': goes, 'd': coalesce(first, digest)}}}}) ELSE jobs END,
+        outstanding + CASE WHEN verdict = 'ACCEPTED' THEN (CASE WHEN goes IN ('QUEUED', 'RUNNING', 'RETRY_WAIT') THEN 1 ELSE 0 END)
+          - (CASE WHEN was IN ('QUEUED', 'RUNNING', 'RETRY_WAIT') THEN 1 ELSE 0 END) ELSE 0 END,
+        CASE WHEN verdict = 'ACCEPTED' AND kind = 'RETRY' THEN us ELSE last END
+      FROM (SELECT *, CASE WHEN kind = 'CREATE' AND was IS NOT NULL THEN CASE WHEN first = digest THEN 'REPLAYED' ELSE 'CONFLICT' END
+          WHEN was IS NULL AND kind <> 'CREATE' THEN 'NOT_FOUND' WHEN goes IS NULL THEN 'CONFLICT'
+          WHEN kind IN ('CREATE', 'RETRY') AND outstanding >= {REQUEST_QUOTA} THEN 'CAPACITY'
+          WHEN kind = 'RETRY' AND us - last < {int(REQUEST_COOLDOWN_S * 1e6)} THEN 'COOLDOWN' ELSE 'ACCEPTED' END AS verdict
+        FROM (SELECT w.device, p.k, p.seq, p.job, p.kind, p.us, p.digest, w.jobs, w.outstanding, w.last, w.jobs[p.job].s AS was, w.jobs[p.job].d AS first,
+            CASE WHEN p.kind = 'CREATE' THEN 'QUEUED' ELSE r.goes END AS goes
+          FROM walk w JOIN placed p ON p.device = w.device AND p.k = w.k + 1 LEFT JOIN rules r ON r.kind = p.kind AND r.held = w.jobs[p.job].s))
+    ) SELECT device, seq, job, verdict, status, outstanding FROM walk WHERE k > 0""",
     "latest_open_job": _CLIENT + f"SELECT o_orderkey, state FROM j WHERE state IN ({_STATES(J.OPEN)}) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1",
     "recoverable_jobs": _CLIENT + f"SELECT o_orderkey, state FROM j WHERE state IN ({_STATES(J.RECOVERABLE)})",
     "latest_client_jobs": _CLIENT + "SELECT o_orderkey, state FROM j ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20",

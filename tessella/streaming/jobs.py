@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tessella.operators.jobs import BASE_DELAY, LEAST_DELAY, MOST_DELAY
+from tessella.operators.jobs import _REQUESTS, BASE_DELAY, LEAST_DELAY, MOST_DELAY, OUTSTANDING, QUOTA, DeviceDesk
 from tessella.operators.records import ActionState
 
 
@@ -100,6 +101,57 @@ def actions(log: DataFrame, limit: float) -> DataFrame:
     )
 
 
+class _Requests(StatefulProcessor):
+    """A device's desk: its open jobs, its closed ones for as long as repeats are recognised, and its counters."""
+
+    def __init__(self, quota: int, cooldown_us: int, closed_for_ms: int | None):
+        self.quota, self.cooldown_us, self.closed_for_ms = quota, cooldown_us, closed_for_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        key, value = "job bigint", "status string, digest string"
+        self.open = handle.getMapState("open", key, value)
+        self.closed = handle.getMapState("closed", key, value, self.closed_for_ms)
+        self.device = handle.getValueState("device", "outstanding bigint, last_retry bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        outstanding, last_retry = self.device.get() if self.device.exists() else (0, None)
+        desk = DeviceDesk(self.quota, self.cooldown_us, outstanding, last_retry)
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["us", "seq"]).itertuples():
+            job = (int(row.job),)
+            held = next((m for m in (self.open, self.closed) if m.containsKey(job)), None)
+            status, first = held.getValue(job) if held else (None, row.digest)
+            verdict, new = desk.judge(row.kind, status, row.digest == first, int(row.us))
+            if new is not None:
+                goes = self.open if new in OUTSTANDING else self.closed
+                if held is not None and held is not goes:
+                    held.removeKey(job)
+                goes.updateValue(job, (new, first))
+            out.append((int(key[0]), int(row.seq), job[0], verdict, new or status, desk.outstanding))
+        self.device.update((desk.outstanding, desk.last_retry))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _REQUESTS.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def requests(log: DataFrame, quota: int = QUOTA, cooldown_s: float = 0.0, closed_for_s: float | None = None) -> DataFrame:
+    """Every request's verdict, as ``operators.jobs.replay_requests`` gives it.
+
+    ``log``: device, job, ts, seq, kind, digest, as there. A device's open jobs are
+    kept until they end, its ended ones for ``closed_for_s`` seconds since they ended
+    (None: for ever); after that a job's name is free again. Requests must come in
+    order of (ts, seq) from one micro-batch to the next. The query needs the RocksDB
+    state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    rows = log.where("device IS NOT NULL AND job IS NOT NULL").selectExpr(
+        "cast(device AS bigint) AS device", "cast(seq AS bigint) AS seq", "cast(job AS bigint) AS job", "unix_micros(cast(ts AS timestamp)) AS us", "kind", "coalesce(digest, '') AS digest"
+    )
+    desk = _Requests(quota, int(cooldown_s * 1_000_000), None if closed_for_s is None else int(closed_for_s * 1000))
+    mode = "None" if closed_for_s is None else "ProcessingTime"
+    return rows.groupBy("device").transformWithStateInPandas(desk, _REQUESTS, "append", mode)
+
+
 def retries(log: DataFrame, key: str = "job") -> DataFrame:
     """Waiting jobs that are put back in the queue when their delay is over.
 
