@@ -133,17 +133,16 @@ def evidence_bundle(sessions: DataFrame, files: DataFrame, key: str, kinds: tupl
     ``sessions``: key and any fields; ``files``: key, kind, sha256. Null hashes
     and other kinds are left out; a kind without files still has its place.
     """
-    digests = None
     own = F.to_json(F.struct(*sorted(sessions.columns)), {"ignoreNullFields": "false"})
     base = sessions.select(key, F.sha2(own, 256).alias("own"))
-    for i, kind in enumerate(kinds):
-        of = set_digest(files.where((F.col("kind") == kind) & F.col("sha256").isNotNull()), F.col("sha256"), key)
-        of = of.select(F.col(key).alias(f"k{i}"), F.col("n_rows").alias(f"n{i}"), F.col("digest").alias(f"d{i}"))
-        base = base.join(of, base[key] == of[f"k{i}"], "left")
-        part = F.concat(F.lit(kind + "="), F.coalesce(f"d{i}", F.lit("")))
-        digests = part if digests is None else F.concat_ws("|", digests, part)
-    count = sum((F.coalesce(f"n{i}", F.lit(0).cast("bigint")) for i in range(1, len(kinds))), F.coalesce("n0", F.lit(0).cast("bigint")))
-    return base.select(key, count.alias("n_files"), F.sha2(F.concat_ws("|", "own", digests), 256).alias("digest"))
+    kept = files.where(F.col("kind").isin(*kinds) & F.col("sha256").isNotNull() & F.col(key).isNotNull())
+    each = set_digest(kept, F.col("sha256"), key, "kind")
+    found = each.groupBy(F.col(key).alias("of")).agg(  # one entry a kind
+        F.sum("n_rows").alias("n"), F.map_from_entries(F.collect_list(F.struct("kind", F.concat(F.col("kind"), F.lit("="), F.col("digest"))))).alias("d")
+    )
+    base = base.join(found, base[key] == found["of"], "left")
+    parts = [F.coalesce(F.col("d")[kind], F.lit(f"{kind}=")) for kind in kinds]
+    return base.select(key, F.coalesce("n", F.lit(0).cast("bigint")).alias("n_files"), F.sha2(F.concat_ws("|", "own", *parts), 256).alias("digest"))
 
 
 def reconcile(state: DataFrame, catalog: DataFrame, key: str, compared: list[str]) -> DataFrame:

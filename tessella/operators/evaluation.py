@@ -1,5 +1,10 @@
 """Evaluation of labelled retrieval runs and the constrained search for thresholds."""
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,45 +73,57 @@ def candidates(runs: DataFrame, name: str) -> DataFrame:
     return n.where(chosen).select(name)
 
 
+def _best_cell(counts: np.ndarray, axes: list[list[float]], open_runs: int, target_far: float) -> tuple:
+    """The best cell of a grid of counts (correct, false, wrong along the last axis), each run in the highest cell it meets."""
+    totals = counts
+    for axis in range(len(axes)):
+        totals = np.flip(np.flip(totals, axis).cumsum(axis=axis), axis)
+    correct, false, wrong = (totals[..., i].ravel() for i in range(3))
+    far = false / max(open_runs, 1)
+    feasible = far <= target_far + 1e-12
+    values = [v.ravel() for v in np.meshgrid(*[np.array(a) for a in axes], indexing="ij")]
+    first, second = np.where(feasible, correct, -false), np.where(feasible, -false, correct)
+    at = np.lexsort((*reversed(values), second, first, feasible))[-1]
+    return (*(float(v[at]) for v in values), int(correct[at]), int(false[at]), int(wrong[at]), float(far[at]), bool(feasible[at]), len(far))
+
+
 def threshold_grid(runs: DataFrame, target_far: float) -> DataFrame:
     """The thresholds that accept most correct runs with at most ``target_far`` false accepts.
 
     ``runs``: score, margin, coverage, quality, expected, correct, eligible.
     Ties go to fewer false accepts, then to higher thresholds in the order named;
     if no cell keeps the rate, to the fewest false accepts. Each run is put into
-    the highest cell whose thresholds it meets, cells are counted, and suffix
-    sums along the four axes turn counts into accepted runs: the work grows with
-    runs plus cells, not with their product.
+    the highest cell whose thresholds it meets and cells are counted. The counts,
+    at most 24 x 16 x 12 x 12 whatever the runs, go to one task, where sums from
+    the far ends along the four axes turn them into accepted runs.
     """
     names = list(GRID)
-    grid = None
-    placed = runs.where("eligible")
-    for name in names:
-        c = candidates(runs, name)
-        grid = c if grid is None else grid.crossJoin(c)  # at most 24 x 16 x 12 x 12 cells
-        listed = [r[0] for r in c.orderBy(name).collect()]  # at most 24 values
-        steps = [F.when(F.col(name) >= v, F.lit(v)) for v in listed]
-        placed = placed.withColumn(f"cell_{name}", F.greatest(*steps) if len(steps) > 1 else steps[0])
-    known = F.col("expected").isNotNull()
-    counts = placed.groupBy(*[F.col(f"cell_{n}").alias(n) for n in names]).agg(
-        F.count_if(known & F.col("correct")).alias("correct"), F.count_if(~known).alias("false"), F.count_if(known & ~F.col("correct")).alias("wrong")
+    listed = reduce(DataFrame.union, [candidates(runs, n).select(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])
+    opened = runs.agg(F.lit("").alias("name"), F.count_if(F.col("expected").isNull()).cast("double").alias("value"))
+    known: dict[str, list[float]] = {}
+    for row in listed.union(opened).collect():  # at most 64 values, and one count
+        known.setdefault(row["name"], []).append(row["value"])
+    open_runs, axes = int(known[""][0]), [sorted(known[n]) for n in names]
+    place = lambda n, axis: sum(((F.col(n) >= v).cast("int") for v in axis), F.lit(0)) - 1
+    placed = runs.where("eligible").select("expected", "correct", *[place(n, axis).alias(f"at_{n}") for n, axis in zip(names, axes)])
+    at = [f"at_{n}" for n in names]
+    placed = placed.where(F.least(*at) >= 0)
+    labelled = F.col("expected").isNotNull()
+    counts = placed.groupBy(*at).agg(
+        F.count_if(labelled & F.col("correct")).alias("correct"), F.count_if(~labelled).alias("false"), F.count_if(labelled & ~F.col("correct")).alias("wrong")
     )
-    cells = grid.join(F.broadcast(counts), names, "left").fillna(0, ["correct", "false", "wrong"])
-    for name in names:
-        others = [n for n in names if n != name]
-        above = Window.partitionBy(*others).orderBy(F.desc(name)).rowsBetween(Window.unboundedPreceding, 0)
-        cells = cells.withColumns({c: F.sum(c).over(above) for c in ("correct", "false", "wrong")})
-    open_runs = runs.agg(F.count_if(F.col("expected").isNull())).first()[0]
-    far = F.col("false") / F.lit(max(open_runs, 1))
-    rank = F.struct(
-        (far <= target_far + 1e-12).alias("feasible"),
-        F.when(far <= target_far + 1e-12, F.col("correct")).otherwise(-F.col("false")).alias("first"),
-        F.when(far <= target_far + 1e-12, -F.col("false")).otherwise(F.col("correct")).alias("second"),
-        *names,
-        far.alias("far"), "correct", "false", "wrong",
-    )
-    best = cells.agg(F.max(rank).alias("b"), F.count(F.lit(1)).alias("cells"))
-    return best.select(*[f"b.{n}" for n in names], "b.correct", "b.false", "b.wrong", "b.far", "b.feasible", "cells")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = np.zeros((*map(len, axes), 3), np.int64)
+        for batch in batches:
+            columns = [np.asarray(c) for c in batch.columns]
+            grid[tuple(columns[: len(at)])] += np.stack(columns[len(at) :], axis=-1)
+        values = _best_cell(grid, axes, open_runs, target_far)
+        kinds = (*[pa.float64()] * len(names), *[pa.int64()] * 3, pa.float64(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[*names, "correct", "false", "wrong", "far", "feasible", "cells"])
+
+    schema = ", ".join([*(f"{n} double" for n in names), "correct bigint, false bigint, wrong bigint, far double, feasible boolean, cells bigint"])
+    return counts.repartition(1).mapInArrow(best, schema)
 
 
 def latency_quantiles(samples: DataFrame, value: str, *keys: str) -> DataFrame:

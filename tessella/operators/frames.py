@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.texts import fresh_name
+from tessella.sources.shared import discard, materialise
 
 # Gates, weights and distances.
 NEAR_BITS = 4
@@ -221,9 +222,11 @@ def admission(frames: DataFrame, key: str, duration: Column, features: str = "fe
     duplicate is suppressed before quality is looked at; diversity and
     consistency are those of the accepted frames, to four places.
     """
+    frames = materialise(frames, "frames")
     marked = frames.join(mark_duplicates(frames, key), [key, "frame_id"])
     status = F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE").when(~F.coalesce("passed", F.lit(False)), "REJECTED").otherwise("ACCEPTED")
-    marked = marked.withColumn("status", status)
+    marked = materialise(marked.withColumn("status", status), "marked")  # read four times
+    discard(frames)
     counts = marked.groupBy(key).agg(
         *[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in ("ACCEPTED", "REJECTED", "DUPLICATE")],
         F.least(F.lit(1.0), (F.max("ts") - F.min("ts")) / F.greatest(F.max(duration), F.lit(1))).alias("span"),
