@@ -1,9 +1,14 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import quality, toxicity
-from tessella.llm.linear import fit_logistic, predict
+from tessella.llm.linear import SparseRows, fit_logistic, fit_sparse, predict, predict_sparse
+from tessella.llm.queries import queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -126,18 +131,89 @@ def test_toxicity_on_held_out_labels(spark):
     assert (said == true).mean() >= 0.98 and (said & ~true).sum() <= 2
 
 
+def sparse(x):
+    return SparseRows.of([(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in x], x.shape[1])
+
+
+def test_sparse_fit_equals_the_dense_one():
+    rng = np.random.default_rng(5)
+    for n, size in ((60, 3), (40, 90), (5, 1), (0, 4)):
+        x = rng.normal(size=(n, size)) * (rng.random((n, size)) < 0.3)
+        extra = rng.random((n, 2))
+        y = (rng.random(n) < 0.4).astype(float)
+        rows = sparse(x).beside(extra[:, 0]).beside(extra[:, 1]) if n else sparse(x).beside(np.empty(0)).beside(np.empty(0))
+        dense = np.column_stack([x, extra])
+        got, want = fit_sparse(rows, y, 0.3), fit_logistic(dense, y, 0.3)
+        assert np.allclose(got, want, atol=1e-5)
+        assert np.allclose(predict_sparse(rows, want), predict(dense, want))
+        keep = rng.random(n) < 0.5
+        assert np.allclose(predict_sparse(rows.where(keep), want), predict(dense, want)[keep])
+
+
 def test_later_links_see_out_of_fold_predictions():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 2))
     ys = np.column_stack([x[:, 0] > 0, rng.random(60) > 0.5]).astype(float)
-    models = toxicity.fit_chain(x, ys, folds=3)
+    models = toxicity.fit_chain(sparse(x), ys, folds=3)
     unseen = np.zeros(60)
     for f in range(3):
         out = np.arange(60) % 3 == f
         unseen[out] = predict(x[out], fit_logistic(x[~out], ys[~out, 0], toxicity.RIDGE))
-    assert np.allclose(models[1], fit_logistic(np.column_stack([x, unseen]), ys[:, 1], toxicity.RIDGE))
+    assert np.allclose(models[1], fit_logistic(np.column_stack([x, unseen]), ys[:, 1], toxicity.RIDGE), atol=1e-5)
     chain = toxicity.ToxicityChain({"a": 0, "b": 1}, models)
-    assert np.allclose(chain.probabilities(x)[:, 1], predict(np.column_stack([x, predict(x, models[0])]), models[1]))
+    assert np.allclose(chain.probabilities(sparse(x))[:, 1], predict(np.column_stack([x, predict(x, models[0])]), models[1]), atol=1e-5)
+
+
+def test_beginnings_go_on_without_end():
+    assert list(toxicity.beginnings(3)) == [] and list(toxicity.beginnings(6)) == [3, 4, 5]
+    assert list(toxicity.beginnings(100)) == [3, 4, 5, 6, 7, 8, 12, 16, 24, 32, 48, 64, 96]
+    assert len(toxicity.terms_of("x" * 50_000)) < 40
+
+
+def test_registered_query_recomputed(spark):
+    """op10 over sf0.001 by a second writing: terms, their odds, the chain with dense models, the probabilities."""
+    folder = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id", "text", "lang", "xxhash64(doc_id) AS h").collect()}
+    labels = {r.doc_id: float(r.toxic) for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL").collect()}
+    ids = sorted((i for i in labels if i in docs), key=lambda i: (docs[i].h, i))
+
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+
+    def terms(word):
+        return [word] + ["^" + word[:n] for n in (3, 4, 5, 6, 7, 8, 12, 16, 24, 32, 48, 64) if n < len(word)]
+
+    y = np.array([labels[i] for i in ids])
+    held = [{t for w in words(docs[i].text) for t in terms(w)} for i in ids]
+    toxic, every = Counter(t for h, bad in zip(held, y) if bad for t in h), Counter(t for h in held for t in h)
+    chosen = {}
+    for t, k in toxic.items():
+        c = every[t] - k
+        odds = math.log((k + 0.5) / (y.sum() - k + 0.5)) - math.log((c + 0.5) / (len(y) - y.sum() - c + 0.5))
+        z = round(odds / math.sqrt(1 / (k + 0.5) + 1 / (c + 0.5)), 9)
+        if k >= 3 and z > 3:
+            chosen[t] = z
+    index = sorted(chosen, key=lambda t: (-chosen[t], t.encode()))
+
+    def row(text):
+        n = Counter(t for w in words(text) for t in terms(w))
+        return np.log1p([n[t] for t in index])
+
+    x = np.array([row(docs[i].text) for i in ids])
+    ys = np.column_stack([toxicity.kinds(x[y > 0], y > 0, np.array([docs[i].lang or "" for i in ids], dtype=object)), y])
+    everything = np.array([row(docs[i].text) for i in docs])
+    for k in range(3):
+        unseen = np.zeros(len(x))
+        for f in range(5):
+            out = np.arange(len(x)) % 5 == f
+            unseen[out] = predict(x[out], fit_logistic(x[~out], ys[~out, k], 0.2))
+        everything = np.column_stack([everything, predict(everything, fit_logistic(x, ys[:, k], 0.2))])
+        x = np.column_stack([x, unseen])
+    want = dict(zip(docs, everything[:, len(index) :]))
+    got = queries()["op10_toxicity"](spark, folder).collect()
+    assert index and len(got) == len(docs)
+    for r in got:
+        assert np.allclose([r.p_kind_1, r.p_kind_2, r.p_toxic], want[r.doc_id], atol=1e-4) and r.toxic == (r.p_toxic > 0.5)
 
 
 def test_kinds_come_from_the_sample_in_every_language(spark):
