@@ -3,14 +3,15 @@
 A data set is a folder with two files for each part:
 
 ``part-NNNNN.sequences.arrow``  batches of (ids fixed_size_list<uint16|uint32>[L],
-    mask fixed_size_list<bool>[L]); documents follow each other without gaps, and
-    the last sequence is padded where its mask is false;
+    mask fixed_size_list<uint8>[L]); documents follow each other without gaps, and
+    the last sequence is padded where its mask is 0. A mask has a byte a place,
+    as bits couldn't be read without unpacking them into a copy;
 ``part-NNNNN.documents.arrow``  (doc_id, first, n): where each document's ids lie
     in the part.
 
 Parts are in ascending order of documents. The files are uncompressed Arrow IPC
-with a footer, so any sequence is reached, without copying, by its number alone:
-batch number // BATCH, row number % BATCH.
+with a footer, so any sequence and its mask are reached, without copying, by their
+number alone: batch number // BATCH, row number % BATCH.
 """
 
 import unicodedata
@@ -78,7 +79,7 @@ def _filesystem(uri: str):
 
 def _sequence_schema(kind: np.dtype, length: int) -> pa.Schema:
     ids = pa.uint16() if kind.itemsize == 2 else pa.uint32()
-    return pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
 class _PartWriter:
@@ -114,9 +115,9 @@ class _PartWriter:
         self.waiting, self.n_waiting = [ids[whole:].tobytes()], len(ids) - whole
 
     def _write(self, ids: np.ndarray, used: int | None) -> None:
-        mask = np.ones(len(ids), bool)
+        mask = np.ones(len(ids), np.uint8)
         if used is not None:
-            mask[used:] = False
+            mask[used:] = 0
         kinds = self.schema.types
         columns = [
             pa.FixedSizeListArray.from_arrays(pa.array(v, k.value_type), self.length) for v, k in zip((ids, mask), kinds)
@@ -189,13 +190,11 @@ def open_part(folder: str, part: int, what: str) -> pa.ipc.RecordBatchFileReader
 
 
 def sequence(reader: pa.ipc.RecordBatchFileReader, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence ``number`` of a part; the ids are a view of the file."""
+    """Ids and mask of sequence ``number`` of a part; both are views of the file, the mask as truth values."""
     batch = reader.get_batch(number // BATCH)
     row = number % BATCH
-    ids, mask = (batch.column(i) for i in (0, 1))
-    length = ids.type.list_size
-    flat = ids.values.slice(row * length, length).to_numpy(zero_copy_only=True)
-    return flat, mask.values.slice(row * length, length).to_numpy(zero_copy_only=False)
+    ids, mask = (column.values.slice(row * column.type.list_size, column.type.list_size).to_numpy(zero_copy_only=True) for column in batch.columns)
+    return ids, mask.view(np.bool_)
 
 
 def _document_checksums(folder: str, part: int) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import zlib
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -86,13 +87,26 @@ def test_files_hold_every_id(spark, hard, sf_dir, word_pair, length, monkeypatch
     flat, reader = [], open_part(folder, part.part, "sequences")
     for i in range(-(-part.n_tokens // length)):
         some, mask = sequence(reader, i)
-        assert len(some) == length and not some.flags.owndata
+        assert len(some) == len(mask) == length and not some.flags.owndata and not mask.flags.owndata and mask.dtype == bool
         flat += some[mask].tolist()
     assert len(flat) == part.n_tokens
     first = rows[0]
     assert crc(flat[: first.n_tokens]) == first.ids_crc32
 
 
+def test_ids_and_masks_lie_in_the_mapped_file(spark, hard):
+    folder = token_folder(spark)
+    part = write_token_files(hard, WORD, folder, length=16).orderBy("part").first()
+    mapped = pa.memory_map(f"{folder.removeprefix('file:').replace('//', '/', 1)}/part-{part.part:05d}.sequences.arrow")
+    whole, reader = mapped.read_buffer(), pa.ipc.open_file(mapped)
+    last = -(-part.n_tokens // 16) - 1
+    for number in {0, last // 2, last}:
+        for view in sequence(reader, number):
+            address = view.__array_interface__["data"][0]
+            assert whole.address <= address and address + view.nbytes <= whole.address + whole.size
+    assert sequence(reader, last)[1].sum() == part.n_tokens - 16 * last
+
+
 def test_no_documents(spark, empty):
     folder = token_folder(spark)
     assert read_documents(spark, folder, write_token_files(empty, WORD, folder)).count() == 0
