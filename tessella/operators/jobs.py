@@ -232,3 +232,72 @@ def terminal_status(
     yes = lambda c: F.coalesce(c, F.lit(False))
     partial = yes(recapture) | (number(n_views) < number(least_views)) | (number(n_visible) == 0) | (number(n_issues) > 0) | yes(risk == "HIGH")
     return F.when((number(n_succeeded) == 0) | ~yes(last_available), "MODEL_UNAVAILABLE").when(partial, "PARTIAL").otherwise("SUCCEEDED")
+
+
+# What a client's command asks of a job's state, and the state that it leads to; null keeps the state.
+CLIENT_COMMANDS = {
+    "REQUEST_MODEL_RETRY": ("MODEL_UNAVAILABLE", "RETRY_REQUESTED"), "COMPLETE_MODEL_RETRY": ("RETRY_REQUESTED", "POLLING"),
+    "COMPLETE_UPLOAD": ("UPLOADING", "POLLING"), "UPDATE_POLLING": ("POLLING", None), "COMPLETE_POLLING": ("POLLING", "given"), "COMPARE_AND_SET": ("given", "given"),
+}
+_CLIENT_JOB = ("state", "server_id", "server_status", "result", "error", "updated")
+
+
+def _commanded(job: dict, command: dict) -> bool:
+    """Change a client's job as a command says, if its state allows it."""
+    op = command["op"]
+    if op not in CLIENT_COMMANDS:
+        return False
+    asked, leads = CLIENT_COMMANDS[op]
+    if job["state"] is None or job["state"] != (command["expected"] if asked == "given" else asked):
+        return False
+    if op == "REQUEST_MODEL_RETRY" and job["server_id"] is None:
+        return False
+    job["state"] = command["new_state"] if leads == "given" else leads or job["state"]
+    job["error"] = command["error"] if op in ("UPDATE_POLLING", "COMPLETE_POLLING", "COMPARE_AND_SET") else None
+    if op == "COMPLETE_UPLOAD":
+        job["server_id"] = command["server_id"]
+    if op in ("COMPLETE_MODEL_RETRY", "COMPLETE_UPLOAD", "UPDATE_POLLING", "COMPLETE_POLLING"):
+        job["server_status"] = command["server_status"]
+    if op in ("REQUEST_MODEL_RETRY", "COMPLETE_POLLING"):
+        job["result"] = None if op == "REQUEST_MODEL_RETRY" else command["result"]
+    job["updated"] = command["at"]
+    return True
+
+
+def client_updates(jobs: DataFrame, commands: DataFrame) -> DataFrame:
+    """(id, seq, affected, state, server_id, server_status, result, error, updated): each job as it is after each command, and before the first (seq 0).
+
+    ``jobs``: a bigint id and the columns of the result from ``state`` on, at most
+    one row an id. ``commands``: id, seq (from 1), op, expected, new_state,
+    server_id, server_status, result, error, at. A command changes its job only
+    in the state that it asks for (compare and set), and ``affected`` says whether it
+    did; a retry also needs a job that the server knows. Commands for unknown jobs
+    and unknown commands affect nothing and give rows without state. Jobs and their
+    commands are dealt by id and streamed in order; a task holds one job.
+    """
+    text = lambda names: [F.col(n).cast("string").alias(n) for n in names]
+    none = lambda names: [F.lit(None).cast("string").alias(n) for n in names]
+    own = jobs.select(F.col("id").cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("seq"), *text(_CLIENT_JOB[:-1]), F.col("updated").cast("bigint").alias("updated"), F.lit(None).cast("string").alias("op"), *none(("expected", "new_state")))
+    asked = commands.select(
+        F.col("id").cast("bigint").alias("id"), F.col("seq").cast("bigint").alias("seq"), F.lit(None).cast("string").alias("state"), *text(("server_id", "server_status", "result", "error")),
+        F.col("at").cast("bigint").alias("updated"), *text(("op", "expected", "new_state")),
+    )
+    rows = own.unionByName(asked).where("id IS NOT NULL").repartition("id").sortWithinPartitions("id", "seq", "op")
+    schema = "id bigint, seq bigint, affected boolean, state string, server_id string, server_status string, result string, error string, updated bigint"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, job = None, dict.fromkeys(_CLIENT_JOB)
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["id"] != at:
+                    at, job = row["id"], dict.fromkeys(_CLIENT_JOB)
+                if row["seq"] == 0:
+                    job, affected = {c: row[c] for c in _CLIENT_JOB}, None
+                else:
+                    affected = _commanded(job, row | {"at": row["updated"]})
+                out.append((at, row["seq"], affected, *(job[c] for c in _CLIENT_JOB)))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), *[pa.string()] * 5, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 9, kinds)], names=["id", "seq", "affected", *_CLIENT_JOB])
+
+    return rows.mapInArrow(fold, schema)

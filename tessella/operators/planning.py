@@ -1,5 +1,7 @@
 """Choice of measuring actions under risk budgets, and their settlement."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,17 +58,29 @@ def choose_action(evaluated: DataFrame, uncertainty: float, *keys: str) -> DataF
     return evaluated.where("qualifies").groupBy(*keys).agg(best.alias("best")).where("best is not null").select(*keys, "best.row.*")
 
 
-def settlement(executions: DataFrame, *keys: str) -> DataFrame:
-    """What each budget is charged, and whether it is locked.
+def settlement(executions: DataFrame, budgets: DataFrame, *keys: str) -> DataFrame:
+    """keys, used, reserved, locked, over_limit, n_executions of every budget, once its executions are charged.
 
-    ``executions``: keys, execution_id, predicted, actual, telemetry_valid. Each
-    execution counts once, however often it is reported (the last report, by
-    seq, holds). Without valid telemetry the prediction is charged and the
-    budget locked. Charges come before any look at the result's quality.
+    ``executions``: keys, execution_id, seq, predicted, actual, telemetry_valid.
+    ``budgets``: keys, cap, used, reserved, locked. Each execution counts once,
+    however often it is reported (the last report, by seq, holds). With valid
+    telemetry the actual load is charged, if it is stated and 0 at least, else the
+    predicted one; without, the predicted load is charged and the budget locked.
+    What was predicted is no longer reserved. A budget that is used beyond its cap
+    is locked, and one that was locked stays so. Charges come before any look at
+    the result's quality. Executions without a budget aren't charged.
     """
     last = executions.groupBy(*keys, "execution_id").agg(F.max(F.struct("seq", "predicted", "actual", "telemetry_valid")).alias("m"))
-    valid = F.coalesce(F.col("m.telemetry_valid"), F.lit(False)) & F.col("m.actual").isNotNull()
-    charge: Column = F.when(valid, F.col("m.actual")).otherwise(F.col("m.predicted"))
-    return last.groupBy(*keys).agg(
-        F.sum(charge).alias("used"), F.bool_or(~valid).alias("locked"), F.count(F.lit(1)).alias("n_executions")
+    valid = F.coalesce(F.col("m.telemetry_valid"), F.lit(False))
+    charge = F.when(valid, F.greatest(F.lit(0.0), F.coalesce("m.actual", "m.predicted"))).otherwise(F.col("m.predicted"))
+    charged = last.groupBy(*[F.col(k).alias(f"of_{k}") for k in keys]).agg(
+        F.sum(charge).alias("charge"), F.sum("m.predicted").alias("freed"), F.bool_or(~valid).alias("unknown"), F.count(F.lit(1)).alias("n")
     )
+    joined = budgets.join(charged, reduce(Column.__and__, [F.col(k) == F.col(f"of_{k}") for k in keys]), "left")
+    used = F.round(F.coalesce("used", F.lit(0.0)) + F.coalesce("charge", F.lit(0.0)), 6)
+    over = used > F.coalesce("cap", F.lit(0.0)) + EPSILON
+    return joined.select(
+        *keys, used.alias("used"), F.round(F.greatest(F.lit(0.0), F.coalesce("reserved", F.lit(0.0)) - F.coalesce("freed", F.lit(0.0))), 6).alias("reserved"),
+        (F.coalesce("locked", F.lit(False)) | F.coalesce("unknown", F.lit(False)) | over).alias("locked"), over.alias("over_limit"),
+        F.coalesce("n", F.lit(0).cast("bigint")).alias("n_executions"),
+    )

@@ -128,6 +128,23 @@ def _client_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.element_at(states, (F.col("o_orderkey") % 9 + 1).cast("int")).alias("state"))
 
 
+def client_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a client's jobs, lines as commands, whose kind follows from the keys; the jobs after every command."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    states, ops = F.array(*map(F.lit, (*J.OPEN, "COMPLETED", "CANCELLED"))), F.array(*map(F.lit, (*J.CLIENT_COMMANDS, "OTHER")))
+    k = F.col("o_orderkey")
+    own = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.element_at(states, (k % 9 + 1).cast("int")).alias("state"), F.when(k % 4 != 0, F.concat(F.lit("s"), k)).alias("server_id"), F.lit("old").alias("server_status"),
+        F.lit("r").alias("result"), F.lit("e").alias("error"), F.lit(0).alias("updated"),
+    )
+    asked = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_suppkey").alias("supp")).select(
+        o.alias("id"), n.alias("seq"), F.element_at(ops, (F.col("part") % 7 + 1).cast("int")).alias("op"), F.element_at(states, (F.col("supp") % 9 + 1).cast("int")).alias("expected"),
+        F.element_at(states, (F.col("part") % 9 + 1).cast("int")).alias("new_state"), F.concat(F.lit("n"), n).alias("server_id"), F.concat(F.lit("t"), n).alias("server_status"),
+        F.when(n % 2 == 0, F.concat(F.lit("r"), n)).alias("result"), F.when(n % 3 == 0, "failed").alias("error"), (n * 10).alias("at"),
+    )
+    return J.client_updates(own, asked)
+
+
 def latest_open_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = _client_jobs(spark, sf_dir).where(F.col("state").isin(*J.OPEN))
     return J.recent(open_, 1, F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey", "state")
@@ -189,7 +206,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         last_status, outstanding_quota, backoff_schedule, due_retries, attempt_outcomes, unrecorded_attempts, idempotency_conflicts,
-        cooldown_violations, fifo_head, recent_jobs, last_of_type, crash_recovery, request_verdicts, latest_open_job, recoverable_jobs, latest_client_jobs,
+        cooldown_violations, fifo_head, recent_jobs, last_of_type, crash_recovery, request_verdicts, client_updates, latest_open_job, recoverable_jobs, latest_client_jobs,
         correlated_count, owned_lines, job_endings,
     )
 }
@@ -241,6 +258,29 @@ SQL = {
             CASE WHEN p.kind = 'CREATE' THEN 'QUEUED' ELSE r.goes END AS goes
           FROM walk w JOIN placed p ON p.device = w.device AND p.k = w.k + 1 LEFT JOIN rules r ON r.kind = p.kind AND r.held = w.jobs[p.job].s))
     ) SELECT device, seq, job, verdict, status, outstanding FROM walk WHERE k > 0""",
+    "client_updates": f"""
+    WITH RECURSIVE names AS (
+      SELECT [{_STATES((*J.OPEN, "COMPLETED", "CANCELLED"))}] AS st, [{_STATES((*J.CLIENT_COMMANDS, "OTHER"))}] AS op
+    ), asked AS (
+      SELECT l_orderkey AS id, CAST(n AS BIGINT) AS seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS k, op[part % 7 + 1] AS op, st[supp % 9 + 1] AS expected, st[part % 9 + 1] AS goes,
+        CASE WHEN n % 2 = 0 THEN 'r' || n END AS res, CASE WHEN n % 3 = 0 THEN 'failed' END AS err
+      FROM (SELECT l_orderkey, l_linenumber AS n, max(l_partkey) AS part, max(l_suppkey) AS supp FROM lineitem GROUP BY ALL), names
+    ), walk AS (
+      SELECT o_orderkey AS id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS k, CAST(NULL AS BOOLEAN) AS affected, st[o_orderkey % 9 + 1] AS state, CASE WHEN o_orderkey % 4 <> 0 THEN 's' || o_orderkey END AS server_id,
+        'old' AS server_status, 'r' AS result, 'e' AS error, CAST(0 AS BIGINT) AS updated FROM orders, names
+      UNION ALL
+      SELECT id, nseq, nk, ok, CASE WHEN NOT ok OR op = 'UPDATE_POLLING' THEN state WHEN op = 'REQUEST_MODEL_RETRY' THEN 'RETRY_REQUESTED'
+          WHEN op IN ('COMPLETE_MODEL_RETRY', 'COMPLETE_UPLOAD') THEN 'POLLING' ELSE goes END,
+        CASE WHEN ok AND op = 'COMPLETE_UPLOAD' THEN 'n' || nseq ELSE server_id END,
+        CASE WHEN ok AND op IN ('COMPLETE_MODEL_RETRY', 'COMPLETE_UPLOAD', 'UPDATE_POLLING', 'COMPLETE_POLLING') THEN 't' || nseq ELSE server_status END,
+        CASE WHEN ok AND op = 'REQUEST_MODEL_RETRY' THEN NULL WHEN ok AND op = 'COMPLETE_POLLING' THEN res ELSE result END,
+        CASE WHEN NOT ok THEN error WHEN op IN ('UPDATE_POLLING', 'COMPLETE_POLLING', 'COMPARE_AND_SET') THEN err END,
+        CASE WHEN ok THEN nseq * 10 ELSE updated END
+      FROM (SELECT w.*, a.seq AS nseq, a.k AS nk, a.op, a.goes, a.res, a.err,
+          coalesce(w.state = CASE a.op WHEN 'REQUEST_MODEL_RETRY' THEN 'MODEL_UNAVAILABLE' WHEN 'COMPLETE_MODEL_RETRY' THEN 'RETRY_REQUESTED' WHEN 'COMPLETE_UPLOAD' THEN 'UPLOADING'
+            WHEN 'COMPARE_AND_SET' THEN a.expected WHEN 'OTHER' THEN NULL ELSE 'POLLING' END AND (a.op <> 'REQUEST_MODEL_RETRY' OR w.server_id IS NOT NULL), false) AS ok
+        FROM walk w JOIN asked a ON a.id = w.id AND a.k = w.k + 1)
+    ) SELECT id, seq, affected, state, server_id, server_status, result, error, updated FROM walk""",
     "latest_open_job": _CLIENT + f"SELECT o_orderkey, state FROM j WHERE state IN ({_STATES(J.OPEN)}) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1",
     "recoverable_jobs": _CLIENT + f"SELECT o_orderkey, state FROM j WHERE state IN ({_STATES(J.RECOVERABLE)})",
     "latest_client_jobs": _CLIENT + "SELECT o_orderkey, state FROM j ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20",

@@ -48,13 +48,17 @@ def chosen_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as executions: the quantity was predicted, flag R has no valid telemetry."""
+    """Lines as executions: the quantity was predicted, flag R has no valid telemetry, one in eleven states no load. Suppliers are budgets."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("budget"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("execution_id"), F.col("l_linenumber").alias("seq"),
-        F.col("l_quantity").cast("double").alias("predicted"), (F.col("l_quantity") * (1 - F.col("l_discount"))).cast("double").alias("actual"),
-        (F.col("l_returnflag") != "R").alias("telemetry_valid"),
+        F.col("l_quantity").cast("double").alias("predicted"), F.when(F.col("l_orderkey") % 11 != 5, (F.col("l_quantity") * (1 - F.col("l_discount"))).cast("double") - F.when(F.col("l_partkey") % 50 == 3, 60).otherwise(0)).alias("actual"),
+        ((F.col("l_returnflag") != "R") | (F.col("l_suppkey") % 3 != 1)).alias("telemetry_valid"),
     )
-    return P.settlement(lines, "budget").withColumn("used", r6("used"))
+    k = F.col("s_suppkey")
+    budgets = table(spark, sf_dir, "supplier").select(
+        k.alias("budget"), (k % 9 * 2500).cast("double").alias("cap"), (k % 4 * 10).cast("double").alias("used"), (k % 6 * 4000).cast("double").alias("reserved"), (k % 13 == 2).alias("locked")
+    )
+    return P.settlement(lines.where("budget % 17 <> 6"), budgets, "budget").withColumns({"used": r6("used"), "reserved": r6("reserved")})
 
 
 _EVALUATED = f"""
@@ -81,8 +85,17 @@ SQL = {
       reasons = '' AND utility >= 0.1 AND gain >= 0.25 AS qualifies FROM v""",
     "chosen_action": _EVALUATED + """SELECT region, action_id, round(utility, 6) AS utility FROM v WHERE reasons = '' AND utility >= 0.1 AND gain >= 0.25
       QUALIFY row_number() OVER (PARTITION BY region ORDER BY v.utility DESC, risk, pos) = 1""",
-    "settlement": """SELECT budget, round(sum(CASE WHEN ok THEN actual ELSE predicted END), 6) AS used, bool_or(NOT ok) AS locked, count(*) AS n_executions
-      FROM (SELECT *, row_number() OVER (PARTITION BY budget, l_orderkey, l_linenumber ORDER BY predicted DESC, actual DESC, ok DESC) AS k
+    "settlement": """WITH e AS (
+      SELECT *, row_number() OVER (PARTITION BY budget, l_orderkey, l_linenumber ORDER BY predicted DESC, actual DESC, ok DESC) AS k
       FROM (SELECT l_suppkey AS budget, l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS predicted,
-      CAST(l_quantity * (1 - l_discount) AS DOUBLE) AS actual, l_returnflag <> 'R' AS ok FROM lineitem)) WHERE k = 1 GROUP BY budget""",
+        CASE WHEN l_orderkey % 11 <> 5 THEN CAST(l_quantity * (1 - l_discount) AS DOUBLE) - CASE WHEN l_partkey % 50 = 3 THEN 60 ELSE 0 END END AS actual,
+        l_returnflag <> 'R' OR l_suppkey % 3 <> 1 AS ok FROM lineitem WHERE l_suppkey % 17 <> 6)
+    ), c AS (
+      SELECT budget, sum(CASE WHEN ok THEN greatest(0.0, coalesce(actual, predicted)) ELSE predicted END) AS charge, sum(predicted) AS freed, bool_or(NOT ok) AS unknown, count(*) AS n
+      FROM e WHERE k = 1 GROUP BY budget
+    ), s AS (
+      SELECT s_suppkey AS budget, round(s_suppkey % 4 * 10 + coalesce(charge, 0), 6) AS used, s_suppkey % 9 * 2500 AS cap, c.*
+      FROM supplier LEFT JOIN c ON c.budget = s_suppkey
+    ) SELECT budget, used, round(greatest(0.0, budget % 6 * 4000 - coalesce(freed, 0)), 6) AS reserved, budget % 13 = 2 OR coalesce(unknown, false) OR used > cap + 1e-9 AS locked,
+      used > cap + 1e-9 AS over_limit, coalesce(n, 0) AS n_executions FROM s""",
 }

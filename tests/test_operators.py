@@ -58,8 +58,13 @@ def test_planning_forbids_and_settles(spark):
     none = planning.evaluate_actions(spark.createDataFrame(rows, kind), budget.limit(0), 0.9, ["k"]).first()
     assert none.reasons == ["RETRY_BLOCKED", "OVER_BUDGET"] and not none.qualifies
     runs = [("b", "e1", 1, 2.0, None, True), ("b", "e2", 1, 2.0, 1.5, True), ("b", "e2", 2, 2.0, 1.0, True)]
-    settled = planning.settlement(spark.createDataFrame(runs, "b string, execution_id string, seq int, predicted double, actual double, telemetry_valid boolean"), "b").first()
-    assert (settled.used, settled.locked, settled.n_executions) == (3.0, True, 2)
+    settled = planning.settlement(spark.createDataFrame(runs, "b string, execution_id string, seq int, predicted double, actual double, telemetry_valid boolean"), spark.createDataFrame([("b", 100.0, 0.0, 50.0, False)], "b string, cap double, used double, reserved double, locked boolean"), "b").first()
+    assert (settled.used, settled.reserved, settled.locked, settled.over_limit, settled.n_executions) == (3.0, 46.0, False, False, 2)
+    many = [("over", "e", 1, 9.0, 11.0, True), ("unknown", "e", 1, 9.0, 1.0, False), ("below", "e", 1, 9.0, -5.0, True), ("none", "e", 1, 9.0, 1.0, True)]
+    budgets = spark.createDataFrame([(b, 10.0, 0.5, 1.0, b == "shut") for b in ("over", "unknown", "below", "shut")], "b string, cap double, used double, reserved double, locked boolean")
+    runs = spark.createDataFrame(many, "b string, execution_id string, seq int, predicted double, actual double, telemetry_valid boolean")
+    got = {r.b: (r.used, r.reserved, r.locked, r.over_limit, r.n_executions) for r in planning.settlement(runs, budgets, "b").collect()}
+    assert got == {"over": (11.5, 0.0, True, True, 1), "unknown": (9.5, 0.0, True, False, 1), "below": (0.5, 0.0, False, False, 1), "shut": (0.5, 1.0, True, False, 0)}
 
 
 def test_graph_upsert_and_status(spark):

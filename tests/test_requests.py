@@ -56,3 +56,19 @@ def test_the_stream_equals_the_replay_over_micro_batches_and_a_restart(rocks, sf
     got = Counter(map(tuple, rocks.read.parquet(str(tmp_path / "out")).select("device", "seq", "job", "verdict", "status", "outstanding").collect()))
     assert got == want
     assert len({v[3] for v in want}) >= 5
+
+
+def test_client_commands_need_their_state(spark):
+    own = spark.createDataFrame([(1, "UPLOADING", None, None, None, "e", 0), (2, "MODEL_UNAVAILABLE", None, None, "r", None, 0), (3, "MODEL_UNAVAILABLE", "s", "x", "r", None, 0)], "id int, state string, server_id string, server_status string, result string, error string, updated int")
+    asked = [
+        (1, 1, "COMPLETE_POLLING", None, "COMPLETED", None, "t", "r", None, 5), (1, 2, "COMPLETE_UPLOAD", None, None, "s1", "accepted", None, None, 6), (1, 3, "UPDATE_POLLING", None, None, None, "busy", None, "slow", 7),
+        (1, 4, "COMPLETE_POLLING", None, "COMPLETED", None, "done", "r", None, 8), (1, 5, "COMPARE_AND_SET", "READY", "FAILED", None, None, None, None, 9), (1, 6, "COMPARE_AND_SET", "COMPLETED", "FAILED", None, None, None, "why", 10),
+        (2, 1, "REQUEST_MODEL_RETRY", None, None, None, None, None, None, 5), (3, 1, "REQUEST_MODEL_RETRY", None, None, None, None, None, None, 5), (3, 2, "COMPLETE_MODEL_RETRY", None, None, None, "again", None, None, 6), (4, 1, "COMPARE_AND_SET", None, "READY", None, None, None, None, 1), (3, 3, "ODD", None, None, None, None, None, None, 7),
+    ]
+    commands = spark.createDataFrame(asked, "id int, seq int, op string, expected string, new_state string, server_id string, server_status string, result string, error string, at int")
+    got = {(r.id, r.seq): tuple(r)[2:] for r in jobs.client_updates(own, commands).collect()}
+    assert [got[1, k][0] for k in range(7)] == [None, False, True, True, True, False, True]
+    assert got[1, 3][1:] == ("POLLING", "s1", "busy", None, "slow", 7) and got[1, 4][1:] == ("COMPLETED", "s1", "done", "r", None, 8) and got[1, 6][1:] == ("FAILED", "s1", "done", "r", "why", 10)
+    assert got[2, 1] == (False, "MODEL_UNAVAILABLE", None, None, "r", None, 0)
+    assert got[3, 1][1:] == ("RETRY_REQUESTED", "s", "x", None, None, 5) and got[3, 2] == (True, "POLLING", "s", "again", None, None, 6) and got[3, 3][0] is False
+    assert got[4, 1] == (False, *[None] * 6)
