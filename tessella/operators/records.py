@@ -75,6 +75,65 @@ def canonical_json(fields: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))), {"ignoreNullFields": "false"})
 
 
+def _strict(text: str | None):
+    """The value of a JSON text; ValueError for none, for no JSON and for numbers that JSON doesn't have."""
+
+    def odd(name: str):
+        raise ValueError(name)
+
+    return json.loads(text if text is not None else "", parse_constant=odd)
+
+
+def _written(value) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
+def canonical_text(text: Column) -> Column:
+    """A JSON text of any shape in its canonical form, null where it is none.
+
+    Fields stand in order of their names at every depth, the last of equal names
+    holds; there are no blanks; whole numbers keep all their digits, others are
+    written as the shortest decimals that give the same number; only quotes,
+    backslashes and control characters are escaped.
+    """
+
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for one in column.to_pylist():
+            try:
+                out.append(_written(_strict(one)))
+            except (ValueError, RecursionError, OverflowError):
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string")(text)
+
+
+def with_appended(text: Column, path: list[str], item: Column) -> Column:
+    """A JSON object with ``item``, a JSON text, at the end of the list that ``path`` names, in canonical form.
+
+    Objects and the list that the path lacks are made. Null where a text is no
+    JSON, or something else stands on the path.
+    """
+
+    def run(column: pa.Array, items: pa.Array) -> pa.Array:
+        out = []
+        for one, more in zip(column.to_pylist(), items.to_pylist()):
+            try:
+                whole, at = _strict(one), None
+                inner = whole
+                for name in path[:-1]:
+                    inner = inner.setdefault(name, {})
+                at = inner.setdefault(path[-1], [])
+                at.append(_strict(more))
+                out.append(_written(whole))
+            except (ValueError, AttributeError, TypeError, RecursionError, OverflowError):
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string")(text, item)
+
+
 def answer_violations(answers: DataFrame, captures: DataFrame, forbidden: tuple[str, ...] = ()) -> DataFrame:
     """(answer_id, rule) for what is wrong with a model's structured answers.
 

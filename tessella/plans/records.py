@@ -254,6 +254,24 @@ def round_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rounds(bought, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "round")
 
 
+def canonical_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested states written in any order and with blanks: digests of their canonical form, and of it with an entry more in a nested list."""
+    o, day = F.col("o_orderkey").cast("string"), F.col("o_orderdate").cast("string")
+    text = F.concat(
+        F.lit('{ "total" : {"b":[3, {"y":null,"x":"\\u00e9 '), o, F.lit('"}, []], "a": 1.50, "9":1'), o, F.lit('00000000000000000000},\n"id":'), o,
+        F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit(', "audit":{"log": [{"on":"'), F.substring(day, 1, 10), F.lit('"}]}'))).otherwise(""), F.lit(', "b":true}'),
+    )
+    broken = F.when(F.col("o_orderkey") % 50 == 7, F.concat(text, F.lit(","))).when(F.col("o_orderkey") % 50 == 8, F.replace(text, F.lit("true"), F.lit("NaN"))).otherwise(text)
+    item = F.concat(F.lit('{"seq" : '), o, F.lit("}"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", R.canonical_text(broken).alias("c"), R.with_appended(broken, ["audit", "log"], item).alias("a"))
+    return rows.select("o_orderkey", F.sha2("c", 256).alias("canonical"), F.sha2("a", 256).alias("appended"))
+
+
+def canonical_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical forms of the events' JSON column, with how often each occurs."""
+    return table(spark, sf_dir, "events").groupBy(R.canonical_text(F.col("props")).alias("props")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the canonical order of the whole table: source, then id."""
     return running(table(spark, sf_dir, "documents").select("doc_id", "source"), [], ["source", "doc_id"], number="place").select("doc_id", "place")
@@ -322,7 +340,7 @@ def action_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        point_lookup, public_records, file_names, utc_times, canonical_fields, json_strings, answer_rules, any_high_risk, citation_rules, request_bounds,
+        point_lookup, public_records, file_names, utc_times, canonical_fields, canonical_states, canonical_props, json_strings, answer_rules, any_high_risk, citation_rules, request_bounds,
         timeline_bounds, picture_rules, verified_files, manifest_agreement, metric_records, knowledge_entries, row_bindings, declared_types, adapter_results,
         client_recovery, library_readiness, recent_items, round_numbers, canonical_order, record_union, grouped_views, jobs_with_captures, uncovered_objects,
         unknown_ids, counts_agree, added_columns, action_replay,
@@ -345,6 +363,12 @@ SQL = {
       ELSE substr(p_name || 'x.png', 1, 20) END AS name, CASE WHEN p_partkey % 3 = 0 THEN p_partkey END AS hint FROM part""",
     "utc_times": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN us WHEN 1 THEN us - 7200000000 END AS us FROM (SELECT event_id, epoch_us(date_trunc('second', ts)) AS us FROM events)",
     "canonical_fields": """SELECT s_suppkey, sha256('{"s_name":"' || s_name || '","s_nationkey":"' || s_nationkey || '","s_suppkey":"' || s_suppkey || '"}') AS digest FROM supplier""",
+    "canonical_states": """WITH t AS (
+      SELECT o_orderkey, o_orderkey % 50 IN (7, 8) AS broken, CASE WHEN o_orderkey % 3 = 1 THEN '{"on":"' || strftime(o_orderdate, '%Y-%m-%d') || '"}' END AS entry,
+        '"b":true,"id":' || o_orderkey || ',"total":{"9":1' || o_orderkey || '00000000000000000000,"a":1.5,"b":[3,{"x":"' || chr(233) || ' ' || o_orderkey || '","y":null},[]]}}' AS rest FROM orders
+    ) SELECT o_orderkey, CASE WHEN NOT broken THEN sha256('{' || CASE WHEN entry IS NULL THEN '' ELSE '"audit":{"log":[' || entry || ']},' END || rest) END AS canonical,
+      CASE WHEN NOT broken THEN sha256('{"audit":{"log":[' || CASE WHEN entry IS NULL THEN '' ELSE entry || ',' END || '{"seq":' || o_orderkey || '}]},' || rest) END AS appended FROM t""",
+    "canonical_props": "SELECT '{\"k\":' || (props ->> '$.k') || '}' AS props, count(*) AS n FROM events GROUP BY 1",
     "json_strings": """SELECT conv_id, turn, CASE WHEN text IS NULL THEN 2 ELSE 3 END AS n, CAST(2 * length(role) + coalesce(length(substr(text, 1, 20)), 0) AS BIGINT) AS chars,
       greatest(role, coalesce(substr(text, 1, 20), role)) AS greatest FROM conversations""",
     "answer_rules": """WITH c AS (

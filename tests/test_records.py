@@ -160,3 +160,16 @@ def test_one_and_two_representatives(spark):
     rows = [(1, 10, 5, 0.5), (2, 20, 1, 0.1), (2, 21, 9, 0.2), (3, 30, 0, 0.1), (3, 31, 4, 0.1), (3, 32, 6, 0.9), (3, 33, 10, 0.1)]
     got = frames.representatives(spark.createDataFrame(rows, "c int, frame_id bigint, ts bigint, quality double"), "c").collect()
     assert sorted((r.c, r.position, r.frame_id) for r in got) == [(1, 1, 10), (2, 1, 20), (2, 2, 21), (3, 1, 30), (3, 2, 32), (3, 3, 33)]
+
+
+def test_json_of_any_shape(spark):
+    import json
+
+    texts = ['{"b":1,"a":{"d":[1.0,2,{"z":null,"y":"\\u00e9\\n"}],"c":1e3}}', "[]", "3", '"x"', '{"a":1,"a":2}', '{"n":12345678901234567890123456789}', '{"x":NaN}', "{", "", None, "[1e999]", '{"log":{"in":[1]}}', '{"log":[1]}', '{"log":{"in":3}}', '{"log":null}']
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.c, r.a) for r in frame.select("i", records.canonical_text(F.col("t")).alias("c"), records.with_appended(F.col("t"), ["log", "in"], F.lit('{"k" : [2]}')).alias("a")).collect()}
+    plain = lambda t: json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    bad = (6, 7, 8, 9, 10)
+    assert all(got[i][0] == (None if i in bad else plain(t)) for i, t in enumerate(texts))
+    assert [got[i][1] for i in (11, 12, 13, 14, 1)] == ['{"log":{"in":[1,{"k":[2]}]}}', None, None, None, None]
+    assert got[4][1] == '{"a":2,"log":{"in":[{"k":[2]}]}}' and all(got[i][1] is None for i in bad)
