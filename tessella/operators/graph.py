@@ -1,6 +1,6 @@
 """Evidence graphs as two tables, and roll-ups for reports."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.texts import fresh_name
@@ -48,7 +48,32 @@ def component_status(parts: DataFrame, *keys: str) -> DataFrame:
     return rolled.select(*keys, state.alias("state"), "latency")
 
 
-def provenance(categories: Column) -> Column:
-    """The overall label of a set of source categories: user data, demonstration data or both."""
-    demo, user = F.array_contains(categories, "DEMO"), F.array_contains(categories, "USER_UPLOAD")
-    return F.when(demo & user, "MIXED").when(demo, "DEMO").otherwise("UNVERIFIED")
+# The kinds of a session's sources, and the categories that decide its labels.
+SOURCE_KINDS = {"raw": "raw_input_categories", "instrument": "instrument_result_categories", "knowledge": "knowledge_data_levels", "model": "model_execution_modes"}
+DEMO, USER, REAL = "DEMO/SYNTHETIC", "USER_UPLOAD", "REAL_INSTRUMENT"
+
+
+def provenance(sources: DataFrame, sessions: DataFrame, key: str) -> DataFrame:
+    """key, the sorted categories of each kind of source, three flags, and the labels that follow from them, for every session.
+
+    ``sources``: key, kind, category, demo. ``sessions``: key, demo. A null
+    category is UNKNOWN. Demonstration data is in a session that says so, or whose
+    instrument results or knowledge are; a real instrument's result is one of that
+    category that says that it isn't demonstration data. Categories are a few names,
+    so a session's are gathered in its row.
+    """
+    kind, category = F.col("kind"), F.coalesce("category", F.lit("UNKNOWN"))
+    sets = [F.array_sort(F.collect_set(F.when(kind == k, category))).alias(name) for k, name in SOURCE_KINDS.items()]
+    found = sources.groupBy(F.col(key).alias("of")).agg(
+        *sets, F.bool_or(kind.isin("instrument", "knowledge") & (category == DEMO)).alias("shown"), F.bool_or((kind == "raw") & (category == USER)).alias("uploaded"),
+        F.bool_or((kind == "instrument") & (category == REAL) & ~F.coalesce("demo", F.lit(True))).alias("measured"),
+    )
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    joined = sessions.select(key, "demo").join(found, F.col(key).eqNullSafe(F.col("of")), "left")
+    demo, user = yes("demo") | yes("shown"), yes("uploaded")
+    return joined.select(
+        key, *[F.coalesce(n, F.array().cast("array<string>")).alias(n) for n in SOURCE_KINDS.values()],
+        demo.alias("contains_demo_synthetic"), user.alias("contains_user_upload"), yes("measured").alias("contains_real_instrument_data"),
+        F.when(demo & user, "MIXED/DEMO-SYNTHETIC").when(demo, DEMO).otherwise("USER_OR_INSTRUMENT_DATA/UNVERIFIED").alias("overall"),
+        F.when(demo, "WORKFLOW_VALIDATION_ONLY").otherwise("SCIENTIFIC_REVIEW_REQUIRED").alias("workflow_use"),
+    )

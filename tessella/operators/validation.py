@@ -91,6 +91,32 @@ def position_gaps(rows: DataFrame, key: str, position: str) -> DataFrame:
     return found.where(~F.col(position).eqNullSafe(F.col("expected")))
 
 
+# The status that records of each kind must have.
+STATUS_OF_KIND = {"REFERENCE": "AUTHENTIC", "COUNTERFEIT": "COUNTERFEIT"}
+
+
+def object_violations(objects: DataFrame, views: DataFrame, key: str, content: Column, countable: list[str], least: int) -> DataFrame:
+    """(key, rule) for what is wrong with an object's record.
+
+    ``objects``: key, kind, status, profile, record_sha256. ``views``: key, angle. The
+    status must be that of the kind; a counterfeit has a profile and a reference has
+    none; there are at least ``least`` views, and as many distinct countable angles;
+    the digest is one, and that of ``content``. Objects without views have none.
+    """
+    seen = views.groupBy(F.col(key).alias("of")).agg(
+        F.count(F.lit(1)).alias("n_views"), F.count_distinct(F.when(F.col("angle").isin(countable), F.col("angle"))).alias("n_angles")
+    )
+    held = objects.join(seen, objects[key] == seen["of"], "left").fillna(0, ["n_views", "n_angles"])
+    kinds = F.create_map(*[F.lit(x) for pair in STATUS_OF_KIND.items() for x in pair])
+    digest = F.col("record_sha256").rlike(SHA256)
+    rules = {
+        "kind": F.col("kind").isin(*STATUS_OF_KIND), "authenticity_status": F.col("status") == F.try_element_at(kinds, F.col("kind")),
+        "counterfeit_profile": F.col("profile").isNotNull() == (F.col("kind") == "COUNTERFEIT"), "images": F.col("n_views") >= least, "angles": F.col("n_angles") >= least,
+        "record_sha256": digest, "record_digest": ~F.coalesce(digest, F.lit(False)) | (F.col("record_sha256") == F.sha2(content, 256)),
+    }
+    return violations(held, F.col(key), rules).withColumnRenamed("key", key)
+
+
 def required_angles(views: DataFrame, key: str, angle: str, countable: list[str], least: int) -> DataFrame:
     """Objects with fewer than ``least`` views or distinct countable angles."""
     angles = F.count_distinct(F.when(F.col(angle).isin(countable), F.col(angle)))

@@ -40,12 +40,14 @@ def recent_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each language: its sources' categories, sorted, and the overall label."""
-    docs = table(spark, sf_dir, "documents")
-    number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int")
-    category = F.when(number % 3 == 0, "DEMO").when(number % 3 == 1, "USER_UPLOAD").otherwise("UNKNOWN")
-    rolled = docs.groupBy("lang").agg(F.array_sort(F.collect_set(category)).alias("c"), F.count(F.lit(1)).alias("n"))  # three categories
-    return rolled.select("lang", F.array_join("c", ",").alias("categories"), G.provenance(F.col("c")).alias("overall"), "n")
+    """Orders as sessions, their lines as sources of four kinds; one order in eleven calls itself a demonstration."""
+    n, part = F.col("l_linenumber"), F.col("l_partkey")
+    kind = F.element_at(F.array(*map(F.lit, G.SOURCE_KINDS)), (n % 4 + 1).cast("int"))
+    category = F.when(part % 5 == 0, G.DEMO).when(part % 5 == 1, G.USER).when(part % 5 == 2, G.REAL).when(part % 5 == 3, F.concat(F.lit("LEVEL"), part % 3))
+    sources = table(spark, sf_dir, "lineitem").select("l_orderkey", kind.alias("kind"), category.alias("category"), F.when(part % 3 != 2, part % 3 == 1).alias("demo"))
+    sessions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 11 == 4).alias("demo"))
+    found = G.provenance(sources, sessions, "l_orderkey")
+    return found.withColumns({c: F.array_join(c, ",") for c in G.SOURCE_KINDS.values()})
 
 
 def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +102,20 @@ SQL = {
       SELECT source AS id, arg_min(event_id, (ts, event_id)) AS first_seen FROM e GROUP BY source ORDER BY first_seen DESC, source DESC LIMIT 24
     ) SELECT source, target, first_seen FROM (SELECT source, target, arg_min(event_id, (ts, event_id)) AS first_seen FROM e GROUP BY ALL)
       WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n) ORDER BY first_seen DESC, source DESC, target DESC LIMIT 38""",
-    "category_rollup": """SELECT lang, array_to_string(c, ',') AS categories, CASE WHEN list_contains(c, 'DEMO') AND list_contains(c, 'USER_UPLOAD') THEN 'MIXED'
-      WHEN list_contains(c, 'DEMO') THEN 'DEMO' ELSE 'UNVERIFIED' END AS overall, n FROM (SELECT lang, list_sort(list(DISTINCT category)) AS c, count(*) AS n
-      FROM (SELECT lang, CASE CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 3 WHEN 0 THEN 'DEMO' WHEN 1 THEN 'USER_UPLOAD' ELSE 'UNKNOWN' END AS category
-      FROM documents) GROUP BY lang)""",
+    "category_rollup": """WITH s AS (
+      SELECT l_orderkey, ['raw', 'instrument', 'knowledge', 'model'][l_linenumber % 4 + 1] AS kind, l_partkey % 3 = 0 AS measured,
+        CASE l_partkey % 5 WHEN 0 THEN 'DEMO/SYNTHETIC' WHEN 1 THEN 'USER_UPLOAD' WHEN 2 THEN 'REAL_INSTRUMENT' WHEN 3 THEN 'LEVEL' || l_partkey % 3 ELSE 'UNKNOWN' END AS c FROM lineitem
+    ), g AS (
+      SELECT o_orderkey AS l_orderkey, coalesce(string_agg(DISTINCT c, ',' ORDER BY c) FILTER (kind = 'raw'), '') AS raw_input_categories,
+        coalesce(string_agg(DISTINCT c, ',' ORDER BY c) FILTER (kind = 'instrument'), '') AS instrument_result_categories,
+        coalesce(string_agg(DISTINCT c, ',' ORDER BY c) FILTER (kind = 'knowledge'), '') AS knowledge_data_levels,
+        coalesce(string_agg(DISTINCT c, ',' ORDER BY c) FILTER (kind = 'model'), '') AS model_execution_modes,
+        o_orderkey % 11 = 4 OR coalesce(bool_or(kind IN ('instrument', 'knowledge') AND c = 'DEMO/SYNTHETIC'), false) AS contains_demo_synthetic,
+        coalesce(bool_or(kind = 'raw' AND c = 'USER_UPLOAD'), false) AS contains_user_upload,
+        coalesce(bool_or(kind = 'instrument' AND c = 'REAL_INSTRUMENT' AND measured), false) AS contains_real_instrument_data
+      FROM orders LEFT JOIN s ON l_orderkey = o_orderkey GROUP BY o_orderkey
+    ) SELECT *, CASE WHEN contains_demo_synthetic AND contains_user_upload THEN 'MIXED/DEMO-SYNTHETIC' WHEN contains_demo_synthetic THEN 'DEMO/SYNTHETIC' ELSE 'USER_OR_INSTRUMENT_DATA/UNVERIFIED' END AS overall,
+      CASE WHEN contains_demo_synthetic THEN 'WORKFLOW_VALIDATION_ONLY' ELSE 'SCIENTIFIC_REVIEW_REQUIRED' END AS workflow_use FROM g""",
     "status_rollup": """SELECT s_nationkey, CASE WHEN bool_and(s_acctbal < 0) THEN 'offline' WHEN bool_or(s_acctbal < 2000) THEN 'degraded' ELSE 'online' END AS state,
       round(max(CAST(s_acctbal AS DOUBLE)), 6) AS latency FROM supplier GROUP BY s_nationkey""",
     "report_rollup": """SELECT o_orderpriority, count(*) AS n_orders, round(sum(q), 6) AS quantity, CAST(sum(coalesce(a, 0)) AS BIGINT) AS accepted FROM orders LEFT JOIN

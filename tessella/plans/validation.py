@@ -48,6 +48,20 @@ def countable_angle_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.required_angles(seen, "object_id", "angle", COUNTABLE, 6).select("object_id", "n_views", "n_angles")
 
 
+def object_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as objects with their lines as views; what is wrong follows from the key."""
+    o = F.col("o_orderkey")
+    kind = F.when(o % 4 == 1, "COUNTERFEIT").when(o % 61 == 5, None).otherwise("REFERENCE")
+    content = F.concat_ws("|", o.cast("string"), "o_orderstatus")
+    objects = table(spark, sf_dir, "orders").select(
+        o.alias("key_id"), kind.alias("kind"), F.when((o % 4 == 1) | (o % 23 == 7), "COUNTERFEIT").otherwise("AUTHENTIC").alias("status"), F.when((o % 4 == 1) & (o % 3 != 0), "p").alias("profile"),
+        F.when(o % 19 == 2, "short").when(o % 19 == 3, F.sha2(o.cast("string"), 256)).otherwise(F.sha2(content, 256)).alias("record_sha256"), content.alias("content"),
+    )
+    angle = F.element_at(F.array(*map(F.lit, (*COUNTABLE[:4], "DETAIL", "MARK"))), (F.col("l_partkey") % 6 + 1).cast("int"))
+    found = V.object_violations(objects, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key_id"), angle.alias("angle")), "key_id", F.col("content"), list(COUNTABLE), 3)
+    return found.withColumnRenamed("key_id", "o_orderkey")
+
+
 def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.plans.retrieval import views
 
@@ -121,7 +135,7 @@ def answer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        duplicate_keys, orphan_refs, contiguous_positions, chunk_text, countable_angle_rule, kind_counts, entry_rules, interval_rule, review_rule,
+        duplicate_keys, orphan_refs, contiguous_positions, chunk_text, countable_angle_rule, object_rules, kind_counts, entry_rules, interval_rule, review_rule,
         run_length_table, latest_by_role, detected_types, answer_json,
     )
 }
@@ -145,6 +159,14 @@ SQL = {
     "chunk_text": "SELECT conv_id, count(*) AS n, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn, text)) AS digest FROM conversations GROUP BY conv_id",
     "countable_angle_rule": _views_sql() + f"""SELECT object_id, count(*) AS n_views, count(DISTINCT angle) FILTER (angle IN ({_ANGLES})) AS n_angles FROM views GROUP BY object_id
       HAVING count(*) < 6 OR count(DISTINCT angle) FILTER (angle IN ({_ANGLES})) < 6""",
+    "object_rules": """WITH v AS (
+      SELECT l_orderkey, count(*) AS n, count(DISTINCT l_partkey % 6) FILTER (l_partkey % 6 < 4) AS a FROM lineitem GROUP BY 1
+    ), o AS (
+      SELECT o_orderkey AS k, coalesce(n, 0) AS n, coalesce(a, 0) AS a, CASE WHEN o_orderkey % 4 = 1 THEN 'COUNTERFEIT' WHEN o_orderkey % 61 = 5 THEN NULL ELSE 'REFERENCE' END AS kind
+      FROM orders LEFT JOIN v ON l_orderkey = o_orderkey
+    ) SELECT k AS o_orderkey, unnest(list_filter([CASE WHEN kind IS NULL THEN 'kind' END, CASE WHEN kind IS NULL OR (kind = 'REFERENCE' AND k % 23 = 7) THEN 'authenticity_status' END,
+      CASE WHEN kind IS NULL OR (kind = 'COUNTERFEIT' AND k % 3 = 0) THEN 'counterfeit_profile' END, CASE WHEN n < 3 THEN 'images' END, CASE WHEN a < 3 THEN 'angles' END,
+      CASE WHEN k % 19 = 2 THEN 'record_sha256' END, CASE WHEN k % 19 = 3 THEN 'record_digest' END], lambda x: x IS NOT NULL)) AS rule FROM o""",
     "kind_counts": _views_sql() + "SELECT kind, count(*) AS n_views, count(DISTINCT object_id) AS n_objects FROM views GROUP BY kind",
     "entry_rules": r"""WITH d AS (
       SELECT CASE WHEN doc_id % 37 = 1 THEN text || chr(7) WHEN doc_id % 47 = 2 THEN NULL WHEN doc_id % 53 = 3 THEN '' ELSE text END AS text, n_chars,
