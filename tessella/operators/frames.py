@@ -112,6 +112,27 @@ def reference_quality(checks: Column, failed: Column, passed: Column) -> tuple[C
     return F.when(problem.isNull(), score), problem
 
 
+class KeptHashes:
+    """Hashes of 64 bits by bands of their bits: two that differ in at most n bits share one of n + 1 bands."""
+
+    def __init__(self, near_bits: int):
+        self.near, n = near_bits, min(near_bits + 1, 64)
+        edges = [64 * i // n for i in range(n + 1)] if near_bits < 64 else [0, 0]
+        self.bands = [(low, (1 << high - low) - 1, {}) for low, high in zip(edges, edges[1:])]
+        self.hashes: list[int] = []
+
+    def add(self, own: int) -> None:
+        for shift, mask, lists in self.bands:
+            lists.setdefault(own >> shift & mask, []).append(len(self.hashes))
+        self.hashes.append(own)
+
+    def nearest(self, own: int) -> tuple[int, int] | None:
+        """(distance, place) of the nearest kept hash that is near, the earliest of equally near ones."""
+        met = {i for shift, mask, lists in self.bands for i in lists.get(own >> shift & mask, ())}
+        best = min((((self.hashes[i] ^ own).bit_count(), i) for i in met), default=None)
+        return best if best is not None and best[0] <= self.near else None
+
+
 def mark_duplicates(frames: DataFrame, key: str, near_bits: int = NEAR_BITS) -> DataFrame:
     """key, frame_id, duplicate_of, distance for each frame.
 
@@ -119,7 +140,8 @@ def mark_duplicates(frames: DataFrame, key: str, near_bits: int = NEAR_BITS) ->
     and is a duplicate of the nearest (the earliest of equally near ones) if at
     most ``near_bits`` bits differ. The outcome hangs on the order, so it is a
     fold and no closure: captures are dealt to tasks, and a task streams over
-    sorted frames and holds the kept hashes of one capture, 16 bytes each. Null
+    sorted frames and holds the kept hashes of one capture by bands of their bits,
+    so that a frame meets only kept ones that share a band with it. Null
     keys are a capture of their own; a frame without a hash of 16 hex digits is
     never compared and no duplicate.
     """
@@ -128,26 +150,18 @@ def mark_duplicates(frames: DataFrame, key: str, near_bits: int = NEAR_BITS) ->
     kinds = dict(dealt.dtypes)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, hashes, n = object(), np.empty(0, np.int64), np.empty(0, np.uint64), 0
+        at, ids, kept = object(), [], KeptHashes(near_bits)
         for batch in batches:
             original, distance = [], []
             for k, frame, digits in zip(*[c.to_pylist() for c in batch.columns]):
                 if k != at:
-                    at, n = k, 0
-                original.append(None)
-                distance.append(None)
-                if digits is None:
-                    continue
-                own = np.uint64(int(digits, 16))
-                if n:
-                    apart = np.bitwise_count(hashes[:n] ^ own)
-                    nearest = int(apart.argmin())
-                    if apart[nearest] <= near_bits:
-                        original[-1], distance[-1] = int(ids[nearest]), int(apart[nearest])
-                        continue
-                if n == len(ids):
-                    ids, hashes = (np.resize(x, max(16, 2 * n)) for x in (ids, hashes))
-                ids[n], hashes[n], n = frame, own, n + 1
+                    at, ids, kept = k, [], KeptHashes(near_bits)
+                found = kept.nearest(int(digits, 16)) if digits is not None else None
+                original.append(ids[found[1]] if found else None)
+                distance.append(found[0] if found else None)
+                if digits is not None and not found:
+                    kept.add(int(digits, 16))
+                    ids.append(frame)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(original, pa.int64()), pa.array(distance, pa.int32())], names=["k", "frame_id", "duplicate_of", "distance"]
             )

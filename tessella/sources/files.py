@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from tessella.functions.texts import first_reason, unsafe_path
 from tessella.operators.audit import set_digest
 from tessella.operators.pixels import measure
+from tessella.sources.headers import decoder_configuration, header_of, upright
 from tessella.operators.validation import agree, detected_type
 from tessella.sources.shared import move_over, read_text, write_text
 
@@ -181,6 +182,11 @@ def movie_boxes(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(scan, "file string, level int, box string, start bigint, size bigint, problem string")
 
 
+# Where the boxes of a visual sample entry begin in a table of entries.
+ENTRY_CHILDREN = 94
+TRACK_NUMBERS = ("coded_width", "coded_height", "sized_samples", "sync_samples", "first_sync", "profile", "level", "nal_length", "n_sequence", "n_picture", "avc_width", "avc_height")
+
+
 def _track(data: memoryview, boxes: list[tuple[bytes, int, int]]) -> dict:
     """What the boxes of one track say; fields that are missing or cut off stay null."""
     number = lambda at, n: int.from_bytes(data[at : at + n], "big") if at + n <= len(data) else None
@@ -196,6 +202,17 @@ def _track(data: memoryview, boxes: list[tuple[bytes, int, int]]) -> dict:
             out["handler"] = bytes(data[start + 8 : start + 12]).decode("latin-1")
         elif kind == b"stsd":
             out["codec"] = bytes(data[start + 12 : start + 16]).decode("latin-1")
+            out["coded_width"], out["coded_height"] = number(start + 40, 2), number(start + 42, 2)
+            at = start + ENTRY_CHILDREN  # the boxes within the first entry
+            while at + 8 <= end and (size := number(at, 4)) >= 8:
+                if bytes(data[at + 4 : at + 8]) == b"avcC":
+                    out |= decoder_configuration(bytes(data[at + 8 : min(at + size, end)]))
+                at += size
+        elif kind == b"stsz":
+            out["sized_samples"] = number(start + 8, 4)
+        elif kind == b"stss":
+            out["sync_samples"] = number(start + 4, 4)
+            out["first_sync"] = number(start + 8, 4) if out["sync_samples"] else None
         elif kind == b"stts":
             runs = [(number(at, 4), number(at + 4, 4)) for at in range(start + 8, min(end, start + 8 + 8 * (number(start + 4, 4) or 0)) - 7, 8)]
             out["samples"], out["run_ticks"] = sum(n for n, _ in runs), sum(n * d for n, d in runs)
@@ -203,9 +220,11 @@ def _track(data: memoryview, boxes: list[tuple[bytes, int, int]]) -> dict:
 
 
 def movie_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """(file, track, handler, codec, width, height, timescale, ticks, samples, run_ticks, seconds, agrees) of movie files' tracks.
+    """(file, track, handler, codec, width, height, timescale, ticks, samples, run_ticks, ..., seconds, agrees) of movie files' tracks.
 
-    ``agrees``: the duration in the header is that of the run lengths, within half
+    Also: the sizes in the first sample entry, the number of sized samples, of sync
+    samples (null: all are) and the first of them, and for H.264 what
+    ``headers.decoder_configuration`` says. ``agrees``: the duration in the header is that of the run lengths, within half
     a second or a twentieth. Boxes as in ``movie_boxes``; a file without tracks
     gives no rows.
     """
@@ -233,7 +252,7 @@ def movie_tracks(spark: SparkSession, path: str) -> DataFrame:
         walk(0, len(data), 0, None)
         return [_track(data, boxes) for boxes in found]
 
-    fields = [("handler", pa.string()), ("codec", pa.string()), *((n, pa.int64()) for n in ("width", "height", "timescale", "ticks", "samples", "run_ticks"))]
+    fields = [("handler", pa.string()), ("codec", pa.string()), *((n, pa.int64()) for n in ("width", "height", "timescale", "ticks", "samples", "run_ticks", *TRACK_NUMBERS)), ("problem", pa.string())]
     kinds = pa.schema([("file", pa.string()), ("track", pa.int32()), *fields])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,10 +269,17 @@ def movie_tracks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pictures(spark: SparkSession, path: str) -> DataFrame:
-    """(file, width, height, channels, measured): pictures as Spark's own reader decodes them, with their metrics; what can't be decoded is left out by it."""
+    """(file, width, height, channels, orientation, measured): pictures as they are to be seen, with their metrics.
+
+    Spark's own reader decodes them; what it can't, and what ``headers.picture_header``
+    refuses (sizes aside that are only too small), is left out.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", header_of(F.col("content")).alias("h"))
+    fine = files.where("h.problem IS NULL OR h.problem = 'TOO_SMALL'").select("path", "h.orientation")
     image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    measured = measure(F.col("data"), F.col("width"), F.col("height"), F.col("nChannels"), bgr=True)
-    return image.select(F.col("origin").alias("file"), "width", "height", F.col("nChannels").alias("channels"), measured.alias("measured"))
+    seen = image.join(fine, F.col("origin") == F.col("path")).withColumn("u", upright(F.col("data"), F.col("width"), F.col("height"), F.col("nChannels"), F.col("orientation")))
+    measured = measure(F.col("u.data"), F.col("u.width"), F.col("u.height"), F.col("nChannels"), bgr=True)
+    return seen.select(F.col("origin").alias("file"), "u.width", "u.height", F.col("nChannels").alias("channels"), "orientation", measured.alias("measured"))
 
 
 def indexed_files(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
