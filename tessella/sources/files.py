@@ -277,7 +277,8 @@ def read_pictures(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", header_of(F.col("content")).alias("h"))
     fine = files.where("h.problem IS NULL OR h.problem = 'TOO_SMALL'").select("path", "h.orientation")
     image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    seen = image.join(fine, F.col("origin") == F.col("path")).withColumn("u", upright(F.col("data"), F.col("width"), F.col("height"), F.col("nChannels"), F.col("orientation")))
+    same = lambda name: F.regexp_replace(name, "^file:/+", "/")  # noqa: E731  the two readers write local paths differently
+    seen = image.join(fine, same("origin") == same("path")).withColumn("u", upright(F.col("data"), F.col("width"), F.col("height"), F.col("nChannels"), F.col("orientation")))
     measured = measure(F.col("u.data"), F.col("u.width"), F.col("u.height"), F.col("nChannels"), bgr=True)
     return seen.select(F.col("origin").alias("file"), "u.width", "u.height", F.col("nChannels").alias("channels"), "orientation", measured.alias("measured"))
 
