@@ -15,6 +15,7 @@ from tessella.llm.decontamination import item_windows
 from tessella.llm.media import pad_payload
 from tessella.llm.queries import queries
 from tessella.llm.simhash import fingerprint
+from test_fingerprints import brute as fingerprints_brute
 from test_licenses import base_brute
 
 ITEMS = [(1, "same text here for ties and nothing else"), (2, None), (3, " ,"), (4, "the MIT license"), (None, "x"), (5, "word " * 12), (6, "word " * 40)]
@@ -129,6 +130,11 @@ def test_op9(spark, tables):
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in run(spark, tables, "op9_bpe")) == want
 
 
+def test_op11(spark, tables):
+    rows = run(spark, tables, "op11_fingerprints")
+    assert Counter(map(tuple, rows)) == fingerprints_brute(tables[1])
+
+
 def test_pipeline(spark, tables):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = corpus_pipeline.run(spark, tables[0]).collect()
