@@ -10,6 +10,8 @@ from tessella.operators import validation as V
 from tessella.operators.ranges import running
 from tessella.plans.common import r6, table
 from tessella.plans.retrieval import RAW_ANGLES
+from tessella.sources.shared import new_path
+from tessella.sources.versions import publish_version, read_versions
 
 VIEW_CODES = ("FRONT", "BACK", "BASE")
 
@@ -325,6 +327,19 @@ def added_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newer.select("r_regionkey", "r_name", "attempts", "mode")
 
 
+def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as three versions of a table: narrow keys and no priority; then a priority; then wide keys and notes, of which some are null."""
+    orders, path = table(spark, sf_dir, "orders"), new_path(spark, "versions")
+    k = F.col("o_orderkey")
+    narrow = [k.cast("int").alias("id"), (k % 1000).cast("smallint").alias("group"), (k % 64 / 4).cast("float").alias("price")]
+    publish_version(orders.where(k % 3 == 0).select(*narrow), path, 1)
+    publish_version(orders.where(k % 3 == 1).select(*narrow, F.col("o_orderpriority").alias("priority")), path, 2)
+    wide = [k.cast("bigint").alias("id"), (k % 1000).cast("bigint").alias("group"), (k % 64 / 4).alias("price")]
+    publish_version(orders.where(k % 3 == 2).select(*wide, F.col("o_orderpriority").alias("priority"), F.when(k % 5 == 0, "noted").alias("note")), path, 3)
+    columns = {"id": ("bigint", None), "group": ("bigint", None), "price": ("double", None), "priority": ("string", F.lit("NONE")), "note": ("string", F.lit("old"))}
+    return read_versions(spark, path, [1, 2, 3], columns)
+
+
 def action_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as a log of actions: each order reserves, claims and settles in turn."""
     k = F.col("l_linenumber").cast("bigint")
@@ -343,7 +358,7 @@ QUERIES = {
         point_lookup, public_records, file_names, utc_times, canonical_fields, canonical_states, canonical_props, json_strings, answer_rules, any_high_risk, citation_rules, request_bounds,
         timeline_bounds, picture_rules, verified_files, manifest_agreement, metric_records, knowledge_entries, row_bindings, declared_types, adapter_results,
         client_recovery, library_readiness, recent_items, round_numbers, canonical_order, record_union, grouped_views, jobs_with_captures, uncovered_objects,
-        unknown_ids, counts_agree, added_columns, action_replay,
+        unknown_ids, counts_agree, added_columns, table_versions, action_replay,
     )
 }
 _ANGLES = ", ".join("NULL" if a is None else f"'{a}'" for a in RAW_ANGLES)
@@ -369,6 +384,8 @@ SQL = {
     ) SELECT o_orderkey, CASE WHEN NOT broken THEN sha256('{' || CASE WHEN entry IS NULL THEN '' ELSE '"audit":{"log":[' || entry || ']},' END || rest) END AS canonical,
       CASE WHEN NOT broken THEN sha256('{"audit":{"log":[' || CASE WHEN entry IS NULL THEN '' ELSE entry || ',' END || '{"seq":' || o_orderkey || '}]},' || rest) END AS appended FROM t""",
     "canonical_props": "SELECT '{\"k\":' || (props ->> '$.k') || '}' AS props, count(*) AS n FROM events GROUP BY 1",
+    "table_versions": """SELECT CAST(k % 3 + 1 AS INTEGER) AS version, k AS id, k % 1000 AS "group", k % 64 / 4.0::DOUBLE AS price, CASE WHEN k % 3 = 0 THEN 'NONE' ELSE o_orderpriority END AS priority,
+      CASE WHEN k % 3 < 2 THEN 'old' WHEN k % 5 = 0 THEN 'noted' END AS note FROM (SELECT o_orderkey AS k, o_orderpriority FROM orders)""",
     "json_strings": """SELECT conv_id, turn, CASE WHEN text IS NULL THEN 2 ELSE 3 END AS n, CAST(2 * length(role) + coalesce(length(substr(text, 1, 20)), 0) AS BIGINT) AS chars,
       greatest(role, coalesce(substr(text, 1, 20), role)) AS greatest FROM conversations""",
     "answer_rules": """WITH c AS (
