@@ -90,7 +90,7 @@ def fit_sparse(x: SparseRows, y: np.ndarray, ridge: float = 1.0, steps: int = 25
         left = x.back(y - p) - penalty * w
         step, along = np.zeros_like(w), scale * left
         dot = left @ along
-        goal = dot * 1e-20
+        goal = dot * 1e-12  # a rough step is mended by the next
         while dot > goal and dot > 1e-300:
             bent = x.back(curve * (x.times(along))) + penalty * along
             far = dot / (along @ bent)
