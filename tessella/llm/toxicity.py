@@ -65,7 +65,7 @@ class Places(Memo):
     """word -> the places of the chosen features that it has; most words have none."""
 
     def __init__(self, index: dict[str, int]):
-        super().__init__(lambda word: [index[t] for t in terms_of(word) if t in index], longest=64)
+        super().__init__(lambda word: [index[t] for t in terms_of(word) if t in index], limit=50_000, longest=64)
         self.size = len(index)
 
 
