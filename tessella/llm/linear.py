@@ -32,6 +32,10 @@ def predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return sigmoid(x @ w[:-1] + w[-1])
 
 
+#: Turns of conjugate gradients in a Newton step.
+MOST_TURNS = 100
+
+
 @dataclass
 class SparseRows:
     """Rows of sparse features, (start of each row, place and value of each entry), and dense columns beside them."""
@@ -91,7 +95,9 @@ def fit_sparse(x: SparseRows, y: np.ndarray, ridge: float = 1.0, steps: int = 25
         step, along = np.zeros_like(w), scale * left
         dot = left @ along
         goal = dot * 1e-12  # a rough step is mended by the next
-        while dot > goal and dot > 1e-300:
+        for _ in range(MOST_TURNS):
+            if dot <= goal or dot < 1e-300:
+                break
             bent = x.back(curve * (x.times(along))) + penalty * along
             far = dot / (along @ bent)
             step += far * along

@@ -106,14 +106,22 @@ def fit_chain(x: SparseRows, ys: np.ndarray, folds: int = FOLDS) -> list[np.ndar
 
 
 def larger_kind(x: np.ndarray) -> np.ndarray:
-    """Splits rows in two by the features they hold; true for the larger part."""
+    """Splits rows in two by the features they hold; true for the larger part.
+
+    The principal direction comes from the products of rows with each other, as
+    rows are fewer than features.
+    """
     held = (x > 0).astype(float)
     held /= np.maximum(np.sqrt(held.sum(axis=1, keepdims=True)), 1)
-    around = np.round(held - held.mean(axis=0), 12)
-    if not around.any():
+    products = held @ held.T
+    products -= products.mean(axis=0)
+    products -= products.mean(axis=1, keepdims=True)
+    if np.abs(products).max(initial=0) < 1e-9:
         return np.ones(len(x), bool)
-    side = around @ np.linalg.svd(around, full_matrices=False)[2][0] > 0
+    side = np.linalg.eigh(products)[1][:, -1] > 0
     for _ in range(MEANS_ROUNDS):
+        if side.all() or not side.any():
+            break
         a, b = held[side].mean(axis=0), held[~side].mean(axis=0)
         nearer = held @ (a - b) > (a @ a - b @ b) / 2
         if (nearer == side).all() or nearer.all() or not nearer.any():
