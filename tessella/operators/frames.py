@@ -6,7 +6,6 @@ Frames are never gathered in one row, so a capture may have any number of them.
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
