@@ -3,9 +3,10 @@
 A data set is a folder with two files for each part:
 
 ``part-NNNNN.sequences.arrow``  batches of (ids fixed_size_list<uint16|uint32>[L],
-    mask fixed_size_list<uint8>[L]); documents follow each other without gaps, and
-    the last sequence is padded where its mask is 0. A mask has a byte a place,
-    as bits couldn't be read without unpacking them into a copy;
+    mask fixed_size_list<uint8>[L / 8, rounded up]); documents follow each other
+    without gaps, and the last sequence is padded where its mask's bits are 0. The
+    mask of a sequence has bytes of its own, eight places in each from the lowest
+    bit up, so that it is a view of the file like the ids;
 ``part-NNNNN.documents.arrow``  (doc_id, first, n): where each document's ids lie
     in the part.
 
@@ -79,7 +80,7 @@ def _filesystem(uri: str):
 
 def _sequence_schema(kind: np.dtype, length: int) -> pa.Schema:
     ids = pa.uint16() if kind.itemsize == 2 else pa.uint32()
-    return pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.uint8(), -(-length // 8)))])
 
 
 class _PartWriter:
@@ -118,9 +119,10 @@ class _PartWriter:
         mask = np.ones(len(ids), np.uint8)
         if used is not None:
             mask[used:] = 0
+        mask = np.packbits(mask.reshape(-1, self.length), axis=1, bitorder="little").ravel()
         kinds = self.schema.types
         columns = [
-            pa.FixedSizeListArray.from_arrays(pa.array(v, k.value_type), self.length) for v, k in zip((ids, mask), kinds)
+            pa.FixedSizeListArray.from_arrays(pa.array(v, k.value_type), k.list_size) for v, k in zip((ids, mask), kinds)
         ]
         self.sequences.write_batch(pa.record_batch(columns, schema=self.schema))
 
@@ -190,11 +192,16 @@ def open_part(folder: str, part: int, what: str) -> pa.ipc.RecordBatchFileReader
 
 
 def sequence(reader: pa.ipc.RecordBatchFileReader, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence ``number`` of a part; both are views of the file, the mask as truth values."""
+    """Ids and mask bits of sequence ``number`` of a part; both are views of the file."""
     batch = reader.get_batch(number // BATCH)
     row = number % BATCH
     ids, mask = (column.values.slice(row * column.type.list_size, column.type.list_size).to_numpy(zero_copy_only=True) for column in batch.columns)
-    return ids, mask.view(np.bool_)
+    return ids, mask
+
+
+def in_use(mask: np.ndarray, length: int) -> np.ndarray:
+    """The truth values of a mask's bits, unpacked."""
+    return np.unpackbits(mask, count=length, bitorder="little").view(np.bool_)
 
 
 def _document_checksums(folder: str, part: int) -> Iterator[pa.RecordBatch]:
