@@ -240,8 +240,10 @@ def object_hits(queries: DataFrame, gallery: DataFrame, policy: Policy = Policy(
 
     ``queries``: capture_id, view_id, vector, quality, angle. ``gallery``:
     object_id, kind, view_id, vector, quality, angle. Views that
-    ``view_violations`` names take no part. The rows are written, as decisions
-    read them several times.
+    ``view_violations`` names take no part. Qualities are short decimals, whose
+    means can lie on a gate: they are rounded to 12 places, so that gates don't
+    depend on the order of summation. The rows are written, as decisions read
+    them several times.
     """
     dimension = common_dimension(gallery)
     queries, gallery = sound_views(queries, dimension, "capture_id"), sound_views(gallery, dimension, "object_id")
@@ -252,7 +254,7 @@ def object_hits(queries: DataFrame, gallery: DataFrame, policy: Policy = Policy(
     weighted = lambda x: F.when(heavy, F.sum(w * x) / F.sum(w)).otherwise(F.avg(x))
     hits = scored.join(captures, "query_view").groupBy("capture_id", "object_id").agg(
         weighted(s).alias("view_score"),
-        F.least(F.avg(w), weighted(q)).alias("quality_score"),
+        F.round(F.least(F.avg(w), weighted(q)), 12).alias("quality_score"),
         F.avg(F.col("matched").cast("double")).alias("similarity_coverage"),
         F.array_sort(F.collect_set(F.when(F.col("angle_matched"), F.col("angle")))).alias("angles"),
     )

@@ -92,6 +92,18 @@ def test_centroids_equal_plain_means(spark):
         assert got[o] is None if size <= 1e-9 else np.allclose(got[o], mean / size, atol=1e-6)
 
 
+def test_a_mean_quality_on_the_gate_passes(spark):
+    """(0.7 + 0.1) / 2 falls short of 0.4 by the last bit, whatever the order of summation."""
+    axis = [1.0] + [0.0] * 5
+    queries = spark.createDataFrame([(1, 0, "catalog", 1, axis, 0.7, "front"), (1, 0, "catalog", 2, axis, 0.1, "front")], KIND)
+    gallery = spark.createDataFrame([(0, 5, "catalog", 3, axis, 0.9, "front")], KIND)
+    policy = Policy(same_quality=0.4, same_angles=0, same_coverage=0.0)
+    hits = retrieval.object_hits(queries, gallery, policy)
+    controls = spark.createDataFrame([], "object_id bigint, review_status string, admissible boolean, weight double")
+    decided = retrieval.identity_decision(hits, retrieval.negative_signal(hits, controls, policy), hits.select("capture_id").limit(0), policy).first()
+    assert (decided.accepted, decided.reasons) == (True, "PASSED_ALL_IDENTITY_GATES")
+
+
 def test_decisions_without_candidates(spark):
     hits = spark.createDataFrame(
         [(1, 5, "negative", 0.9, 0.9, None, 0.5, 0.9, ["FRONT"], 0.9)],
