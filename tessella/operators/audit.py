@@ -95,7 +95,37 @@ def chain_verify(chain: DataFrame, key: str, order: str, recomputed: Column, sta
 LEAF_ROWS = 256
 
 
-def set_digest(rows: DataFrame, row_hash: Column, *keys: str) -> DataFrame:
+def _leaf_digests(rows: DataFrame, node: str) -> DataFrame:
+    """The SHA-256 of each group's sorted ``node``s, comma-joined, as ``node``; the groups are the other columns.
+
+    Groups are dealt to tasks, sorted and streamed over, with the state of one.
+    """
+    by = [c for c in rows.columns if c != node]
+    dealt = rows.select(*by, node).repartition(*by).sortWithinPartitions(*by, node)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, group, state = [*by, node], None, None
+        for batch in batches:
+            *parts, nodes = [c.to_pylist() for c in batch.columns]
+            done = []
+            for each, text in zip(zip(*parts), nodes):
+                if each == group:
+                    state.update(b",")
+                else:
+                    if state:
+                        done.append((*group, state.hexdigest()))
+                    group, state = each, hashlib.sha256()
+                state.update(text.encode())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*done), batch.schema)], names=names)
+            kinds = [f.type for f in batch.schema]
+        if state:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*group, state.hexdigest()), kinds)], names=names)
+
+    return dealt.mapInArrow(digest, dealt.schema)
+
+
+def set_digest(rows: DataFrame, row_hash: Column, *keys: str, levels: int | None = None) -> DataFrame:
     """(keys, n_rows, digest): a digest of each key's rows that doesn't hang on their order.
 
     ``row_hash`` is the SHA-256 of a row. Rows with one hash are counted first.
@@ -103,21 +133,27 @@ def set_digest(rows: DataFrame, row_hash: Column, *keys: str) -> DataFrame:
     many levels as bring a leaf to about ``LEAF_ROWS`` rows; a node is the
     SHA-256 of its sorted children, "hash:count" at the leaves, and the root is
     the digest. So no group is ever gathered in a row, repeated rows count as
-    often as they occur, and two sets with one digest would be a collision.
+    often as they occur, and two sets with one digest would be a collision. With
+    ``levels`` the tree has at most so many above its leaves, which then have no
+    bound and are streamed over.
     """
     h, n, level, node = (fresh_name(rows, c) for c in ("h", "n", "level", "node"))
     counted = rows.groupBy(*keys, row_hash.alias(h)).agg(F.count(F.lit(1)).alias(n))
     counted = materialise(counted, "hashes")
     k = [F.col(c).alias(f"{node}_{i}") for i, c in enumerate(keys)]
     depth = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.count(F.lit(1)) / float(LEAF_ROWS)))).cast("int")
+    depth = depth if levels is None else F.least(depth, F.lit(levels))
     sizes = counted.groupBy(*k).agg(F.sum(n).alias("n_rows"), depth.alias(level)) if keys else counted.agg(F.sum(n).alias("n_rows"), depth.alias(level))
     sizes = materialise(sizes, "sizes")
     same = [F.col(c).eqNullSafe(F.col(f"{node}_{i}")) for i, c in enumerate(keys)]
     children = counted.join(sizes.drop("n_rows"), same) if keys else counted.crossJoin(F.broadcast(sizes.drop("n_rows")))  # one row
     children = children.select(*keys, h, level, F.concat_ws(":", h, F.col(n).cast("string")).alias(node))
     for depth in range(sizes.agg(F.max(level)).first()[0] or 0, -1, -1):
-        here = children.where(F.col(level) == depth).groupBy(*keys, F.left(F.col(h), F.lit(depth)).alias(h))
-        up = here.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(node)), ","), 256).alias(node))  # a leaf's rows, or sixteen nodes
+        here = children.where(F.col(level) == depth).select(*keys, F.left(F.col(h), F.lit(depth)).alias(h), node)
+        if depth == levels:
+            up = _leaf_digests(here, node)
+        else:
+            up = here.groupBy(*keys, h).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(node)), ","), 256).alias(node))  # a leaf's rows, or sixteen nodes
         up = up.select(*keys, h, F.lit(depth - 1).alias(level), F.concat_ws(":", h, node).alias(node))
         children = up.unionByName(children.where(F.col(level) < depth))
     roots = children.select(*keys, F.substring(F.col(node), 2, 64).alias("digest"))

@@ -47,6 +47,23 @@ def test_digest_trees_equal_a_plain_one(spark, monkeypatch):
     assert audit.set_digest(frame.limit(0), F.sha2("x", 256), "k").count() == 0
 
 
+def test_digest_trees_with_one_level_equal_a_plain_one(spark, monkeypatch):
+    """Sets whose tree would be deeper, as in the SQL of ``set_digest``."""
+    monkeypatch.setattr(audit, "LEAF_ROWS", 2)
+    rows = [("a", str(i % 140)) for i in range(200)] + [("b", "x"), ("b", "x"), (None, "y")]
+    frame = spark.createDataFrame(rows, "k string, x string")
+    got = {r.k: (r.n_rows, r.digest) for r in audit.set_digest(frame, F.sha2("x", 256), "k", levels=1).collect()}
+
+    def plain(k):
+        own = [sha(x) for key, x in rows if key == k]
+        lines = sorted(f"{h}:{own.count(h)}" for h in set(own))
+        if len(lines) <= 2:
+            return len(own), sha(",".join(lines))
+        return len(own), sha(",".join(f"{p}:{sha(','.join(x for x in lines if x[0] == p))}" for p in sorted({x[0] for x in lines})))
+
+    assert got == {k: plain(k) for k in ("a", "b", None)}
+
+
 def test_chain_states(spark):
     rows = [(k, i, f"t{i}") for k in ("ok", "tail", "state", "free") for i in range(3)]
     chain = audit.chain_append(spark.createDataFrame(rows, "k string, i int, t string"), "k", "i", F.col("t"))
