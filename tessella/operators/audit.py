@@ -163,22 +163,59 @@ def set_digest(rows: DataFrame, row_hash: Column, *keys: str, levels: int | None
     return joined.select(*keys, "n_rows", "digest")
 
 
+#: Put before what is no SHA-256 in hexadecimal digits, as 32 bytes are one.
+OTHER = bytes(33)
+
+
 def evidence_bundle(sessions: DataFrame, files: DataFrame, key: str, kinds: tuple[str, ...]) -> DataFrame:
     """(key, n_files, digest) of each session: its own fields and, for each kind, its files' sorted hashes.
 
     ``sessions``: key and any fields; ``files``: key, kind, sha256. Null hashes
-    and other kinds are left out; a kind without files still has its place.
+    and other kinds are left out; a kind without files still has its place. Files
+    and sessions are dealt by key in one shuffle, hashes as 32 bytes, and sorted,
+    a key's sessions after its files; each task streams over them and holds
+    one digest a kind, never a key's files.
     """
     own = F.to_json(F.struct(*sorted(sessions.columns)), {"ignoreNullFields": "false"})
-    base = sessions.select(key, F.sha2(own, 256).alias("own"))
+    code = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")).cast("int")
     kept = files.where(F.col("kind").isin(*kinds) & F.col("sha256").isNotNull() & F.col(key).isNotNull())
-    each = set_digest(kept, F.col("sha256"), key, "kind")
-    found = each.groupBy(F.col(key).alias("of")).agg(  # one entry a kind
-        F.sum("n_rows").alias("n"), F.map_from_entries(F.collect_list(F.struct("kind", F.concat(F.col("kind"), F.lit("="), F.col("digest"))))).alias("d")
-    )
-    base = base.join(found, base[key] == found["of"], "left")
-    parts = [F.coalesce(F.col("d")[kind], F.lit(f"{kind}=")) for kind in kinds]
-    return base.select(key, F.coalesce("n", F.lit(0).cast("bigint")).alias("n_files"), F.sha2(F.concat_ws("|", "own", *parts), 256).alias("digest"))
+    digest = F.col("sha256").cast("string")
+    short = F.when(digest.rlike("^[0-9a-f]{64}$"), F.unhex(digest)).otherwise(F.concat(F.lit(OTHER), digest.cast("binary")))
+    last = F.lit(len(kinds) + 1)
+    rows = sessions.select(F.col(key).alias("k"), last.alias("part"), F.unhex(F.sha2(own, 256)).alias("h"))
+    rows = kept.select(F.col(key).alias("k"), code.alias("part"), short.alias("h")).union(rows)
+    dealt = rows.repartition("k").sortWithinPartitions("k", "part", "h")
+    kind = dict(dealt.dtypes)["k"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part, same, times, n, states = object(), 0, None, 0, 0, {}
+
+        def close() -> None:
+            """Adds the hash that has been counted to its kind's digest."""
+            if times:
+                text = same.hex() if len(same) == 32 else same[len(OTHER) :].decode()
+                before = "," if part in states else ""
+                states.setdefault(part, hashlib.sha256()).update(f"{before}{text}:{times}".encode())
+
+        for batch in batches:
+            keys, counts, digests = [], [], []
+            for k, p, h in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != at or p != part or h != same:
+                    close()
+                    times = 0
+                    if k != at:
+                        at, n, states = k, 0, {}
+                    part, same = p, h
+                if p <= len(kinds):
+                    times, n = times + 1, n + 1
+                    continue
+                parts = [f"{name}={states[i].hexdigest() if i in states else ''}" for i, name in enumerate(kinds, 1)]
+                keys.append(k)
+                counts.append(n)
+                digests.append(hashlib.sha256("|".join([h.hex(), *parts]).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema[0].type), pa.array(counts, pa.int64()), pa.array(digests, pa.string())], names=["k", "n_files", "digest"])
+
+    return dealt.mapInArrow(fold, f"k {kind}, n_files bigint, digest string").withColumnRenamed("k", key)
 
 
 def reconcile(state: DataFrame, catalog: DataFrame, key: str, compared: list[str]) -> DataFrame:

@@ -64,6 +64,25 @@ def test_digest_trees_with_one_level_equal_a_plain_one(spark, monkeypatch):
     assert got == {k: plain(k) for k in ("a", "b", None)}
 
 
+def test_evidence_bundles_equal_plain_ones(spark):
+    """A session with more files than a digest tree's leaf holds, repeated files, and sessions without files or key."""
+    sessions = spark.createDataFrame([(1, "s"), (2, "t"), (2, "u"), (3, "v"), (None, "w")], "k int, x string")
+    files = [(1, "N", sha(str(i % 300))) for i in range(400)] + [(1, "A", sha("a")), (2, "R", sha("r")), (2, "X", sha("r")), (2, "A", None), (None, "A", sha("a")), (9, "A", sha("a"))]
+    found = audit.evidence_bundle(sessions, spark.createDataFrame(files, "k int, kind string, sha256 string"), "k", ("A", "N", "R"))
+
+    def plain(k, x):
+        parts, n = [], 0
+        for kind in ("A", "N", "R"):
+            own = [h for key, c, h in files if key == k and c == kind and h and k is not None]
+            n += len(own)
+            parts.append(f"{kind}=" + (sha(",".join(sorted(f"{h}:{own.count(h)}" for h in set(own)))) if own else ""))
+        own = sha('{"k":%s,"x":"%s"}' % ("null" if k is None else k, x))
+        return k, n, sha("|".join([own, *parts]))
+
+    key = lambda r: str(r)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted([plain(k, x) for k, x in ((1, "s"), (2, "t"), (2, "u"), (3, "v"), (None, "w"))], key=key)
+
+
 def test_chain_states(spark):
     rows = [(k, i, f"t{i}") for k in ("ok", "tail", "state", "free") for i in range(3)]
     chain = audit.chain_append(spark.createDataFrame(rows, "k string, i int, t string"), "k", "i", F.col("t"))
