@@ -130,20 +130,21 @@ def search_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' beginnings, each after one of the texts in other scripts."""
+    """The documents' whole texts, each after one of the texts in other scripts."""
     before = F.element_at(F.array(*map(F.lit, SCRIPTS)), (F.col("doc_id") % len(SCRIPTS) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(before, F.substring(F.coalesce("text", F.lit("")), 1, 60)).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", before.alias("before"), F.coalesce("text", F.lit("")).alias("whole"))
 
 
 def script_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Han (U+3400 to U+9FFF) and Latin letters of each document, and the Han share."""
     han, latin = count_matches(F.col("text"), "[\u3400-\u9fff]"), count_matches(F.col("text"), "[A-Za-z]")
-    return _scripts(spark, sf_dir).select("doc_id", han.alias("han"), latin.alias("latin"), r6(F.round(han / F.greatest(han + latin, F.lit(1)), 4)).alias("han_share"))
+    return _scripts(spark, sf_dir).select("doc_id", F.concat("before", "whole").alias("text")).select("doc_id", han.alias("han"), latin.alias("latin"), r6(F.round(han / F.greatest(han + latin, F.lit(1)), 4)).alias("han_share"))
 
 
 def script_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of the same texts over all documents, with slot and sign."""
-    t = _scripts(spark, sf_dir).select(F.explode(tokens(F.col("text"))).alias("token"))
+    """Tokens of the same texts' beginnings over all documents, with slot and sign."""
+    begun = F.concat("before", F.substring("whole", 1, 60))
+    t = _scripts(spark, sf_dir).select(F.explode(tokens(begun)).alias("token"))
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select("token", "n", hash_slot(F.col("token")).alias("slot"), hash_sign(F.col("token")).alias("sign"))
 
 
@@ -214,6 +215,7 @@ WITH entries AS (
 )
 """
 _SCRIPTS = f"SELECT doc_id, {_LIST(SCRIPTS)}[doc_id % {len(SCRIPTS)} + 1] || left(coalesce(text, ''), 60) AS text FROM documents"
+_WHOLE_SCRIPTS = f"SELECT doc_id, {_LIST(SCRIPTS)}[doc_id % {len(SCRIPTS)} + 1] || coalesce(text, '') AS text FROM documents"
 # The blanks of Unicode, as this engine writes them.
 _BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _Q = S.python_tokens(QUERY)
@@ -278,7 +280,7 @@ SQL = {
       sha256(coalesce(text, '')) AS content_sha256, doc_id % 3 <> 0 AND doc_id % 4 <> 0 AS accepted FROM results JOIN eligible USING (doc_id)""",
     "script_mix": f"""SELECT doc_id, han, latin, round(han / greatest(han + latin, 1), 4) AS han_share FROM (
       SELECT doc_id, length(text) - length(regexp_replace(text, '[\u3400-\u9fff]', '', 'g')) AS han, length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS latin
-      FROM ({_SCRIPTS}))""",
+      FROM ({_WHOLE_SCRIPTS}))""",
     "guardrail_hits": """SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(t, 'all rights reserved') THEN '0' END,
       CASE WHEN regexp_matches(t, 'licensed under (the )?(cc|apache|gnu)') THEN '1' END, CASE WHEN regexp_matches(t, 'idiot|moron') THEN '2' END,
       CASE WHEN regexp_matches(t, '\\b\\d{3}-\\d{2}-\\d{4}\\b') THEN '3' END) AS hits

@@ -41,3 +41,10 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).columns
+
+
+def test_script_mix_counts_whole_texts(spark, sf_dir):
+    """Letters far behind a document's beginning count as well."""
+    letters = "length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', ''))"
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(f"sum({letters})").first()[0]
+    assert QUERIES["script_mix"](spark, sf_dir).selectExpr("sum(latin)").first()[0] >= whole
