@@ -33,8 +33,9 @@ from tessella.sources.shared import materialise
 MODALITIES = {"text": 0.45, "structured": 0.25, "visual": 0.30}
 LEXICAL, EMBEDDED = 0.65, 0.35
 IN_SCOPE, IN_TEXT = 1.0, 0.7
-#: Tokens whose slot a worker remembers.
-REMEMBERED = 500_000
+#: Tokens whose slot a worker remembers, and texts that it holds as strings at a time.
+REMEMBERED = 50_000
+AT_A_TIME = 64
 
 _TOKEN = re.compile(f"(?P<latin>{LATIN_TOKEN})|{HAN_RUN}")
 
@@ -78,10 +79,18 @@ def hashed_vector(text: str) -> np.ndarray:
 
 
 def embed(text: Column) -> Column:
-    """Hashed embedding of each text; a narrow map, where SQL would shuffle every token."""
+    """Hashed embedding of each text; a narrow map, where SQL would shuffle every token.
+
+    Beside a batch, a worker holds the vectors of its texts and few texts at a time.
+    """
 
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([hashed_vector(t or "") for t in column.to_pylist()], pa.list_(pa.float64()))
+        flat = np.empty((len(column), EMBEDDING_SIZE))
+        for at in range(0, len(column), AT_A_TIME):
+            for i, t in enumerate(column.slice(at, AT_A_TIME).to_pylist(), at):
+                flat[i] = hashed_vector(t or "")
+        ends = np.arange(len(column) + 1, dtype=np.int32) * EMBEDDING_SIZE
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.reshape(-1)))
 
     return F.arrow_udf(run, "array<double>")(text)
 
