@@ -11,8 +11,10 @@ Lists with the same nodes count once. Short lists of a key are compared pair by
 compared with the list's hubs, those that meet most others; what a hub links to
 leaves the list, as do the hubs, and the rest go on with twice the hubs until the
 list is short. So groups of copies, however large, cost a row or two a copy, and no
-list is cut off. In a long list, two sets that were linked to hubs aren't compared
-with each other any more; they are in one group if their hubs are.
+list is cut off. At the end, the sets of a long list that were linked to hubs and so
+left it are compared with those of its sets that are in other groups; within a group
+more links change nothing. So no two sets with a common key that are near end in
+different groups.
 """
 
 from functools import reduce
@@ -39,6 +41,8 @@ BANDS = 12
 ROWS = 5
 #: Lists up to this long are compared pair by pair.
 FEW = 4
+#: Tasks that one long list's last comparison is dealt to.
+PARTS = 16
 
 #: Odd multipliers and offsets of the min-hashes, and the multiplier that chains words.
 FACTORS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
@@ -135,18 +139,43 @@ def _pairs(lists: DataFrame) -> DataFrame:
     return a.join(b, "list").where("u < v").select("u", "v")
 
 
+def _across(lists: DataFrame, left: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between sets of one list that ``links`` leave in different groups, written.
+
+    ``lists``: (list, node) of long lists; ``left``: (list, node) of the sets that
+    left them, linked to a hub. Every other pair was compared. Only lists with
+    several groups are looked at, and only sizes that 0.8 admits; a list is dealt
+    to ``PARTS`` tasks.
+    """
+    parts = connected_components(links)
+    members = materialise(parts, "roots")
+    sized = sets.select("node", F.octet_length("shingles").alias("size"))
+    rooted = lists.join(members.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")).join(sized.hint("merge"), "node")
+    rooted = materialise(rooted.select("list", "node", "root", "size"), "rooted")
+    several = materialise(rooted.groupBy("list").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("list"), "several")
+    mixed = rooted.join(several.hint("merge"), "list")
+    a = mixed.join(left.hint("merge"), ["list", "node"], "left_semi").select("list", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"))
+    a = a.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    b = mixed.select("list", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int").alias("part"))
+    fits = (F.col("ra") != F.col("rb")) & (F.least("sa", "sb") >= LEAST * F.greatest("sa", "sb"))
+    met = a.join(b, ["list", "part"]).where(fits).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    out = _verified(met, sets)
+    discard(parts, members, rooted, several)
+    return out
+
+
 def jaccard_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) between nodes whose sets are near, written.
+    """Links (u, v) between nodes whose sets are near, written: two near nodes of a list are linked or in one group.
 
     ``lists``: (list, node, n), n the list's length. ``sets``: (node, shingles).
     What is left of long lists when they are short waits for one verification of
     all short lists; rounds over long lists read the sets of their nodes only.
     """
     meets = lists.groupBy("node").agg(F.sum("n").alias("met"))
-    long = materialise(lists.where(F.col("n") > FEW).join(meets.hint("merge"), "node").select("list", "node", "n", "met"), "long")
+    long = whole = materialise(lists.where(F.col("n") > FEW).join(meets.hint("merge"), "node").select("list", "node", "n", "met"), "long")
     crowd = materialise(sets.join(long.select("node").distinct(), "node", "left_semi"), "crowd")
     found, waiting, hubs = [], [lists.where(F.col("n") <= FEW).select("list", "node")], 1
-    settled = []
+    settled, left = [], []
     while not long.isEmpty():
         dealt = long.groupBy("list", F.pmod(F.xxhash64("node", F.lit(hubs)), F.lit(hubs)).alias("part"))
         best = dealt.agg(F.max(F.struct("met", "node")).alias("best"), F.max("n").alias("n"))
@@ -156,16 +185,22 @@ def jaccard_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
         near = _verified(rows.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), crowd)
         found.append(near)
         gone = rows.join(near.select(F.col("u").alias("node"), F.col("v").alias("hub")).hint("merge"), ["node", "hub"], "left_semi").select("list", "node")
+        gone = materialise(gone.distinct(), "gone")
+        left.append(gone)
         gone = gone.union(rows.where("node = hub").select("list", "node")).distinct()
         again = _counted(long.drop("n").join(gone.hint("merge"), ["list", "node"], "left_anti"), "left")
-        discard(long, best, rows)
+        discard(best, rows, *([] if long is whole else [long]))
         settled.append(again)
         waiting.append(again.where(F.col("n") <= FEW).select("list", "node"))
         long = materialise(again.where(F.col("n") > FEW), "long")
         hubs *= 2
     found.append(_verified(reduce(DataFrame.union, map(_pairs, waiting)).distinct(), sets))
     out = materialise(reduce(DataFrame.union, found).distinct(), "links")
-    discard(*found, *settled, long, crowd)
+    if left:
+        across, first = _across(whole.select("list", "node"), reduce(DataFrame.union, left), out, crowd), out
+        out = materialise(first.union(across), "links")
+        discard(first, across)
+    discard(*found, *settled, *left, whole, long, crowd)
     return out
 
 

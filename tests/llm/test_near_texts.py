@@ -86,6 +86,22 @@ def test_groups_equal_all_pairs(spark, monkeypatch):
     assert sum(r.n for r in got) == len(rows)
 
 
+def test_sets_that_left_a_list_meet_the_others(spark, monkeypatch):
+    """A chain in one list: each number's set is near its neighbours' only, so whatever hub is met links few."""
+    monkeypatch.setattr(near_texts, "FEW", 2)
+    for step in (10, 15):
+        made = {i: np.arange(i * step, i * step + 160, dtype=np.uint64) for i in range(24)}
+        assert jaccard(made[0], made[1]) >= 0.8 > jaccard(made[0], made[3])
+        lists = spark.createDataFrame([(7, i, len(made)) for i in made], "list bigint, node bigint, n bigint")
+        sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in made.items()], "node bigint, shingles binary")
+        links = {tuple(sorted((r.u, r.v))) for r in near_texts.jaccard_links(lists, sets).collect()}
+        assert all(jaccard(made[u], made[v]) >= 0.8 for u, v in links)
+        group = list(range(24))
+        for u, v in links:
+            group = [group[u] if g == group[v] else g for g in group]
+        assert len(set(group)) == 1
+
+
 def test_recall_at_a_similarity_of_four_fifths(spark):
     """All pairs of different texts of sf0.01 at 0.8 or more, against the groups."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
