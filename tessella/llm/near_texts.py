@@ -135,8 +135,9 @@ def _counted(lists: DataFrame, label: str) -> DataFrame:
 
 def _pairs(lists: DataFrame) -> DataFrame:
     """(u, v) for each two nodes of each of these short lists."""
-    a, b = lists.select("list", F.col("node").alias("u")), lists.select("list", F.col("node").alias("v"))
-    return a.join(b, "list").where("u < v").select("u", "v")
+    nodes = lists.groupBy("list").agg(F.collect_list("node").alias("nodes"))  # at most FEW
+    pairs = lambda u: F.transform(F.filter("nodes", lambda v: v > u), lambda v: F.struct(u.alias("u"), v.alias("v")))
+    return nodes.select(F.inline(F.flatten(F.transform("nodes", pairs))))
 
 
 def _across(lists: DataFrame, left: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
