@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.texts import fresh_name
 from tessella.llm.tokenizers import Memo, Vocabulary, byte_letters
 
 #: The published pattern that splits text before the byte-level merges.
@@ -33,6 +34,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 UNUSUAL = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 NEVER = 1 << 60
 COMPATIBLE_LIMIT = 400_000
+#: Texts that a worker holds as strings at a time.
+AT_A_TIME = 64
 
 
 class OffsetDecoder:
@@ -207,8 +210,17 @@ class BacktrackingEncoder:
         return np.frombuffer(ids, self.kind)
 
 
-def _values(column: pa.Array) -> list[str]:
-    return [v or "" for v in column.to_pylist()]
+def _encoded(encoder: BacktrackingEncoder, column: pa.Array) -> list[np.ndarray]:
+    """The ids of each text; beside the column and the ids, few texts are held."""
+    return [encoder.encode(v or "") for at in range(0, len(column), AT_A_TIME) for v in column.slice(at, AT_A_TIME).to_pylist()]
+
+
+def _id_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    flat = np.empty(ends[-1], np.int32)
+    for row, at, end in zip(rows, ends, ends[1:]):
+        flat[at:end] = row
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -220,13 +232,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, text_col: str = "text", out_c
 
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
-        encoder = shared.build(BacktrackingEncoder)
-        rows = [encoder.encode(t) for t in _values(column)]
-        ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-        flat = np.empty(ends[-1], np.int32)
-        for row, at, end in zip(rows, ends, ends[1:]):
-            flat[at:end] = row
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        return _id_lists(_encoded(shared.build(BacktrackingEncoder), column))
 
     return docs.withColumn(out_col, run.asNondeterministic()(F.col(text_col)))
 
@@ -250,3 +256,23 @@ def decode_ids(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out_col
         return pa.array(out, pa.string())
 
     return tokens.withColumn(out_col, run.asNondeterministic()(F.col(ids_col)))
+
+
+def round_trip(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``docs`` with the columns of ``encode_texts`` and of ``decode_ids`` over its ids.
+
+    Both are done by one worker a task, where two operators one after the other
+    take two with a vocabulary each.
+    """
+    shared = Vocabulary(docs.sparkSession, vocabulary)
+    both = fresh_name(docs, "both")
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def run(column: pa.Array) -> pa.Array:
+        encoder, decoder = shared.build(BacktrackingEncoder), shared.build(build_decoder)
+        rows = _encoded(encoder, column)
+        texts = pa.array((decoder.text(row) for row in rows), pa.string(), size=len(rows))
+        return pa.StructArray.from_arrays([_id_lists(rows), texts], names=["ids", "decoded"])
+
+    found = docs.withColumn(both, run.asNondeterministic()(F.col(text_col)))
+    return found.withColumns({ids_col: F.col(both)["ids"], out_col: F.col(both)["decoded"]}).drop(both)

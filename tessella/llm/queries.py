@@ -152,9 +152,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     A null or empty text has no tokens. Repeated rows each get a row.
     """
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode_texts(_texts(spark, sf_dir), vocabulary).select("doc_id", "ids")
-    decoded = bpe.decode_ids(encoded, vocabulary)
-    return decoded.select(
+    return bpe.round_trip(_texts(spark, sf_dir), vocabulary).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

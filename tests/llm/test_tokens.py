@@ -111,3 +111,17 @@ def test_no_documents(spark, empty):
     folder = token_folder(spark)
     assert read_documents(spark, folder, write_token_files(empty, WORD, folder)).count() == 0
     assert token_files.SEQUENCE == 2048
+
+
+def test_round_trip_equals_both_operators_in_one_worker(spark):
+    import public_tokenizers
+
+    from tessella.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [None, "", "Plain words, twice twice.", "日本語 İ  \n\t x", "<|endoftext|> and 12345"] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "both int, text string")
+    found = bpe.round_trip(docs, path)
+    want = bpe.decode_ids(bpe.encode_texts(docs, path), path)
+    assert found.columns == want.columns and sorted(found.collect(), key=str) == sorted(want.collect(), key=str)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
