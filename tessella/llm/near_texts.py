@@ -9,9 +9,10 @@ closer pairs more. What is compared is verified on the whole sets.
 
 Lists with the same nodes count once. Short lists of a key are compared pair by pair. In a longer list every set is
 compared with the list's hubs, those that meet most others; what a hub links to
-leaves the list, as do the hubs, and the rest go on with twice the hubs until the
-list is short. So groups of copies, however large, cost a row or two a copy, and no
-list is cut off. At the end, the sets of a long list that were linked to hubs and so
+leaves the list, as do the hubs, and the rest go on with eight times the hubs until
+the list is short; where a list has no more sets than hubs, all are hubs. So groups
+of copies, however large, cost a few rows a copy, no list is cut off, and the driver
+plans few rounds. At the end, the sets of a long list that were linked to hubs and so
 left it are compared with those of its sets that are in other groups; within a group
 more links change nothing. So no two sets with a common key that are near end in
 different groups.
@@ -41,6 +42,8 @@ BANDS = 12
 ROWS = 5
 #: Lists up to this long are compared pair by pair.
 FEW = 4
+#: How many times as many hubs the next round has. Each round is a dozen jobs, whose plans and task binaries lie in the driver's memory.
+MORE = 8
 #: Tasks that one long list's last comparison is dealt to.
 PARTS = 16
 
@@ -170,19 +173,23 @@ def jaccard_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
 
     ``lists``: (list, node, n), n the list's length. ``sets``: (node, shingles).
     What is left of long lists when they are short waits for one verification of
-    all short lists; rounds over long lists read the sets of their nodes only.
+    all short lists; rounds over long lists read the sets of their nodes only. Two
+    hubs of a list meet once.
     """
     meets = lists.groupBy("node").agg(F.sum("n").alias("met"))
-    long = whole = materialise(lists.where(F.col("n") > FEW).join(meets.hint("merge"), "node").select("list", "node", "n", "met"), "long")
-    crowd = materialise(sets.join(long.select("node").distinct(), "node", "left_semi"), "crowd")
+    whole = materialise(lists.where(F.col("n") > FEW).join(meets.hint("merge"), "node").select("list", "node", "n", "met"), "long")
+    crowd = materialise(sets.join(whole.select("node").distinct(), "node", "left_semi"), "crowd")
     found, waiting, hubs = [], [lists.where(F.col("n") <= FEW).select("list", "node")], 1
     settled, left = [], []
-    while not long.isEmpty():
-        dealt = long.groupBy("list", F.pmod(F.xxhash64("node", F.lit(hubs)), F.lit(hubs)).alias("part"))
+    long, total = whole, whole.count()
+    while total:
+        part = F.when(F.col("n") <= hubs, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(hubs)), F.lit(hubs)))
+        dealt = long.groupBy("list", part.alias("part"))
         best = dealt.agg(F.max(F.struct("met", "node")).alias("best"), F.max("n").alias("n"))
         best = materialise(best.groupBy("list").agg(F.collect_list("best.node").alias("hubs"), F.max("n").alias("n")), "hubs")  # at most ``hubs``
-        rows = spread_join(long.drop("n"), best, "list", "n", long.count())
-        rows = materialise(rows.select("list", "node", "met", F.explode("hubs").alias("hub")), "meetings")
+        rows = spread_join(long.drop("n"), best, "list", "n", total).withColumn("is_hub", F.array_contains("hubs", F.col("node")))
+        met = F.filter("hubs", lambda hub: ~F.col("is_hub") | (hub >= F.col("node")))
+        rows = materialise(rows.select("list", "node", F.explode(met).alias("hub")), "meetings")
         near = _verified(rows.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), crowd)
         found.append(near)
         gone = rows.join(near.select(F.col("u").alias("node"), F.col("v").alias("hub")).hint("merge"), ["node", "hub"], "left_semi").select("list", "node")
@@ -190,18 +197,18 @@ def jaccard_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
         left.append(gone)
         gone = gone.union(rows.where("node = hub").select("list", "node")).distinct()
         again = _counted(long.drop("n").join(gone.hint("merge"), ["list", "node"], "left_anti"), "left")
-        discard(best, rows, *([] if long is whole else [long]))
+        discard(best, rows)
         settled.append(again)
         waiting.append(again.where(F.col("n") <= FEW).select("list", "node"))
-        long = materialise(again.where(F.col("n") > FEW), "long")
-        hubs *= 2
-    found.append(_verified(reduce(DataFrame.union, map(_pairs, waiting)).distinct(), sets))
+        long = again.where(F.col("n") > FEW)
+        total, hubs = long.count(), hubs * MORE
+    found.append(_verified(_pairs(reduce(DataFrame.union, waiting)).distinct(), sets))  # a list waits once
     out = materialise(reduce(DataFrame.union, found).distinct(), "links")
     if left:
         across, first = _across(whole.select("list", "node"), reduce(DataFrame.union, left), out, crowd), out
         out = materialise(first.union(across), "links")
         discard(first, across)
-    discard(*found, *settled, *left, whole, long, crowd)
+    discard(*found, *settled, *left, whole, crowd)
     return out
 
 

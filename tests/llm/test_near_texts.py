@@ -102,6 +102,29 @@ def test_sets_that_left_a_list_meet_the_others(spark, monkeypatch):
         assert len(set(group)) == 1
 
 
+def test_a_long_list_of_other_sets_takes_few_rounds(spark, monkeypatch):
+    """Jobs and plans of a round lie in the driver's memory: the rounds grow with the logarithm to base eight, and all pairs are met, once."""
+    made = {i: np.arange(i * 1000, i * 1000 + 160, dtype=np.uint64) for i in range(60)}
+    made[37] = np.arange(5 * 1000 + 10, 5 * 1000 + 170, dtype=np.uint64)
+    labels, met = [], []
+
+    def noted(df, label):
+        labels.append(label)
+        out = whole(df, label)
+        if label == "pairs":
+            met.extend(tuple(sorted((r.u, r.v))) for r in out.collect())
+        return out
+
+    whole = near_texts.materialise
+    monkeypatch.setattr(near_texts, "materialise", noted)
+    lists = spark.createDataFrame([(7, i, len(made)) for i in made] + [(8, i, 2) for i in (5, 6)], "list bigint, node bigint, n bigint")
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in made.items()], "node bigint, shingles binary")
+    links = {tuple(sorted((r.u, r.v))) for r in near_texts.jaccard_links(lists, sets).collect()}
+    assert links == {(5, 37)}
+    assert labels.count("hubs") == 3  # of 1, 8 and 64
+    assert len(set(met)) >= 60 * 59 / 2 - 58 and len(met) <= len(set(met)) + 10
+
+
 def test_recall_at_a_similarity_of_four_fifths(spark):
     """All pairs of different texts of sf0.01 at 0.8 or more, against the groups."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
