@@ -7,15 +7,16 @@ min-hashes of a set make twelve band keys, each of five, and sets with a common
 key are compared: of pairs at 0.8 exactly, 0.991 have one (1 - (1 - 0.8^5)^12), of
 closer pairs more. What is compared is verified on the whole sets.
 
-Lists with the same nodes count once. Short lists of a key are compared pair by pair. In a longer list every set is
-compared with the list's hubs, those that meet most others; what a hub links to
-leaves the list, as do the hubs, and the rest go on with eight times the hubs until
-the list is short; where a list has no more sets than hubs, all are hubs. So groups
-of copies, however large, cost a few rows a copy, no list is cut off, and the driver
-plans few rounds. At the end, the sets of a long list that were linked to hubs and so
-left it are compared with those of its sets that are in other groups; within a group
-more links change nothing. So no two sets with a common key that are near end in
-different groups.
+Lists with the same nodes count once. A list that fits a block is compared in one
+task, which reports only a spanning forest: it costs a row a set, and the driver plans
+one job for all such lists. In a list too long for a block every set is compared with
+the list's hubs, those that meet most others; what a hub links to leaves the list, as
+do the hubs, and the rest go on with eight times the hubs until the list is short;
+where a list has no more sets than hubs, all are hubs. So groups of copies, however
+large, cost a few rows a copy, no list is cut off, and the driver plans few rounds. At
+the end, the sets of a long list that were linked to hubs and so left it are compared
+with those of its sets that are in other groups; within a group more links change
+nothing. So no two sets with a common key that are near end in different groups.
 """
 
 from functools import reduce
@@ -23,7 +24,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -40,7 +41,10 @@ SEED = 42
 LEAST = 0.8
 BANDS = 12
 ROWS = 5
-#: Lists up to this long are compared pair by pair.
+#: Lists of up to so many sets, and so many shingles in all, are compared in one block; 4 million are 32 MB.
+BLOCK = 2048
+SHINGLES = 1 << 22
+#: What is left of longer lists is compared pair by pair once it is up to this long.
 FEW = 4
 #: How many times as many hubs the next round has. Each round is a dozen jobs, whose plans and task binaries lie in the driver's memory.
 MORE = 8
@@ -89,17 +93,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def add_sketch(docs: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    """``docs`` with a struct: node, which names the shingle set (0: the empty one), and its band keys."""
+    """``docs`` with a struct: node, which names the shingle set (0: the empty one), its size and its band keys."""
 
     def batch(texts: list[bytes]) -> pa.Array:
-        nodes, keys = np.zeros(len(texts), np.uint64), []
+        nodes, sizes, keys = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), []
         for i, text in enumerate(texts):
             shingles = shingle_set(text)
+            sizes[i] = len(shingles)
             nodes[i] = xxhash.xxh64_intdigest(shingles.tobytes(), SEED) | 1 if len(shingles) else 0
             keys.append(band_keys(shingles).view(np.int64))
-        return struct_array([("node", pa.int64(), nodes.view(np.int64)), ("keys", pa.list_(pa.int64()), keys)])
+        return struct_array([("node", pa.int64(), nodes.view(np.int64)), ("size", pa.int64(), sizes), ("keys", pa.list_(pa.int64()), keys)])
 
-    return docs.withColumn(out_col, bytes_udf(batch, "struct<node:bigint,keys:array<bigint>>")(F.col(text_col)))
+    return docs.withColumn(out_col, bytes_udf(batch, "struct<node:bigint,size:bigint,keys:array<bigint>>")(F.col(text_col)))
 
 
 def _with_set(docs: DataFrame, text_col: str) -> DataFrame:
@@ -128,11 +133,60 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near
 
 
-def _counted(lists: DataFrame, label: str) -> DataFrame:
-    """(list, node, n) for lists of two and more, written; of lists with the same nodes, as copies have in most bands, one is enough."""
+def near_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links within ``sets``, none of them empty, as places in it: a walk from each keeps
+    one link for each newly reached set."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    held, open_, edges = np.zeros(int(ids.max()) + 1, np.uint8), np.ones(len(sets), bool), []
+    for root in range(len(sets)):
+        if not open_[root]:
+            continue
+        open_[root] = False
+        walk = [root]
+        while walk and open_.any():
+            x = walk.pop()
+            own = ids[starts[x] : starts[x] + sizes[x]]
+            held[own] = 1
+            both = np.add.reduceat(held[ids], starts, dtype=np.int64)
+            held[own] = 0
+            found = np.flatnonzero(open_ & (both / (sizes + sizes[x] - both) >= LEAST))
+            open_[found] = False
+            edges += [(x, int(y)) for y in found]
+            walk += found.tolist()
+    return edges
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    nodes = table.column("node").to_numpy()
+    edges = np.array(near_forest([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]), np.int64).reshape(-1, 2)
+    return pa.table({"u": nodes[edges[:, 0]], "v": nodes[edges[:, 1]]})
+
+
+def list_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between nodes whose sets are near, written: two near nodes of a list are linked or in one group.
+
+    ``lists``: (list, node, n, shingles), n the list's length and shingles those of
+    its sets in all. ``sets``: (node, shingles). Lists that fit a block are dealt to
+    tasks, each whole; the others go through ``jaccard_links``.
+    """
+    fits = (F.col("n") <= BLOCK) & (F.col("shingles") <= SHINGLES)
+    blocks = lists.where(fits).select("list", "node").join(sets.hint("merge"), "node")
+    out = materialise(blocks.groupBy("list").applyInArrow(_compare, "u bigint, v bigint"), "blocks")
+    rest = lists.where(~fits).select("list", "node", "n")
+    if not rest.isEmpty():
+        first, others = out, jaccard_links(rest, sets)
+        out = materialise(first.union(others), "links")
+        discard(first, others)
+    return out
+
+
+def _counted(lists: DataFrame, label: str, *sums: Column) -> DataFrame:
+    """(list, node, n) and the lists' ``sums``, for lists of two and more, written; of lists with the same nodes, as copies have in most bands, one is enough."""
     digest = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
-    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n"), digest(1).alias("a"), digest(2).alias("b")).where("n > 1")
-    once = sizes.groupBy("n", "a", "b").agg(F.min("list").alias("list")).select("list", "n")
+    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n"), digest(1).alias("a"), digest(2).alias("b"), *sums).where("n > 1")
+    once = sizes.groupBy("n", "a", "b").agg(F.min(F.struct("list", *sizes.columns[4:])).alias("one")).select("one.*", "n")
     return materialise(lists.join(once.hint("merge"), "list"), label)
 
 
@@ -228,16 +282,16 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sketched = materialise(sketched.groupBy("text_hash").agg(F.first("sketch").alias("sketch")).select("text_hash", "sketch.*"), "sketches")
     nodes = materialise(hashed.join(sketched.select("text_hash", "node"), "text_hash"), "texts")
 
-    distinct = sketched.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"))
-    posted = materialise(distinct.select("text_hash", "node", F.explode("keys").alias("list")), "posted")
-    lists = _counted(posted, "lists")
+    distinct = sketched.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    posted = materialise(distinct.select("text_hash", "node", "size", F.explode("keys").alias("list")), "posted")
+    lists = _counted(posted, "lists", F.sum("size").alias("shingles"))
     # One row stands for all copies of a text: that with its smallest id, so that copies don't meet in a task.
     wanted = lists.select("text_hash", "node").distinct().join(hashed.select("text_hash", F.col("best.doc_id").alias("best_id")), "text_hash")
     wanted = materialise(wanted.withColumnRenamed("text_hash", "best_hash"), "wanted")
     chosen = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chosen = chosen.join(wanted, (F.col("text_hash") == F.col("best_hash")) & F.col("doc_id").eqNullSafe(F.col("best_id")))
     sets = materialise(_with_set(chosen.select("node", "text").dropDuplicates(["node"]), "text").select("node", "shingles"), "sets")
-    near = jaccard_links(lists.select("list", "node", "n"), sets)
+    near = list_links(lists, sets)
     discard(posted, lists, wanted, sets, sketched, hashed)
 
     # Texts of one SimHash group are linked to the group's smallest node.

@@ -1,4 +1,5 @@
 import random
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -125,6 +126,40 @@ def test_a_long_list_of_other_sets_takes_few_rounds(spark, monkeypatch):
     assert len(set(met)) >= 60 * 59 / 2 - 58 and len(met) <= len(set(met)) + 10
 
 
+def test_a_forest_holds_the_groups_of_all_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    for share in (0.05, 0.15, 0.3):
+        sets = [np.unique(np.where(rng.random(60) < share * rng.random(), rng.integers(0, 1 << 63, 60).astype(np.uint64), base)) for _ in range(40)] + [base[:1], base[:3], base]
+        sets = [np.unique(s) for s in sets]
+        edges = near_texts.near_forest(sets)
+        assert all(jaccard(sets[u], sets[v]) >= 0.8 for u, v in edges)
+        joined = lambda pairs: reduce(lambda g, p: [g[p[0]] if x == g[p[1]] else x for x in g], pairs, list(range(len(sets))))
+        want = joined([p for p in combinations(range(len(sets)), 2) if jaccard(sets[p[0]], sets[p[1]]) >= 0.8])
+        assert [x == y for x, y in combinations(joined(edges), 2)] == [x == y for x, y in combinations(want, 2)]
+        assert len(edges) == len(sets) - len(set(want))
+
+
+def test_lists_that_fit_a_block_take_no_rounds_and_no_rows_of_pairs(spark, monkeypatch):
+    """Near copies of one text make lists of dozens; others go through the hubs, with the same groups."""
+    rng = random.Random(6)
+    texts = edited_copies(rng, 60, 120, 0.02) + edited_copies(rng, 3, 200, 0.01)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels, whole = [], near_texts.materialise
+    monkeypatch.setattr(near_texts, "materialise", lambda df, label: labels.append(label) or whole(df, label))
+
+    def groups():
+        found = {}
+        for r in near_text_groups(docs).collect():
+            found.setdefault(r.group, set()).add(r.text_hash)
+        return sorted(map(sorted, found.values()))
+
+    got = groups()
+    assert not {"hubs", "meetings", "pairs"} & set(labels)
+    monkeypatch.setattr(near_texts, "SHINGLES", 400)
+    assert groups() == got and "hubs" in labels
+
+
 def test_recall_at_a_similarity_of_four_fifths(spark):
     """All pairs of different texts of sf0.01 at 0.8 or more, against the groups."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
